@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import simhash
+from lexloom.llm import decontaminate, simhash
 from lexloom.llm.common import table
 
 
+def op4_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_simhash_near_dedup,)}
+QUERIES = {f.__name__: f for f in (op4_suffix_array_decontamination, op7_simhash_near_dedup)}
 ORACLES: dict[str, str] = {}
