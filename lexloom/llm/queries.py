@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import decontaminate, simhash
+from lexloom.llm import decontaminate, packing, simhash
 from lexloom.llm.common import table
 
 
@@ -12,9 +12,13 @@ def op4_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_suffix_array_decontamination, op7_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op4_suffix_array_decontamination, op6_best_fit_packing, op7_simhash_near_dedup)}
 ORACLES: dict[str, str] = {}
