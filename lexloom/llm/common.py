@@ -8,6 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,7 +70,7 @@ def slices(batches: Iterator[pa.RecordBatch], text_at: int, limit: int = SLICE_B
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        sizes = np.fromiter((0 if n is None else n for n in pa.compute.binary_length(batch.column(text_at)).to_pylist()), np.int64, batch.num_rows)
+        sizes = np.fromiter((0 if n is None else n for n in pyarrow.compute.binary_length(batch.column(text_at)).to_pylist()), np.int64, batch.num_rows)
         part = np.cumsum(sizes + 1) // limit
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
@@ -98,8 +99,6 @@ def map_text(df: DataFrame, key: str, text: str, fields: list[T.StructField], wo
     inner, outer = to_arrow_schema(T.StructType(fields)), to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
-
         for batch in slices(batches, text_at):
             made = [pa.array(a, f.type) if not isinstance(a, (pa.Array, pa.ChunkedArray)) else a.cast(f.type) for a, f in zip(work(as_bytes(batch.column(text_at))), inner)]
             columns = [*batch.columns, pa.StructArray.from_arrays(made, fields=list(inner))] if carry else [batch.column(0), *made]

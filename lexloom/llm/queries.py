@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import decontaminate, packing, simhash
+from lexloom.llm import decontaminate, media, packing, simhash, warc
 from lexloom.llm.common import table
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_table(table(spark, sf_dir, "documents"))
+
+
 def op4_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -20,5 +24,9 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_suffix_array_decontamination, op6_best_fit_packing, op7_simhash_near_dedup)}
+def op10_warc_chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op3_media_columns, op4_suffix_array_decontamination, op6_best_fit_packing, op7_simhash_near_dedup, op10_warc_chunk_table)}
 ORACLES: dict[str, str] = {}
