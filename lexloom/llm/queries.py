@@ -3,9 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexloom.llm import decontaminate, media, packing, simhash, warc
-from lexloom.llm.common import table
+from lexloom.llm import chat, decontaminate, langid, media, packing, simhash, warc
+from lexloom.llm.common import in_fold, table
+
+
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -7, whose texts hold the template's own control strings."""
+    said = "\\### Assistant: </turn> ok"
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.round_trip(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe))
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,9 +32,15 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_byte_cnn_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.train(docs))
+    return found.select("doc_id", in_fold(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op10_warc_chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op3_media_columns, op4_suffix_array_decontamination, op6_best_fit_packing, op7_simhash_near_dedup, op10_warc_chunk_table)}
+QUERIES = {f.__name__: f for f in (op2_chat_formatting, op3_media_columns, op4_suffix_array_decontamination, op6_best_fit_packing, op7_simhash_near_dedup, op9_byte_cnn_language_id, op10_warc_chunk_table)}
 ORACLES: dict[str, str] = {}
