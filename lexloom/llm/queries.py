@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import chat, decontaminate, langid, media, packing, simhash, warc
+from lexloom.llm import chat, decontaminate, langid, media, packing, simhash, toxicity, warc
 from lexloom.llm.common import in_fold, table
 
 
@@ -24,6 +24,12 @@ def op4_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_bigru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", in_fold(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -42,5 +48,5 @@ def op10_warc_chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_formatting, op3_media_columns, op4_suffix_array_decontamination, op6_best_fit_packing, op7_simhash_near_dedup, op9_byte_cnn_language_id, op10_warc_chunk_table)}
+QUERIES = {f.__name__: f for f in (op2_chat_formatting, op3_media_columns, op4_suffix_array_decontamination, op5_bigru_toxicity, op6_best_fit_packing, op7_simhash_near_dedup, op9_byte_cnn_language_id, op10_warc_chunk_table)}
 ORACLES: dict[str, str] = {}
