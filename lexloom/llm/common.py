@@ -140,6 +140,7 @@ def unioned(frames: list[DataFrame]) -> DataFrame:
 
 # ---------------------------------------------------------------------------------------------- words of bytes
 
+HASH_BLOCK = 1 << 17
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
 _POWERS: dict[str, np.ndarray] = {}
@@ -177,14 +178,21 @@ class Words:
         ends = np.cumsum([len(t or b"") + 1 for t in texts])
         self.first = np.searchsorted(self.start, np.concatenate([[0], ends[:-1]]) if len(texts) else [])
         self.count = np.diff(np.concatenate([self.first, [len(self.start)]])) if len(texts) else np.zeros(0, np.int64)
-        p, inverse = _powers(len(self.folded) + 1)
-        with np.errstate(over="ignore"):
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.folded * p[: len(self.folded)], dtype=np.uint64)])
-            h = (sums[self.end] - sums[self.start]) * inverse[self.start]
-            h ^= h >> np.uint64(31)
-            h *= np.uint64(0xBF58476D1CE4E5B9)
-            h ^= h >> np.uint64(29)
-        self.hash = h
+        self.hash = np.zeros(len(self.start), np.uint64)
+        # Block by block, so that the sums stay small and in the cache.
+        edges = np.searchsorted(self.start, np.arange(0, len(self.folded) + HASH_BLOCK, HASH_BLOCK))
+        for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            if i < j:
+                a, b = int(self.start[i]), int(self.end[j - 1])
+                p, inverse = _powers(b - a + 1)
+                with np.errstate(over="ignore"):
+                    sums = np.zeros(b - a + 1, np.uint64)
+                    np.cumsum(self.folded[a:b] * p[: b - a], dtype=np.uint64, out=sums[1:])
+                    h = (sums[self.end[i:j] - a] - sums[self.start[i:j] - a]) * inverse[self.start[i:j] - a]
+                    h ^= h >> np.uint64(31)
+                    h *= np.uint64(0xBF58476D1CE4E5B9)
+                    h ^= h >> np.uint64(29)
+                self.hash[i:j] = h
         self.owner = np.repeat(np.arange(len(texts)), self.count)
 
     def word(self, i: int) -> bytes:

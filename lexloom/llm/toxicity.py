@@ -24,13 +24,14 @@ WINDOW, STRIDE = 32, 24
 EMBED, HIDDEN = 8, 8
 GRAMS = (4, 6, 8)
 GRAM_BITS = 18
+WORDS_AT_ONCE, TEXTS_AT_ONCE = 50_000, 100
 #: Labelled texts of each label that training sees, about.
 TEXTS_EACH = 1500
 #: Words and n-grams get an embedding if so many training texts have them; all others have none.
 LEAST_TEXTS = 2
-PRIOR = 4
+PRIOR = 8
 #: What a clean text that is called toxic costs, against a toxic one that is missed.
-CLEAN_WEIGHT = 2.0
+CLEAN_WEIGHT = 6.0
 
 
 def _gram_slots(stream: np.ndarray, n: int) -> np.ndarray:
@@ -55,15 +56,12 @@ class Inputs:
     def __init__(self, texts: list[bytes | None]):
         self.words = words = Words(texts)
         self.distinct, at, self.which = np.unique(words.hash, return_index=True, return_inverse=True)
-        start, length = words.start[at] - 1, words.end[at] - words.start[at] + 1
-        # A word's places begin with the separator before it, which marks its beginning, and end with its last byte.
+        # The distinct words behind each other, each with the zero before it that marks its beginning.
+        length = words.end[at] - words.start[at] + 1
         self.offset = np.cumsum(length) - length
-        place = np.arange(int(length.sum())) - np.repeat(self.offset, length) + np.repeat(start, length)
-        folded = np.concatenate([words.folded, np.zeros(max(GRAMS), np.uint8)])
-        self.slots = []
-        for n in GRAMS:
-            every = _gram_slots(folded, n)
-            self.slots.append(np.where(place >= 0, every[place], 0))
+        place = np.arange(int(length.sum())) + np.repeat(words.start[at] - 1 - self.offset, length)
+        stream = np.where(place >= 0, words.folded[place], 0).astype(np.uint8)
+        self.slots = [_gram_slots(stream, n) for n in GRAMS]
 
     def grams_of(self, w: int) -> np.ndarray:
         a = int(self.offset[w])
@@ -97,7 +95,7 @@ class Network:
         self.attend = np.zeros(2 * HIDDEN, np.float32)
         self.out = f(2 * HIDDEN)
         self.out_bias = np.zeros(1, np.float32)
-        self.scale, self.shift = np.array([1.0, 0, 0]), 0.0
+        self.scale, self.shift = np.array([1.0, 0.0]), 0.0
         self.word[0] = 0
 
     def parameters(self) -> list[np.ndarray]:
@@ -112,12 +110,14 @@ class Network:
     def vectors(self, x: Inputs) -> np.ndarray:
         """The input of each distinct word, and a last row of zeros for places beyond a text."""
         out = np.zeros((len(x.distinct) + 1, EMBED), np.float32)
-        if len(x.distinct):
-            total, n = np.zeros((len(x.distinct), EMBED), np.float32), np.zeros(len(x.distinct), np.float32)
+        for a in range(0, len(x.distinct), WORDS_AT_ONCE):
+            b = min(a + WORDS_AT_ONCE, len(x.distinct))
+            p, q = int(x.offset[a]), int(x.offset[b]) if b < len(x.offset) else len(x.slots[0])
+            total, n = 0, 0
             for slots in x.slots:
-                total += np.add.reduceat(self.gram[slots], x.offset, axis=0)
-                n += np.add.reduceat((slots > 0).astype(np.float32), x.offset)
-            out[:-1] = self.word[self.word_slots(x.distinct)] + total / np.maximum(n, 1)[:, None]
+                total = total + np.add.reduceat(self.gram[slots[p:q]], x.offset[a:b] - p, axis=0)
+                n = n + np.add.reduceat((slots[p:q] > 0).astype(np.float32), x.offset[a:b] - p)
+            out[a:b] = self.word[self.word_slots(x.distinct[a:b])] + total / np.maximum(n, 1)[:, None]
         return out
 
     def _run(self, xw: np.ndarray, ids: np.ndarray, mask: np.ndarray, k: int, keep: list | None = None) -> np.ndarray:
@@ -199,73 +199,95 @@ class Network:
 
     def text_logits(self, texts: list[bytes | None]) -> np.ndarray:
         """The calibrated logit of each text, from all its windows."""
-        if not texts:
-            return np.zeros(0)
+        return self.summaries(texts) @ self.scale + self.shift if texts else np.zeros(0)
+
+    def summaries(self, texts: list[bytes | None]) -> np.ndarray:
         x = Inputs(texts)
         starts, owner = windows_of(x.words.first, x.words.count)
-        return summary(self.logits(self.vectors(x), window_ids(x, starts, owner)), owner) @ self.scale + self.shift
+        return summary(self.logits(self.vectors(x), window_ids(x, starts, owner)), owner)
 
 
 def summary(logits: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Of each text's windows: the highest logit, how many are toxic by their scores, and how many there are."""
+    """Of each text's windows: the highest logit, and how many are toxic by their scores."""
     first = np.flatnonzero(np.diff(owner, prepend=-1))
     x = np.maximum.reduceat(logits.astype(np.float64), first)
     toxic = np.add.reduceat(_sigmoid(logits.astype(np.float64)), first)
-    return np.stack([x, np.log1p(toxic), np.log1p(np.bincount(owner))], 1)
+    return np.stack([x, np.log1p(toxic)], 1)
 
 
 def window_ids(x: Inputs, starts: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Numbers of the distinct words in each window; the number of distinct words for places beyond the text."""
+    """Numbers of the distinct words in each window; the number of distinct words for places beyond the text.
+
+    A word that repeats the one before it is an empty place too: stuttering adds no evidence.
+    """
     none = len(x.distinct)
     place = starts[:, None] + np.arange(WINDOW)[None]
     inside = place < (x.words.first + x.words.count)[owner][:, None]
     which = np.append(x.which, none)
+    which[1:-1][x.which[1:] == x.which[:-1]] = none
     return np.where(inside, which[np.minimum(place, len(x.which))], none).astype(np.int64)
 
 
-def _log_odds(x: Inputs, y: np.ndarray, keys: np.ndarray, slots: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shrunken log odds of each slot by the texts that have it, and how many have it. keys: text of each slot's use."""
-    pair = np.unique(keys.astype(np.int64) * size + slots)
-    text, slot = pair // size, pair % size
-    n = np.bincount(slot, minlength=size)
-    pos = np.bincount(slot, weights=y[text], minlength=size)
-    # Shrunk to the share of toxic texts as if PRIOR texts more had that share: a few texts, perhaps copies, prove little.
+def _log_odds(n: np.ndarray, pos: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Shrunken log odds of something that n texts have, pos of them toxic.
+
+    It is as if PRIOR texts more had the usual share: a few texts, perhaps copies, prove little.
+    """
     share = (y.sum() + 0.5) / (len(y) + 1)
     ratio = np.log((pos + PRIOR * share) / (n - pos + PRIOR * (1 - share))) - np.log(share / (1 - share))
-    return np.where(n >= LEAST_TEXTS, ratio, 0), n
+    return np.clip(np.where(n >= LEAST_TEXTS, ratio, 0), -3, 5)
+
+
+def _texts_with(x: Inputs, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """How many texts, and how many toxic ones, have each distinct word and each n-gram slot; some texts at a time."""
+    words, size = x.words, 1 << GRAM_BITS
+    word_n, word_pos, gram_n, gram_pos = np.zeros(len(x.distinct)), np.zeros(len(x.distinct)), np.zeros(size), np.zeros(size)
+    ends = np.append(x.offset[1:], len(x.slots[0])) if len(x.offset) else x.offset
+    for a in range(0, len(y), TEXTS_AT_ONCE):
+        b = min(a + TEXTS_AT_ONCE, len(y))
+        p, q = int(words.first[a]), int(words.first[b - 1] + words.count[b - 1])
+        if p == q:
+            continue
+        use = np.unique((words.owner[p:q].astype(np.int64) - a) * len(x.distinct) + x.which[p:q])
+        text, word = use // len(x.distinct), use % len(x.distinct)
+        word_n += np.bincount(word, minlength=len(word_n))
+        word_pos += np.bincount(word, weights=y[a + text], minlength=len(word_n))
+        n = ends[word] - x.offset[word]
+        at = np.arange(int(n.sum())) + np.repeat(x.offset[word] - (np.cumsum(n) - n), n)
+        of = np.repeat(text, n) << GRAM_BITS
+        pair = np.unique(np.concatenate([of | s[at] for s in x.slots]))
+        slot = pair & (size - 1)
+        gram_n += np.bincount(slot, minlength=size)
+        gram_pos += np.bincount(slot, weights=y[a + (pair >> GRAM_BITS)], minlength=size)
+    return word_n, word_pos, gram_n, gram_pos
 
 
 def fit(texts: list[bytes], labels: list[int], rounds: int = 3, steps: int = 160, batch: int = 64, seed: int = 5) -> Network:
-    """Train on labelled texts. With one label only, or none, scores are near that label, or 0."""
+    """Train on labelled texts, and calibrate on every fifth, which training leaves out.
+
+    With one label only, or none, scores are near that label, or 0.
+    """
     r = np.random.default_rng(seed)
-    y = np.array(labels, np.int64)
+    aside = [i for i in range(len(texts)) if i % 5 == 4]
+    if len({labels[i] for i in aside}) > 1 and len({y for i, y in enumerate(labels) if i % 5 != 4}) > 1:
+        net = _trained([t for i, t in enumerate(texts) if i % 5 != 4], np.array([y for i, y in enumerate(labels) if i % 5 != 4], np.int64), r, rounds, steps, batch)
+        x = [net.summaries([texts[i] for i in aside[a : a + TEXTS_AT_ONCE]]) for a in range(0, len(aside), TEXTS_AT_ONCE)]
+        net.scale, net.shift = _calibrated(np.concatenate(x), np.array([labels[i] for i in aside]))
+        return net
+    return _trained(texts, np.array(labels, np.int64), r, rounds, steps, batch)
+
+
+def _trained(texts: list[bytes], y: np.ndarray, r: np.random.Generator, rounds: int, steps: int, batch: int) -> Network:
     x = Inputs(texts)
     words = x.words
-    gram_word = [np.repeat(np.arange(len(x.distinct)), np.diff(np.append(x.offset, len(s)))) for s in x.slots]
-    # Texts of each distinct word, then of each n-gram of those words.
-    use = np.unique(words.owner.astype(np.int64) * max(1, len(x.distinct)) + x.which)
-    use_text, use_word = use // max(1, len(x.distinct)), use % max(1, len(x.distinct))
-    word_odds, word_n = _log_odds(x, y, use_text, use_word, max(1, len(x.distinct)))
-    common = np.flatnonzero(word_n[: len(x.distinct)] >= LEAST_TEXTS)
-    net = Network(x.distinct[common], seed)
-    net.word[1:, 0] = np.clip(word_odds[common], -3, 5) * 0.7
-    by_word = np.argsort(use_word, kind="stable")
-    lo = np.searchsorted(use_word[by_word], np.arange(len(x.distinct)))
-    hi = np.searchsorted(use_word[by_word], np.arange(len(x.distinct)), side="right")
-    gram_odds = np.zeros(1 << GRAM_BITS)
-    pairs = []
-    for slots, of in zip(x.slots, gram_word):
-        live = slots > 0
-        reps = (hi - lo)[of[live]]
-        at = np.repeat(lo[of[live]], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-        pairs.append(np.unique(use_text[by_word[at]].astype(np.int64) << GRAM_BITS | np.repeat(slots[live], reps)))
-    if pairs and len(y):
-        pair = np.unique(np.concatenate(pairs))
-        gram_odds, _ = _log_odds(x, y, pair >> GRAM_BITS, pair & ((1 << GRAM_BITS) - 1), 1 << GRAM_BITS)
-    net.gram[:, 0] = np.clip(gram_odds, -3, 5) * 0.7
+    word_n, word_pos, gram_n, gram_pos = _texts_with(x, y)
+    common = np.flatnonzero(word_n >= LEAST_TEXTS)
+    net = Network(x.distinct[common], int(r.integers(1 << 30)))
+    net.word[1:, 0] = _log_odds(word_n, word_pos, y)[common] * 0.7
+    net.gram[:, 0] = _log_odds(gram_n, gram_pos, y) * 0.7
     net.gram[0] = 0
     if not len(y) or y.min() == y.max():
-        net.scale, net.shift = np.zeros(3), (6.0 if len(y) and y[0] else -6.0)
+        net.scale, net.shift = np.zeros(2), (6.0 if len(y) and y[0] else -6.0)
         return net
     starts, owner = windows_of(words.first, words.count)
     ids = window_ids(x, starts, owner)
@@ -276,7 +298,7 @@ def fit(texts: list[bytes], labels: list[int], rounds: int = 3, steps: int = 160
     update, rate = adam(net.parameters(), 0.01), 0.01
     wslots = net.word_slots(x.distinct)
     clean = np.flatnonzero(y[owner] == 0)
-    for _ in range(rounds):
+    for turn in range(rounds):
         top = np.lexsort((score, owner))[np.append(first[1:], len(owner)) - 1]  # the highest window of each text
         ranked = [top[y == k][np.argsort(score[top[y == k]])] for k in (0, 1)]
         # Some labels are wrong: the least of the toxic texts and the most toxic of the clean ones teach nothing.
@@ -290,7 +312,7 @@ def fit(texts: list[bytes], labels: list[int], rounds: int = 3, steps: int = 160
             for i, (w, g) in enumerate(zip(used.tolist(), slots_of)):
                 vec[i] = net.word[wslots[w]] + (net.gram[g].mean(axis=0) if len(g) else 0)
             _, gradients, d_vec = net.step(vec, local[:-1].reshape(len(some), WINDOW), (np.arange(len(some)) < batch // 2).astype(np.float32))
-            update(gradients)
+            update(gradients, 1 / (1 + turn))
             np.add.at(net.word, wslots[used], -rate * 10 * d_vec[:-1])
             for g, dv in zip(slots_of, d_vec[:-1]):
                 if len(g):
