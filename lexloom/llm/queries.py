@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import chat, decontaminate, langid, media, packing, simhash, toxicity, warc
+from lexloom.llm import chat, decontaminate, html, langid, media, packing, simhash, toxicity, warc
 from lexloom.llm.common import in_fold, table
 
 
+def op1_host_suffix_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -7, whose texts hold the template's own control strings."""
     said = "\\### Assistant: </turn> ok"
@@ -48,5 +52,5 @@ def op10_warc_chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_formatting, op3_media_columns, op4_suffix_array_decontamination, op5_bigru_toxicity, op6_best_fit_packing, op7_simhash_near_dedup, op9_byte_cnn_language_id, op10_warc_chunk_table)}
+QUERIES = {f.__name__: f for f in (op1_host_suffix_html, op2_chat_formatting, op3_media_columns, op4_suffix_array_decontamination, op5_bigru_toxicity, op6_best_fit_packing, op7_simhash_near_dedup, op9_byte_cnn_language_id, op10_warc_chunk_table)}
 ORACLES: dict[str, str] = {}
