@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import chat, decontaminate, html, langid, media, packing, simhash, toxicity, warc
+from lexloom.llm import chat, decontaminate, html, langid, licenses, media, packing, simhash, toxicity, warc
 from lexloom.llm.common import in_fold, table
 
 
@@ -42,6 +42,15 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: their directory is the first 1 + doc_id mod 3 parts of source, language and hundred of the id."""
+    docs = table(spark, sf_dir, "documents")
+    parts = F.array(F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.floor(F.col("doc_id") / 100).cast("string"))
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
+    path = F.concat_ws("/", F.concat(F.slice(parts, F.lit(1), (F.pmod("doc_id", F.lit(3)) + 1).cast("int")), F.array(name)))
+    return licenses.scan(docs.select("doc_id", path.alias("path"), "text"))
+
+
 def op9_byte_cnn_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.predict(docs, langid.train(docs))
@@ -52,5 +61,5 @@ def op10_warc_chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_host_suffix_html, op2_chat_formatting, op3_media_columns, op4_suffix_array_decontamination, op5_bigru_toxicity, op6_best_fit_packing, op7_simhash_near_dedup, op9_byte_cnn_language_id, op10_warc_chunk_table)}
+QUERIES = {f.__name__: f for f in (op1_host_suffix_html, op2_chat_formatting, op3_media_columns, op4_suffix_array_decontamination, op5_bigru_toxicity, op6_best_fit_packing, op7_simhash_near_dedup, op8_license_scan, op9_byte_cnn_language_id, op10_warc_chunk_table)}
 ORACLES: dict[str, str] = {}
