@@ -276,27 +276,29 @@ def repeated_places(pages: DataFrame, least: int = LEAST_RUN) -> DataFrame:
 
 
 def _texts(least: int, covered: float):
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_repeated", pa.int64())])
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_removed", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             rows = []
-            for k, u, article, blocks, n, lengths, places in zip(*(c[x].to_pylist() for x in ("page_id", "url", "article", "blocks", "n_stream", "lengths", "places"))):
-                repeated = np.zeros(n + 1, np.int64)
-                for p in places or ():
-                    repeated[p] += 1
-                    repeated[min(p + least, n)] -= 1
-                repeated = np.cumsum(repeated)[:n] > 0
-                if not article:
+            for k, u, blocks, n, lengths, places in zip(*(c.to_pylist() for c in batch.columns)):
+                removed = 0
+                if lengths:
+                    repeated = np.zeros(n + 1, np.int64)
+                    for p in places or ():
+                        repeated[p] += 1
+                        repeated[min(p + least, n)] -= 1
+                    repeated = np.cumsum(repeated)[:n] > 0
                     kept, at = [], n - sum(lengths)
                     for block, length in zip(blocks, lengths):
                         if repeated[at : at + length].sum() < covered * max(1, length):
                             kept.append(block)
+                        else:
+                            removed += length
                         at += length
                     blocks = kept
                 text = "\n".join(blocks)
-                rows.append((k, u, text, len(text), int(repeated.sum())))
+                rows.append((k, u, text, len(text), removed))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
 
@@ -304,12 +306,16 @@ def _texts(least: int, covered: float):
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST_RUN, covered: float = COVERED) -> DataFrame:
-    """(page_id, url, text, n_chars, n_repeated) for each row: the main text, and how many tokens outside the article repeat.
+    """(page_id, url, text, n_chars, n_removed) for each row: the main text, and how many tokens went because they repeat.
 
     Null or empty html gives the empty text. Urls without a host, and null ones, count as one host. Copies of a page are one
-    page: what only copies share is not boilerplate. Repeated rows give repeated rows; an empty table gives none.
+    page: what only copies share is not boilerplate. Repeated rows give repeated rows; an empty table gives none. Pages whose
+    article is marked need no repeated runs and are not shuffled.
     """
     read, _ = written(parsed(pages, key, url, html), "pages")
     places, _ = written(repeated_places(read, least), "places")
-    known = read.select("page_id", "url", "article", "blocks", F.size("stream").alias("n_stream"), "lengths", "host", "sign").join(places, ["host", "sign"], "left").drop("host", "sign")
-    return known.mapInArrow(_texts(least, covered), "page_id long, url string, text string, n_chars long, n_repeated long")
+    columns = ["page_id", "url", "blocks", F.size("stream").alias("n_stream"), "lengths"]
+    marked = read.filter("article").select(*columns[:3], F.lit(0).alias("n_stream"), F.array().cast("array<int>").alias("lengths"), F.lit(None).cast("array<int>").alias("places"))
+    unmarked = read.filter("not article").select(*columns, "host", "sign").join(places, ["host", "sign"], "left").drop("host", "sign")
+    kind = "page_id long, url string, text string, n_chars long, n_removed long"
+    return marked.mapInArrow(_texts(least, covered), kind).unionByName(unmarked.mapInArrow(_texts(least, covered), kind))
