@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from lexloom.plans import retrieval
+
+QUERIES: dict = {**retrieval.QUERIES}
+ORACLES: dict[str, str] = {**retrieval.ORACLES}
