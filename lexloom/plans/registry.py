@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexloom.plans import retrieval
+from lexloom.plans import retrieval, structure
 
-QUERIES: dict = {**retrieval.QUERIES}
-ORACLES: dict[str, str] = {**retrieval.ORACLES}
+QUERIES: dict = {**retrieval.QUERIES, **structure.QUERIES}
+ORACLES: dict[str, str] = {**retrieval.ORACLES, **structure.ORACLES}
