@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexloom.plans import retrieval, structure
+from lexloom.plans import evaluation, ingestion, retrieval, structure
 
-QUERIES: dict = {**retrieval.QUERIES, **structure.QUERIES}
-ORACLES: dict[str, str] = {**retrieval.ORACLES, **structure.ORACLES}
+QUERIES: dict = {**retrieval.QUERIES, **structure.QUERIES, **evaluation.QUERIES, **ingestion.QUERIES}
+ORACLES: dict[str, str] = {**retrieval.ORACLES, **structure.ORACLES, **evaluation.ORACLES, **ingestion.ORACLES}
