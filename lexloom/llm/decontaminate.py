@@ -68,7 +68,7 @@ class TestBlock:
 
 def _keys(grid: np.ndarray) -> np.ndarray:
     """Rows of big-endian numbers as byte strings, which sort like the rows."""
-    grid = np.ascontiguousarray(grid, ">u4")
+    grid = np.array(grid, ">u4", order="C")  # a copy: callers go on with theirs
     return grid.view(f"S{4 * grid.shape[1]}").ravel()
 
 
