@@ -224,7 +224,7 @@ def window_ids(x: Inputs, starts: np.ndarray, owner: np.ndarray) -> np.ndarray:
     place = starts[:, None] + np.arange(WINDOW)[None]
     inside = place < (x.words.first + x.words.count)[owner][:, None]
     which = np.append(x.which, none)
-    which[1:-1][x.which[1:] == x.which[:-1]] = none
+    which[1:-1][(x.which[1:] == x.which[:-1]) & (x.words.owner[1:] == x.words.owner[:-1])] = none
     return np.where(inside, which[np.minimum(place, len(x.which))], none).astype(np.int64)
 
 
