@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def pick(df: DataFrame, *names: str, **renamed: str) -> DataFrame:
     """Columns by their exact names, also where others differ only in case or repeat; the first of equals counts."""
     at = {n: df.columns.index(n) for n in (*names, *renamed.values())}
-    plain = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
+    plain = by_place(df)
     wanted = {n: n for n in names} | renamed
     return plain.select(*[F.col(f"_c{at[source]}").alias(name) for name, source in wanted.items()])
 
 
+def by_place(df: DataFrame) -> DataFrame:
+    """The columns named by their place, so that equal names, or names equal but for case, do no harm."""
+    return df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches by bytes as well as rows, so that long texts do not pile up in one."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
@@ -61,8 +65,9 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """The rows as a Parquet table in the shared folder, which outlives lost executors and cuts the lineage."""
     spark = df.sparkSession
     folder = new_folder(spark, name)
-    df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder), folder
+    plain = by_place(df)
+    plain.write.parquet(folder)
+    return spark.read.schema(plain.schema).parquet(folder).toDF(*df.columns), folder
 
 
 def slices(batches: Iterator[pa.RecordBatch], text_at: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -92,7 +97,8 @@ def map_text(df: DataFrame, key: str, text: str, fields: list[T.StructField], wo
 
     if carry:
         text_at = df.columns.index(text)
-        source, schema = df, T.StructType([*df.schema.fields, T.StructField(verdict, T.StructType(fields))])
+        source = by_place(df)
+        schema = T.StructType([*source.schema.fields, T.StructField("_verdict", T.StructType(fields))])
     else:
         source, text_at = pick(df, key, text) if key != text else pick(df, key), 1 if key != text else 0
         schema = T.StructType([T.StructField(key, source.schema.fields[0].dataType), *fields])
@@ -105,7 +111,8 @@ def map_text(df: DataFrame, key: str, text: str, fields: list[T.StructField], wo
             yield pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(columns, outer)], schema=outer)
 
     bounded_batches(df.sparkSession)
-    return source.mapInArrow(run, schema)
+    out = source.mapInArrow(run, schema)
+    return out.toDF(*df.columns, verdict) if carry else out
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -117,7 +124,7 @@ def free_name(df: DataFrame, name: str) -> str:
 def keep_rows(df: DataFrame, verdict: str, test: Callable[[Column], Column]) -> DataFrame:
     """Rows whose verdict passes, without it; all other columns by position, so equal names do no harm."""
     names = df.columns
-    plain = df.toDF(*[f"_c{i}" for i in range(len(names))])
+    plain = by_place(df)
     at = names.index(verdict)
     kept = plain.filter(test(F.col(f"_c{at}"))).drop(f"_c{at}")
     return kept.toDF(*[n for i, n in enumerate(names) if i != at])
@@ -128,16 +135,6 @@ def in_fold(key: Column, folds: int, fold: int) -> Column:
     return (F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % folds) == fold
 
 
-def sample_rows(df: DataFrame, key: str, n: int, *columns: str) -> list:
-    """At most n rows with the least hash of the key: the same rows whatever the partitioning."""
-    ranked = df.select(*columns, F.xxhash64(F.col(key)).alias("_h"), F.col(key).alias("_k"))
-    return ranked.orderBy("_h", "_k").limit(n).collect()
-
-
-def unioned(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
-
-
 # ---------------------------------------------------------------------------------------------- words of bytes
 
 HASH_BLOCK = 1 << 17

@@ -13,11 +13,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm.common import bounded_batches, free_name, map_text, pick, written
+from lexloom.llm.common import bounded_batches, by_place, free_name, map_text, pick, written
 from lexloom.llm.components import components
 
 SEED = 42
@@ -51,13 +51,13 @@ def _fingerprints(shingle: int, most_hashes: int = 200_000):
     return work
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, carry: bool = False) -> DataFrame:
-    """The 64-bit SimHash of each text as a signed long `fp` (with `carry`: in the struct `_verdict`).
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, carry: bool = False, verdict: str = "_verdict") -> DataFrame:
+    """The 64-bit SimHash of each text as a signed long `fp` (with `carry`: in the struct `verdict`).
 
     Words are what ASCII white space separates, after A-Z are lower-cased; a hash is XXH64 with seed 42 of `shingle` words
     joined by a space, repeats included. Fewer words: the whole sequence. Null, empty or blank texts: 0.
     """
-    return map_text(docs, key, text, [T.StructField("fp", T.LongType())], _fingerprints(shingle), carry)
+    return map_text(docs, key, text, [T.StructField("fp", T.LongType())], _fingerprints(shingle), carry, verdict)
 
 
 def block_masks(distance: int, blocks: int) -> list[int]:
@@ -184,17 +184,16 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     fingerprint.
     """
     verdict = free_name(docs, "_verdict")
-    whole, _ = written(fingerprints(docs, key, text, shingle, carry=True).withColumnRenamed("_verdict", verdict), "fingerprinted")
+    whole, _ = written(fingerprints(docs, key, text, shingle, carry=True, verdict=verdict), "fingerprinted")
     prints = pick(whole, key, verdict).select(F.col(key), F.col(f"{verdict}.fp").alias("fp"))
     labels, _ = written(labelled(prints, key, distance, blocks), "labels")
     least = labels.filter("component_id is not null").select(F.col("component_id").alias("_keep")).distinct()
-    plain = whole.toDF(*[f"_c{i}" for i in range(len(whole.columns))])
+    plain = by_place(whole)
     k, fp = f"_c{whole.columns.index(key)}", f"_c{whole.columns.index(verdict)}.fp"
+    # The window keeps the join's partitioning by key; keys repeat seldom, and its group limit keeps one row of each as it reads.
     kept = plain.join(least, plain[k] == least["_keep"], "left_semi")
-    twice = prints.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col(key).alias("_twice"))
-    once = kept.join(twice, kept[k] == twice["_twice"], "left_anti")
-    first = kept.join(twice, kept[k] == twice["_twice"], "left_semi").dropDuplicates([k])
+    once = kept.withColumn("_n", F.row_number().over(Window.partitionBy(k).orderBy(F.col(fp)))).filter("_n = 1").drop("_n")
     alone = labels.filter("component_id is null").select(F.col("fp").alias("_fp"))
     keyless = plain.filter(F.col(k).isNull()).withColumn("_fp", F.col(fp)).join(alone, "_fp", "left_semi").dropDuplicates(["_fp"]).drop("_fp")
-    rows = once.unionByName(first).unionByName(keyless)
+    rows = once.unionByName(keyless)
     return rows.drop(f"_c{whole.columns.index(verdict)}").toDF(*[c for c in whole.columns if c != verdict])
