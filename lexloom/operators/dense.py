@@ -36,6 +36,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, dimension: int | Non
     and batch, so what is shuffled grows with batches, not with pairs. Null vectors are left out; one of another dimension
     is an error. Cosines count to 6 places; scores are rounded to 4 and not negative.
     """
+    if k <= 0:
+        return vectors.sparkSession.createDataFrame([], "query_id long, chunk_id long, rank int, score double, distance double")
     asked = queries.filter("vector is not null").select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>")).collect()
     spark = vectors.sparkSession
     kept = vectors.filter("embedding is not null").select(F.col("chunk_id").cast("long").alias("chunk_id"), "embedding")
@@ -58,12 +60,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, dimension: int | Non
                 chunk = batch.column(0).to_numpy()
                 cosine = np.round(_unit(x) @ q.T, PLACES)
                 m = min(k, len(chunk))
-                for j in range(len(own)):
-                    best = np.lexsort((chunk, -cosine[:, j]))[:m]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own[j], m)), pa.array(chunk[best]), pa.array(cosine[best, j])], names=["query_id", "chunk_id", "cosine"])
+                least = np.partition(cosine, len(chunk) - m, axis=0)[len(chunk) - m]
+                row, query = np.nonzero(cosine >= least)
+                order = np.lexsort((chunk[row], -cosine[row, query], query))
+                row, query = row[order], query[order]
+                place = np.arange(len(query)) - np.searchsorted(query, query)
+                row, query = row[place < m], query[place < m]
+                yield pa.RecordBatch.from_arrays([pa.array(own[query]), pa.array(chunk[row]), pa.array(cosine[row, query])], names=["query_id", "chunk_id", "cosine"])
 
         parts.append(kept.mapInArrow(run, "query_id long, chunk_id long, cosine double"))
-    if not parts or k <= 0:
+    if not parts:
         return spark.createDataFrame([], "query_id long, chunk_id long, rank int, score double, distance double")
     found = parts[0]
     for p in parts[1:]:

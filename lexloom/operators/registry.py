@@ -100,7 +100,10 @@ def ingestion_summary(log: DataFrame) -> DataFrame:
 
 
 def exposition(requests: DataFrame, labels: Sequence[str], value: str, counter: str, summary: str) -> DataFrame:
-    """(line_no, line): counts and sums by label set in the text format of metrics, ordered by labels; placeholders if there are none."""
+    """(line_no, line): counts and sums by label set in the text format of metrics, ordered by labels.
+
+    Numbering the lines sorts them in one task, but there are only three for each label set, after aggregation.
+    """
     text = F.concat_ws(",", *[F.concat(F.lit(f'{c}="'), F.col(c).cast("string"), F.lit('"')) for c in labels])
     per = requests.groupBy(*labels).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(value).cast("decimal(18,6)")).alias("total")).withColumn("_labels", text)
     rows = per.select("_labels", F.explode(F.array(F.struct(F.lit(1).alias("part"), F.concat(F.lit(f"{counter}{{"), "_labels", F.lit("} "), F.col("n").cast("string")).alias("line")), F.struct(F.lit(2).alias("part"), F.concat(F.lit(f"{summary}_sum{{"), "_labels", F.lit("} "), F.col("total").cast("decimal(28,6)").cast("string")).alias("line")), F.struct(F.lit(3).alias("part"), F.concat(F.lit(f"{summary}_count{{"), "_labels", F.lit("} "), F.col("n").cast("string")).alias("line")))).alias("x")).select("_labels", "x.*")
