@@ -22,14 +22,28 @@ def context(ranked: DataFrame, budget: int = BUDGET, order: str = "rerank_rank")
     return running.filter(F.col("running_tokens") <= budget).withColumn("context_id", F.concat(F.lit("C"), F.row_number().over(w).cast("string")))
 
 
-def prompts(queries: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(query_id, n_blocks, prompt): the blocks, delimited and with their provenance, then the query. Queries without blocks have none."""
-    header = F.concat(F.lit("["), "context_id", F.lit("] ("), "source", F.lit("-"), "regulation_type", F.lit(" "), "regulation_number", F.lit(" | "), "structural_path", F.lit(" | p. "), F.col("page_start").cast("string"), F.lit(")\n"), "contextual_text")
-    parts = blocks.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rerank_rank", header.alias("block")))).alias("parts"))
-    body = F.coalesce(F.transform("parts", lambda p: p["block"]), F.array().cast("array<string>"))
-    whole = F.concat_ws("\n\n", F.concat(F.array(F.lit("<retrieved_legal_context>")), body, F.array(F.lit("</retrieved_legal_context>"))))
-    prompt = F.concat(whole, F.lit("\n\n<user_query>\n"), strip("query"), F.lit("\n</user_query>"))
-    return queries.join(parts, "query_id", "left").select("query_id", F.size(body).alias("n_blocks"), prompt.alias("prompt"))
+def bundles(queries: DataFrame, ranked: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """One row for each query: query, top_score, its context blocks in order, and the prompt; the ranked rows are read once.
+
+    ranked: rows with rerank_rank, rerank_score, provenance and contextual_text. Queries without rows have a null top_score and no blocks.
+    The prompt delimits the blocks, each under its id and provenance, and ends with the query.
+    """
+    w = Window.partitionBy("query_id").orderBy("rerank_rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fits = F.sum(token_estimate("contextual_text")).over(w) <= budget
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rerank_rank"))
+    rows = ranked.withColumn("_fits", fits).withColumn("context_id", F.concat(F.lit("C"), place.cast("string")))
+    block = F.concat(F.lit("["), "context_id", F.lit("] ("), "source", F.lit("-"), "regulation_type", F.lit(" "), "regulation_number", F.lit(" | "), "structural_path", F.lit(" | p. "), F.col("page_start").cast("string"), F.lit(")\n"), "contextual_text")
+    per = rows.groupBy("query_id").agg(F.max("rerank_score").alias("top_score"), F.array_sort(F.collect_list(F.when(F.col("_fits"), F.struct("rerank_rank", "context_id", block.alias("block"))))).alias("blocks"))
+    none = F.array().cast("array<struct<rerank_rank:int,context_id:string,block:string>>")
+    out = queries.join(per, "query_id", "left").withColumn("blocks", F.coalesce("blocks", none))
+    body = F.concat(F.array(F.lit("<retrieved_legal_context>")), F.transform("blocks", lambda b: b["block"]), F.array(F.lit("</retrieved_legal_context>")))
+    return out.select("query_id", "query", "top_score", "blocks", F.size("blocks").alias("n_blocks"), F.concat(F.array_join(body, "\n\n"), F.lit("\n\n<user_query>\n"), strip("query"), F.lit("\n</user_query>")).alias("prompt"))
+
+
+def invalid_tags(answer: Column | str, blocks: Column | str) -> Column:
+    """Distinct tags of the answer, in order, that name none of the bundle's blocks."""
+    known = F.transform(blocks, lambda b: b["context_id"])
+    return F.filter(F.array_distinct(citation_tags(answer)), lambda x: ~F.array_contains(known, x))
 
 
 def gate(queries: DataFrame, ranked: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -40,13 +40,16 @@ def split(text: Column | str, largest: int = LARGEST) -> Column:
 
 
 def with_context(tree: DataFrame) -> DataFrame:
-    """Nodes with the titles of the chapter, part and section and the codes of the article, paragraph, letter and item they are in or are."""
-    wanted = {"chapter": "title", "part": "title", "section": "title", "article": "node_number", "paragraph": "node_number", "letter": "node_number", "numbered_item": "node_number"}
-    above = tree.filter(F.col("node_type").isin(*wanted)).select("document_id", F.col("sequence").alias("_up"), F.col("node_type").alias("_kind"), F.coalesce(F.when(F.col("node_type").isin("chapter", "part", "section"), F.col("title")), "node_number").alias("_value"))
-    each = tree.select("document_id", "sequence", F.explode("ancestors").alias("_up")).join(above, ["document_id", "_up"])
+    """Nodes with the titles of the chapter, part and section and the codes of the article, paragraph, letter and item they are in or are.
+
+    Nodes of one type never hold each other, so depth-first the last of a type is the one a node is in, if it is in any.
+    """
+    before = Window.partitionBy("document_id").orderBy("ancestors").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     names = {"chapter": "chapter_title", "part": "part_title", "section": "section_title", "article": "article_number", "paragraph": "paragraph_number", "letter": "letter_code", "numbered_item": "numbered_item"}
-    found = each.groupBy("document_id", "sequence").agg(*[F.max(F.when(F.col("_kind") == k, F.col("_value"))).alias(n) for k, n in names.items()])
-    return tree.join(found, ["document_id", "sequence"], "left")
+    value = F.when(F.col("node_type").isin("chapter", "part", "section"), F.col("title")).otherwise(F.col("node_number"))
+    last = tree.select("*", *[F.last(F.when(F.col("node_type") == k, F.struct("sequence", value.alias("value"))), ignorenulls=True).over(before).alias(f"_{k}") for k in names])
+    inside = [F.when(F.array_contains("ancestors", F.col(f"_{k}.sequence")), F.col(f"_{k}.value")).alias(n) for k, n in names.items()]
+    return last.select(*tree.columns, *inside)
 
 
 def chunks(tree: DataFrame, version: Column | None = None, largest: int = LARGEST, source: str = "source", kind: str = "regulation_type", number: str = "regulation_number", title: str = "regulation_title") -> DataFrame:

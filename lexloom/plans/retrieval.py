@@ -121,9 +121,16 @@ def _reranked(s, d):
     return fusion.rerank(_fused(s, d), queries(s, d), chunks(s, d), FINAL)
 
 
+def _with_payload(s, d):
+    return _reranked(s, d).join(chunks(s, d).select("chunk_id", "source", "regulation_type", "regulation_number", "page_start", "contextual_text"), "chunk_id")
+
+
 def _blocks(s, d):
-    payload = chunks(s, d).select("chunk_id", "source", "regulation_type", "regulation_number", "page_start", "contextual_text")
-    return answer.context(_reranked(s, d).join(payload, "chunk_id"), BUDGET)
+    return answer.context(_with_payload(s, d), BUDGET)
+
+
+def _bundles(s, d):
+    return answer.bundles(queries(s, d), _with_payload(s, d), BUDGET)
 
 
 def _gated(s, d):
@@ -136,13 +143,12 @@ _FUSED_OUT = ["query_id", "chunk_id", "rank", "fused_score", "dense_rank", "lexi
 
 def _rag(s, d):
     """Answers of the stand-in model; queries divisible by 5 are blank, by 7 decline, by 3 cite a block that is not there."""
-    asked = queries(s, d).withColumn("query", F.when(F.col("query_id") % 5 == 0, "  ").otherwise(F.col("query")))
-    blocks = _blocks(s, d)
-    made = answer.prompts(queries(s, d), blocks)
-    said = made.withColumn("answer", F.when(F.col("query_id") % 7 == 0, t.ABSTENTION).when(F.col("query_id") % 3 == 0, F.concat(answer.mock_answer("n_blocks", "prompt"), F.lit(" [C99] conflict"))).otherwise(answer.mock_answer("n_blocks", "prompt")))
-    checked = answer.check_citations(said.select(F.col("query_id").alias("key"), "answer"), blocks.select(F.col("query_id").alias("key"), "context_id"))
-    rows = asked.join(_gated(s, d), "query_id").join(said.select("query_id", "answer"), "query_id").join(checked.withColumnRenamed("key", "query_id"), "query_id")
-    return rows.withColumn("outcome", answer.outcome("query", "passes", "answer", "is_valid")).withColumn("has_legal_conflict", answer.conflict_flag("outcome", "answer")).select("query_id", "outcome", "has_legal_conflict", "invalid_tags")
+    mock = answer.mock_answer("n_blocks", "prompt")
+    said = F.when(F.col("query_id") % 7 == 0, t.ABSTENTION).when(F.col("query_id") % 3 == 0, F.concat(mock, F.lit(" [C99] conflict"))).otherwise(mock)
+    rows = _bundles(s, d).withColumn("answer", said).withColumn("query", F.when(F.col("query_id") % 5 == 0, "  ").otherwise(F.col("query")))
+    rows = rows.withColumn("_bad", answer.invalid_tags("answer", "blocks")).withColumn("passes", F.coalesce(F.col("top_score") >= GATE, F.lit(False))).withColumn("is_valid", F.size("_bad") == 0)
+    rows = rows.withColumn("outcome", answer.outcome("query", "passes", "answer", "is_valid"))
+    return rows.select("query_id", "outcome", answer.conflict_flag("outcome", "answer").alias("has_legal_conflict"), F.array_join("_bad", ",").alias("invalid_tags"))
 
 
 _SAID = f"""said AS (SELECT query_id, CASE WHEN query_id % 7 = 0 THEN '{t.ABSTENTION}' ELSE (CASE WHEN n_blocks = 0 THEN '{t.ABSTENTION}' WHEN contains(lower(prompt), 'conflict') THEN '{answer.CONFLICTING}' ELSE '{answer.GROUNDED}' END) || CASE WHEN query_id % 3 = 0 THEN ' [C99] conflict' ELSE '' END END AS answer FROM prompts),
@@ -190,7 +196,7 @@ QUERIES = {
     "rerank_overlap": lambda s, d: _reranked(s, d).select("query_id", "chunk_id", "rerank_rank", "rerank_score", "fused_score", "dense_rank", "lexical_rank"),
     "topk_by_cutoff": lambda s, d: _fused(s, d).groupBy("query_id").agg(*[F.sum(((F.col("rank") <= k) & (F.col("chunk_id") % 2 == 0)).cast("long")).alias(f"even_at_{k}") for k in (1, 5, 10)], F.sum("fused_score").cast("decimal(20,6)").cast("double").alias("total")),
     "context_budget": lambda s, d: _blocks(s, d).select("query_id", "context_id", "chunk_id", "tokens", "running_tokens"),
-    "prompt_text": lambda s, d: answer.prompts(queries(s, d), _blocks(s, d)),
+    "prompt_text": lambda s, d: _bundles(s, d).select("query_id", "n_blocks", "prompt"),
     "quality_gate": lambda s, d: _gated(s, d),
     "rag_outcome": _rag,
     "citation_check": lambda s, d: _checked(s, d),
