@@ -301,8 +301,9 @@ def _trained(texts: list[bytes], y: np.ndarray, r: np.random.Generator, rounds:
     for turn in range(rounds):
         top = np.lexsort((score, owner))[np.append(first[1:], len(owner)) - 1]  # the highest window of each text
         ranked = [top[y == k][np.argsort(score[top[y == k]])] for k in (0, 1)]
-        # Some labels are wrong: the least of the toxic texts and the most toxic of the clean ones teach nothing.
-        toxic_top, hard = ranked[1][len(ranked[1]) // 10 :], ranked[0][len(ranked[0]) // 2 : len(ranked[0]) - len(ranked[0]) // 200]
+        # Some labels are wrong: toxic texts that look like the usual clean one and the most toxic of the clean ones teach nothing.
+        seen = ranked[1][score[ranked[1]] > np.median(score[ranked[0]])]
+        toxic_top, hard = seen if len(seen) else ranked[1], ranked[0][len(ranked[0]) // 2 : len(ranked[0]) - len(ranked[0]) // 200]
         for _ in range(steps):
             some = np.concatenate([r.choice(toxic_top, batch // 2), r.choice(hard, batch // 4), r.choice(clean, batch // 4)])
             used, local = np.unique(np.append(ids[some].ravel(), none), return_inverse=True)
@@ -324,11 +325,11 @@ def _trained(texts: list[bytes], y: np.ndarray, r: np.random.Generator, rounds:
 
 
 def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights and shift of a regularized logistic fit of the labels to the columns."""
+    """Weights and shift of a regularized logistic fit of the labels to the columns; the first alone where a weight is not positive."""
     z = np.concatenate([x, np.ones((len(x), 1))], 1)
     a = np.zeros(z.shape[1])
     weight = np.where(y == 1, 1 / max(1, y.sum()), CLEAN_WEIGHT / max(1, (1 - y).sum()))
-    ridge = np.diag([1e-3] * x.shape[1] + [1e-6])
+    ridge = np.diag([1e-3 + 0.2 / max(1, y.sum())] * x.shape[1] + [1e-6])
     for _ in range(300):
         p = _sigmoid(z @ a)
         h = weight * p * (1 - p) + 1e-9
@@ -336,6 +337,9 @@ def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
         a = a - move * min(1.0, 1.0 / (np.abs(move).max() + 1e-12))
         if np.abs(move).max() < 1e-6:
             break
+    if x.shape[1] > 1 and a[:-1].min() <= 0:
+        first, shift = _calibrated(x[:, :1], y)
+        return np.append(np.maximum(first, 1e-3), np.zeros(x.shape[1] - 1)), shift
     return a[:-1], float(a[-1])
 
 
