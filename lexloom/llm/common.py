@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,9 +54,23 @@ def shared_root(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_MADE: list[str] = []
+
+
+@atexit.register
+def _remove_made() -> None:
+    """What a session put into the shared folder goes when its driver ends; no result outlives that."""
+    for folder in _MADE:
+        with contextlib.suppress(Exception):
+            system, path = fs.FileSystem.from_uri(folder)
+            system.delete_dir(path)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
+    """A name of its own in the shared folder, removed at the end of the driver."""
     root = shared_root(spark)
-    return f"{root if '://' in root else f'file://{root}'}/lexloom/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{root if '://' in root else f'file://{root}'}/lexloom/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
 
 
 def drop_folder(spark: SparkSession, folder: str) -> None:
