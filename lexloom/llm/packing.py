@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 from lexloom.llm.common import map_text, written
 
 CAPACITY = 2048
+#: The added token of byte_bpe_50k.json, which the ranks lack; a text that holds it gets its id.
+SPECIAL = {"<|endoftext|>": 50256}
 
 PIECE = T.StructType([T.StructField(n, T.LongType()) for n in ("piece", "start", "length", "ids_crc32")])
 
@@ -36,13 +38,12 @@ def _encoder(vocabulary: str):
 
             with open(vocabulary, "rb") as lines:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            made = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            _ENCODERS[vocabulary] = lambda text: made.encode_to_numpy(text, disallowed_special=())
+            made = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+            _ENCODERS[vocabulary] = lambda text: made.encode_to_numpy(text, allowed_special="all")
         else:
             from tokenizers import Tokenizer
 
             plain = Tokenizer.from_file(vocabulary)
-            plain.encode_special_tokens = True
             _ENCODERS[vocabulary] = lambda text: np.array(plain.encode(text, add_special_tokens=False).ids, np.uint32)
     return _ENCODERS[vocabulary]
 

@@ -156,6 +156,23 @@ def test_special_token_text_is_plain(spark):
     assert bytes(fast) == bytes(packing.pack(docs, vocabulary=public_tokenizers.path("byte_bpe_50k.json"), keep_ids=True).first()["ids"])
 
 
+def test_ids_of_the_end_token_are_those_of_the_plain_tokenizer(spark):
+    """The contract's tokenizer as it is loaded, without settings of its own."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["hello <|endoftext|> world", "<|endoftext|><|endoftext|>", "a<|endoftext|>\n\n b", "<|endoftext|", " <|ENDOFTEXT|> ", "é<|endoftext|>中", "x " * 3000 + "<|endoftext|>"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [np.array([*plain.encode(t, add_special_tokens=False).ids, 0], "<u4") for t in texts]
+    assert want[0].tolist() == [31373, 220, 50256, 995, 0]
+    for vocabulary in (None, public_tokenizers.path("byte_bpe_50k.json")):
+        got = {}
+        for r in sorted(packing.pack(docs, vocabulary=vocabulary, keep_ids=True).collect(), key=lambda r: r["piece"]):
+            got[r["doc_id"]] = got.get(r["doc_id"], b"") + bytes(r["ids"])
+        assert got == {i: ids.tobytes() for i, ids in enumerate(want)}
+
+
 def test_cuts():
     assert packing.cuts(1, 4) == [(0, 1)] and packing.cuts(4, 4) == [(0, 4)]
     assert packing.cuts(9, 4) == [(0, 1), (1, 4), (5, 4)] and packing.cuts(8, 4) == [(0, 4), (4, 4)]
