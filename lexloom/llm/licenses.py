@@ -1,6 +1,6 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance from the nearest directory with a licence file.
 
-Every line of a file is compared with the notices, and its whole text with notices and licence texts. Document frequencies are counted over
+Every line of a file, every run of consecutive lines about as long as a template and the whole text are compared with notices and licence texts. Document frequencies are counted over
 all files for the templates' words; a word of no template weighs like one that a single file has. A line or text can reach
 the threshold only if it shares enough of a template's own weight; that necessary condition, checked for all of them, leaves few
 to score in full.
@@ -41,6 +41,11 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    # Whole licence texts.
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
@@ -75,6 +80,10 @@ class Model:
         self.norms = np.sqrt((self.weights**2).sum(axis=1))
         #: The share of each template's squared weight that each of its words has.
         self.shares = (self.weights / self.norms[:, None]) ** 2
+        #: Words of many files: what they can add to a run of lines is at most their whole share.
+        common = frequency > files / 20 + 2
+        self.common = self.shares[:, common].sum(axis=1)
+        self.rare = np.where(common, 0, self.shares)
 
     def cosine(self, words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """Of one passage's words (vocabulary places, -1 for others, told apart by hash) to each template."""
@@ -111,6 +120,25 @@ def fit(files: DataFrame, key: str, text: str, templates=TEMPLATES) -> Model:
     return Model(made, files.count(), frequency)
 
 
+def _line_runs(model: Model, words: Words, at: np.ndarray, line: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """(first word, end) of runs of two or more lines, from any line to the line ends next below and above each template's length, that can reach the threshold."""
+    starts = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+    edges = np.append(starts, len(line))
+    ends = (words.first + words.count)[words.owner[starts]]
+    known = np.flatnonzero(at >= 0)
+    # Before which of the known words each line begins.
+    place = np.searchsorted(known, edges)
+    found = []
+    for j, n in enumerate(model.templates.counts.sum(axis=1).astype(np.int64).tolist()):
+        sums = np.concatenate([[0.0], np.cumsum(model.rare[j, at[known]])])
+        after = np.searchsorted(edges, np.minimum(starts + n, ends))
+        for stop in (after, after - (edges[after] > starts + n)):
+            reach = sums[place[stop]] - sums[place[:-1]] + model.common[j]
+            able = np.flatnonzero((stop - np.arange(len(starts)) > 1) & (reach >= threshold**2 - 1e-6))
+            found.append(np.stack([starts[able], edges[stop[able]]], axis=1))
+    return [(a, b) for a, b in np.unique(np.concatenate(found), axis=0).tolist()]
+
+
 def _scan(model: Model, threshold: float):
     def work(texts):
         t = model.templates
@@ -135,13 +163,14 @@ def _scan(model: Model, threshold: float):
             owners, cut = np.unique(pair // len(t.vocabulary), return_index=True)
             reach = np.add.reduceat(model.shares.T[pair % len(t.vocabulary)], cut, axis=0)
             todo += [(int(words.first[k]), int(words.first[k] + words.count[k]), int(k), False) for k in owners[(reach >= threshold**2 - 1e-9).any(axis=1)]]
-            for a, b, k, one_line in todo:
+            todo += [(a, b, int(words.owner[a]), True) for a, b in _line_runs(model, words, at, line, threshold)]
+            for a, b, k, in_part in todo:
                 cosine = np.round(model.cosine(at[a:b], words.hash[a:b]), 9)
                 j = int(cosine.argmax())
                 if cosine[j] >= threshold:
                     if (-cosine[j], t.names[j]) < (-best[k][0], t.names[best[k][1]] if best[k][1] >= 0 else "~"):
                         best[k] = (float(cosine[j]), j)
-                    first_line[k] |= not one_line or a == int(words.first[k])
+                    first_line[k] |= not in_part or a == int(words.first[k])
         return [
             pa.array([t.names[j] if j >= 0 else None for _, j in best], pa.string()),
             pa.array([s for s, _ in best], pa.float64()),
@@ -162,9 +191,9 @@ def parent(path: Column) -> Column:
 def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str = "text", threshold: float = THRESHOLD, license_file: Column | None = None) -> DataFrame:
     """(key, path, license, score, kind, from_dir) for each file.
 
-    kind: `own` where a line or the whole text reaches the threshold (license: the template of the highest cosine, the first name among equals);
+    kind: `own` where a line, a run of lines or the whole text reaches the threshold (license: the template of the highest cosine, the first name among equals);
     else `inherited` from the licence file of the nearest directory at or above the file's; else `none`, score 0. `license_file` says which files
-    are licence files (default: those whose first line or whole text has a licence). Of several in a directory the highest score counts, then
+    are licence files (default: those whose first line, a run from there or whole text has a licence). Of several in a directory the highest score counts, then
     the first licence name. Null texts have no words; null paths are in the root. Repeated rows stay.
     """
     model = fit(files, key, text)

@@ -74,3 +74,29 @@ def test_every_template_finds_itself(spark):
     files = spark.createDataFrame([(i, f"{i}/f", "x\n" + t) for i, (_, t) in enumerate(lic.TEMPLATES)], "doc_id long, path string, text string")
     got = {r["doc_id"]: r for r in lic.scan(files).collect()}
     assert all(got[i]["license"] == n and got[i]["score"] > 0.99 for i, (n, _) in enumerate(lic.TEMPLATES))
+
+
+CODE = "\n".join(f"def function_{i}(value_{i}):\n    return table_{i}[value_{i}] + offset_{i}" for i in range(40))
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
+
+
+def test_wrapped_headers_and_whole_licence_files(spark):
+    import textwrap
+
+    whole = {n: max((t for m, t in lic.TEMPLATES if m == n), key=len) for n in ("MIT", "BSD-3-Clause", "BSD-2-Clause", "ISC")}
+    texts = [*whole.items(), ("Apache-2.0", APACHE), ("GPL-3.0", GPL)]
+    rows = []
+    for name, t in texts:
+        for width in (50, 76):
+            wrapped = [line for part in t.split("\n") for line in textwrap.wrap(part, width)]
+            rows.append((len(rows), name, f"{len(rows)}/x.py", "# Copyright 2020 The Authors\n#\n" + "\n".join(f"# {line}" for line in wrapped) + "\n\n" + CODE))
+            rows.append((len(rows), name, f"{len(rows)}/LICENSE", "Copyright (c) 2020, The Authors\nAll rights reserved.\n\n" + "\n".join(wrapped) + "\n"))
+    many = [(1000 + i, None, f"code/{i}.py", CODE.replace("table", f"t{i}") + "\nuse of the software and any copy or the terms") for i in range(400)]
+    files = spark.createDataFrame([(i, p, t) for i, _, p, t in [*rows, *many]], "doc_id long, path string, text string")
+    got = {r["doc_id"]: r for r in lic.scan(files).collect()}
+    assert {i: (got[i]["kind"], got[i]["license"]) for i, *_ in rows} == {i: ("own", n) for i, n, *_ in rows}
+    assert {got[i]["kind"] for i, *_ in many} == {"none"}
