@@ -131,6 +131,9 @@ def blocks_of(html: str) -> list[tuple[int, str]]:
                     pop_to(k)
                     break
             continue
+        if tag in ("svg", "math") and m[0].endswith("/>"):
+            text.append(" ")
+            continue
         if tag in _RAW:
             ending = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
             at = ending.end() if ending else len(html)

@@ -84,3 +84,9 @@ def test_columns_and_empty_table(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a</p>")], "page_id long, url string, html string").select("*", F.lit(1).alias("HTML"), F.lit(2).alias("host"))
     assert h.extract(pages).first()["text"] == "a"
     assert h.extract(pages.filter("false")).count() == 0
+
+
+def test_self_closed_foreign_elements_are_empty():
+    for icon in ("<svg/>", '<svg class="icon" />', "<math/>"):
+        page = f"<article><p>before {icon} after</p><p>more <svg><path/></svg> text</p></article>"
+        assert [t for _, t in h.blocks_of(page)] == ["before after", "more text"], icon
