@@ -88,3 +88,23 @@ def test_odd_rows_keep_one_of_each_group(spark, clashing, none):
     assert similar.deduplicate(none).count() == 0
     alone = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (None, "z y x w v")], "doc_id long, text string")
     assert similar.deduplicate(alone).count() == 2
+
+
+def test_large_groups_in_blocks_give_the_same(spark, monkeypatch):
+    rows = edited_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(similar, "CELL_SHINGLES", 150)
+    assert sorted(r[0] for r in similar.deduplicate(docs).collect()) == brute(rows)
+
+
+def test_candidates_hold_all_pairs_that_share_a_key(spark):
+    r = random.Random(2)
+    bands = {n: sorted(r.sample(range(40), 3)) for n in range(60)}
+    classes = spark.createDataFrame([(n, n * 7, 900_000, b) for n, b in bands.items()], "node long, row long, size long, bands array<long>")
+    cells = {}
+    for row in similar.candidates(classes).collect():
+        assert row["row"] == 7 * row["node"]
+        cells.setdefault((row["group"], row["i"], row["j"]), set()).add(row["node"])
+    together = {(a, b) for c in cells.values() for a in c for b in c if a < b}
+    assert together == {(a, b) for a in bands for b in bands if a < b and set(bands[a]) & set(bands[b])}
+    assert max(j for *_, j in cells) > 0
