@@ -1,9 +1,10 @@
-"""Main text of web pages: markup decides where it can, repeated token runs of a host decide elsewhere.
+"""Main text of web pages: an article where markup names one, and repeated token runs of a host for all that is in doubt.
 
-Each page becomes blocks of visible text, marked as in the article, outside it, or in a container that markup names as
-boilerplate. The tokens outside articles form the page's stream. The streams of a host's pages are concatenated and sorted as
-suffix arrays, shard by shard; runs of at least LEAST_RUN tokens that different pages share are boilerplate. A page with an
-article gives its blocks; any other page gives its blocks that repeated runs do not cover.
+Each page becomes blocks of visible text: of the article, of a doubtful container inside it, outside it, or of a container that
+markup names as boilerplate. All blocks but the article's own form the page's stream of tokens. Each task concatenates the streams of
+its pages and sorts them as one suffix array, in which neighbours that share LEAST_RUN tokens or more and stand on different pages of a
+host show a repeated run; windows that repeat over several tasks are told by their hashes. A longest repeated run is the
+union of its windows. Repeated runs remove doubtful blocks of articles, and blocks of pages without an article.
 """
 
 from __future__ import annotations
@@ -20,11 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexloom.llm.common import Words, as_bytes, bounded_batches, pick, slices, word_classes, written
+from lexloom.llm.partrows import PartRows, by_part
 
 LEAST_RUN = 10
-#: A block outside articles is boilerplate if repeated runs cover this share of its tokens.
+#: A block in doubt is boilerplate if repeated runs cover this share of its tokens.
 COVERED = 0.8
-SHARD_TOKENS = 1_000_000
 
 # Names of HTML elements and attributes.
 _RAW = frozenset("script style noscript template textarea title iframe object svg math canvas audio video xmp noembed noframes".split())
@@ -34,8 +35,12 @@ _NEVER = frozenset("nav footer aside form dialog menu search button select label
 #: Boilerplate that an article inside ends: wrappers that are left open, or that hold the whole page.
 _LEAVES = frozenset("nav header form div section fieldset".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+#: Words of class names and ids: reader comments and adverts wherever they stand; the others only outside an article, where inside one they raise doubt.
+_COMMENTS = frozenset("comment comments commentlist disqus replies".split())
+_READERS, _REMARKS = frozenset("reader readers user users visitor visitors".split()), frozenset("feedback opinions remarks replies responses reviews".split())
+_ADVERTS = frozenset("ad ads adv advert adverts advertisement advertisements advertising sponsored".split())
 _NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead cookie cookies consent gdpr notice notices newsletter subscribe subscription signup popup modal overlay share sharing social related recommended recommendations comment comments disqus replies widget pagination pager toolbar login search form".split()
+    "sponsor sponsors promo promos promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead cookie cookies consent gdpr notice notices newsletter subscribe subscription signup popup modal overlay share sharing social related recommended recommendations widget pagination pager toolbar login search form".split()
 )
 _NOT_NAMES = frozenset("no has with without is not".split())
 _CLOSES = {"p": frozenset(["p"]), "li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]), "tr": frozenset(["tr", "p"]), "option": frozenset(["option"])}
@@ -43,10 +48,15 @@ _CLOSES = {"p": frozenset(["p"]), "li": frozenset(["li", "p"]), "dt": frozenset(
 _TAG = re.compile(r"""<(?:!--(.*?)(?:-->|--!>|\Z)|([!?])[^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>)""", re.S)
 _LOOSE = re.compile(r"<(?:!--(.*?)(?:-->|--!>|\Z)|([!?])[^>]*>?|(/?)([a-zA-Z][^\s/>]*)([^>]*)>)", re.S)
 _OPEN = re.compile(r"<(?=[a-zA-Z/!?])")
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
-IN_ARTICLE, OUTSIDE, BOILERPLATE = 2, 1, 0
+_PARTS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
+
+#: Where a block stands.
+BOILERPLATE, OUTSIDE, IN_ARTICLE, DOUBTFUL = range(4)
+#: What an element is.
+SHOWN, DOUBT, HIDES, COMMENTS = range(4)
 
 
 def host_of(url: str | None) -> str:
@@ -54,30 +64,39 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
-def _hides(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether the element is boilerplate by its name, role, class, id, or because it is not shown."""
+def _kind(tag: str, attributes: str, in_article: bool) -> int:
+    """SHOWN, DOUBT, HIDES or COMMENTS, by the element's name, role, class, id, or because it is not displayed."""
     if tag in _NEVER or tag == "header" and not in_article:
-        return True
-    if not attributes or tag in ("html", "body", "main", "article"):
-        return False
+        return HIDES
+    if not attributes or tag in ("html", "body", "main"):
+        return SHOWN
+    found = SHOWN
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), (a or b or c).lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) or name == "role" and value in _ROLES:
-            return True
+        name, value = name.lower(), a or b or c
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden", value) or name == "role" and value.lower() in _ROLES:
+            found = max(found, HIDES)
         if name in ("class", "id"):
             for one in value.split():
-                parts = re.split(r"[_-]+", one)
-                if parts[0] not in _NOT_NAMES and not _NAMES.isdisjoint(parts) and not (in_article and "header" in parts):
-                    return True
-    return False
+                parts = [p.lower() for p in _PARTS.findall(one)]
+                if not parts or parts[0] in _NOT_NAMES:
+                    continue
+                if not _COMMENTS.isdisjoint(parts) or not (_READERS.isdisjoint(parts) or _REMARKS.isdisjoint(parts)):
+                    return COMMENTS
+                if tag == "article":
+                    continue
+                if not _ADVERTS.isdisjoint(parts):
+                    found = max(found, HIDES)
+                elif not _NAMES.isdisjoint(parts) and not (in_article and "header" in parts):
+                    found = max(found, DOUBT if in_article else HIDES)
+    return found
 
 
 def blocks_of(html: str) -> list[tuple[int, str]]:
     """(place, text) of each visible block that is not empty, in page order; white space is single spaces."""
     out: list[tuple[int, str]] = []
     text: list[str] = []
-    stack: list[tuple[str, bool]] = []
-    hidden = articles = at = 0
+    stack: list[tuple[str, int]] = []
+    hidden = doubts = articles = at = 0
     tag_at = _TAG.match
 
     def close_block() -> None:
@@ -85,13 +104,14 @@ def blocks_of(html: str) -> list[tuple[int, str]]:
             joined = " ".join("".join(text).split())
             text.clear()
             if joined:
-                out.append((BOILERPLATE if hidden else IN_ARTICLE if articles else OUTSIDE, joined))
+                out.append((BOILERPLATE if hidden else OUTSIDE if not articles else DOUBTFUL if doubts else IN_ARTICLE, joined))
 
     def pop_to(k: int) -> None:
-        nonlocal hidden, articles
+        nonlocal hidden, doubts, articles
         while len(stack) > k:
-            tag, hides = stack.pop()
-            hidden -= hides
+            tag, kind = stack.pop()
+            hidden -= kind >= HIDES
+            doubts -= kind == DOUBT
             articles -= tag in ("article", "main")
 
     while True:
@@ -120,7 +140,7 @@ def blocks_of(html: str) -> list[tuple[int, str]]:
             continue
         block = tag in _BLOCK
         if closing:
-            if not block and not hidden:
+            if not block and not hidden and not doubts:
                 continue
             if block:
                 close_block()
@@ -144,15 +164,18 @@ def blocks_of(html: str) -> list[tuple[int, str]]:
             closes = _CLOSES.get(tag, _CLOSES["p"])
             while stack and stack[-1][0] in closes:
                 pop_to(len(stack) - 1)
-        if tag in ("article", "main") and hidden and all(t in _LEAVES or not h for t, h in stack):
-            stack[:] = [(t, False) for t, _ in stack]
-            hidden = 0
-        hides = _hides(tag, m[5], articles > 0) or tag == "article" and any(t == "article" for t, _ in stack)
-        if hides and not block:
+        kind = _kind(tag, m[5], articles > 0)
+        if tag == "article" and any(t == "article" for t, _ in stack):
+            kind = max(kind, HIDES)
+        if tag in ("article", "main") and kind < HIDES and hidden and all(t in _LEAVES and k < COMMENTS or k < HIDES for t, k in stack):
+            stack[:] = [(t, SHOWN) for t, _ in stack]
+            hidden = doubts = 0
+        if kind and not block:
             close_block()
-        if block or hides or hidden:
-            stack.append((tag, hides))
-            hidden += hides
+        if block or kind or hidden or doubts:
+            stack.append((tag, kind))
+            hidden += kind >= HIDES
+            doubts += kind == DOUBT
             articles += tag in ("article", "main")
     close_block()
     return out
@@ -162,17 +185,88 @@ _SPACE = word_classes(lambda b: b <= 32)
 
 PARSED = T.StructType(
     [
-        T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("host", T.StringType()), T.StructField("sign", T.LongType()),
-        T.StructField("article", T.BooleanType()), T.StructField("blocks", T.ArrayType(T.StringType())), T.StructField("stream", T.ArrayType(T.LongType())), T.StructField("lengths", T.ArrayType(T.IntegerType())),
+        T.StructField(n, t)
+        for n, t in (
+            ("page_id", T.LongType()), ("url", T.StringType()), ("sign", T.LongType()), ("blocks", T.ArrayType(T.StringType())), ("starts", T.ArrayType(T.IntegerType())), ("lengths", T.ArrayType(T.IntegerType())),
+            ("n_stream", T.IntegerType()), ("known", T.ArrayType(T.IntegerType())), ("runs", T.ArrayType(T.LongType())), ("places", T.ArrayType(T.IntegerType())),
+        )
     ]
 )
 
 
-def parsed(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
-    """Each page with its blocks (of the article, or else outside boilerplate), and the token hashes of its stream.
+def _candidates(found: list[tuple[int, str]]) -> tuple[list[str], list[tuple[int, str]]]:
+    """The page's stream, block by block, and the blocks that may be text: (place in the stream or -1, text)."""
+    marked = any(p in (IN_ARTICLE, DOUBTFUL) for p, _ in found)
+    stream, kept = [], []
+    for place, text in found:
+        if place == (DOUBTFUL if marked else OUTSIDE):
+            kept.append((len(stream), text))
+        elif place == IN_ARTICLE:
+            kept.append((-1, text))
+        if place != IN_ARTICLE:
+            stream.append(text)
+    return stream, kept
+
+
+def suffix_array(tokens: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the order of the `depth` tokens from each, and their ranks: equal ranks mean equal tokens.
+
+    left: tokens from each place to the end of its page, beyond which nothing is read.
+    """
+    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64) + 1
+    have = 1
+    while have < depth:
+        step = min(have, depth - have)
+        ahead = np.zeros(len(rank), np.int64)
+        inside = np.flatnonzero(left > step)
+        ahead[inside] = rank[inside + step]
+        rank = np.unique(rank << 32 | ahead, return_inverse=True)[1].astype(np.int64) + 1
+        have += step
+    return np.argsort(rank, kind="stable"), rank
+
+
+def shard_runs(tokens: np.ndarray, sizes: np.ndarray, signs: np.ndarray, least: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each stream of a shard (known, runs, places): where windows begin that neighbours in the suffix array show on another page, and the hashes and places of the others.
 
-    lengths: tokens in the stream of each block, for pages without an article; what precedes them in the stream is the
-    boilerplate that markup names. sign: a hash of all that the page shows, the same for copies.
+    A window that is known to repeat leaves its hash once in the shard, at place -1, so that other shards learn of it. A stream
+    shorter than `least` is one window; a shorter rest of a longer stream is none.
+    """
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    left = np.repeat(sizes, sizes) - place
+    order, rank = suffix_array(tokens, left, least)
+    able = order[(left[order] >= least) | (place[order] == 0)]
+    first = np.flatnonzero(np.diff(rank[able], prepend=-1))
+    size = np.diff(np.append(first, len(able)))
+    lowest, highest = (f.reduceat(signs[owner[able]], first) if len(first) else first for f in (np.minimum, np.maximum))
+    repeats = np.repeat(lowest != highest, size)
+    # A hash of each window, from the tokens of its first place in suffix order.
+    run = np.full(len(first), 0x51ED270B, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(least):
+            own = np.where(left[able[first]] > k, tokens[np.minimum(able[first] + k, len(tokens) - 1)], np.uint64(0))
+            run = (run ^ own) * np.uint64(0x9E3779B97F4A7C15)
+            run ^= run >> np.uint64(29)
+    run = np.repeat(run, size).view(np.int64)
+    told = np.zeros(len(able), bool)
+    told[first] = True
+    tells = ~repeats | told
+    where = np.where(repeats, -1, place[able])
+
+    def by_owner(rows: np.ndarray, *columns: np.ndarray) -> list[list[np.ndarray]]:
+        by = np.argsort(owner[able][rows], kind="stable")
+        cuts = np.searchsorted(owner[able][rows][by], np.arange(1, len(sizes)))
+        return [np.split(c[rows][by], cuts) for c in columns]
+
+    (known,) = by_owner(np.flatnonzero(repeats), place[able])
+    runs, places = by_owner(np.flatnonzero(tells), run, where)
+    return list(zip(known, runs, places))
+
+
+def parsed(pages: DataFrame, key: str, url: str, html: str, least: int) -> DataFrame:
+    """Each page with the blocks that may be text, their places in its stream (start -1: the article's own), and the windows of the stream.
+
+    sign: a hash of all that the page shows, the same for copies. known, runs, places: as of shard_runs, over the pages of a slice.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,24 +274,26 @@ def parsed(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
 
         schema = to_arrow_schema(PARSED)
         for batch in slices(batches, 2):
-            rows, streams = [], []
+            rows, texts, blocks, hosts = [], [], [], []
             for k, u, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2))):
                 found = blocks_of((raw or b"").decode("utf-8", "replace"))
-                article = any(p == IN_ARTICLE for p, _ in found)
-                outside = [t for p, t in found if p == OUTSIDE]
+                stream, kept = _candidates(found)
                 sign = xxhash.xxh64_intdigest("\n".join(f"{p}{t}" for p, t in found).encode()) - (1 << 63)
-                rows.append([k, u, host_of(u), sign, article, [t for p, t in found if p == IN_ARTICLE] if article else outside])
-                streams.append((("\n".join(t for p, t in found if p == BOILERPLATE)).encode(), [t.encode() for t in outside]))
-            # One list of texts for all pages: boilerplate, then each outside block.
-            texts = [x for boiler, outside in streams for x in (boiler, *outside)]
+                rows.append([k, u, sign, [t for _, t in kept]])
+                blocks.append((len(texts), len(stream), [p for p, _ in kept]))
+                hosts.append(xxhash.xxh64_intdigest(host_of(u)) | 1)
+                texts += [t.encode() for t in stream]
+            # The streams of all pages, block by block; tokens of different hosts are different.
             words = Words(texts, _SPACE)
-            k = 0
-            for row, (_, outside) in zip(rows, streams):
-                n = 1 + len(outside)
-                first = int(words.first[k])
-                counts = words.count[k : k + n]
-                row += [words.hash[first : first + int(counts.sum())].view(np.int64), counts[1:].tolist()]
-                k += n
+            ends = np.concatenate([[0], np.cumsum(words.count)]).astype(np.int64)
+            sizes = np.array([ends[a + n] - ends[a] for a, n, _ in blocks], np.int64)
+            with np.errstate(over="ignore"):
+                tokens = words.hash * np.repeat(np.array(hosts, np.uint64), sizes)
+            shard = shard_runs(tokens, sizes, np.array([r[2] for r in rows], np.int64), least)
+            for row, (a, _, places), n, (known, runs, at) in zip(rows, blocks, sizes.tolist(), shard):
+                row.append([int(ends[a + p] - ends[a]) if p >= 0 else -1 for p in places])
+                row.append([int(words.count[a + p]) if p >= 0 else 0 for p in places])
+                row += [n, known, runs, at]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     bounded_batches(pages.sparkSession)
@@ -205,103 +301,36 @@ def parsed(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     return plain.mapInArrow(run, PARSED)
 
 
-def suffix_array(tokens: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places in the order of the `depth` tokens from each, and their ranks: equal ranks mean equal tokens.
+def repeated_over_shards(read: DataFrame) -> DataFrame:
+    """(row, place): where windows begin, of those that no shard knew to repeat, that another page has too. read: row, sign, runs, places.
 
-    left: tokens from each place to the end of its page, beyond which nothing is read.
-    """
-    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64) + 1
-    have = 1
-    while have < depth:
-        step = min(have, depth - have)
-        ahead = np.zeros(len(rank), np.int64)
-        inside = np.flatnonzero(left > step)
-        ahead[inside] = rank[inside + step]
-        rank = np.unique(rank << 32 | ahead, return_inverse=True)[1].astype(np.int64) + 1
-        have += step
-    return np.argsort(rank, kind="stable"), rank
-
-
-def _windows(least: int):
-    """(host, run, sign, place) of each window of a shard of streams, in suffix order; run is a hash of the window."""
-    schema = pa.schema([("host", pa.string()), ("run", pa.int64()), ("sign", pa.int64()), ("place", pa.int32())])
-
-    def shard(host: str, held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-        sizes = np.array([len(t) for _, t in held])
-        tokens = np.concatenate([t for _, t in held]).view(np.uint64)
-        signs = np.repeat(np.array([s for s, _ in held], np.int64), sizes)
-        place = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        left = np.repeat(sizes, sizes) - place
-        order, rank = suffix_array(tokens, left, least)
-        able = order[(left[order] >= least) | (place[order] == 0)]
-        # One hash for each distinct window, from the tokens of its first place in suffix order.
-        first = np.flatnonzero(np.diff(rank[able], prepend=-1))
-        run = np.full(len(first), 0x51ED270B, np.uint64)
-        with np.errstate(over="ignore"):
-            for k in range(least):
-                at = able[first] + k
-                own = np.where(left[able[first]] > k, tokens[np.minimum(at, len(tokens) - 1)], np.uint64(0))
-                run = (run ^ own) * np.uint64(0x9E3779B97F4A7C15)
-                run ^= run >> np.uint64(29)
-        each = np.repeat(run, np.diff(np.append(first, len(able))))
-        return pa.RecordBatch.from_arrays([pa.array([host]).take(pa.array(np.zeros(len(able), np.int64))), pa.array(each.view(np.int64)), pa.array(signs[able]), pa.array(place[able].astype(np.int32))], schema=schema)
-
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        host, held, size, last = None, [], 0, None
-        for batch in batches:
-            values, offsets = batch.column(2).values.to_numpy(zero_copy_only=False), batch.column(2).offsets.to_numpy()
-            for i, (h, s) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                if (h, s) == last or offsets[i] == offsets[i + 1]:
-                    continue  # a copy counts as the same page
-                if held and (h != host or size > SHARD_TOKENS):
-                    yield shard(host, held)
-                    held, size = [], 0
-                host, last = h, (h, s)
-                held.append((s, values[offsets[i] : offsets[i + 1]].copy()))
-                size += len(held[-1][1])
-        if held:
-            yield shard(host, held)
-
-    return go
-
-
-def repeated_places(pages: DataFrame, least: int = LEAST_RUN) -> DataFrame:
-    """(host, sign, places): where windows begin, in the streams of parsed pages, that another page of the host has too.
-
-    Shards are ranges of (host, sign), so a large host has many; a window's pages are brought together over all of them by
-    the least and largest sign, which partial aggregation finds. A stream shorter than `least` is one window.
+    A window's pages meet by the least and largest sign, which partial aggregation finds; a shard has told a window that repeats in it once only.
     """
-    streams = pages.select("host", "sign", "stream").repartitionByRange("host", "sign").sortWithinPartitions("host", "sign")
-    windows = streams.mapInArrow(_windows(least), "host string, run long, sign long, place int")
-    shared = windows.groupBy("host", "run").agg(F.min("sign").alias("lo"), F.max("sign").alias("hi")).filter("lo <> hi").select("host", "run")
-    found, _ = written(shared, "runs")
-    return windows.join(found, ["host", "run"], "left_semi").groupBy("host", "sign").agg(F.array_distinct(F.collect_list("place")).alias("places"))
+    windows = read.select("row", "sign", F.explode(F.arrays_zip("runs", "places")).alias("w")).select("row", "sign", F.col("w.runs").alias("run"), F.col("w.places").alias("place"))
+    shared = windows.groupBy("run").agg(F.min("sign").alias("lo"), F.max("sign").alias("hi"), F.min("place").alias("at")).filter("lo <> hi or at < 0").select("run")
+    return windows.filter("place >= 0").join(shared, "run", "left_semi").select("row", "place")
 
 
-def _texts(least: int, covered: float):
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_removed", pa.int64())])
+def _texts(folder: str, least: int, covered: float):
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_repeated", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared = PartRows(folder)
         for batch in batches:
+            more: dict[int, list[int]] = {}
+            for at, entries in shared.entries(batch.column(0).to_numpy()):
+                for k, place in zip(at.tolist(), entries.column("place").to_pylist()):
+                    more.setdefault(k, []).append(place)
             rows = []
-            for k, u, blocks, n, lengths, places in zip(*(c.to_pylist() for c in batch.columns)):
-                removed = 0
-                if lengths:
-                    repeated = np.zeros(n + 1, np.int64)
-                    for p in places or ():
-                        repeated[p] += 1
-                        repeated[min(p + least, n)] -= 1
-                    repeated = np.cumsum(repeated)[:n] > 0
-                    kept, at = [], n - sum(lengths)
-                    for block, length in zip(blocks, lengths):
-                        if repeated[at : at + length].sum() < covered * max(1, length):
-                            kept.append(block)
-                        else:
-                            removed += length
-                        at += length
-                    blocks = kept
-                text = "\n".join(blocks)
-                rows.append((k, u, text, len(text), removed))
+            for i, (k, u, blocks, starts, lengths, n, known) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]))):
+                repeated = np.zeros(n + 1, np.int64)
+                for p in [*known, *more.get(i, ())]:
+                    repeated[p] += 1
+                    repeated[min(p + least, n)] -= 1
+                repeated = np.cumsum(repeated)[:n] > 0
+                kept = [b for b, a, m in zip(blocks, starts, lengths) if a < 0 or repeated[a : a + m].sum() < covered * max(1, m)]
+                text = "\n".join(kept)
+                rows.append((k, u, text, len(text), int(repeated.sum())))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
 
@@ -309,16 +338,13 @@ def _texts(least: int, covered: float):
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST_RUN, covered: float = COVERED) -> DataFrame:
-    """(page_id, url, text, n_chars, n_removed) for each row: the main text, and how many tokens went because they repeat.
+    """(page_id, url, text, n_chars, n_repeated) for each row: the main text, and how many tokens of what is not plainly the article's repeat on other pages.
 
     Null or empty html gives the empty text. Urls without a host, and null ones, count as one host. Copies of a page are one
-    page: what only copies share is not boilerplate. Repeated rows give repeated rows; an empty table gives none. Pages whose
-    article is marked need no repeated runs and are not shuffled.
+    page: what only copies share is not boilerplate. Repeated rows give repeated rows; an empty table gives none. A doubtful block of which
+    exactly the share `covered` repeats goes. Page texts are written once and not shuffled; hashes of windows are.
     """
-    read, _ = written(parsed(pages, key, url, html), "pages")
-    places, _ = written(repeated_places(read, least), "places")
-    columns = ["page_id", "url", "blocks", F.size("stream").alias("n_stream"), "lengths"]
-    marked = read.filter("article").select(*columns[:3], F.lit(0).alias("n_stream"), F.array().cast("array<int>").alias("lengths"), F.lit(None).cast("array<int>").alias("places"))
-    unmarked = read.filter("not article").select(*columns, "host", "sign").join(places, ["host", "sign"], "left").drop("host", "sign")
-    kind = "page_id long, url string, text string, n_chars long, n_removed long"
-    return marked.mapInArrow(_texts(least, covered), kind).unionByName(unmarked.mapInArrow(_texts(least, covered), kind))
+    read, _ = written(parsed(pages, key, url, html, least).withColumn("row", F.monotonically_increasing_id()), "pages")
+    folder = by_part(repeated_over_shards(read), "row", "repeated")
+    columns = ["row", "page_id", "url", "blocks", "starts", "lengths", "n_stream", "known"]
+    return read.select(*columns).mapInArrow(_texts(folder, least, covered), "page_id long, url string, text string, n_chars long, n_repeated long")

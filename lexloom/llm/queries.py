@@ -72,8 +72,14 @@ _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 ORACLES: dict[str, str] = {
     "op1_host_suffix_html": r"""WITH b AS (SELECT page_id, url, unnest(x) AS block, unnest(range(0, len(x))) AS i FROM (SELECT page_id, url, regexp_split_to_array(regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1), '</?(?:p|h1)>') AS x FROM pages)),
 t AS (SELECT page_id, url, i, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(block, '<[^>]*>', '', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS block FROM b),
-p AS (SELECT page_id, url, coalesce(string_agg(block, chr(10) ORDER BY i) FILTER (block <> ''), '') AS text FROM t GROUP BY ALL)
-SELECT page_id, url, text, length(text) AS n_chars, 0::BIGINT AS n_removed FROM p""",
+p AS (SELECT page_id, url, coalesce(string_agg(block, chr(10) ORDER BY i) FILTER (block <> ''), '') AS text FROM t GROUP BY ALL),
+o AS (SELECT page_id, url, regexp_replace(regexp_replace(html, '(?s)<head>.*?</head>|<script>.*?</script>|<!--.*?-->|<article>.*?(</article>|$)|<[^>]*>', ' ', 'g'), '&quot;|&lt;|&gt;|&amp;|&copy;|&middot;', '.', 'g') AS rest FROM pages),
+w AS (SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host, list_filter(regexp_split_to_array(translate(rest, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x20]+'), lambda x: x <> '') AS tokens FROM o),
+g AS (SELECT page_id, host, len(tokens) AS n, unnest(range(0, greatest(1, len(tokens) - 9))) AS i, tokens FROM w WHERE len(tokens) > 0),
+v AS (SELECT page_id, host, n, i, tokens[i + 1 : i + 10] AS win, hash(text, tokens) AS sign FROM g JOIN p USING (page_id)),
+s AS (SELECT host, win FROM v GROUP BY ALL HAVING min(sign) <> max(sign)),
+c AS (SELECT page_id, count(DISTINCT k) AS n_repeated FROM (SELECT page_id, unnest(range(i, least(i + 10, n))) AS k FROM v JOIN s USING (host, win)) GROUP BY 1)
+SELECT page_id, url, text, length(text) AS n_chars, coalesce(n_repeated, 0) AS n_repeated FROM p LEFT JOIN c USING (page_id)""",
     "op2_chat_formatting": r"""WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(length('### ' || role || ':') + 1 + length(text) + len(regexp_extract_all(text, '### [A-Za-z0-9_.~%-]*:|</turn>')) + length('</turn>') + 2)::BIGINT AS formatted_chars FROM c GROUP BY conv_id""",

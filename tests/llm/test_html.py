@@ -6,9 +6,7 @@ from lexloom.llm import html as h
 
 
 def main_text(page: str) -> str:
-    found = h.blocks_of(page)
-    places = {p for p, _ in found}
-    return "\n".join(t for p, t in found if p == (h.IN_ARTICLE if h.IN_ARTICLE in places else h.OUTSIDE))
+    return "\n".join(t for _, t in h._candidates(h.blocks_of(page))[1])
 
 
 @pytest.mark.parametrize(
@@ -24,7 +22,10 @@ def main_text(page: str) -> str:
         ("<nav><ul><li>x<article><p>a</p></article>", "a"),
         ("<article><p>a</p><article class=comment><p>reader</p></article></article>", "a"),
         ("<article><ul><li>one<li>two</ul><table><tr><td>1<td>2<tr><td>3</table></article>", "one\ntwo\n1 2\n3"),
-        ("<article><div class='share-buttons'>s</div><span class='advert'>x</span>t<b>bo</b>ld</article>", "tbold"),
+        ("<article><div class='share-buttons'>s</div><span class='advert'>x</span>t<b>bo</b>ld</article>", "s\ntbold"),
+        ("<article><p class='notice'>a</p><div class='form-group'>b</div><section class='search-results'>c</section><p class='promotion'>d</p></article>", "a\nb\nc\nd"),
+        ("<article><p>a</p><div class='user-feedback'>u</div><ul class='commentList'><li>c</ul><div data-id='comments'>b</div></article>", "a\nb"),
+        ("<article><p>a</p></article><section class='comments'><article class='comment'><p>reader</p></article></section>", "a"),
         ("<body class='no-sidebar'><header><h1>site</h1></header><p>a</p></body>", "a"),
         ("a < b and <p>c</p>", "a < b and\nc"),
         ("<article><header><h1>H</h1></header><p>a</p></article>", "H\na"),
@@ -48,18 +49,66 @@ def test_repeated_runs_go_where_nothing_marks_an_article(spark):
     pages = spark.createDataFrame(rows + copies + other, "page_id long, url string, html string").repartition(4)
     got = {r["page_id"]: r for r in h.extract(pages).collect()}
     for i in range(5):
-        assert got[i]["text"] == f"{' '.join(f'own{i}w{j}' for j in range(15))}\nshort {i}" and got[i]["n_removed"] == 12
+        assert got[i]["text"] == f"{' '.join(f'own{i}w{j}' for j in range(15))}\nshort {i}" and got[i]["n_repeated"] == 12
     # Copies are one page, and another host's menu is seen only once there.
     assert all(got[10 + i]["text"].startswith("copy0") for i in range(3))
     assert got[20]["text"] == f"{menu}\nelse" and got[21]["text"] == "x" and got[22]["text"] == "" and got[None]["text"] == ""
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
 
 
-def test_shards_together_find_what_one_shard_finds(spark, monkeypatch):
-    menu = " ".join(f"menu{i}" for i in range(12))
-    rows = [(i, "http://a.example/", f"<div>{menu}</div><div>own{i}</div>") for i in range(30)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
-    assert sorted(r["text"] for r in h.extract(pages).collect()) == sorted(f"own{i}" for i in range(30))
+def test_doubtful_blocks_of_articles_go_where_they_repeat(spark):
+    notice = " ".join(f"notice{i}" for i in range(14))
+    rows = [(i, f"http://a.example/{i}", f"<article><p>text {i}</p><p class=notice>{notice if i < 3 else f'important words of page {i} alone'}</p><p>{notice}</p></article>") for i in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    got = {r["page_id"]: r for r in h.extract(pages).collect()}
+    for i in range(5):
+        kept = [f"text {i}", *([f"important words of page {i} alone"] if i >= 3 else []), notice]
+        assert got[i]["text"] == "\n".join(kept) and got[i]["n_repeated"] == (14 if i < 3 else 0)
+
+
+def streams(rows, least):
+    """Per row: how many tokens of its stream are in windows that another page (by all that it shows) of its host has too."""
+    pages = []
+    for k, url, page in rows:
+        found = h.blocks_of(page or "")
+        tokens = [w.lower() for t in h._candidates(found)[0] for w in t.split()]
+        windows = [(h.host_of(url), tuple(tokens[i : i + least])) for i in range(max(1, len(tokens) - least + 1))] if tokens else []
+        pages.append((str(found), tokens, windows))
+    seen = {}
+    for sign, _, windows in pages:
+        for w in windows:
+            seen.setdefault(w, set()).add(sign)
+    out = []
+    for _, tokens, windows in pages:
+        covered = {k for i, w in enumerate(windows) if len(seen[w]) > 1 for k in range(i, min(i + least, len(tokens)))}
+        out.append(len(covered))
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_repeated_runs_like_brute_force(spark, parts):
+    import random
+
+    r = random.Random(9)
+    runs = [" ".join(r.choice("abcdefgh") + str(r.randrange(3)) for _ in range(r.randint(3, 40))) for _ in range(12)]
+    rows = []
+    for i in range(120):
+        page = "".join(f"<{t}>{r.choice(runs) if r.random() < 0.6 else ' '.join(r.choice('xyz') + str(r.randrange(50)) for _ in range(r.randint(1, 20)))}</{t}>" for t in r.choices(["nav", "div", "p", "footer"], k=r.randint(0, 5)))
+        rows.append((i % 100, r.choice(["http://a.example/x", "http://B.example", None]), page))
+    rows += [r.choice(rows) for _ in range(10)] + [(1, None, None), (1, "u", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+    got = sorted((r["page_id"], r["url"] or "", r["n_repeated"]) for r in h.extract(pages).collect())
+    want = streams(rows, h.LEAST_RUN)
+    assert got == sorted((k, u or "", n) for (k, u, _), n in zip(rows, want)) and 0 < sum(map(bool, want)) < len(want)
+
+
+def test_block_at_the_covered_share_goes(spark):
+    run = " ".join(f"r{i}" for i in range(12))
+    rows = [(i, "http://a.example/", f"<div>{run} own{i}a own{i}b own{i}c</div>") for i in range(2)] + [(9, "http://a.example/", f"<div>{run} x y z w</div>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in h.extract(pages, covered=0.8).collect()}
+    assert got[0] == got[1] == "" and got[9].endswith("x y z w")
+    assert spark.createDataFrame([], pages.schema).count() == h.extract(pages.filter("false")).count() == 0
 
 
 def test_suffix_array_orders_like_tokens():
