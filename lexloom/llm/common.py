@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -36,16 +37,27 @@ def by_place(df: DataFrame) -> DataFrame:
     return df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
 
 
+#: The session's Arrow limits that the operators need; plans read them when they run, so they stay set.
+_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+
+
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches by bytes as well as rows, so that long texts do not pile up in one."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    """Arrow batches by bytes as well as rows, so that long texts do not pile up in one. Tighter limits of the session stay."""
+    for name, most in _LIMITS.items():
+        found = re.match(r"\d+$", spark.conf.get(name, None) or "")
+        if not found or not 0 < int(found[0]) <= most:
+            spark.conf.set(name, str(most))
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where unset, as in tests, a temporary one is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a temporary one is set if all runs in this process; on a cluster, whose executors would not see it, ValueError.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         where = f"file://{tempfile.mkdtemp(prefix='lexloom-')}"
@@ -132,8 +144,8 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def map_text(df: DataFrame, key: str, text: str, fields: list[T.StructField], work: Callable, carry: bool = False, verdict: str = "_verdict") -> DataFrame:
-    """Apply work(list of bytes or None) -> list of Arrow arrays, one for each field, to slices of rows.
+def map_text(df: DataFrame, key: str, text: str, fields: list[T.StructField], work: Callable, carry: bool = False, verdict: str = "_verdict", limit: int = SLICE_BYTES) -> DataFrame:
+    """Apply work(list of bytes or None) -> list of Arrow arrays, one for each field, to slices of rows of about `limit` bytes of text.
 
     Without `carry` the rows are (key, *fields). With it they are all columns of `df` and the struct `verdict` of the
     fields; it takes a name that `df` lacks.
@@ -150,7 +162,7 @@ def map_text(df: DataFrame, key: str, text: str, fields: list[T.StructField], wo
     inner, outer = to_arrow_schema(T.StructType(fields)), to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_at):
+        for batch in slices(batches, text_at, limit):
             made = [pa.array(a, f.type) if not isinstance(a, (pa.Array, pa.ChunkedArray)) else a.cast(f.type) for a, f in zip(work(as_bytes(batch.column(text_at))), inner)]
             columns = [*batch.columns, pa.StructArray.from_arrays(made, fields=list(inner))] if carry else [batch.column(0), *made]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(columns, outer)], schema=outer)

@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet
 from pyarrow import fs
@@ -73,10 +72,10 @@ class PartRows:
 def in_part_rows(rows: DataFrame, number: str, folder: str) -> DataFrame:
     """The rows whose number the folder has; only numbers go to Python."""
 
-    @F.pandas_udf("boolean")
-    def there(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def there(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = PartRows(folder)
         for numbers in parts:
-            yield pd.Series(known.contains(numbers.to_numpy()))
+            yield pa.array(known.contains(numbers.to_numpy()))
 
     return rows.filter(there(F.col(number)))

@@ -27,6 +27,12 @@ GRAM_BITS = 18
 WORDS_AT_ONCE, TEXTS_AT_ONCE = 50_000, 100
 #: Labelled texts of each label that training sees, about.
 TEXTS_EACH = 1500
+#: Text that a worker scores at once; words, n-grams and windows take many times its size.
+SCORED_BYTES = 2_000_000
+#: Longer texts are not in the training sample.
+TEXT_BYTES = 1 << 20
+#: Places of a score: what the batch that a text is in changes lies beyond them.
+PLACES = 5
 #: Words and n-grams get an embedding if so many training texts have them; all others have none.
 LEAST_TEXTS = 2
 PRIOR = 8
@@ -344,14 +350,17 @@ def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, held_fold: int = 0, texts_each: int = TEXTS_EACH) -> Network:
-    """Train on about `texts_each` texts of each label outside the held-out fold, chosen by a hash of the key."""
+    """Train on about `texts_each` texts of each label outside the held-out fold, chosen by a hash of the key.
+
+    Texts of more than TEXT_BYTES are no part of the sample, so what comes to the driver is bounded in bytes.
+    """
     known = pick(labels, _key=key, _label=label).filter(F.col("_label").isin(0, 1) & F.col("_key").isNotNull() & ~in_fold(F.col("_key"), folds, held_fold))
     counts = {r[0]: r[1] for r in known.groupBy("_label").count().collect()}
     place = F.pmod(F.xxhash64("_key", F.lit("toxicity")), F.lit(1 << 30)) / (1 << 30)
     share = F.when(F.col("_label") == 1, F.lit(texts_each / max(1, counts.get(1, 0)))).otherwise(F.lit(texts_each / max(1, counts.get(0, 0))))
     chosen = known.filter(place < share).dropDuplicates(["_key"])
     # The chosen keys are bounded by texts_each, so they go to every task and only their texts come back.
-    rows = pick(docs, _k=key, _t=text).join(F.broadcast(chosen), F.col("_k") == F.col("_key")).select("_k", "_t", "_label").collect()
+    rows = pick(docs, _k=key, _t=text).filter(F.coalesce(F.octet_length("_t"), F.lit(0)) <= TEXT_BYTES).join(F.broadcast(chosen), F.col("_k") == F.col("_key")).select("_k", "_t", "_label").collect()
     rows.sort(key=lambda r: (r[0], r[1] or ""))
     return fit([(r[1] or "").encode() for r in rows], [int(r[2]) for r in rows])
 
@@ -359,7 +368,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 def _score(model):
     def work(texts):
         net = model.value
-        p = np.clip(1 / (1 + np.exp(-np.clip(net.text_logits(texts), -40, 40))), 0, 1)
+        p = np.round(np.clip(1 / (1 + np.exp(-np.clip(net.text_logits(texts), -40, 40))), 0, 1), PLACES)
         return [pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32), pa.int32())]
 
     return work
@@ -371,9 +380,10 @@ FIELDS = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.I
 def score(docs: DataFrame, net: Network, key: str = "doc_id", text: str = "text", carry: bool = False, verdict: str = "_verdict") -> DataFrame:
     """(key, score, predicted): the calibrated score of all windows of each whole text, and whether it is at least a half.
 
-    Null and empty texts, and texts without words, are one empty window and get its score. Equal texts get equal rows.
+    Null and empty texts, and texts without words, are one empty window and get its score. Scores have PLACES places, to which equal
+    texts get equal ones.
     """
-    return map_text(docs, key, text, FIELDS, _score(docs.sparkSession.sparkContext.broadcast(net)), carry, verdict)
+    return map_text(docs, key, text, FIELDS, _score(docs.sparkSession.sparkContext.broadcast(net)), carry, verdict, SCORED_BYTES)
 
 
 def keep_clean(docs: DataFrame, net: Network, key: str = "doc_id", text: str = "text") -> DataFrame:
