@@ -21,6 +21,8 @@ WIDTHS = (2, 3, 4)
 FILTERS, EMBED = 8, 8
 #: Labelled texts of each language that training sees, about, and windows of each.
 TEXTS_EACH, WINDOWS_EACH = 400, 12
+#: Longer texts are not in the training sample.
+TEXT_BYTES = 1 << 20
 #: A row of text that is rejected as unsure in filtering; half of all mass would be a plain majority.
 LEAST_SCORE = 0.4
 UNKNOWN = "und"
@@ -157,16 +159,15 @@ def fit(texts: list[bytes], labels: list[str], steps: int = 900, batch: int = 64
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 4, held_fold: int = 2, texts_each: int = TEXTS_EACH) -> Network | None:
-    """Train on labelled texts outside the held-out fold, about `texts_each` of each language, chosen by a hash of the key."""
+    """Train on labelled texts outside the held-out fold, about `texts_each` of each language, chosen by a hash of the key; None without any.
+
+    Texts of more than TEXT_BYTES are no part of the sample, so what comes to the driver is bounded in bytes.
+    """
     rows = pick(docs, key=key, text=text, lang=lang).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~in_fold(F.col("key"), folds, held_fold))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
-        return None
-    share = F.lit(None)
-    for name, n in counts.items():
-        share = F.when(F.col("lang") == name, F.lit(texts_each / n)).otherwise(share)
+    rows = rows.filter(F.octet_length("text") <= TEXT_BYTES)
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     place = F.pmod(F.xxhash64("key", F.lit("language")), F.lit(1 << 30)) / (1 << 30)
-    chosen = sorted(rows.filter(place < share).select("key", "text", "lang").collect(), key=lambda r: (r[0] is None, r[0], r[1]))
+    chosen = sorted(rows.join(counts, "lang").filter(place < texts_each / F.col("n")).select("key", "text", "lang").collect(), key=lambda r: (r[0] is None, r[0], r[1]))
     return fit([r[1].encode() for r in chosen], [r[2] for r in chosen])
 
 
@@ -209,6 +210,11 @@ def predict(docs: DataFrame, net: Network | None, key: str = "doc_id", text: str
 
 
 def keep_known(docs: DataFrame, net: Network | None, key: str = "doc_id", text: str = "text", least: float = LEAST_SCORE) -> DataFrame:
-    """The rows whose text is in a learned language with a score of at least `least`, with their columns."""
+    """The rows whose text is in a learned language with a score of at least `least`, with their columns.
+
+    Where nothing was learned (`net` is None) there is nothing to tell rows by: all stay.
+    """
+    if net is None:
+        return docs
     verdict = free_name(docs, "_verdict")
     return keep_rows(predict(docs, net, key, text, True, verdict), verdict, lambda v: (v["lang_pred"] != UNKNOWN) & (v["score"] >= least))

@@ -3,12 +3,13 @@
 Every line of a file, every run of consecutive lines about as long as a template and the whole text are compared with notices and licence texts. Document frequencies are counted over
 all files for the templates' words; a word of no template weighs like one that a single file has. A line or text can reach
 the threshold only if it shares enough of a template's own weight; that necessary condition, checked for all of them, leaves few
-to score in full.
+to score in full. A licence with a version needs that version in the passage: numbers are frequent words, which weigh too little to tell versions apart.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -41,6 +42,28 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    # Notices of the GNU licences by version.
+    ("GPL-1.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 1, or (at your option) any later version."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."),
+    # How licence texts open.
+    ("GPL-1.0", "GNU GENERAL PUBLIC LICENSE Version 1, February 1989"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.0", "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("GFDL-1.2", "GNU Free Documentation License Version 1.2, November 2002"),
+    ("GFDL-1.3", "GNU Free Documentation License Version 1.3, 3 November 2008"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("MPL-1.1", "MOZILLA PUBLIC LICENSE Version 1.1"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("Artistic-1.0-Perl", "The intent of this document is to state the conditions under which a Package may be copied, such that the Copyright Holder maintains some semblance of artistic control over the development of the package, while giving the users of the package the right to use and distribute the Package in a more-or-less customary fashion, plus the right to make reasonable modifications."),
     # Whole licence texts.
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
@@ -52,16 +75,32 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 _NEWLINE = 10
 
 
+#: Words that tell families of licences with like texts apart.
+FAMILY = {"AGPL": "affero", "LGPL": "lesser", "GFDL": "documentation"}
+
+
+def version(name: str) -> set[str]:
+    """The numbers of an identifier's version, without a zero at its end: GPL-2.0 has 2, LGPL-2.1 has 2 and 1. BSD-3-Clause has none."""
+    found = re.search(r"-(\d+(?:\.\d+)*)(?=$|-(?!Clause))", name)
+    return set(re.sub(r"\.0$", "", found[1]).split(".")) if found else set()
+
+
 class Templates:
     """The templates' words, hashed, and their counts."""
 
     def __init__(self, templates=TEMPLATES):
         self.names = [n for n, _ in templates]
         words = Words([t.encode() for _, t in templates])
+        spelled = [[words.word(i).decode() for i in range(a, a + n)] for a, n in zip(words.first.tolist(), words.count.tolist())]
         self.vocabulary = np.unique(words.hash)
         at = np.searchsorted(self.vocabulary, words.hash)
         self.counts = np.zeros((len(templates), len(self.vocabulary)))
         np.add.at(self.counts, (words.owner, at), 1)
+        #: Which words a passage must have: those of version and family that the template's text has, whose weight alone would not tell licences apart.
+        self.required = np.zeros(self.counts.shape, bool)
+        for j, name in enumerate(self.names):
+            for i, w in enumerate(spelled[j]):
+                self.required[j, at[words.first[j] + i]] |= w in version(name) | {FAMILY.get(name.split("-")[0])}
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Place in the vocabulary, -1 for other words."""
@@ -86,13 +125,17 @@ class Model:
         self.rare = np.where(common, 0, self.shares)
 
     def cosine(self, words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        """Of one passage's words (vocabulary places, -1 for others, told apart by hash) to each template."""
+        """Of one passage's words (vocabulary places, -1 for others, told apart by hash) to each template; 0 where it lacks the template's version."""
         own = Counter(words[words >= 0].tolist())
         others = np.unique(hashes[words < 0], return_counts=True)[1]
         at, n = np.array(list(own), np.int64), np.array(list(own.values()), np.float64)
         x = n * self.idf[at]
         size = math.sqrt(float((x**2).sum()) + float(((others * self.other) ** 2).sum()))
-        return (self.weights[:, at] @ x) / (self.norms * size) if size else np.zeros(len(self.norms))
+        if not size:
+            return np.zeros(len(self.norms))
+        there = np.zeros(self.weights.shape[1], bool)
+        there[at] = True
+        return np.where((self.templates.required & ~there).any(axis=1), 0.0, (self.weights[:, at] @ x) / (self.norms * size))
 
 
 def _frequencies(templates: Templates):
@@ -191,7 +234,8 @@ def parent(path: Column) -> Column:
 def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str = "text", threshold: float = THRESHOLD, license_file: Column | None = None) -> DataFrame:
     """(key, path, license, score, kind, from_dir) for each file.
 
-    kind: `own` where a line, a run of lines or the whole text reaches the threshold (license: the template of the highest cosine, the first name among equals);
+    kind: `own` where a line, a run of lines or the whole text reaches the threshold and has the version that the licence names (license: the
+    template of the highest cosine, the first name among equals);
     else `inherited` from the licence file of the nearest directory at or above the file's; else `none`, score 0. `license_file` says which files
     are licence files (default: those whose first line, a run from there or whole text has a licence). Of several in a directory the highest score counts, then
     the first licence name. Null texts have no words; null paths are in the root. Repeated rows stay.

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -26,7 +27,8 @@ from lexloom.llm.storage import files, make_folder, opened, publish
 UNIT = 576
 SUFFIX = ".arc"
 ARCHIVE_BYTES = 64 << 20
-RANGE_BYTES = 8 << 20
+#: The least bytes of a range, and the most ranges that are planned.
+RANGE_BYTES, MOST_RANGES = 8 << 20, 100_000
 BATCH_BYTES = 4 << 20
 RETRIES = 4
 
@@ -94,19 +96,20 @@ class _Archive:
         self.out.write(np.array(self.offsets, "<u8").tobytes())
         self.out.write(_FOOT.pack(self.at, len(self.offsets), _INDEX))
         self.out.close()
+        self.size = self.at + 8 * len(self.offsets) + _FOOT.size
         publish(self.system, self.temporary, self.final)
         return len(self.offsets)
 
 
-def write_archives(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", archive_bytes: int = ARCHIVE_BYTES) -> int:
-    """Store each text (null: empty) as a padded PNG member of archives in the folder; gives the number of members."""
+def write_archives(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", archive_bytes: int = ARCHIVE_BYTES) -> tuple[int, int, int]:
+    """Store each text (null: empty) as a padded PNG member of archives in the folder; gives how many archives, members and bytes."""
     make_folder(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        archive, n, members = None, 0, 0
+        archive, n, members, size = None, 0, 0, 0
         for batch in slices(batches, 1):
             for k, t in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
                 if archive is None:
@@ -115,14 +118,17 @@ def write_archives(docs: DataFrame, folder: str, key: str = "doc_id", text: str
                 archive.add(k, len(t or b""), to_png(padded(t or b"")))
                 if archive.at >= archive_bytes:
                     members += archive.close()
+                    size += archive.size
                     archive = None
         if archive is not None:
             members += archive.close()
-        yield pa.RecordBatch.from_arrays([pa.array([members], pa.int64())], names=["members"])
+            size += archive.size
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (n, members, size)], names=["archives", "members", "bytes"])
 
     bounded_batches(docs.sparkSession)
     plain = pick(docs, key=key, text=text).selectExpr("cast(key as long) key", "text")
-    return plain.mapInArrow(run, "members long").groupBy().sum("members").first()[0] or 0
+    total = plain.mapInArrow(run, "archives long, members long, bytes long").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("archives", "members", "bytes")]).first()
+    return tuple(total)
 
 
 @dataclass
@@ -146,11 +152,18 @@ def _again(what, retries: int):
 class ArchiveReader(DataSourceReader):
     def __init__(self, options):
         self.folder = options["folder"]
-        self.range_bytes = int(options.get("range_bytes", RANGE_BYTES))
+        self.range_bytes = int(options.get("range_bytes", 0))
         self.retries = int(options.get("retries", RETRIES))
+        self.expected = [int(options[n]) if n in options else None for n in ("archives", "bytes")]
 
     def partitions(self) -> list[Range]:
-        found = [Range(path, a, min(a + self.range_bytes, size)) for path, size in files(self.folder, SUFFIX) for a in range(0, size, self.range_bytes)]
+        """Ranges of RANGE_BYTES, or of more where that would be more than MOST_RANGES. Other archives than expected raise ValueError."""
+        there = files(self.folder, SUFFIX)
+        for want, got, what in zip(self.expected, (len(there), sum(size for _, size in there)), ("archives", "bytes")):
+            if want is not None and want != got:
+                raise ValueError(f"{self.folder} shows {got} {what}; {want} were written")
+        step = self.range_bytes or max(RANGE_BYTES, -(-sum(size for _, size in there) // MOST_RANGES))
+        found = [Range(path, a, min(a + step, size)) for path, size in there for a in range(0, size, step)]
         return found or [Range("", 0, 0)]
 
     def _index(self, path: str) -> tuple[np.ndarray, int]:
@@ -208,7 +221,10 @@ class ArchiveReader(DataSourceReader):
 
 
 class MediaArchives(DataSource):
-    """format("media_archives"), options folder, range_bytes, retries: (key, n_bytes, media) of all archives in the folder."""
+    """format("media_archives"), options folder, range_bytes, retries: (key, n_bytes, media) of all archives in the folder.
+
+    Options archives and bytes tell how much there must be; a folder that shows other archives is an error, not fewer rows.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -265,8 +281,8 @@ def media_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """Store all texts in archives, read them back through the data source and describe them (columns of FEATURES).
 
     Null and empty texts give one unit of bytes 255. A null key stays null. Repeated rows are members each. An empty table
-    gives no rows. The archives stay in the shared folder while their rows are used.
+    gives no rows. The archives stay in the shared folder while their rows are used; if the driver does not see all that was written, ValueError.
     """
     folder = new_folder(docs.sparkSession, "media")
-    write_archives(docs, folder, key, text)
-    return media_features(read_archives(docs.sparkSession, folder))
+    archives, _, size = write_archives(docs, folder, key, text)
+    return media_features(read_archives(docs.sparkSession, folder, archives=archives, bytes=size))

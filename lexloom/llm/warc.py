@@ -26,7 +26,8 @@ CHUNK_BYTES = 256 << 10
 READ_BYTES = 1 << 20
 _URN = "urn:x-page:"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_LONGEST_HEAD = 1 << 20
+#: Heads hold the page's address, which a row may have in any length that Arrow carries.
+_LONGEST_HEAD = 1 << 31
 
 
 def base32_sha1(digest: bytes) -> str:

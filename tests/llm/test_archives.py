@@ -47,7 +47,7 @@ def test_equal_texts_equal_values(spark):
 def test_ranges_and_archives_split_without_loss(spark):
     docs = spark.range(300).selectExpr("id doc_id", "repeat(concat(id, ' text '), 50) text").repartition(3)
     folder = new_folder(spark, "ranges")
-    assert media.write_archives(docs, folder, archive_bytes=5000) == 300
+    assert media.write_archives(docs, folder, archive_bytes=5000)[1] == 300
     assert len(storage.files(folder, media.SUFFIX)) > 5
     read = media.read_archives(spark, folder, range_bytes=700)
     assert read.rdd.getNumPartitions() > 30

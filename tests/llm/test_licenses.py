@@ -2,9 +2,14 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from pathlib import Path
+
+import pytest
 
 from lexloom.llm import licenses as lic
 
+LICENCE_FILES = sorted(p for p in Path("/usr/share/common-licenses").glob("*") if not p.is_symlink())
+
 ALNUM = __import__("re").compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -26,7 +31,7 @@ def brute(files):
         for passage in [*(t or "").split("\n"), t]:
             c = Counter(words(passage))
             for name, m in templates:
-                if c:
+                if c and all(c[v] for v in lic.version(name) | {lic.FAMILY.get(name.split("-")[0])} if v in m):
                     s = round(sum(c[w] * m[w] * idf(w) ** 2 for w in m) / (norm(c) * norm(m)), 9)
                     if s >= lic.THRESHOLD and (-s, name) < (-best[0], best[1] or "~"):
                         best = (s, name)
@@ -100,3 +105,30 @@ def test_wrapped_headers_and_whole_licence_files(spark):
     got = {r["doc_id"]: r for r in lic.scan(files).collect()}
     assert {i: (got[i]["kind"], got[i]["license"]) for i, *_ in rows} == {i: ("own", n) for i, n, *_ in rows}
     assert {got[i]["kind"] for i, *_ in many} == {"none"}
+
+
+def test_versions():
+    assert [lic.version(n) for n in ("GPL-2.0", "LGPL-2.1", "BSD-3-Clause", "MIT", "CC0-1.0", "CC-BY-NC-4.0", "Artistic-1.0-Perl")] == [{"2"}, {"2", "1"}, set(), set(), {"1"}, {"4"}, {"1"}]
+
+
+def test_versions_are_told_apart_and_ties_take_the_first_name(spark):
+    rows = [
+        (1, "a/x", "# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation; either version 2 of the License, or\n# (at your option) any later version.\n" + CODE),
+        (2, "b/x", "GNU GENERAL PUBLIC LICENSE\nVersion 1, February 1989\n\nCopyright (C) 1989\n" + CODE),
+        (3, "c/x", "This work is licensed under the GNU General Public License, version 7."),
+        (4, "d/x", "x\nReleased under the MIT License.\nLicensed under the BSD 2-Clause License.\n" + CODE),
+    ]
+    files = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = {r["doc_id"]: r["license"] for r in lic.scan(files).collect()}
+    assert got == {1: "GPL-2.0", 2: "GPL-1.0", 3: None, 4: "BSD-2-Clause"}
+
+
+@pytest.mark.skipif(not LICENCE_FILES, reason="no folder of licence texts here")
+def test_whole_licence_texts_name_themselves(spark):
+    own = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+    there = [p for p in LICENCE_FILES if p.name in own]
+    rows = [(i, f"{p.name}/LICENSE", p.read_text(errors="replace")) for i, p in enumerate(there)]
+    for others in (0, 300):
+        files = spark.createDataFrame(rows + [(1000 + i, f"code/{i}.py", CODE.replace("table", f"t{i}")) for i in range(others)], "doc_id long, path string, text string")
+        got = {r["doc_id"]: r["license"] for r in lic.scan(files).collect()}
+        assert {p.name: got[i] for i, p in enumerate(there)} == {p.name: own[p.name] for p in there}
