@@ -13,13 +13,25 @@ ALWAYS = ("title", "detail_url")
 RETRIED, REFUSED = (408, 429, 500, 502, 503, 504), (400, 401, 403, 404)
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str] = REGULATION, always: Sequence[str] = ALWAYS) -> DataFrame:
-    """The next snapshot: rows of both; `always` columns come from new rows, others only where the new value is not null or empty."""
-    o, n = old.alias("o"), new.alias("n")
+def _arrival(new: DataFrame, order: str | None) -> tuple[DataFrame, str]:
+    """New rows with a column that tells their order: that of the column `order`, else that in which the rows lie."""
+    return (new, order) if order else (new.withColumn("_arrival", F.monotonically_increasing_id()), "_arrival")
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str] = REGULATION, always: Sequence[str] = ALWAYS, order: str | None = None) -> DataFrame:
+    """The next snapshot: rows of both; `always` columns come from new rows, others only where the new value is not null or empty.
+
+    New rows of one key are taken one after another, by the column `order` or as they lie: the last value, or the last that is not empty, counts.
+    """
+    new, at = _arrival(new, order)
+    others = [c for c in old.columns if c not in keys]
+    filled = lambda c: F.when(F.col(c).cast("string") != "", F.col(at))
+    folded = new.groupBy(*keys).agg(F.max(at).alias("_at"), *[F.max_by(c, F.col(at) if c in always else filled(c)).alias(c) for c in others])
+    o, n = old.alias("o"), folded.alias("n")
     test = F.lit(True)
     for k in keys:
         test = test & (F.col(f"o.{k}") == F.col(f"n.{k}"))
-    there = F.col(f"n.{keys[0]}").isNotNull()
+    there = F.col("n._at").isNotNull()
     out = [F.coalesce(F.col(f"n.{k}"), F.col(f"o.{k}")).alias(k) for k in keys]
     for c in old.columns:
         if c not in keys:
@@ -28,9 +40,11 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str] = REGULATION, alw
     return o.join(n, test, "full").select(*out)
 
 
-def insert_if_absent(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Old rows untouched, and new ones whose key is not there yet."""
-    return old.unionByName(new.join(old.select(*keys), list(keys), "left_anti"))
+def insert_if_absent(old: DataFrame, new: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
+    """Old rows untouched, and new ones whose key is not there yet: the first of each key, by the column `order` or as they lie."""
+    new, at = _arrival(new, order)
+    first = new.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(at))).filter("_n = 1").select(*old.columns)
+    return old.unionByName(first.join(old.select(*keys).distinct(), list(keys), "left_anti"))
 
 
 def versions(observations: DataFrame, tie: str = "sha256") -> DataFrame:
@@ -89,12 +103,23 @@ def download_class(status: Column) -> Column:
     return F.when(status.isNull() | status.isin(*RETRIED), "retry").when(status.between(200, 299), "ok").otherwise("fail")
 
 
+def retry_delay(attempt: Column, status: Column, retries: int = 3, first: float = 1.0) -> Column:
+    """Seconds to wait before the next attempt, doubled with each one; null where there is none: done, refused, or no retries left.
+
+    attempt: from 1. Only responses that pass, and none at all, are tried again.
+    """
+    return F.when((download_class(status) == "retry") & (attempt <= retries), F.lit(first) * F.pow(F.lit(2.0), attempt - 1))
+
+
 def ingestion_summary(log: DataFrame) -> DataFrame:
-    """One row of counters of a download log (status, content, known)."""
+    """One row of counters of a download log (parsed, documents, status, content, known): a row for each document that was to be downloaded.
+
+    parsed: whether the page that led there was read; documents: how many it showed, in its first row.
+    """
     ok = download_class(F.col("status")) == "ok"
     total = lambda test: F.coalesce(F.sum(test.cast("long")), F.lit(0))
     return log.agg(
-        F.count(F.lit(1)).alias("discovered"), total(ok & ~F.col("known")).alias("new_versions"), total(ok & F.col("known")).alias("skipped"), total(download_class(F.col("status")) == "retry").alias("retryable"),
+        F.count(F.lit(1)).alias("discovered"), total(F.col("parsed")).alias("metadata_parsed"), F.coalesce(F.sum("documents"), F.lit(0)).cast("long").alias("documents_found"), total(ok & ~F.col("known")).alias("downloaded"), total(ok & ~F.col("known")).alias("new_versions"), total(ok & F.col("known")).alias("skipped"), total(download_class(F.col("status")) == "retry").alias("retryable"),
         total(download_class(F.col("status")) == "fail").alias("failed"), total(ok & ~is_pdf("content")).alias("not_pdf"),
     )
 

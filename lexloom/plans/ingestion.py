@@ -8,11 +8,18 @@ from lexloom.operators import registry
 from lexloom.plans.retrieval import read
 from lexloom.sources import pages as src
 
-PORTAL = src.Portal("WEB", "PAGE", "/", (".pdf", "/default.aspx"), r"([A-Z]\w{3})", "PAGE-UNKNOWN")
-STRICT = src.Portal("WEB", "PAGE", "/", (".pdf", "/default.aspx"), r"([A-Z]\w{3})", "PAGE-UNKNOWN", marks_before_title=True, least_title=4)
+PORTAL = src.Portal("WEB", "PAGE", "/", ("/default.aspx",), number=r"([A-Z]\w{3})", unknown_number="PAGE-UNKNOWN", title_attribute=None, dated=False)
+STRICT = src.Portal("WEB", "PAGE", "/", ("/default.aspx",), number=r"([A-Z]\w{3})", unknown_number="PAGE-UNKNOWN", marks_before_title=True, least_title=4)
 
-#: Detail pages made from the page's number, the same words for both engines.
-_DETAIL = """'<html><h1 class="page-title">Peraturan ' || page_id || '</h1><div><p>Status : ' || CASE WHEN page_id % 3 = 0 THEN 'Dicabut' ELSE 'Berlaku ' END || '</p>' || CHR(10) || '<p>Tanggal Terbit : ' || CAST(1 + page_id % 31 AS INT) || ' ' || CASE page_id % 4 WHEN 0 THEN 'Desember' WHEN 1 THEN 'FEBRUARI' WHEN 2 THEN 'Smarch' ELSE 'Mei' END || ' 2021</p></div><div class="summary">  Ringkasan <b>' || page_id || '</b></div><a href="/docs/' || page_id || '.pdf">' || CASE page_id % 5 WHEN 0 THEN 'FAQ dan tanya jawab' WHEN 1 THEN 'Abstrak' WHEN 2 THEN 'Lampiran I' WHEN 3 THEN 'Salinan Peraturan' ELSE 'Unduh' END || '</a><a href="/docs/' || page_id || '.pdf">FAQ lagi</a><a href="extra.PDF?x=1">Penjelasan</a></html>'"""
+#: Listing and detail pages made from the page's number, the same words for both engines.
+_ROWS = """'<div class="bi-row-item"><a href="/id/peraturan/Pages/P' || page_id || '.aspx">Peraturan <b>No. ' || page_id || '/1/PBI/2021</b> A &amp; B</a> <a href="/id/other/x">zweiter</a></div><a href=../peraturan/Q' || page_id || '.aspx>PBI Q</a><a href="/id/peraturan/Q' || page_id || '.aspx">noch einmal</a><a href="/ID/PERATURAN/Z.aspx">not listed</a><table><tr><td><a href="/ID/PERATURAN/T.aspx">in a row ' || page_id || '</a></td></tr></table><a href="/id/peraturan/Default.aspx">Peraturan</a><a href="/id/peraturan/d.pdf">a file of its</a><a href="?peraturan=/peraturan/' || page_id || '#f">' || CASE page_id % 2 WHEN 0 THEN 'query link' ELSE 'tiny' END || '</a>'"""
+_POJK = """'<ul><li><a href="/id/Pages/L' || page_id || '.aspx">x</a></li></ul><a href="/id/regulasi/Pages/L' || page_id || '.aspx">hidden by a short title</a><a href="/id/regulasi/Pages/POJK-' || page_id || '.aspx">Peraturan OJK Nomor 12/POJK.03/' || CAST(2000 + page_id % 20 AS INT) || '</a><a href="/id/Pages/plain.aspx">not listed</a><div class="x item"><p><a href="./Pages/I.aspx">Nomor <i>' || page_id || '</i>/POJK/2020</a></p></div>'"""
+_DETAIL = """'<html><script>Status : no</script><h1 class="page-title">Peraturan &amp; ' || page_id || '</h1><div><p>Status : ' || CASE WHEN page_id % 3 = 0 THEN 'Dicabut' ELSE 'Berlaku ' END || '</p>' || CHR(10) || '<p>Tanggal Terbit : ' || CAST(1 + page_id % 31 AS INT) || ' ' || CASE page_id % 4 WHEN 0 THEN 'Desember' WHEN 1 THEN 'FEBRUARI' WHEN 2 THEN 'Smarch' ELSE 'Mei' END || ' 2021</p></div><div class="summary">  Ringkasan <div><b>' || page_id || '</b></div> tail</div><a href="/docs/' || page_id || '.pdf">' || CASE page_id % 5 WHEN 0 THEN 'FAQ dan tanya jawab' WHEN 1 THEN 'Abstrak' WHEN 2 THEN 'Lampiran I' WHEN 3 THEN 'Salinan Peraturan' ELSE 'Unduh' END || '</a><a href="/docs/' || page_id || '.pdf">FAQ lagi</a><a href=extra.PDF?x=1>Penjelasan</a></html>'"""
+_OTHER = """'<h1 class="title">site</h1>' || CASE WHEN page_id % 4 = 0 THEN '' ELSE '<h2 id="PageTitle">POJK ' || page_id || '</h2>' END || '<p>Sektor : ' || CASE page_id % 3 WHEN 0 THEN 'Perbankan' ELSE 'Asuransi' END || CHR(10) || '</p><p>Tanggal Terbit : 3 Mei 2021</p><div class="summary">no</div><div class="page-description">Menetapkan &lt;' || page_id || '&gt;</div>'"""
+
+
+def _made(s, d, html):
+    return read(s, d, "pages").select("page_id", F.lit("https://portal.example/id/regulasi/list.aspx?p=1").alias("url"), F.expr(html).alias("html"))
 
 
 def _details(s, d):
@@ -32,10 +39,11 @@ def _regulations(s, d):
 
 
 def _changed(s, d):
-    """Every third regulation again, some with empty values, and new ones."""
+    """Every third regulation again, some with empty values, and new ones; every sixth twice."""
     n = F.col("regulation_number").cast("long")
-    rows = _regulations(s, d).filter(n % 3 == 0)
-    return rows.select("source", "regulation_type", F.when(n % 9 == 0, F.concat("regulation_number", F.lit("x"))).otherwise(F.col("regulation_number")).alias("regulation_number"), F.concat("title", F.lit(" baru")).alias("title"), "detail_url", F.when(n % 2 == 1, "Dicabut").otherwise("").alias("status"), F.lit(None).cast("string").alias("summary"))
+    rows = _regulations(s, d).filter(n % 3 == 0).withColumn("arrival", F.explode(F.sequence(F.lit(1), F.when(n % 6 == 0, 2).otherwise(1))))
+    number = F.when(n % 9 == 0, F.concat("regulation_number", F.lit("x"))).otherwise(F.col("regulation_number"))
+    return rows.select("source", "regulation_type", number.alias("regulation_number"), F.concat("title", F.lit(" baru "), F.col("arrival").cast("string")).alias("title"), "detail_url", F.when((n + F.col("arrival")) % 2 == 0, "Dicabut").otherwise("").alias("status"), F.when(F.col("arrival") == 2, "s2").alias("summary"), "arrival")
 
 
 def _keyed(s, d, test, label):
@@ -52,16 +60,22 @@ def _current(s, d):
 def _log(s, d):
     status = F.element_at(F.array(*[F.lit(x) for x in (200, 200, 200, 404, 503, 429, 500, 201, 403, 418)]), (F.col("event_id") % 10 + 1).cast("int"))
     content = F.concat(F.when(F.col("user_id") % 4 == 0, "<html>").otherwise("%PDF-1.7 "), "props").cast("binary")
-    return read(s, d, "events").select(F.when(F.col("event_id") % 50 != 0, status).alias("status"), content.alias("content"), (F.col("user_id") % 3 == 0).alias("known"))
+    return read(s, d, "events").select((F.col("event_id") % 9 != 0).alias("parsed"), F.when(F.col("event_id") % 3 == 0, F.col("event_id") % 4).otherwise(0).alias("documents"), F.when(F.col("event_id") % 50 != 0, status).alias("status"), content.alias("content"), (F.col("user_id") % 3 == 0).alias("known"))
 
 
 QUERIES = {
     "listing_refs": lambda s, d: src.listing(read(s, d, "pages"), PORTAL).select("page_id", "detail_url", "title", "regulation_number"),
     "first_seen_links": lambda s, d: src.listing(read(s, d, "pages"), STRICT).select("page_id", "position", "detail_url", "title"),
+    "listing_limited": lambda s, d: src.listing(read(s, d, "pages"), PORTAL, limit=2).select("page_id", "position", "detail_url"),
+    "listing_central_bank": lambda s, d: src.listing(_made(s, d, _ROWS), src.CENTRAL_BANK).select("page_id", "position", "detail_url", "title", "regulation_number"),
+    "listing_authority": lambda s, d: src.listing(_made(s, d, _POJK), src.SERVICES_AUTHORITY).select("page_id", "position", "detail_url", "title", "regulation_number"),
     "detail_metadata": lambda s, d: src.detail(_details(s, d), src.CENTRAL_BANK).select("page_id", "title", "status", "published_date", "effective_date", "summary", "sector"),
+    "detail_authority": lambda s, d: src.detail(_made(s, d, _OTHER), src.SERVICES_AUTHORITY, default_title=F.lit("listed"), default_published=F.lit("2020-02-02").cast("date")).select("page_id", "title", "status", "published_date", "effective_date", "summary", "sector"),
+    "page_details": lambda s, d: src.detail(read(s, d, "pages"), PORTAL, default_title=F.lit("-")).select("page_id", "title", "status", "summary"),
+    "retry_plan": lambda s, d: _log(s, d).select(F.explode(F.sequence(F.lit(1), F.lit(4))).alias("attempt"), "status").withColumn("delay", registry.retry_delay(F.col("attempt"), F.col("status"))).groupBy("attempt", "status").agg(F.count("delay").alias("retried"), F.max("delay").alias("seconds")),
     "attachments": lambda s, d: src.attachments(_details(s, d), src.SERVICES_AUTHORITY).select("page_id", "position", "document_type", "document_url", "filename"),
-    "upsert_registry": lambda s, d: registry.upsert(_regulations(s, d), _changed(s, d)),
-    "insert_if_absent": lambda s, d: registry.insert_if_absent(_keyed(s, d, "doc_id % 3 = 0", "old"), _keyed(s, d, "doc_id % 2 = 0", "new"), ["document_id"]),
+    "upsert_registry": lambda s, d: registry.upsert(_regulations(s, d), _changed(s, d), order="arrival"),
+    "insert_if_absent": lambda s, d: registry.insert_if_absent(_keyed(s, d, "doc_id % 3 = 0", "old"), _keyed(s, d, "doc_id % 2 = 0", "new").unionByName(_keyed(s, d, "doc_id % 4 = 0", "second")), ["document_id"], order="label"),
     "version_registry": lambda s, d: _versions(s, d),
     "version_pointers": lambda s, d: registry.pointers(_events(s, d)).join(_versions(s, d).filter("is_current").select("document_id", F.col("sha256").alias("current")), "document_id").select("document_id", "sha256", (F.col("sha256") != F.col("current")).alias("differs")),
     "single_current_check": lambda s, d: registry.current_check(_versions(s, d)),
@@ -84,11 +98,18 @@ _key = lambda test, label: f"SELECT doc_id AS document_id, doc_id % 7 AS sequenc
 _STATUS = "CASE WHEN event_id % 50 <> 0 THEN [200, 200, 200, 404, 503, 429, 500, 201, 403, 418][event_id % 10 + 1] END"
 
 ORACLES = {
-    "listing_refs": f"WITH src AS (SELECT * FROM pages),\n{_LINKS}\nSELECT page_id, target AS detail_url, link_text AS title, CASE WHEN regexp_extract(link_text, '(?i)([A-Z]\\w{{3}})', 1) = '' THEN 'PAGE-UNKNOWN' ELSE regexp_extract(link_text, '(?i)([A-Z]\\w{{3}})', 1) END AS regulation_number FROM (SELECT *, row_number() OVER (PARTITION BY page_id, target ORDER BY position) AS n FROM targets WHERE contains(href, '/') AND NOT suffix(lower(href), '.pdf') AND NOT suffix(lower(href), '/default.aspx') AND length(link_text) >= 5) WHERE n = 1",
-    "first_seen_links": f"WITH src AS (SELECT * FROM pages),\n{_LINKS}\nSELECT page_id, position, target AS detail_url, link_text AS title FROM (SELECT *, row_number() OVER (PARTITION BY page_id, target ORDER BY position) AS n FROM targets WHERE contains(href, '/') AND NOT suffix(lower(href), '.pdf') AND NOT suffix(lower(href), '/default.aspx')) WHERE n = 1 AND length(link_text) >= 4",
-    "detail_metadata": "SELECT page_id, 'Peraturan ' || page_id AS title, CASE WHEN page_id % 3 = 0 THEN 'Dicabut' ELSE 'Berlaku' END AS status, try_cast('2021-' || CASE page_id % 4 WHEN 0 THEN '12' WHEN 1 THEN '02' WHEN 2 THEN '01' ELSE '05' END || '-' || lpad((1 + page_id % 31)::VARCHAR, 2, '0') AS DATE) AS published_date, NULL::DATE AS effective_date, 'Ringkasan ' || page_id AS summary, 'Moneter dan Sistem Pembayaran' AS sector FROM pages",
-    "attachments": f"WITH src AS (SELECT page_id, url, {_DETAIL} AS html FROM pages),\n{_LINKS}\nSELECT page_id, position, CASE WHEN contains(lower(link_text), 'faq') OR contains(lower(link_text), 'tanya') THEN 'faq' WHEN contains(lower(link_text), 'abstrak') OR contains(lower(link_text), 'ringkasan') THEN 'abstract' WHEN contains(lower(link_text), 'salinan') OR contains(lower(link_text), 'pojk') OR contains(lower(link_text), 'peraturan') THEN 'regulation' WHEN contains(lower(link_text), 'lampiran') THEN 'other' ELSE 'regulation' END AS document_type, target AS document_url, string_split(target, '/')[-1] AS filename FROM (SELECT *, row_number() OVER (PARTITION BY page_id, target ORDER BY position) AS n FROM targets WHERE contains(lower(href), '.pdf')) WHERE n = 1",
-    "upsert_registry": f"WITH {_REGS},\nchanged AS (SELECT source, regulation_type, CASE WHEN doc_id % 9 = 0 THEN regulation_number || 'x' ELSE regulation_number END AS regulation_number, title || ' baru' AS title, detail_url, CASE WHEN doc_id % 2 = 1 THEN 'Dicabut' ELSE '' END AS status, NULL::VARCHAR AS summary FROM regs WHERE doc_id % 3 = 0)\nSELECT coalesce(n.source, o.source) AS source, coalesce(n.regulation_type, o.regulation_type) AS regulation_type, coalesce(n.regulation_number, o.regulation_number) AS regulation_number, CASE WHEN n.source IS NOT NULL THEN n.title ELSE o.title END AS title, CASE WHEN n.source IS NOT NULL THEN n.detail_url ELSE o.detail_url END AS detail_url, coalesce(nullif(n.status, ''), o.status) AS status, coalesce(nullif(n.summary, ''), o.summary) AS summary FROM regs o FULL JOIN changed n ON o.source = n.source AND o.regulation_type = n.regulation_type AND o.regulation_number = n.regulation_number",
+    "listing_refs": f"WITH src AS (SELECT * FROM pages),\n{_LINKS}\nSELECT page_id, target AS detail_url, link_text AS title, CASE WHEN regexp_extract(link_text, '(?i)([A-Z]\\w{{3}})', 1) = '' THEN 'PAGE-UNKNOWN' ELSE regexp_extract(link_text, '(?i)([A-Z]\\w{{3}})', 1) END AS regulation_number FROM (SELECT *, row_number() OVER (PARTITION BY page_id, target ORDER BY position) AS n FROM targets WHERE contains(href, '/') AND NOT suffix(href, '.pdf') AND NOT suffix(lower(href), '/default.aspx') AND length(link_text) >= 5) WHERE n = 1",
+    "first_seen_links": f"WITH src AS (SELECT * FROM pages),\n{_LINKS}\nSELECT page_id, position, target AS detail_url, link_text AS title FROM (SELECT *, row_number() OVER (PARTITION BY page_id, target ORDER BY position) AS n FROM targets WHERE contains(href, '/') AND NOT suffix(href, '.pdf') AND NOT suffix(lower(href), '/default.aspx')) WHERE n = 1 AND length(link_text) >= 4",
+    "listing_limited": f"WITH src AS (SELECT * FROM pages),\n{_LINKS},\nonce AS (SELECT page_id, position, target FROM (SELECT *, row_number() OVER (PARTITION BY page_id, target ORDER BY position) AS n FROM targets WHERE contains(href, '/') AND NOT suffix(href, '.pdf') AND NOT suffix(lower(href), '/default.aspx') AND length(link_text) >= 5) WHERE n = 1)\nSELECT page_id, position, target AS detail_url FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY position) AS n FROM once) WHERE n <= 2",
+    # What the made pages list, written out.
+    "listing_central_bank": "SELECT page_id, x.position, x.detail_url, x.title, x.number AS regulation_number FROM (SELECT page_id, unnest([{'position': 0, 'detail_url': 'https://portal.example/id/peraturan/Pages/P' || page_id || '.aspx', 'title': 'PeraturanNo. ' || page_id || '/1/PBI/2021A & B', 'number': page_id || '/1/PBI/2021'}, {'position': 2, 'detail_url': 'https://portal.example/id/peraturan/Q' || page_id || '.aspx', 'title': 'PBI Q', 'number': 'PBI-UNKNOWN'}, {'position': 4, 'detail_url': 'https://portal.example/ID/PERATURAN/T.aspx', 'title': 'in a row ' || page_id, 'number': 'PBI-UNKNOWN'}] || CASE WHEN page_id % 2 = 0 THEN [{'position': 7, 'detail_url': 'https://portal.example/id/regulasi/list.aspx?peraturan=/peraturan/' || page_id || '#f', 'title': 'query link', 'number': 'PBI-UNKNOWN'}] ELSE [] END) AS x FROM pages)",
+    "listing_authority": "SELECT page_id, x.position, x.detail_url, x.title, x.number AS regulation_number FROM (SELECT page_id, unnest([{'position': 1, 'detail_url': 'https://portal.example/id/regulasi/Pages/L' || page_id || '.aspx', 'title': 'hidden by a short title', 'number': 'POJK-UNKNOWN'}, {'position': 2, 'detail_url': 'https://portal.example/id/regulasi/Pages/POJK-' || page_id || '.aspx', 'title': 'Peraturan OJK Nomor 12/POJK.03/' || (2000 + page_id % 20), 'number': '12/POJK.03/' || (2000 + page_id % 20)}, {'position': 3, 'detail_url': 'https://portal.example/id/regulasi/Pages/I.aspx', 'title': 'Nomor' || page_id || '/POJK/2020', 'number': page_id || '/POJK/2020'}]) AS x FROM pages)",
+    "detail_metadata": "SELECT page_id, 'Peraturan & ' || page_id AS title, CASE WHEN page_id % 3 = 0 THEN 'Dicabut' ELSE 'Berlaku' END AS status, try_cast('2021-' || CASE page_id % 4 WHEN 0 THEN '12' WHEN 1 THEN '02' WHEN 2 THEN '01' ELSE '05' END || '-' || lpad((1 + page_id % 31)::VARCHAR, 2, '0') AS DATE) AS published_date, NULL::DATE AS effective_date, 'Ringkasan' || page_id || 'tail' AS summary, 'Moneter dan Sistem Pembayaran' AS sector FROM pages",
+    "detail_authority": "SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'listed' ELSE 'POJK ' || page_id END AS title, 'Berlaku' AS status, DATE '2020-02-02' AS published_date, NULL::DATE AS effective_date, 'Menetapkan <' || page_id || '>' AS summary, CASE page_id % 3 WHEN 0 THEN 'Perbankan' ELSE 'Asuransi' END AS sector FROM pages",
+    "page_details": "SELECT page_id, coalesce(nullif(trim(replace(replace(replace(replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')), ''), '-') AS title, 'Berlaku' AS status, NULL::VARCHAR AS summary FROM pages",
+    "retry_plan": f"SELECT attempt, status, count(*) FILTER (again) AS retried, max(CASE WHEN again THEN pow(2, attempt - 1)::DOUBLE END) AS seconds FROM (SELECT attempt, status, attempt <= 3 AND (status IS NULL OR status IN {registry.RETRIED}) AS again FROM (SELECT unnest([1, 2, 3, 4]) AS attempt, {_STATUS} AS status FROM events)) GROUP BY ALL",
+    "attachments": f"WITH src AS (SELECT page_id, url, replace({_DETAIL}, '=extra.PDF?x=1', '=\"extra.PDF?x=1\"') AS html FROM pages),\n{_LINKS}\nSELECT page_id, position, CASE WHEN contains(lower(link_text), 'faq') OR contains(lower(link_text), 'tanya') THEN 'faq' WHEN contains(lower(link_text), 'abstrak') OR contains(lower(link_text), 'ringkasan') THEN 'abstract' WHEN contains(lower(link_text), 'salinan') OR contains(lower(link_text), 'pojk') OR contains(lower(link_text), 'peraturan') THEN 'regulation' WHEN contains(lower(link_text), 'lampiran') THEN 'other' ELSE 'regulation' END AS document_type, target AS document_url, string_split(target, '/')[-1] AS filename FROM (SELECT *, row_number() OVER (PARTITION BY page_id, target ORDER BY position) AS n FROM targets WHERE contains(lower(href), '.pdf')) WHERE n = 1",
+    "upsert_registry": f"WITH {_REGS},\nchanged AS (SELECT *, CASE WHEN doc_id % 9 = 0 THEN regulation_number || 'x' ELSE regulation_number END AS number FROM (SELECT *, unnest(range(1, CASE WHEN doc_id % 6 = 0 THEN 3 ELSE 2 END)) AS arrival FROM regs WHERE doc_id % 3 = 0)),\nn AS (SELECT source, regulation_type, number AS regulation_number, arg_max(title || ' baru ' || arrival, arrival) AS title, arg_max(detail_url, arrival) AS detail_url, arg_max('Dicabut', arrival) FILTER ((doc_id + arrival) % 2 = 0) AS status, arg_max('s2', arrival) FILTER (arrival = 2) AS summary FROM changed GROUP BY ALL)\nSELECT coalesce(n.source, o.source) AS source, coalesce(n.regulation_type, o.regulation_type) AS regulation_type, coalesce(n.regulation_number, o.regulation_number) AS regulation_number, CASE WHEN n.source IS NOT NULL THEN n.title ELSE o.title END AS title, CASE WHEN n.source IS NOT NULL THEN n.detail_url ELSE o.detail_url END AS detail_url, coalesce(n.status, o.status) AS status, coalesce(n.summary, o.summary) AS summary FROM regs o FULL JOIN n ON o.source = n.source AND o.regulation_type = n.regulation_type AND o.regulation_number = n.regulation_number",
     "insert_if_absent": f"WITH o AS ({_key('doc_id % 3 = 0', 'old')}), n AS ({_key('doc_id % 2 = 0', 'new')})\nSELECT * FROM o UNION ALL SELECT * FROM n WHERE document_id NOT IN (SELECT document_id FROM o)",
     "version_registry": f"WITH {_VERSIONS}\nSELECT * FROM versions",
     "version_pointers": f"WITH {_VERSIONS},\nlatest AS (SELECT document_id, sha256 FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY observed_at DESC, sha256 DESC) AS n FROM log) WHERE n = 1)\nSELECT l.document_id, l.sha256, l.sha256 <> v.sha256 AS differs FROM latest l JOIN versions v ON v.document_id = l.document_id AND v.is_current",
@@ -101,5 +122,5 @@ SELECT row_number() OVER (ORDER BY CASE WHEN part = 1 THEN 1 ELSE 2 END, labels,
     "current_chunks": f"WITH {_VERSIONS}\nSELECT chunk_id, c.document_id, c.sha256, source FROM (SELECT doc_id AS chunk_id, doc_id % 150 AS document_id, ['click', 'error', 'purchase', 'signup', 'view'][doc_id % 5 + 1] AS sha256, source FROM documents) c JOIN versions v ON v.document_id = c.document_id AND v.sha256 = c.sha256 AND v.is_current",
     "storage_paths": "SELECT doc_id, 'raw/' || upper(source) || '/' || upper(lang) || '/' || doc_id || '/' || sha256(text) || '.pdf' AS path FROM documents",
     "metadata_json": f"WITH {_REGS}\nSELECT regulation_number, json_object('source', source, 'regulation_type', regulation_type, 'regulation_number', regulation_number, 'title', title)::VARCHAR AS metadata FROM regs",
-    "ingestion_summary": f"SELECT count(*) AS discovered, count(*) FILTER (status BETWEEN 200 AND 299 AND NOT known) AS new_versions, count(*) FILTER (status BETWEEN 200 AND 299 AND known) AS skipped, count(*) FILTER (status IS NULL OR status IN {registry.RETRIED}) AS retryable, count(*) FILTER (status IS NOT NULL AND status NOT BETWEEN 200 AND 299 AND status NOT IN {registry.RETRIED}) AS failed, count(*) FILTER (status BETWEEN 200 AND 299 AND user_id % 4 = 0) AS not_pdf FROM (SELECT {_STATUS} AS status, user_id % 3 = 0 AS known, user_id FROM events)",
+    "ingestion_summary": f"SELECT count(*) AS discovered, count(*) FILTER (event_id % 9 <> 0) AS metadata_parsed, sum(CASE WHEN event_id % 3 = 0 THEN event_id % 4 ELSE 0 END)::BIGINT AS documents_found, count(*) FILTER (status BETWEEN 200 AND 299 AND NOT known) AS downloaded, count(*) FILTER (status BETWEEN 200 AND 299 AND NOT known) AS new_versions, count(*) FILTER (status BETWEEN 200 AND 299 AND known) AS skipped, count(*) FILTER (status IS NULL OR status IN {registry.RETRIED}) AS retryable, count(*) FILTER (status IS NOT NULL AND status NOT BETWEEN 200 AND 299 AND status NOT IN {registry.RETRIED}) AS failed, count(*) FILTER (status BETWEEN 200 AND 299 AND user_id % 4 = 0) AS not_pdf FROM (SELECT {_STATUS} AS status, user_id % 3 = 0 AS known, user_id, event_id FROM events)",
 }

@@ -1,17 +1,27 @@
-"""Regulation listings and detail pages as relations, by parameter sets for the portals."""
+"""Regulation listings and detail pages as relations, by parameter sets for the portals.
+
+Pages are read once by an Arrow column function, which gives links and described fields as arrays and structs; filters, first
+occurrences, dates and classes are column expressions on these.
+"""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from html.parser import HTMLParser
+from urllib.parse import urljoin
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import strip
 
-ANCHOR = r"(?is)<a\s[^>]*?href\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a>"
-# Month names, in order.
+# Month names in order; elements without an end tag; elements whose content is no text.
 MONTHS = ("januari", "februari", "maret", "april", "mei", "juni", "juli", "agustus", "september", "oktober", "november", "desember")
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+NO_TEXT = frozenset("script style template".split())
 
 
 @dataclass(frozen=True)
@@ -21,7 +31,13 @@ class Portal:
     source: str
     kind: str
     must_contain: str
-    excluded_suffixes: tuple[str, ...] = (".pdf",)
+    #: Ends of links that are left out, in lower case, and as they are.
+    excluded_suffixes: tuple[str, ...] = ()
+    excluded_exact: tuple[str, ...] = (".pdf",)
+    #: Which links are listed: those whose address has one of these parts, and the first one inside each element of these classes or names.
+    link_parts: tuple[str, ...] = ("",)
+    row_classes: tuple[str, ...] = ()
+    row_tags: tuple[str, ...] = ()
     number: str = r"(\d+)"
     unknown_number: str = "UNKNOWN"
     marks_before_title: bool = False
@@ -29,36 +45,160 @@ class Portal:
     default_status: str = "Berlaku"
     sector: str | None = None
     sector_pattern: str | None = None
+    #: The first heading whose attribute has the pattern is the title; without an attribute the first heading.
+    title_attribute: str | None = "class"
+    title_pattern: str = "title|header"
+    summary_pattern: str = "summary|abstrak|content"
+    #: Whether the page tells the dates.
+    dated: bool = True
+    unnamed_file: str = "document.pdf"
     #: (type, words in the link's text), tried in order; else `regulation`.
     attachment_types: tuple[tuple[str, tuple[str, ...]], ...] = field(default=(("faq", ("faq", "tanya")), ("abstract", ("abstrak", "ringkasan")), ("other", ("lampiran", "penjelasan"))))
 
 
-CENTRAL_BANK = Portal("BI", "PBI", "/peraturan/", (".pdf", "/default.aspx", "/peraturan/"), r"(\d+/\d+/PBI/\d{4}|\d+/PBI/\d{4})", "PBI-UNKNOWN", sector="Moneter dan Sistem Pembayaran")
+# How the two portals write their pages.
+CENTRAL_BANK = Portal(
+    "BI", "PBI", "/peraturan/", ("/default.aspx", "/peraturan/"), link_parts=("/peraturan/",), row_classes=("bi-row-item", "table-row", "publication-item"), row_tags=("tr",),
+    number=r"(\d+/\d+/PBI/\d{4}|\d+/PBI/\d{4})", unknown_number="PBI-UNKNOWN", sector="Moneter dan Sistem Pembayaran",
+)
 SERVICES_AUTHORITY = Portal(
-    "OJK", "POJK", "pages", (".pdf",), r"(\d+/POJK\.\d+/\d{4}|\d+/POJK/\d{4})", "POJK-UNKNOWN", marks_before_title=True, sector="Perbankan / Pasar Modal", sector_pattern=r"(?i)Sektor\s*:\s*([^\n\r<]+)",
+    "OJK", "POJK", "pages", link_parts=("/regulasi/", "POJK"), row_classes=("item", "item-title"), row_tags=("td", "li"), number=r"(\d+/POJK\.\d+/\d{4}|\d+/POJK/\d{4})", unknown_number="POJK-UNKNOWN",
+    marks_before_title=True, sector="Perbankan / Pasar Modal", sector_pattern=r"Sektor\s*:\s*([^\n\r<]+)", title_attribute="id", title_pattern="title", summary_pattern="content|description|body", dated=False, unnamed_file="pojk_document.pdf",
     attachment_types=(("faq", ("faq", "tanya")), ("abstract", ("abstrak", "ringkasan")), ("regulation", ("salinan", "pojk", "peraturan")), ("other", ("lampiran",))),
 )
 
 
-def plain(html: Column) -> Column:
-    """Text without tags, white space at the ends off."""
-    return strip(F.regexp_replace(html, r"(?s)<[^>]*>", ""))
+@dataclass
+class Element:
+    """An element and the range of the page's text pieces inside it."""
+
+    name: str
+    attributes: dict[str, str]
+    first: int
+    end: int = -1
+    inside: tuple[int, ...] = ()
+
+
+class Page(HTMLParser):
+    """The elements of a page in document order, and its pieces of text. End tags without a beginning are ignored; nothing else is closed early."""
+
+    def __init__(self, html: str):
+        super().__init__(convert_charrefs=True)
+        self.elements: list[Element] = []
+        self.pieces: list[str] = []
+        self._open: list[int] = []
+        self._text: list[str] = []
+        self._mute = 0
+        self.feed(html)
+        self.close()
+        self._flush()
+        for i in self._open:
+            self.elements[i].end = len(self.pieces)
+
+    def _flush(self) -> None:
+        joined = "".join(self._text)
+        self._text.clear()
+        if joined and not self._mute:
+            # White space alone is one line break or space.
+            self.pieces.append(joined if joined.strip("\t\n\x0b\x0c\r ") else "\n" if "\n" in joined else " ")
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self._flush()
+        found: dict[str, str] = {}
+        for name, value in attrs:
+            found[name] = value or ""
+        self.elements.append(Element(tag, found, len(self.pieces), len(self.pieces), tuple(self._open)))
+        if tag not in VOID:
+            self.elements[-1].end = -1
+            self._open.append(len(self.elements) - 1)
+            self._mute += tag in NO_TEXT
+
+    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
+            self.handle_endtag(tag)
+
+    def handle_endtag(self, tag: str) -> None:
+        if all(self.elements[i].name != tag for i in self._open):
+            return
+        self._flush()
+        while True:
+            i = self._open.pop()
+            self.elements[i].end = len(self.pieces)
+            self._mute -= self.elements[i].name in NO_TEXT
+            if self.elements[i].name == tag:
+                return
+
+    def handle_data(self, data: str) -> None:
+        self._text.append(data)
+
+    def handle_comment(self, data: str) -> None:
+        self._flush()
+
+    def text(self) -> str:
+        return "".join(self.pieces)
+
+    def bare(self, element: Element) -> str:
+        """The element's text, each piece without white space at its ends."""
+        return "".join(p.strip() for p in self.pieces[element.first : element.end])
+
+    def having(self, names: tuple[str, ...], attribute: str | None, pattern: str) -> Element | None:
+        """The first element of these names whose attribute, or for classes one of them, has the pattern."""
+        for e in self.elements:
+            if e.name in names and (attribute is None or attribute in e.attributes and (re.search(pattern, e.attributes[attribute], re.I) or attribute == "class" and any(re.search(pattern, c, re.I) for c in e.attributes["class"].split()))):
+                return e
+        return None
+
+
+def listed_links(page: Page, portal: Portal) -> list[Element]:
+    """Links as a portal lists them, in the order of the elements that lead to them; a link may come more than once."""
+    links = [e for e in page.elements if e.name == "a" and "href" in e.attributes]
+    first_in: dict[int, Element] = {}
+    for link in links:
+        for i in link.inside:
+            first_in.setdefault(i, link)
+    found = []
+    for i, e in enumerate(page.elements):
+        if e.name == "a" and "href" in e.attributes and any(p in e.attributes["href"] for p in portal.link_parts):
+            found.append(e)
+        elif e.name in portal.row_tags or not set(portal.row_classes).isdisjoint(e.attributes.get("class", "").split()):
+            found += [e if e.name == "a" and "href" in e.attributes else first_in[i]] if e.name == "a" and "href" in e.attributes or i in first_in else []
+    return found
 
 
-def absolute(base: Column, href: Column) -> Column:
-    """The link against its page's address."""
-    root = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
-    folder = F.regexp_replace(F.regexp_replace(base, r"[?#].*$", ""), r"(?<=[^/:]/)[^/]*$", "")
-    folder = F.when(F.regexp_like(base, F.lit(r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*$")), F.concat(root, F.lit("/"))).otherwise(folder)
-    return F.when(F.regexp_like(href, F.lit(r"^[a-zA-Z][a-zA-Z0-9+.-]*:")), href).when(href.startswith("//"), F.concat(F.regexp_extract(base, r"^([^:]*:)", 1), href)).when(href.startswith("/"), F.concat(root, href)).when(href == "", base).otherwise(F.concat(folder, href))
+_LINKS = pa.list_(pa.struct([("href", pa.string()), ("target", pa.string()), ("link_text", pa.string())]))
+_LINKS_DDL = "array<struct<href: string, target: string, link_text: string>>"
 
 
-def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(page columns, position, href, target, link_text) of each anchor in page order."""
-    found = pages.withColumn("_anchors", F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(ANCHOR), F.lit(0)))
-    each = found.select("*", F.posexplode("_anchors").alias("position", "_anchor")).drop("_anchors")
-    href = strip(F.regexp_extract("_anchor", ANCHOR, 1))
-    return each.withColumn("href", href).withColumn("link_text", plain(F.regexp_extract("_anchor", ANCHOR, 2))).withColumn("target", absolute(F.col(url), F.col("href"))).drop("_anchor")
+def _target(base: str, href: str) -> str | None:
+    try:
+        return urljoin(base, href)
+    except ValueError:
+        return None  # an address that cannot be one
+
+
+def _links_column(choose: Callable[[Page], list[Element]]) -> Callable[[Column, Column], Column]:
+    @F.arrow_udf(_LINKS_DDL)
+    def links_of(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for urls, pages in parts:
+            rows = []
+            for url, html in zip(urls.to_pylist(), pages.to_pylist()):
+                page = Page(html or "")
+                own = [(e.attributes["href"].strip(), page.bare(e)) for e in choose(page) if e.attributes["href"]]
+                rows.append([{"href": h, "target": _target(url or "", h), "link_text": t} for h, t in own])
+            yield pa.array(rows, _LINKS)
+
+    return links_of
+
+
+def links(pages: DataFrame, url: str = "url", html: str = "html", portal: Portal | None = None) -> DataFrame:
+    """(page columns, position, href, target, link_text) of each link in page order, or of those that the portal lists.
+
+    Text is decoded, without tags, each piece without white space at its ends. Targets follow the rules for relative addresses; a link that has none is left out.
+    """
+    found = _links_column((lambda page: listed_links(page, portal)) if portal else (lambda page: [e for e in page.elements if e.name == "a" and "href" in e.attributes]))
+    each = pages.withColumn("_links", found(F.col(url), F.col(html))).select("*", F.posexplode("_links").alias("position", "_link")).drop("_links")
+    return each.select("*", "_link.*").drop("_link").filter("target is not null")
 
 
 def first_seen(rows: DataFrame, key: str) -> DataFrame:
@@ -68,13 +208,18 @@ def first_seen(rows: DataFrame, key: str) -> DataFrame:
 
 
 def listing(pages: DataFrame, portal: Portal, key: str = "page_id", limit: int = 0) -> DataFrame:
-    """(key, position, detail_url, title, regulation_number) of each regulation listed; with a limit the first of each page."""
-    href = F.lower("href")
-    wanted = href.contains(portal.must_contain.lower())
+    """(key, position, detail_url, title, regulation_number) of each regulation listed; with a limit the first of each page.
+
+    Pages that are null or hold no listing give no rows.
+    """
+    href = F.col("href")
+    wanted = F.lower(href).contains(portal.must_contain.lower())
     for suffix in portal.excluded_suffixes:
+        wanted = wanted & ~F.lower(href).endswith(suffix)
+    for suffix in portal.excluded_exact:
         wanted = wanted & ~href.endswith(suffix)
     long_enough = F.length("link_text") >= portal.least_title
-    rows = links(pages).filter(wanted)
+    rows = links(pages, portal=portal).filter(wanted)
     rows = first_seen(rows, key).filter(long_enough) if portal.marks_before_title else first_seen(rows.filter(long_enough), key)
     number = F.regexp_extract("link_text", f"(?i){portal.number}", 1)
     out = rows.select(key, "position", F.col("target").alias("detail_url"), F.col("link_text").alias("title"), F.when(number == "", portal.unknown_number).otherwise(number).alias("regulation_number"))
@@ -94,16 +239,44 @@ def local_date(text: Column) -> Column:
     return F.when((F.size(parts) == 3) & F.regexp_like(day, F.lit(r"^\d{1,2}$")) & F.regexp_like(year, F.lit(r"^\d{4}$")), made)
 
 
-def detail(pages: DataFrame, portal: Portal, html: str = "html", default_title: Column | None = None) -> DataFrame:
-    """The page's columns and title, status, dates, summary, sector of the regulation it describes."""
-    page = F.coalesce(F.col(html), F.lit(""))
-    text = F.regexp_replace(page, r"(?s)<[^>]*>", "")
-    first = lambda pattern, source=text: F.nullif(strip(F.regexp_extract(source, pattern, 1)), F.lit(""))
-    title = F.nullif(plain(F.regexp_extract(page, r"(?is)<h[1-3][^>]*?class\s*=\s*[\"'][^\"']*(?:title|header)[^\"']*[\"'][^>]*>(.*?)</h[1-3]>", 1)), F.lit(""))
-    summary = F.nullif(plain(F.regexp_extract(page, r"(?is)<div[^>]*?class\s*=\s*[\"'][^\"']*(?:summary|abstrak|content)[^\"']*[\"'][^>]*>(.*?)</div>", 1)), F.lit(""))
-    sector = F.lit(portal.sector) if not portal.sector_pattern else F.coalesce(first(portal.sector_pattern), F.lit(portal.sector))
-    dated = lambda word: local_date(F.regexp_extract(text, rf"(?i)Tanggal\s+{word}\s*:\s*(\d{{1,2}}\s+\w+\s+\d{{4}})", 1))
-    return pages.select("*", F.coalesce(title, default_title if default_title is not None else F.lit(None)).alias("title"), F.coalesce(first(r"(?i)Status\s*:\s*([^\n\r<]+)"), F.lit(portal.default_status)).alias("status"), dated("Terbit").alias("published_date"), dated("Berlaku").alias("effective_date"), F.substring(summary, 1, 1000).alias("summary"), sector.alias("sector"))
+_FIELDS = ("title", "status", "published", "effective", "summary", "sector")
+
+
+def described(page: Page, portal: Portal) -> tuple[str | None, ...]:
+    """What a detail page says of _FIELDS; None for what it does not say."""
+    text = page.text()
+
+    def said(pattern: str) -> str | None:
+        found = re.search(pattern, text, re.I)
+        return found[1].strip() if found else None
+
+    title = page.having(("h1", "h2", "h3"), portal.title_attribute, portal.title_pattern)
+    summary = page.having(("div",), "class", portal.summary_pattern)
+    date = lambda word: said(rf"Tanggal\s+{word}\s*:\s*(\d{{1,2}}\s+\w+\s+\d{{4}})") if portal.dated else None
+    return title and page.bare(title), said(r"Status\s*:\s*([^\n\r<]+)"), date("Terbit"), date("Berlaku"), summary and page.bare(summary)[:1000], said(portal.sector_pattern) if portal.sector_pattern else None
+
+
+def detail(pages: DataFrame, portal: Portal, html: str = "html", default_title: Column | None = None, default_published: Column | None = None) -> DataFrame:
+    """The page's columns and title, status, dates, summary, sector of the regulation it describes.
+
+    What a page does not say is that of the listing (`default_title`, `default_published`), the portal's usual status and sector, or null. A date
+    that is written but is none is null.
+    """
+
+    @F.arrow_udf("struct<" + ", ".join(f"{n}: string" for n in _FIELDS) + ">")
+    def read(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for some in parts:
+            rows = [described(Page(x or ""), portal) for x in some.to_pylist()]
+            yield pa.array([dict(zip(_FIELDS, r)) for r in rows], pa.struct([(n, pa.string()) for n in _FIELDS]))
+
+    said = lambda name: F.col(f"_said.{name}")
+    none = F.lit(None)
+    published = F.when(said("published").isNotNull(), local_date(said("published"))).otherwise((default_published if default_published is not None else none).cast("date"))
+    found = pages.withColumn("_said", read(F.col(html)))
+    return found.select(
+        "*", F.coalesce(said("title"), default_title if default_title is not None else none).alias("title"), F.coalesce(said("status"), F.lit(portal.default_status)).alias("status"), published.alias("published_date"),
+        local_date(said("effective")).alias("effective_date"), said("summary").alias("summary"), F.coalesce(said("sector"), F.lit(portal.sector)).alias("sector"),
+    ).drop("_said")
 
 
 def attachments(pages: DataFrame, portal: Portal, key: str = "page_id") -> DataFrame:
@@ -116,4 +289,4 @@ def attachments(pages: DataFrame, portal: Portal, key: str = "page_id") -> DataF
         kind = F.when(test, name).otherwise(kind)
     found = first_seen(links(pages).filter(F.lower("href").contains(".pdf")), key)
     name = F.element_at(F.split("target", "/"), -1)
-    return found.select(key, "position", kind.alias("document_type"), F.col("target").alias("document_url"), F.when(name == "", "document.pdf").otherwise(name).alias("filename"), F.lit("application/pdf").alias("content_type"))
+    return found.select(key, "position", kind.alias("document_type"), F.col("target").alias("document_url"), F.when(name == "", portal.unnamed_file).otherwise(name).alias("filename"), F.lit("application/pdf").alias("content_type"))

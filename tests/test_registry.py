@@ -47,7 +47,23 @@ def test_replace_and_versions_known(spark):
 
 def test_downloads(spark):
     log = spark.createDataFrame([(200, bytearray(b"%PDF-1"), False), (200, bytearray(b"<html"), True), (503, None, False), (404, None, False), (None, None, False), (418, None, True)], "status int, content binary, known boolean")
-    assert registry.ingestion_summary(log).first().asDict() == {"discovered": 6, "new_versions": 1, "skipped": 1, "retryable": 2, "failed": 2, "not_pdf": 1}
+    log = log.withColumn("parsed", F.col("status") != 404).withColumn("documents", F.lit(2))
+    assert registry.ingestion_summary(log).first().asDict() == {"discovered": 6, "metadata_parsed": 4, "documents_found": 12, "downloaded": 1, "new_versions": 1, "skipped": 1, "retryable": 2, "failed": 2, "not_pdf": 1}
+    delays = log.select(registry.retry_delay(F.lit(2), F.col("status")), registry.retry_delay(F.lit(4), F.col("status"))).collect()
+    assert [tuple(r) for r in delays] == [(None, None), (None, None), (2.0, None), (None, None), (2.0, None), (None, None)]
+
+
+def test_repeated_keys_are_folded(spark):
+    kind = "source string, regulation_type string, regulation_number string, title string, detail_url string, status string, n int"
+    old = spark.createDataFrame([("BI", "PBI", "1", "old", "u", "Berlaku", 0)], kind)
+    new = spark.createDataFrame([("BI", "PBI", "1", "b", "v", "", 2), ("BI", "PBI", "1", "a", "w", "Dicabut", 1), ("BI", "PBI", "2", "x", "", None, 1), ("BI", "PBI", "2", "", "y", "z", 3)], kind)
+    got = {r["regulation_number"]: tuple(r)[3:6] for r in registry.upsert(old, new, order="n").collect()}
+    assert got == {"1": ("b", "v", "Dicabut"), "2": ("", "y", "z")}
+    assert registry.upsert(old, new).count() == 2
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (2, "b")], "k int, x string")
+    for order in ("x", None):
+        assert sorted(r["k"] for r in registry.insert_if_absent(rows.filter("k = 1"), rows, ["k"], order).collect()) == [1, 2]
+    assert sorted(map(tuple, registry.insert_if_absent(rows.filter("k = 1"), rows, ["k"], "x").collect())) == [(1, "a"), (2, "b")]
 
 
 def test_metric_lines(spark):
@@ -66,12 +82,12 @@ def test_listing_by_portal(spark):
     got = [(r["detail_url"], r["title"], r["regulation_number"]) for r in pages.listing(rows, pages.CENTRAL_BANK).orderBy("position").collect()]
     assert got == [
         ("https://portal.example/id/peraturan/Pages/PBI_1.aspx", "Peraturan 23/6/PBI/2021 tentang X", "23/6/PBI/2021"),
-        ("https://other.example/peraturan/c.aspx", "No number here", "PBI-UNKNOWN"),
+        ("https://other.example/peraturan/c.aspx", "Nonumber here", "PBI-UNKNOWN"),
         ("https://portal.example/peraturan/d", "long title", "PBI-UNKNOWN"),
     ]
     assert pages.listing(rows, pages.CENTRAL_BANK, limit=1).count() == 1
-    hidden = pages.Portal("X", "Y", "/peraturan/", (".pdf", "/default.aspx"), marks_before_title=True)
-    assert [r["title"] for r in pages.listing(rows, hidden).orderBy("position").collect()] == ["Peraturan 23/6/PBI/2021 tentang X", "No number here"]
+    hidden = pages.Portal("X", "Y", "/peraturan/", ("/default.aspx",), marks_before_title=True)
+    assert [r["title"] for r in pages.listing(rows, hidden).orderBy("position").collect()] == ["Peraturan 23/6/PBI/2021 tentang X", "Nonumber here"]
 
 
 @pytest.mark.parametrize(
@@ -86,7 +102,7 @@ def test_details_and_attachments(spark):
     html = '<h2 class="Main-Title">Judul <i>A</i></h2>Status : Dicabut\n<p>Tanggal Terbit: 5 Mei 2021</p>\nTanggal  Berlaku : 6 Juni 2021\n<div class="content">isi</div><a href="x.pdf">Salinan</a><a href="/y.pdf">Tanya jawab</a><a href="x.pdf">FAQ</a><a href="z.pdf">Penjelasan</a>'
     rows = spark.createDataFrame([(1, "https://p.example/a/b.aspx", html), (2, "https://p.example/a/", "<p>nothing</p>")], "page_id long, url string, html string")
     got = {r["page_id"]: r for r in pages.detail(rows, pages.CENTRAL_BANK, default_title=F.lit("ref")).collect()}
-    assert (got[1]["title"], got[1]["status"], got[1]["published_date"], got[1]["effective_date"], got[1]["summary"]) == ("Judul A", "Dicabut", dt.date(2021, 5, 5), dt.date(2021, 6, 6), "isi")
+    assert (got[1]["title"], got[1]["status"], got[1]["published_date"], got[1]["effective_date"], got[1]["summary"]) == ("JudulA", "Dicabut", dt.date(2021, 5, 5), dt.date(2021, 6, 6), "isi")
     assert (got[2]["title"], got[2]["status"], got[2]["published_date"], got[2]["summary"]) == ("ref", "Berlaku", None, None)
     kinds = [(r["document_url"], r["document_type"]) for r in pages.attachments(rows, pages.CENTRAL_BANK).orderBy("position").collect()]
     assert kinds == [("https://p.example/a/x.pdf", "regulation"), ("https://p.example/y.pdf", "faq"), ("https://p.example/a/z.pdf", "other")]
@@ -158,3 +174,22 @@ def test_stream_of_observations(spark, tmp_path):
     got = {(r["document_id"], r["sha256"]): (r["first_seen_at"], r["last_seen_at"]) for r in versions.snapshot(spark, folder).collect()}
     whole = registry.versions(spark.createDataFrame(first + second, LOG)).collect()
     assert got == {(r["document_id"], r["sha256"]): (r["first_seen_at"], r["last_seen_at"]) for r in whole}
+
+
+def test_portal_pages_like_a_browser_reads_them(spark):
+    bank = """<div class="bi-row-item"><a href=/id/peraturan/Pages/A.aspx>Peraturan &quot;A&quot;</a></div><a href="../peraturan/B.aspx">Peraturan B</a><a href="?q=/peraturan/c">Peraturan C</a><a href="//cdn.example/peraturan/d">Peraturan D</a>"""
+    rows = spark.createDataFrame([(1, "https://p.example/a/b/c.aspx", bank)], "page_id long, url string, html string")
+    got = [(r["detail_url"], r["title"]) for r in pages.listing(rows, pages.CENTRAL_BANK).orderBy("position").collect()]
+    assert got == [("https://p.example/id/peraturan/Pages/A.aspx", 'Peraturan "A"'), ("https://p.example/a/peraturan/B.aspx", "Peraturan B"), ("https://p.example/a/b/c.aspx?q=/peraturan/c", "Peraturan C"), ("https://cdn.example/peraturan/d", "Peraturan D")]
+    authority = '<h1 id="title">Peraturan OJK</h1><p>Status : Dicabut</p>\n<p>Tanggal Terbit : 1 Mei 2020</p><p>Sektor : Perbankan</p>\n<div class="description">in <div>inner</div> tail</div><a href="d/">x.pdf</a><a href="POJK.pdf">Salinan</a>'
+    rows = spark.createDataFrame([(1, "https://o.example/x/", authority)], "page_id long, url string, html string")
+    r = pages.detail(rows, pages.SERVICES_AUTHORITY).first()
+    assert (r["title"], r["status"], r["published_date"], r["summary"], r["sector"]) == ("Peraturan OJK", "Dicabut", None, "ininnertail", "Perbankan")
+    assert [tuple(r)[2:5] for r in pages.attachments(rows, pages.SERVICES_AUTHORITY).collect()] == [("regulation", "https://o.example/x/POJK.pdf", "POJK.pdf")]
+    assert pages.listing(rows, pages.SERVICES_AUTHORITY).count() == 0
+
+
+def test_odd_pages_are_read():
+    for html in ("", "<", "<a", "<a href", "</p></a>", "<a href=x><a href=y>t", "<!-- <a href=z> -->", "<script><a href=q></script><a href='w'>&nbsp;ok</a>", "<p" * 1000, "&#x110000; &bogus;"):
+        page = pages.Page(html)
+        assert all(0 <= e.first <= e.end <= len(page.pieces) for e in page.elements)
