@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,9 +13,10 @@ from pyspark.sql import functions as F
 from lexloom.functions.text import _col
 from lexloom.operators.ranking import top_k
 
-#: Query vectors that one pass holds; more queries take more passes over the vectors.
-QUERIES_AT_ONCE = 4096
+#: Query vectors that one pass holds; more queries take more passes over the vectors. Vectors that are compared with them at once.
+QUERIES_AT_ONCE, TILE = 4096, 512
 PLACES = 6
+FOUND = "query_id long, chunk_id long, cosine double"
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -29,51 +29,67 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
+def _first(query: np.ndarray, chunk: np.ndarray, cosine: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k rows of each query with the highest cosines, ties by chunk."""
+    order = np.lexsort((chunk, -cosine, query))
+    query, chunk, cosine = query[order], chunk[order], cosine[order]
+    keep = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[keep], chunk[keep], cosine[keep]
+
+
+def _searched(sent, k: int):
+    """(chunk_id, embedding) -> the k best of a whole partition for each query of the block, from tiles of bounded size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, q = sent.value
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        rows = 0
+
+        def folded() -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            return [_first(*(np.concatenate(x) for x in zip(*held)), k)] if held else []
+
+        for batch in batches:
+            for a in range(0, batch.num_rows, TILE):
+                part = batch.slice(a, TILE)
+                x, chunk = _matrix(part.column(1)), part.column(0).to_numpy()
+                if x.shape[1] != q.shape[1]:
+                    raise ValueError(f"a vector has {x.shape[1]} dimensions, queries have {q.shape[1]}")
+                cosine = np.round(_unit(x) @ q.T, PLACES)
+                m = min(k, len(chunk))
+                row, query = np.nonzero(cosine >= np.partition(cosine, len(chunk) - m, axis=0)[len(chunk) - m])
+                held.append(_first(query, chunk[row], cosine[row, query], k))
+                rows += len(held[-1][0])
+                if rows > 16 * k * len(own):
+                    held = folded()
+                    rows = len(held[0][0])
+        for query, chunk, cosine in folded():
+            yield pa.RecordBatch.from_arrays([pa.array(own[query]), pa.array(chunk), pa.array(cosine)], names=["query_id", "chunk_id", "cosine"])
+
+    return run
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, dimension: int | None = None) -> DataFrame:
     """(query_id, chunk_id, rank, score, distance): the k nearest vectors of each query, nearest first, ties by id.
 
-    Queries (query_id, vector) go to the tasks as matrices of at most QUERIES_AT_ONCE rows. A task keeps k candidates of each query
-    and batch, so what is shuffled grows with batches, not with pairs. Null vectors are left out; one of another dimension
-    is an error. Cosines count to 6 places; scores are rounded to 4 and not negative.
+    Queries (query_id, vector) come to the driver one partition at a time and go to the tasks as matrices of at most QUERIES_AT_ONCE rows. A
+    task keeps k candidates of each query, so what is shuffled grows with partitions, not with pairs. Null vectors are left out; one of another
+    dimension is an error. Cosines count to 6 places; scores are rounded to 4 and not negative.
     """
-    if k <= 0:
-        return vectors.sparkSession.createDataFrame([], "query_id long, chunk_id long, rank int, score double, distance double")
-    asked = queries.filter("vector is not null").select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>")).collect()
     spark = vectors.sparkSession
+    none = spark.createDataFrame([], "query_id long, chunk_id long, rank int, score double, distance double")
+    if k <= 0:
+        return none
+    asked = queries.filter("vector is not null").select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>")).toLocalIterator()
     kept = vectors.filter("embedding is not null").select(F.col("chunk_id").cast("long").alias("chunk_id"), "embedding")
-    parts = []
-    for a in range(0, len(asked), QUERIES_AT_ONCE):
-        block = asked[a : a + QUERIES_AT_ONCE]
+    found = None
+    while block := list(islice(asked, QUERIES_AT_ONCE)):
         ids, matrix = np.array([r[0] for r in block]), _unit(np.array([r[1] for r in block], np.float64))
         if dimension is not None and matrix.shape[1] != dimension:
             raise ValueError(f"query vectors have {matrix.shape[1]} dimensions, not {dimension}")
-        sent = spark.sparkContext.broadcast((ids, matrix))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            own, q = sent.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = _matrix(batch.column(1))
-                if x.shape[1] != q.shape[1]:
-                    raise ValueError(f"a vector has {x.shape[1]} dimensions, queries have {q.shape[1]}")
-                chunk = batch.column(0).to_numpy()
-                cosine = np.round(_unit(x) @ q.T, PLACES)
-                m = min(k, len(chunk))
-                least = np.partition(cosine, len(chunk) - m, axis=0)[len(chunk) - m]
-                row, query = np.nonzero(cosine >= least)
-                order = np.lexsort((chunk[row], -cosine[row, query], query))
-                row, query = row[order], query[order]
-                place = np.arange(len(query)) - np.searchsorted(query, query)
-                row, query = row[place < m], query[place < m]
-                yield pa.RecordBatch.from_arrays([pa.array(own[query]), pa.array(chunk[row]), pa.array(cosine[row, query])], names=["query_id", "chunk_id", "cosine"])
-
-        parts.append(kept.mapInArrow(run, "query_id long, chunk_id long, cosine double"))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, chunk_id long, rank int, score double, distance double")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+        part = kept.mapInArrow(_searched(spark.sparkContext.broadcast((ids, matrix)), k), FOUND)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return none
     best = top_k(found, ["query_id"], [F.col("cosine").desc(), F.col("chunk_id")], k)
     return best.select("query_id", "chunk_id", "rank", F.greatest(F.lit(0.0), F.round("cosine", 4)).alias("score"), F.round(1 - F.col("cosine"), 4).alias("distance"))
 
@@ -84,18 +100,11 @@ def norm(vector: Column | str) -> Column:
 
 def mock_embedding(text: Column | str, dimension: int) -> Column:
     """A unit vector made of the text's SHA-256: a stand-in that needs no model and is the same everywhere. Null is empty."""
-
-    @F.pandas_udf("array<double>")
-    def embed(texts: pd.Series) -> pd.Series:
-        at = np.arange(dimension)
-
-        def one(value: str | None) -> np.ndarray:
-            x = np.frombuffer(hashlib.sha256((value or "").encode()).digest(), np.uint8)[at % 32] / 127.5 - 1.0 + at * 0.0001
-            return x / np.linalg.norm(x)
-
-        return texts.map(one)
-
-    return embed(_col(text))
+    digest = F.unhex(F.sha2(F.coalesce(_col(text), F.lit("")), 256))
+    byte = lambda d, i: F.conv(F.hex(F.substring(d, i % 32 + 1, F.lit(1))), 16, 10).cast("double")
+    # Digest and norm are each worked out once, as the one value of an array.
+    raw = F.transform(F.array(digest), lambda d: F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: byte(d, i) / 127.5 - 1.0 + i * 0.0001))
+    return F.transform(raw, lambda v: F.transform(F.array(norm(v)), lambda n: F.transform(v, lambda x: x / n))[0])[0]
 
 
 def dimension_report(embeddings: DataFrame, chunks: DataFrame, dimension: int) -> DataFrame:

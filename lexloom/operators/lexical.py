@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import tokens
 from lexloom.operators.ranking import top_k
 
 K1, B = 1.5, 0.75
+#: Stands for a term that each chunk has once; no token is empty.
+EVERY = ""
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -46,26 +48,45 @@ def document_frequencies(frequencies: DataFrame) -> DataFrame:
 def scores(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, chunk_id, raw, matched_terms) of all pairs that share a term.
 
-    Statistics are of the given chunks, so filter before to change them and after to keep them.
+    Statistics are of the given chunks, so filter before to change them and after to keep them. Texts are read once: each chunk also counts
+    as a row of the term EVERY, which no text has, so the table of terms tells how many chunks there are and how long.
     """
-    indexed, asked = index(chunks), query_terms(queries)
-    found = term_frequencies(indexed, asked)
-    weighed = found.join(document_frequencies(found), "term").join(F.broadcast(corpus_stats(indexed)))  # one row
+    asked = query_terms(queries)
+    marked = index(chunks).withColumn("terms", F.concat("terms", F.array(F.lit(EVERY))))
+    found = term_frequencies(marked, asked.select("term").unionByName(asked.sparkSession.range(1).select(F.lit(EVERY).alias("term"))))
+    terms = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("length").alias("total"))
+    # An aggregate over all terms and not a filter, which would be pushed down to a reading of its own.
+    of_all = lambda name: F.max(F.when(F.col("term") == EVERY, F.col(name)))
+    stats = terms.agg(of_all("df").alias("n"), (of_all("total") / of_all("df")).alias("avgdl"))
+    weighed = found.join(terms, "term").join(F.broadcast(stats))  # one row
     norm = F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avgdl"))
     part = idf(F.col("n"), F.col("df")) * F.col("tf") * (k1 + 1) / norm
     return asked.join(weighed.select("term", "chunk_id", part.alias("part")), "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("qtf") * F.col("part")).alias("raw"), F.count(F.lit(1)).cast("int").alias("matched_terms"))
 
 
+def best(scored: DataFrame, k: int) -> DataFrame:
+    """The rows that can be among the k best of their query: all of at least the k-th score, to 6 places."""
+    place = F.rank().over(Window.partitionBy("query_id").orderBy(F.round("raw", 6).desc()))
+    return scored.withColumn("_place", place).filter(F.col("_place") <= k).drop("_place")
+
+
+def order() -> list[Column]:
+    """What orders the rows of a query: the score, then path, sequence and id."""
+    return [F.round("raw", 6).desc(), F.col("structural_path"), F.col("sequence"), F.col("chunk_id")]
+
+
 def search(chunks: DataFrame, queries: DataFrame, k: int, keep: Column | None = None, k1: float = K1, b: float = B) -> DataFrame:
     """The k best chunks of each query. `keep` filters chunks after scoring, so it does not change the statistics.
 
-    Order: score to 6 places down, then path, sequence, id. Blank queries and k of 0 or less give nothing.
+    Order: score to 6 places down, then path, sequence, id; only rows that can be among the best meet the chunks. Blank queries and
+    k of 0 or less give nothing.
     """
-    scored = scores(chunks, queries, k1, b).join(chunks.select("chunk_id", "structural_path", "sequence", *([keep.alias("_keep")] if keep is not None else [])), "chunk_id")
-    if keep is not None:
-        scored = scored.filter("_keep").drop("_keep")
-    best = top_k(scored, ["query_id"], [F.round("raw", 6).desc(), F.col("structural_path"), F.col("sequence"), F.col("chunk_id")], k)
-    return best.withColumn("score", F.round("raw", 4)).drop("raw")
+    scored = scores(chunks, queries, k1, b)
+    if keep is None:
+        placed = best(scored, k).join(chunks.select("chunk_id", "structural_path", "sequence"), "chunk_id")
+    else:
+        placed = scored.join(chunks.select("chunk_id", "structural_path", "sequence", keep.alias("_keep")), "chunk_id").filter("_keep").drop("_keep")
+    return top_k(placed, ["query_id"], order(), k).withColumn("score", F.round("raw", 4)).drop("raw")
 
 
 def matches(source: str | None = None, kind: str | None = None, number: str | None = None, document: int | str | None = None) -> Column:

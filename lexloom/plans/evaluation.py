@@ -6,32 +6,55 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import text as t
 from lexloom.operators import dense, evaluate
-from lexloom.plans.retrieval import CHUNKS, TAGGED, _tagged, chunks, dense_sql, query_vectors, vectors
+from lexloom.plans.retrieval import CHAIN, CHUNKS, EVERY, FINAL, TAGGED, _den, _fused, _lex, _reranked, _tagged, chunks, dense_sql, fuse_sql, queries, query_vectors, vectors
 
-N_QUERIES = 40
+_PLACE = ["document_id", "structural_path", "page_start", "page_end"]
+
+
+def _typed(ids):
+    return ids.select("sample_id", F.when(F.col("sample_id") % 5 == 4, "out_of_domain").otherwise("in_domain").alias("query_type"))
 
 
 def _samples(s, d):
-    return vectors(s, d).filter(F.col("chunk_id") < N_QUERIES).select(F.col("chunk_id").alias("sample_id"), F.when(F.col("chunk_id") % 5 == 4, "out_of_domain").otherwise("in_domain").alias("query_type"))
+    return _typed(vectors(s, d).filter(F.col("chunk_id") % EVERY == 0).select(F.col("chunk_id").alias("sample_id")))
 
 
-def _results(s, d):
-    """The nearest vectors as evidence; each second path has a part suffix."""
-    found = dense.nearest(vectors(s, d), query_vectors(s, d, N_QUERIES), 10).join(chunks(s, d).select("chunk_id", "document_id", "structural_path", "page_start", "page_end"), "chunk_id")
+def _evidence(found):
+    """Ranked chunks as evidence; each second path has a part suffix."""
     path = F.when(F.col("chunk_id") % 2 == 0, F.concat("structural_path", F.lit(" [Part 1/2]"))).otherwise(F.col("structural_path"))
     return found.select(F.col("query_id").alias("sample_id"), "rank", "document_id", path.alias("structural_path"), "page_start", "page_end")
 
 
-def _gold(s, d):
-    """Vectors of the sample's label, each third of them, graded 1 to 3."""
+def _results(s, d):
+    return _evidence(dense.nearest(vectors(s, d), query_vectors(s, d, False), 10).join(chunks(s, d).select("chunk_id", *_PLACE), "chunk_id"))
+
+
+def _gold(s, d, samples):
+    """All vectors of the sample's label, graded 1 to 3."""
     v = vectors(s, d).select("chunk_id", "label")
-    asked = v.filter(F.col("chunk_id") < N_QUERIES).select(F.col("chunk_id").alias("sample_id"), "label")
-    pairs = asked.join(v.filter("chunk_id % 3 = 0"), "label").join(chunks(s, d), "chunk_id")
-    return pairs.select("sample_id", "document_id", "structural_path", "page_start", "page_end", (F.col("chunk_id") % 3 + F.col("chunk_id") % 2 + 1).cast("int").alias("relevance"))
+    asked = v.join(samples.select(F.col("sample_id").alias("chunk_id")), "chunk_id", "left_semi").select(F.col("chunk_id").alias("sample_id"), "label")
+    pairs = asked.join(v, "label").join(chunks(s, d).select("chunk_id", *_PLACE), "chunk_id")
+    return pairs.select("sample_id", *_PLACE, (F.col("chunk_id") % 3 + 1).cast("int").alias("relevance"))
 
 
 def _metrics(s, d):
-    return evaluate.per_sample(_samples(s, d), _results(s, d), _gold(s, d))
+    samples = _samples(s, d)
+    return evaluate.per_sample(samples, _results(s, d), _gold(s, d, samples))
+
+
+def _benchmark(s, d):
+    """The four stages on the benchmark's items: dense, lexical, fused and re-ranked lists of ten."""
+    samples = _typed(queries(s, d).select(F.col("query_id").alias("sample_id")))
+    gold = _gold(s, d, samples)
+    at = chunks(s, d).select("chunk_id", *_PLACE)
+    stages = {
+        "dense": _den(s, d, 10).join(at, "chunk_id"),
+        "bm25": _lex(s, d, 10).drop("structural_path").join(at, "chunk_id"),
+        "rrf": _fused(s, d, k=10),
+        "rrf_rerank": _reranked(s, d, 10).withColumnRenamed("rerank_rank", "rank"),
+    }
+    rows = [evaluate.stage_summary(evaluate.per_sample(samples, _evidence(found), gold), name) for name, found in stages.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
 
 
 def _rounded(rows, names):
@@ -59,21 +82,34 @@ QUERIES = {
     "eval_ndcg": lambda s, d: _rounded(_metrics(s, d), _NDCG),
     "eval_precision_recall": lambda s, d: _rounded(_metrics(s, d), _PR),
     "eval_stage_summary": lambda s, d: evaluate.stage_summary(_metrics(s, d), "dense"),
+    "eval_benchmark": _benchmark,
     "eval_generation": _generation,
 }
 
-_ASKED = f"SELECT vec_id AS query_id, embedding AS vector FROM embeddings WHERE vec_id < {N_QUERIES}"
+_ASKED = f"SELECT vec_id AS query_id, embedding AS vector FROM embeddings WHERE vec_id % {EVERY} = 0"
 _GAIN = lambda rel, place: f"(pow(2, {rel}) - 1) / log2({place} + 1)"
-METRICS = f"""{CHUNKS},
-{dense_sql(10, asked=_ASKED)},
-samples AS (SELECT vec_id AS sample_id, CASE WHEN vec_id % 5 = 4 THEN 'out_of_domain' ELSE 'in_domain' END AS query_type FROM embeddings WHERE vec_id < {N_QUERIES}),
-gold AS (SELECT q.vec_id AS sample_id, c.document_id, c.structural_path AS base_path, c.page_start, c.page_end, (v.vec_id % 3 + v.vec_id % 2 + 1)::INT AS relevance FROM embeddings q JOIN embeddings v USING (label) JOIN chunks c ON c.chunk_id = v.vec_id WHERE q.vec_id < {N_QUERIES} AND v.vec_id % 3 = 0),
+
+
+def gold_sql(samples: str) -> str:
+    return f"""samples AS (SELECT sample_id, CASE WHEN sample_id % 5 = 4 THEN 'out_of_domain' ELSE 'in_domain' END AS query_type FROM ({samples})),
+gold AS (SELECT q.vec_id AS sample_id, c.document_id, c.structural_path AS base_path, c.page_start, c.page_end, (v.vec_id % 3 + 1)::INT AS relevance FROM embeddings q JOIN embeddings v USING (label) JOIN chunks c ON c.chunk_id = v.vec_id WHERE q.vec_id IN (SELECT sample_id FROM samples)),
 best AS (SELECT sample_id, document_id, base_path, page_start, page_end, max(relevance) AS relevance FROM gold GROUP BY ALL),
-graded AS (SELECT d.query_id AS sample_id, d.rank, coalesce(b.relevance, 0) AS relevance FROM den d JOIN chunks c USING (chunk_id) LEFT JOIN best b ON b.sample_id = d.query_id AND b.document_id = c.document_id AND b.base_path = c.structural_path AND b.page_start = c.page_start AND b.page_end = c.page_end),
-found AS (SELECT sample_id, {", ".join(f"min(rank) FILTER (relevance > 0 AND rank <= {k}) AS first_{k}, sum({_GAIN('relevance', 'rank')}) FILTER (rank <= {k}) AS dcg_{k}" for k in evaluate.CUTOFFS)}, count(*) FILTER (relevance > 0 AND rank <= 5) AS matched FROM graded GROUP BY 1),
 placed AS (SELECT sample_id, relevance, row_number() OVER (PARTITION BY sample_id ORDER BY relevance DESC) AS place FROM gold),
-ideal AS (SELECT sample_id, count(*) AS n_gold, {", ".join(f"sum({_GAIN('relevance', 'place')}) FILTER (place <= {k}) AS ideal_{k}" for k in evaluate.CUTOFFS)} FROM placed GROUP BY 1),
-metrics AS (SELECT sample_id, {", ".join(f"coalesce(1.0::DOUBLE / first_{k}, 0) AS rr_{k}, (first_{k} IS NOT NULL)::INT::DOUBLE AS hit_{k}, CASE WHEN ideal_{k} > 0 THEN least(1.0::DOUBLE, coalesce(dcg_{k}, 0) / ideal_{k}) ELSE 0 END AS ndcg_{k}" for k in evaluate.CUTOFFS)}, coalesce(matched, 0) / 5.0::DOUBLE AS precision_5, coalesce(matched, 0)::DOUBLE / n_gold AS recall_5 FROM samples JOIN ideal USING (sample_id) LEFT JOIN found USING (sample_id) WHERE query_type = 'in_domain')"""
+ideal AS (SELECT sample_id, count(*) AS n_gold, {", ".join(f"sum({_GAIN('relevance', 'place')}) FILTER (place <= {k}) AS ideal_{k}" for k in evaluate.CUTOFFS)} FROM placed GROUP BY 1)"""
+
+
+def metrics_sql(ranked: str, name: str = "metrics") -> str:
+    """Metrics of a relation (query_id, chunk_id, rank)."""
+    return f"""graded_{name} AS (SELECT d.query_id AS sample_id, d.rank, coalesce(b.relevance, 0) AS relevance FROM {ranked} d JOIN chunks c USING (chunk_id) LEFT JOIN best b ON b.sample_id = d.query_id AND b.document_id = c.document_id AND b.base_path = c.structural_path AND b.page_start = c.page_start AND b.page_end = c.page_end),
+found_{name} AS (SELECT sample_id, {", ".join(f"min(rank) FILTER (relevance > 0 AND rank <= {k}) AS first_{k}, sum({_GAIN('relevance', 'rank')}) FILTER (rank <= {k}) AS dcg_{k}" for k in evaluate.CUTOFFS)}, count(*) FILTER (relevance > 0 AND rank <= 5) AS matched FROM graded_{name} GROUP BY 1),
+{name} AS (SELECT sample_id, {", ".join(f"coalesce(1.0::DOUBLE / first_{k}, 0) AS rr_{k}, (first_{k} IS NOT NULL)::INT::DOUBLE AS hit_{k}, CASE WHEN ideal_{k} > 0 THEN least(1.0::DOUBLE, coalesce(dcg_{k}, 0) / ideal_{k}) ELSE 0 END AS ndcg_{k}" for k in evaluate.CUTOFFS)}, coalesce(matched, 0) / 5.0::DOUBLE AS precision_5, coalesce(matched, 0)::DOUBLE / n_gold AS recall_5 FROM samples JOIN ideal USING (sample_id) LEFT JOIN found_{name} USING (sample_id) WHERE query_type = 'in_domain')"""
+
+
+METRICS = ",\n".join([CHUNKS, dense_sql(10, asked=_ASKED), gold_sql(f"SELECT vec_id AS sample_id FROM embeddings WHERE vec_id % {EVERY} = 0"), metrics_sql("den")])
+_summary = lambda stage, name: f"SELECT '{stage}' AS stage, count(*) AS n_samples, " + ", ".join(f"coalesce(round(avg({n}), 4), 0) AS {n}" for n in [*_RR, *_NDCG, *_PR]) + f" FROM {name}"
+_STAGES = {"dense": "(SELECT * FROM den WHERE rank <= 10)", "bm25": "(SELECT * FROM lex WHERE rank <= 10)", "rrf": "ten", "rrf_rerank": "(SELECT query_id, chunk_id, rerank_rank AS rank FROM reranked)"}
+#: The chain with lists of ten from the fused and the re-ranked rows.
+_CHAIN_TEN = f"{CHAIN.replace(f'rerank_rank <= {FINAL}', 'rerank_rank <= 10')},\n{fuse_sql(60, 10, 'ten')}"
 _pick = lambda names: f"WITH {METRICS}\nSELECT sample_id, " + ", ".join(f"round({n}, 6) AS {n}" for n in names) + " FROM metrics"
 _MARK = r"regexp_replace(trim(answer), '([.!?\n;])\s+', '\1' || chr(1), 'g')"
 _share = lambda a, b: f"CASE WHEN n = 0 THEN 0.0::DOUBLE WHEN {b} > 0 THEN round({a}::DOUBLE / {b}, 4) ELSE 1.0::DOUBLE END"
@@ -82,7 +118,8 @@ ORACLES = {
     "eval_rr_hit": _pick(_RR),
     "eval_ndcg": _pick(_NDCG),
     "eval_precision_recall": _pick(_PR),
-    "eval_stage_summary": f"WITH {METRICS}\nSELECT 'dense' AS stage, count(*) AS n_samples, " + ", ".join(f"coalesce(round(avg({n}), 4), 0) AS {n}" for n in [*_RR, *_NDCG, *_PR]) + " FROM metrics",
+    "eval_stage_summary": f"WITH {METRICS}\n{_summary('dense', 'metrics')}",
+    "eval_benchmark": f"WITH {_CHAIN_TEN},\n{gold_sql('SELECT query_id AS sample_id FROM queries')},\n" + ",\n".join(metrics_sql(rows, f"m_{name}") for name, rows in _STAGES.items()) + "\n" + " UNION ALL ".join(_summary(name, f"m_{name}") for name in _STAGES),
     "eval_generation": rf"""WITH {TAGGED},
 samples AS (SELECT key, answer, abstain = 0 AS abstained, CASE WHEN key % 7 <> 0 THEN key % 2 = 0 END AS expected FROM tagged),
 spoke AS (SELECT key, regexp_extract_all(answer, '\[(C\d+)\]', 1) AS tags, list_filter(list_transform(string_split({_MARK}, chr(1)), lambda c: trim(c)), lambda c: length(c) > 5) AS claims FROM samples WHERE NOT abstained),

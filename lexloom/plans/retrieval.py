@@ -33,8 +33,8 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, d: str) -> DataFrame:
-    """The first six words of each benchmark item."""
-    return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat_ws(" ", F.slice(t.tokens("text"), 1, 6)).alias("query"))
+    """The whole text of each benchmark item."""
+    return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def literal_query(spark: SparkSession) -> DataFrame:
@@ -45,9 +45,14 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
 
 
-def query_vectors(spark: SparkSession, d: str, n: int | None = None) -> DataFrame:
-    """The vector with the query's number stands for the query's own."""
-    rows = vectors(spark, d).join(queries(spark, d), F.col("chunk_id") == F.col("query_id"), "left_semi") if n is None else vectors(spark, d).filter(F.col("chunk_id") < n)
+#: The queries of a search over vectors: every row whose id this divides, against all rows.
+EVERY = 50
+
+
+def query_vectors(spark: SparkSession, d: str, of_items: bool = True) -> DataFrame:
+    """The vector with the query's number stands for the query's own; blank queries have none. Without `of_items` every EVERY-th vector."""
+    asked = fusion.asking(queries(spark, d))
+    rows = vectors(spark, d).join(asked, F.col("chunk_id") == F.col("query_id"), "left_semi") if of_items else vectors(spark, d).filter(F.col("chunk_id") % EVERY == 0)
     return rows.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
@@ -57,7 +62,7 @@ CHUNKS = """chunks AS (SELECT doc_id AS chunk_id, doc_id % 97 AS document_id, te
   'Judul ' || doc_id AS title, source || '/' || lang AS structural_path, doc_id AS sequence, 1 + doc_id % 7 AS page_start, 1 + doc_id % 7 + doc_id % 3 AS page_end, doc_id % 3 <> 0 AS is_current,
   '[' || source || ' - ' || lang || ' No. ' || (doc_id % 50) || '] Judul ' || doc_id || chr(10) || 'Hierarki: ' || source || '/' || lang || chr(10) || 'Halaman: ' || (1 + doc_id % 7) || ' - ' || (1 + doc_id % 7 + doc_id % 3) || chr(10) || chr(10) || text AS contextual_text
   FROM documents)"""
-QUERIES_SQL = r"""queries AS (SELECT item_id AS query_id, array_to_string(list_slice(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), 1, 6), ' ') AS query FROM benchmark)"""
+QUERIES_SQL = "queries AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 ONE_QUERY = f"queries AS (SELECT {QUERY_ID} AS query_id, '{QUERY}' AS query)"
 
 
@@ -118,24 +123,29 @@ def _den(s, d, k=DEPTH):
     return dense.nearest(vectors(s, d), query_vectors(s, d), k)
 
 
-def _fused(s, d, rrf_k=60, k=POOL):
-    return fusion.fuse(_den(s, d), _lex(s, d), chunks(s, d), k, rrf_k)
+_PAYLOAD = ("contextual_text", "source", "regulation_type", "regulation_number", "document_id", "page_start", "page_end")
 
 
-def _reranked(s, d):
-    return fusion.rerank(_fused(s, d), queries(s, d), chunks(s, d), FINAL)
+def _fused(s, d, rrf_k=60, k=POOL):
+    """Candidates of both lists with their payload; texts are read where a query uses them."""
+    return fusion.hybrid(_den(s, d), lexical.scores(chunks(s, d), queries(s, d)), chunks(s, d), DEPTH, k, rrf_k, _PAYLOAD)
 
 
-def _with_payload(s, d):
-    return _reranked(s, d).join(chunks(s, d).select("chunk_id", "source", "regulation_type", "regulation_number", "page_start", "contextual_text"), "chunk_id")
+def _reranked(s, d, n=FINAL):
+    return fusion.rerank(_fused(s, d), queries(s, d), None, n)
 
 
 def _blocks(s, d):
-    return answer.context(_with_payload(s, d), BUDGET)
+    return answer.context(_reranked(s, d), BUDGET)
 
 
 def _bundles(s, d):
-    return answer.bundles(queries(s, d), _with_payload(s, d), BUDGET)
+    return answer.bundles(queries(s, d), _reranked(s, d), BUDGET)
+
+
+def _half_blank(s, d):
+    """The queries, every third without any text."""
+    return queries(s, d).withColumn("query", F.when(F.col("query_id") % 3 == 0, " \t").otherwise(F.col("query")))
 
 
 def _gated(s, d):
@@ -190,14 +200,16 @@ QUERIES = {
     "lexical_index_report": lambda s, d: lexical.report(chunks(s, d)),
     "term_idf": lambda s, d: lexical.document_frequencies(lexical.term_frequencies(lexical.index(chunks(s, d)))).join(F.broadcast(lexical.corpus_stats(lexical.index(chunks(s, d))))).select("term", "df", F.round(lexical.idf(F.col("n"), F.col("df")), 6).alias("idf")),
     "matched_terms": lambda s, d: lexical.scores(chunks(s, d), queries(s, d)).select("query_id", "chunk_id", "matched_terms"),
-    "dense_topk": lambda s, d: dense.nearest(vectors(s, d), query_vectors(s, d, 10), 10).select("query_id", "chunk_id", "rank", "score", "distance"),
-    "dense_filtered_topk": lambda s, d: dense.nearest(vectors(s, d).join(chunks(s, d).filter("source = 'src1'"), "chunk_id", "left_semi"), query_vectors(s, d, 10), 5).select("query_id", "chunk_id", "rank", "score", "distance"),
+    "dense_topk": lambda s, d: dense.nearest(vectors(s, d), query_vectors(s, d, False), 10).select("query_id", "chunk_id", "rank", "score", "distance"),
+    "dense_filtered_topk": lambda s, d: dense.nearest(vectors(s, d).join(chunks(s, d).filter("source = 'src1'"), "chunk_id", "left_semi"), query_vectors(s, d, False), 5).select("query_id", "chunk_id", "rank", "score", "distance"),
     "mock_embedding_norms": lambda s, d: read(s, d, "documents").withColumn("v", dense.mock_embedding("text", 64)).select("doc_id", F.round(dense.norm("v"), 6).alias("norm"), F.round(F.element_at("v", 1), 6).alias("first"), F.round(F.element_at("v", 64), 6).alias("last")),
     "embedding_dim_report": lambda s, d: dense.dimension_report(read(s, d, "embeddings"), chunks(s, d), 64),
     "rrf_fuse": lambda s, d: _fused(s, d).select(*_FUSED_OUT),
     "rrf_k_sweep": lambda s, d: _sweep(s, d),
     "fusion_report": lambda s, d: fusion.report(_fused(s, d)),
     "hybrid_number_filter_leak": lambda s, d: fusion.fuse(_den(s, d), _lex(s, d, keep=lexical.matches(number="7")), chunks(s, d), POOL).join(chunks(s, d).select("chunk_id", "regulation_number"), "chunk_id").select("query_id", "chunk_id", "rank", "retrieval_method", (F.col("regulation_number") != "7").alias("leaked")),
+    "hybrid_blank_queries": lambda s, d: fusion.fuse(_den(s, d), _lex(s, d), chunks(s, d), POOL, queries=_half_blank(s, d)).select(*_FUSED_OUT),
+    "rerank_report": lambda s, d: fusion.rerank_report(queries(s, d), _fused(s, d), _reranked(s, d)),
     "rerank_overlap": lambda s, d: _reranked(s, d).select("query_id", "chunk_id", "rerank_rank", "rerank_score", "fused_score", "dense_rank", "lexical_rank"),
     "topk_by_cutoff": lambda s, d: _fused(s, d).groupBy("query_id").agg(*[F.sum(((F.col("rank") <= k) & (F.col("chunk_id") % 2 == 0)).cast("long")).alias(f"even_at_{k}") for k in (1, 5, 10)], F.sum("fused_score").cast("decimal(20,6)").cast("double").alias("total")),
     "context_budget": lambda s, d: _blocks(s, d).select("query_id", "context_id", "chunk_id", "tokens", "running_tokens"),
@@ -207,7 +219,7 @@ QUERIES = {
     "citation_check": lambda s, d: _checked(s, d),
     "citation_invalid": lambda s, d: _tagged(s, d).select("key", F.explode(F.array_distinct(t.citation_tags("answer"))).alias("context_id")).join(F.broadcast(_known(s)), "context_id", "left_anti").select("key", "context_id"),
     "conflict_flag": lambda s, d: read(s, d, "conversations").select("conv_id", "turn", t.mentions_conflict(F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit(" CONFLICTING"))).otherwise(F.col("text"))).alias("has_conflict")),
-    "vector_payload": lambda s, d: dense.nearest(vectors(s, d), query_vectors(s, d, 10), 5).join(chunks(s, d), "chunk_id").select("query_id", "rank", "chunk_id", "source", "title", "structural_path", F.length("chunk_text").alias("n_chars"), t.display_citation("source", "regulation_type", "regulation_number", "structural_path", "page_start").alias("citation")),
+    "vector_payload": lambda s, d: dense.nearest(vectors(s, d), query_vectors(s, d, False), 5).join(chunks(s, d), "chunk_id").select("query_id", "rank", "chunk_id", "source", "title", "structural_path", F.length("chunk_text").alias("n_chars"), t.display_citation("source", "regulation_type", "regulation_number", "structural_path", "page_start").alias("citation")),
     "display_citation": lambda s, d: chunks(s, d).select("chunk_id", t.display_citation("source", "regulation_type", "regulation_number", "structural_path", "page_start").alias("citation")),
     "canonical_path": lambda s, d: _split_paths(s, d),
 }
@@ -232,7 +244,7 @@ def _with(parts: str, select: str) -> str:
 _BASE = f"{CHUNKS},\n{QUERIES_SQL}"
 _LEX_SQL = "SELECT query_id, chunk_id, rank, score, matched_terms FROM lex"
 _DEN_SQL = "SELECT query_id, chunk_id, rank, score, distance FROM den"
-_TEN = "SELECT vec_id AS query_id, embedding AS vector FROM embeddings WHERE vec_id < 10"
+_FIFTIETH = "SELECT vec_id AS query_id, embedding AS vector FROM embeddings WHERE vec_id % 50 = 0"
 _CITE = "'[' || source || ', ' || regulation_type || ' No. ' || regulation_number || ', ' || structural_path || ', p. ' || page_start || ']'"
 _MOCK = "list_transform(range(0, 64), lambda i: list_extract(b, (i % 32) + 1) / 127.5 - 1.0 + i * 0.0001)"
 
@@ -244,14 +256,16 @@ ORACLES = {
     "lexical_index_report": _with(f"{_BASE},\n{bm25_sql()}", "SELECT n AS total_chunks, (SELECT count(*) FROM df) AS vocabulary_size, round(avgdl, 2) AS avg_chunk_length FROM stats"),
     "term_idf": _with(f"{_BASE},\n{bm25_sql()}", "SELECT term, df, round(greatest(0, ln((n - df + 0.5) / (df + 0.5) + 1)), 6) AS idf FROM df CROSS JOIN stats"),
     "matched_terms": _with(f"{_BASE},\n{bm25_sql()}", "SELECT query_id, chunk_id, matched_terms FROM bm"),
-    "dense_topk": _with(dense_sql(10, asked=_TEN), _DEN_SQL),
-    "dense_filtered_topk": _with(f"{CHUNKS},\n{dense_sql(5, where='vec_id IN (SELECT chunk_id FROM chunks WHERE source = ' + chr(39) + 'src1' + chr(39) + ')', asked=_TEN)}", _DEN_SQL),
+    "dense_topk": _with(dense_sql(10, asked=_FIFTIETH), _DEN_SQL),
+    "dense_filtered_topk": _with(f"{CHUNKS},\n{dense_sql(5, where='vec_id IN (SELECT chunk_id FROM chunks WHERE source = ' + chr(39) + 'src1' + chr(39) + ')', asked=_FIFTIETH)}", _DEN_SQL),
     "mock_embedding_norms": f"SELECT doc_id, round(sqrt(list_sum(list_transform(u, lambda x: x * x))), 6) AS norm, round(u[1], 6) AS first, round(u[64], 6) AS last FROM (SELECT doc_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS u FROM (SELECT doc_id, {_MOCK} AS v FROM (SELECT doc_id, list_transform(range(0, 32), lambda i: ('0x' || substr(sha256(text), (2 * i + 1)::INT, 2))::INT::DOUBLE) AS b FROM documents)))",
     "embedding_dim_report": "SELECT total_chunks, embedded, wrong_dimension, wrong_dimension = 0 AND (total_chunks = 0 OR embedded > 0) AS is_valid FROM (SELECT count(*) AS total_chunks FROM documents), (SELECT count(*) AS embedded, count(*) FILTER (len(embedding) <> 64) AS wrong_dimension FROM embeddings)",
     "rrf_fuse": _with(CHAIN, f"SELECT {', '.join(_FUSED_OUT)} FROM fused"),
     "rrf_k_sweep": _with(f"{CHAIN},\n{fuse_sql(10, 3, 'ten')},\n{fuse_sql(60, 3, 'sixty')}", "SELECT 10 AS rrf_k, query_id, chunk_id, rank, fused_score FROM ten UNION ALL SELECT 60, query_id, chunk_id, rank, fused_score FROM sixty"),
     "fusion_report": _with(CHAIN, "SELECT query_id, count(*) AS fused, count(dense_rank) AS dense, count(lexical_rank) AS lexical, count(*) FILTER (retrieval_method = 'hybrid') AS hybrid FROM fused GROUP BY query_id"),
     "hybrid_number_filter_leak": _with(f"{_BASE},\n{bm25_sql(keep='lower(regulation_number) = ' + chr(39) + '7' + chr(39))},\n{dense_sql()},\n{fuse_sql()}", "SELECT query_id, chunk_id, rank, retrieval_method, regulation_number <> '7' AS leaked FROM fused JOIN (SELECT chunk_id, regulation_number FROM chunks) USING (chunk_id)"),
+    "hybrid_blank_queries": _with(CHAIN, f"SELECT {', '.join(_FUSED_OUT)} FROM fused WHERE query_id % 3 <> 0"),
+    "rerank_report": _with(CHAIN, "SELECT query_id, 'word-overlap' AS model_name, coalesce(i, 0) AS candidates_in, coalesce(o, 0) AS reranked_out FROM queries LEFT JOIN (SELECT query_id, count(*) AS i FROM fused GROUP BY 1) USING (query_id) LEFT JOIN (SELECT query_id, count(*) AS o FROM reranked GROUP BY 1) USING (query_id)"),
     "rerank_overlap": _with(CHAIN, "SELECT query_id, chunk_id, rerank_rank, rerank_score, fused_score, dense_rank, lexical_rank FROM reranked"),
     "topk_by_cutoff": _with(CHAIN, "SELECT query_id, " + ", ".join(f"count(*) FILTER (rank <= {k} AND chunk_id % 2 = 0) AS even_at_{k}" for k in (1, 5, 10)) + ", sum(fused_score)::DECIMAL(20,6)::DOUBLE AS total FROM fused GROUP BY query_id"),
     "context_budget": _with(f"{CHAIN},\n{CONTEXT_SQL}", "SELECT query_id, context_id, chunk_id, tokens, running_tokens FROM blocks"),
@@ -264,7 +278,7 @@ ORACLES = {
     "citation_check": _with(f"{TAGGED},\n{_CHECKED}", "SELECT key, n_tags, len(list_filter(tags, lambda x: x IN ('C1', 'C2', 'C3'))) AS n_valid, array_to_string(list_filter(tags, lambda x: x NOT IN ('C1', 'C2', 'C3')), ',') AS invalid_tags, len(list_filter(tags, lambda x: x NOT IN ('C1', 'C2', 'C3'))) = 0 AS is_valid FROM checked"),
     "citation_invalid": _with(f"{TAGGED},\n{_CHECKED}", "SELECT key, context_id FROM (SELECT key, unnest(tags) AS context_id FROM checked) WHERE context_id NOT IN ('C1', 'C2', 'C3')"),
     "conflict_flag": "SELECT conv_id, turn, contains(lower(CASE WHEN turn % 3 = 0 THEN text || ' CONFLICTING' ELSE text END), 'conflict') AS has_conflict FROM conversations",
-    "vector_payload": _with(f"{CHUNKS},\n{dense_sql(5, asked=_TEN)}", f"SELECT query_id, rank, chunk_id, source, title, structural_path, length(chunk_text) AS n_chars, {_CITE} AS citation FROM den JOIN chunks USING (chunk_id)"),
+    "vector_payload": _with(f"{CHUNKS},\n{dense_sql(5, asked=_FIFTIETH)}", f"SELECT query_id, rank, chunk_id, source, title, structural_path, length(chunk_text) AS n_chars, {_CITE} AS citation FROM den JOIN chunks USING (chunk_id)"),
     "display_citation": _with(CHUNKS, f"SELECT chunk_id, {_CITE} AS citation FROM chunks"),
     "canonical_path": _with(CHUNKS, r"SELECT chunk_id, trim(regexp_replace(p, '\s*\[part\s+\d+/\d+\]\s*$', '', 'i')) AS base_path, document_id || ':' || trim(regexp_replace(p, '\s*\[part\s+\d+/\d+\]\s*$', '', 'i')) || ':' || page_start || ':' || page_end AS canonical_key FROM (SELECT *, ' ' || structural_path || CASE chunk_id % 3 WHEN 0 THEN ' [Part ' || (chunk_id % 4 + 1) || '/4] ' WHEN 1 THEN '  [PART 1/2]' ELSE '' END AS p FROM chunks)"),
 }
