@@ -57,24 +57,50 @@ def chunks(tree: DataFrame, version: Column | None = None, largest: int = LARGES
 
     Nodes carry the regulation's columns. The hash is of version, node, path, part and text, so the same content has the same one.
     """
-    leaves = with_context(tree).filter(F.col("node_type").isin(*LEAVES) & (strip("text") != "")).withColumn("_parts", split(strip("text"), largest))
-    each = leaves.select("*", F.posexplode("_parts").alias("_part", "chunk_text")).withColumn("part_index", F.col("_part") + 1).withColumn("total_parts", F.size("_parts"))
+    return parts_of_leaves(tree, version, largest, source, kind, number, title).filter(F.col("chunk_text").isNotNull()).drop("leaf_chars")
+
+
+def parts_of_leaves(tree: DataFrame, version: Column | None = None, largest: int = LARGEST, source: str = "source", kind: str = "regulation_type", number: str = "regulation_number", title: str = "regulation_title") -> DataFrame:
+    """The chunks, and a row without a chunk for each leaf without text; leaf_chars: the leaf's characters, in its first row. One pass for chunks and what they are checked against."""
+    leaves = with_context(tree).filter(F.col("node_type").isin(*LEAVES)).withColumn("_parts", split(strip("text"), largest))
+    each = leaves.select("*", F.posexplode_outer("_parts").alias("_part", "chunk_text")).withColumn("part_index", F.col("_part") + 1).withColumn("total_parts", F.size("_parts"))
     path = F.when(F.col("total_parts") > 1, F.concat("path", F.lit(" [Part "), F.col("part_index").cast("string"), F.lit("/"), F.col("total_parts").cast("string"), F.lit("]"))).otherwise(F.col("path"))
-    order = F.row_number().over(Window.partitionBy("document_id").orderBy("ancestors", "part_index"))
+    order = F.count("chunk_text").over(Window.partitionBy("document_id").orderBy("ancestors", "part_index").rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int")
     made = each.withColumn("structural_path", path).withColumn("chunk_sequence", order).withColumn("character_count", F.length("chunk_text")).withColumn("word_count", word_count("chunk_text"))
     digest = F.sha2(F.concat_ws(":", (version if version is not None else F.col("document_id")).cast("string"), F.col("sequence").cast("string"), "structural_path", F.col("part_index").cast("string"), "chunk_text"), 256)
-    return made.withColumn("chunk_hash", digest).withColumn("contextual_text", contextual(source, kind, number, title, "structural_path", "page_start", "page_end", "chunk_text")).drop("_parts", "_part")
+    made = made.withColumn("chunk_hash", F.when(F.col("chunk_text").isNotNull(), digest)).withColumn("contextual_text", contextual(source, kind, number, title, "structural_path", "page_start", "page_end", "chunk_text"))
+    return made.withColumn("leaf_chars", F.when(F.coalesce("_part", F.lit(0)) == 0, F.coalesce(F.length(strip("text")), F.lit(0)))).drop("_parts", "_part")
 
 
 def validate(tree: DataFrame, made: DataFrame) -> DataFrame:
-    """Per document: sizes, coverage, and the five rules (all characters, no blank chunk, no equal hash, no missing node, sequence 1..N)."""
+    """Per document: sizes, coverage, and the five rules (all characters, no blank chunk, no equal hash, no missing node, sequence 1..N).
+
+    For chunks that come from elsewhere; those of parts_of_leaves are checked in the same pass by validate_parts.
+    """
     leaf = tree.filter(F.col("node_type").isin(*LEAVES)).groupBy("document_id").agg(F.sum(F.length(strip("text"))).alias("leaf_chars"))
-    per = made.groupBy("document_id").agg(
-        F.count(F.lit(1)).alias("total_chunks"), F.sum("character_count").alias("chunked_chars"), F.min("character_count").alias("min_size"), F.max("character_count").alias("max_size"), F.round(F.avg("character_count"), 2).alias("avg_size"),
-        F.sum((strip("chunk_text") == "").cast("long")).alias("blank_chunks"), (F.count("chunk_hash") - F.countDistinct("chunk_hash")).alias("duplicate_hashes"), F.sum(F.col("sequence").isNull().cast("long")).alias("missing_nodes"),
-        (F.min("chunk_sequence") == 1).alias("_from1"), (F.max("chunk_sequence") == F.count(F.lit(1))).alias("_toN"), F.countDistinct("chunk_sequence").alias("_numbers"),
-    )
-    rows = leaf.join(per, "document_id", "left")
+    return _judged(leaf.join(made.groupBy("document_id").agg(*_measures()), "document_id", "left"))
+
+
+def validate_parts(parts: DataFrame) -> DataFrame:
+    """As validate, of the rows of parts_of_leaves."""
+    per = parts.groupBy("document_id").agg(F.sum("leaf_chars").alias("leaf_chars"), *_measures())
+    # A document without any chunk has no measures.
+    some = F.col("total_chunks") > 0
+    return _judged(per.select("document_id", "leaf_chars", *[F.when(some, F.col(c)).alias(c) for c in per.columns[2:]]))
+
+
+def _measures() -> list[Column]:
+    """Of the rows that are chunks. Sets and not distinct counts, which would copy all rows for each."""
+    there = F.col("chunk_text").isNotNull()
+    n = F.count("chunk_text")
+    return [
+        n.alias("total_chunks"), F.sum("character_count").alias("chunked_chars"), F.min("character_count").alias("min_size"), F.max("character_count").alias("max_size"), F.round(F.avg("character_count"), 2).alias("avg_size"),
+        F.sum((strip("chunk_text") == "").cast("long")).alias("blank_chunks"), (F.count("chunk_hash") - F.size(F.collect_set("chunk_hash"))).alias("duplicate_hashes"), F.sum((there & F.col("sequence").isNull()).cast("long")).alias("missing_nodes"),
+        (F.min(F.when(there, F.col("chunk_sequence"))) == 1).alias("_from1"), (F.max(F.when(there, F.col("chunk_sequence"))) == n).alias("_toN"), F.size(F.collect_set(F.when(there, F.col("chunk_sequence")))).alias("_numbers"),
+    ]
+
+
+def _judged(rows: DataFrame) -> DataFrame:
     chars = F.coalesce("chunked_chars", F.lit(0))
     ratio = F.when((F.col("leaf_chars") == 0) & (chars == 0), 1.0).when(F.col("leaf_chars") == 0, 0.0).otherwise(F.round(chars / F.col("leaf_chars"), 4))
     ordered = F.coalesce(F.col("_from1") & F.col("_toN") & (F.col("_numbers") == F.col("total_chunks")), F.lit(False))

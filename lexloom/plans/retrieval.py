@@ -214,6 +214,7 @@ QUERIES = {
     "topk_by_cutoff": lambda s, d: _fused(s, d).groupBy("query_id").agg(*[F.sum(((F.col("rank") <= k) & (F.col("chunk_id") % 2 == 0)).cast("long")).alias(f"even_at_{k}") for k in (1, 5, 10)], F.sum("fused_score").cast("decimal(20,6)").cast("double").alias("total")),
     "context_budget": lambda s, d: _blocks(s, d).select("query_id", "context_id", "chunk_id", "tokens", "running_tokens"),
     "prompt_text": lambda s, d: _bundles(s, d).select("query_id", "n_blocks", "prompt"),
+    "prompt_tokens": lambda s, d: _bundles(s, d).select("query_id", answer.input_tokens("prompt").alias("input_tokens")),
     "quality_gate": lambda s, d: _gated(s, d),
     "rag_outcome": _rag,
     "citation_check": lambda s, d: _checked(s, d),
@@ -270,6 +271,7 @@ ORACLES = {
     "topk_by_cutoff": _with(CHAIN, "SELECT query_id, " + ", ".join(f"count(*) FILTER (rank <= {k} AND chunk_id % 2 = 0) AS even_at_{k}" for k in (1, 5, 10)) + ", sum(fused_score)::DECIMAL(20,6)::DOUBLE AS total FROM fused GROUP BY query_id"),
     "context_budget": _with(f"{CHAIN},\n{CONTEXT_SQL}", "SELECT query_id, context_id, chunk_id, tokens, running_tokens FROM blocks"),
     "prompt_text": _with(f"{CHAIN},\n{CONTEXT_SQL},\n{PROMPT_SQL}", "SELECT * FROM prompts"),
+    "prompt_tokens": _with(f"{CHAIN},\n{CONTEXT_SQL},\n{PROMPT_SQL}", f"SELECT query_id, greatest(1, (length(prompt) + {len(answer.SYSTEM)}) // 4) AS input_tokens FROM prompts"),
     "quality_gate": _with(f"{CHAIN},\n{GATE_SQL}", "SELECT * FROM gated"),
     "rag_outcome": _with(
         f"{CHAIN},\n{CONTEXT_SQL},\n{PROMPT_SQL},\n{GATE_SQL},\n{_SAID}",

@@ -34,9 +34,13 @@ def _tree(s, d):
     return structure.nodes(_norm(s, d))
 
 
-def _chunks(s, d):
+def _leaves(s, d):
     about = read(s, d, "documents").select(F.col("doc_id").alias("document_id"), "source", F.col("lang").alias("regulation_type"), F.col("doc_id").cast("string").alias("regulation_number"), F.concat(F.lit("Judul "), F.col("doc_id").cast("string")).alias("regulation_title"))
-    return chunk.chunks(_tree(s, d).join(about, "document_id"))
+    return _tree(s, d).join(about, "document_id")
+
+
+def _chunks(s, d):
+    return chunk.chunks(_leaves(s, d))
 
 
 # ----------------------------------------------------------------------------------------------------------- SQL
@@ -118,7 +122,7 @@ QUERIES = {
     "chunk_split": lambda s, d: read(s, d, "documents").select("doc_id", F.posexplode(chunk.split("text")).alias("part", "chunk_text")).select("doc_id", (F.col("part") + 1).alias("part_index"), "chunk_text"),
     "chunk_rows": lambda s, d: _chunks(s, d).select("document_id", "chunk_sequence", "sequence", "part_index", "total_parts", "structural_path", "character_count", "word_count", "page_start", "page_end"),
     "chunk_hash": lambda s, d: _chunks(s, d).select("document_id", "chunk_sequence", "chunk_hash", F.sha2("contextual_text", 256).alias("context_digest")),
-    "chunk_validate": lambda s, d: chunk.validate(_tree(s, d), _chunks(s, d)),
+    "chunk_validate": lambda s, d: chunk.validate_parts(chunk.parts_of_leaves(_leaves(s, d))),
     "chunk_path_histogram": lambda s, d: _chunks(s, d).groupBy(F.element_at(F.split("structural_path", "/"), -1).alias("last_segment")).agg(F.count(F.lit(1)).alias("n")),
 }
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,10 +167,23 @@ def test_embedding_providers(spark):
         rows.select(providers.embedding_column(Wrong)(F.col("text"))).collect()
 
     class Echo:
-        def answer(self, prompts):
+        def answer(self, prompts, instructions):
+            assert "STRICT GROUNDING" in instructions and "PROMPT INJECTION ISOLATION" in instructions
             return [p.upper() for p in prompts]
 
+    class Mute(Echo):
+        def answer(self, prompts, instructions):
+            return []
+
     assert rows.select(providers.answer_column(Echo)(F.col("text")).alias("a")).first()["a"] == "AB"
+    with pytest.raises(Exception, match="0 answers"):
+        rows.select(providers.answer_column(Mute)(F.col("text")).alias("a")).collect()
+    assert rows.select(providers.embedder("OpenAI", 2, Two, key="k")(F.col("text")).alias("v")).first()["v"] == [2.0, 1.0]
+    with pytest.warns(UserWarning):
+        stand_in = providers.embedder("default", 3, Two, key=providers.NO_KEY)
+    assert len(rows.select(stand_in(F.col("text")).alias("v")).first()["v"]) == 3
+    with pytest.raises(ValueError):
+        providers.embedder("other", 3)
     v = rows.select(dense.mock_embedding("text", 40).alias("v")).first()["v"]
     assert sum(x * x for x in v) == pytest.approx(1) and len(v) == 40
 
@@ -184,3 +198,43 @@ def test_settings():
     for bad in ({"query": ""}, {"query": "q", "top_n": 21}, {"query": "q", "top_k": 51}, {"query": "q", "rrf_k": 0}):
         with pytest.raises(ValueError):
             check_request(**bad)
+
+
+def test_nearest_in_tiles_like_brute_force(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    x = np.round(r.normal(size=(300, 8)), 1)
+    x[::7] = x[0]
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(999, None)], "chunk_id long, embedding array<double>").repartition(3)
+    asked = spark.createDataFrame([(i, x[i].tolist()) for i in range(0, 300, 50)] + [(7, None)], "query_id long, vector array<double>")
+    monkeypatch.setattr(dense, "QUERIES_AT_ONCE", 4)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {}
+    for i in range(0, 300, 50):
+        cosine = np.round(unit @ unit[i], 6)
+        want[i] = np.lexsort((np.arange(300), -cosine))[:9].tolist()
+    got = {}
+    for row in dense.nearest(vectors, asked, 9).orderBy("query_id", "rank").collect():
+        got.setdefault(row["query_id"], []).append(row["chunk_id"])
+    assert got == want
+    assert dense.nearest(vectors, asked.filter("false"), 9).count() == 0 and dense.nearest(vectors, asked, 0).count() == 0
+
+
+def test_blank_queries_get_nothing(spark):
+    queries = spark.createDataFrame([(1, "a"), (2, " \t"), (3, None)], "query_id long, query string")
+    assert [r[0] for r in fusion.asking(queries).collect()] == [1]
+    side = spark.createDataFrame([(q, 7, 1, 0.5) for q in (1, 2, 3)], "query_id long, chunk_id long, rank int, score double")
+    chunks = spark.createDataFrame([(7, "p", 1)], "chunk_id long, structural_path string, sequence long")
+    assert [r["query_id"] for r in fusion.fuse(side, side, chunks, 5, queries=queries).collect()] == [1]
+
+
+def test_chunks_are_validated_in_one_pass_as_in_two(spark):
+    from lexloom.operators import chunk
+
+    kind = "document_id long, sequence int, parent_sequence int, ancestors array<int>, node_type string, node_number string, title string, text string, page_start int, page_end int, path string"
+    leaf = lambda d, n, text: (d, n, None, [n], "article" if n == 1 else "paragraph", str(n), None, text, 1, 1, f"p{n}")
+    tree = spark.createDataFrame([leaf(1, 2, "one. two " * 300), leaf(1, 3, " \n"), leaf(1, 4, "x"), leaf(2, 2, ""), leaf(3, 1, "no leaf")], kind)
+    about = tree.select("*", *[F.lit("s").alias(n) for n in ("source", "regulation_type", "regulation_number", "regulation_title")])
+    two = chunk.validate(tree, chunk.chunks(about))
+    one = chunk.validate_parts(chunk.parts_of_leaves(about)).select(*two.columns)
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect())) and two.count() >= 2
+    assert [r["chunk_sequence"] for r in chunk.chunks(about).filter("document_id = 1").orderBy("ancestors", "part_index").collect()] == [1, 2, 3]
