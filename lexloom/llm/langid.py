@@ -21,6 +21,8 @@ WIDTHS = (2, 3, 4)
 FILTERS, EMBED = 8, 8
 #: Labelled texts of each language that training sees, about, and windows of each.
 TEXTS_EACH, WINDOWS_EACH = 400, 12
+#: More labels than these are no languages.
+MOST_LANGUAGES = 1000
 #: Longer texts are not in the training sample.
 TEXT_BYTES = 1 << 20
 #: A row of text that is rejected as unsure in filtering; half of all mass would be a plain majority.
@@ -165,9 +167,14 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     """
     rows = pick(docs, key=key, text=text, lang=lang).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~in_fold(F.col("key"), folds, held_fold))
     rows = rows.filter(F.octet_length("text") <= TEXT_BYTES)
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"the column {lang} has more than {MOST_LANGUAGES} values")
+    if not counts:
+        return None
+    sizes = docs.sparkSession.createDataFrame(counts, "lang string, n long")
     place = F.pmod(F.xxhash64("key", F.lit("language")), F.lit(1 << 30)) / (1 << 30)
-    chosen = sorted(rows.join(counts, "lang").filter(place < texts_each / F.col("n")).select("key", "text", "lang").collect(), key=lambda r: (r[0] is None, r[0], r[1]))
+    chosen = sorted(rows.join(F.broadcast(sizes), "lang").filter(place < texts_each / F.col("n")).select("key", "text", "lang").collect(), key=lambda r: (r[0] is None, r[0], r[1]))
     return fit([r[1].encode() for r in chosen], [r[2] for r in chosen])
 
 
