@@ -180,3 +180,86 @@ def test_words_of_bytes():
     for i in range(len(w.start)):
         assert spelled.setdefault(int(w.hash[i]), w.word(i)) == w.word(i)
     assert len(spelled) == len({x for p in plain for x in p})
+
+
+def slow_language(net, text):
+    """Label and score of a text, window by window and filter by filter."""
+    p = []
+    for a in range(0, max(1, len(text)), langid.WINDOW):
+        x = list(text[a : a + langid.WINDOW].ljust(langid.WINDOW, b"\0"))
+        top = [max(sum(float(net.embed[x[i + j]] @ k[j][:, f]) for j in range(w)) for i in range(langid.WINDOW - w + 1)) for w, k in net.kernels.items() for f in range(langid.FILTERS)]
+        z = np.maximum(np.array(top) + net.bias, 0) @ net.out + net.out_bias
+        e = np.exp(z - z.max())
+        p.append(e / e.sum())
+    mean = np.mean(p, axis=0)
+    return net.languages[int(mean.argmax())], float(mean.max())
+
+
+def test_language_of_texts_like_window_by_window(spark, texts, net):
+    rows = [(x[0], x[1]) for x in texts[:6]] + [(900, "ü"), (901, "-" * 300 + "a"), (902, texts[0][1] * 3)]
+    got = {r["doc_id"]: r for r in langid.predict(spark.createDataFrame(rows, "doc_id long, text string"), net).collect()}
+    for i, t in rows:
+        lang, score = slow_language(net, t.encode())
+        assert got[i]["lang_pred"] == lang and got[i]["score"] == pytest.approx(score, abs=1e-4)
+
+
+def slow_score(net, text):
+    """A text's score, word by word and window by window."""
+    import math
+    import re
+
+    words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+    w = Words([text])
+    hash_of = {w.word(i): int(w.hash[i]) for i in range(len(w.start))}
+    sigmoid = lambda z: 1 / (1 + np.exp(-z.astype(np.float64)))
+
+    def vector(word):
+        at = np.flatnonzero(net.vocabulary == np.uint64(hash_of[word]))
+        padded, slots = b"\0" + word + b"\0", []
+        for n in toxicity.GRAMS:
+            for i in range(len(padded) - n + 1):
+                if 0 not in padded[i + 1 : i + n - 1]:
+                    number = (int.from_bytes(padded[i : i + n], "big") + n) * 0x9E3779B97F4A7C15 % (1 << 64)
+                    slots.append((number >> (64 - toxicity.GRAM_BITS)) or 1)
+        return net.word[at[0] + 1 if len(at) else 0] + (np.mean(net.gram[slots], axis=0) if slots else 0)
+
+    starts = [0] if len(words) <= toxicity.WINDOW else range(0, toxicity.STRIDE * (1 + -(-(len(words) - toxicity.WINDOW) // toxicity.STRIDE)), toxicity.STRIDE)
+    logits, h = [], toxicity.HIDDEN
+    for s in starts:
+        places = range(s, min(s + toxicity.WINDOW, len(words)))
+        x = [vector(words[i]) for i in places if i == 0 or words[i] != words[i - 1]]
+        states = [[None, None] for _ in x]
+        for k in range(2):
+            state = np.zeros(h)
+            for i in range(len(x)) if k == 0 else range(len(x) - 1, -1, -1):
+                a, u = x[i] @ net.w[k] + net.b[k], state @ net.u[k]
+                z, r = sigmoid(a[:h] + u[:h]), sigmoid(a[h : 2 * h] + u[h : 2 * h])
+                state = state + z * (np.tanh(a[2 * h :] + r * u[2 * h :]) - state)
+                states[i][k] = state
+        both = [np.concatenate(s) for s in states]
+        e = [math.exp(b @ net.attend) for b in both]
+        pooled = sum(w * b for w, b in zip(e, both)) / sum(e) if e else np.zeros(2 * h)
+        logits.append(float(pooled @ net.out + net.out_bias[0]))
+    z = net.scale @ np.array([max(logits), np.log1p(sum(1 / (1 + math.exp(-x)) for x in logits))]) + net.shift
+    return 1 / (1 + math.exp(-z))
+
+
+def test_scores_of_texts_like_word_by_word(spark, toxic_net):
+    rows = [(i, t) for i, t, _ in toxic_rows(random.Random(9), 12)] + [(50, ""), (51, "a"), (52, "grobzilla " * 40), (53, "Blorgh! " + "ka lo mi " * 30), (54, " ".join(f"w{i}" for i in range(57)))]
+    got = {r["doc_id"]: r for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), toxic_net).collect()}
+    for i, t in rows:
+        assert got[i]["score"] == pytest.approx(slow_score(toxic_net, t.encode()), abs=5e-4) and got[i]["predicted"] == int(got[i]["score"] >= 0.5)
+
+
+def test_long_texts_are_no_training_rows(spark, monkeypatch):
+    monkeypatch.setattr(langid, "TEXT_BYTES", 30)
+    docs = spark.createDataFrame([(i, "kalo mine", "aa") for i in range(40)] + [(100 + i, "schu " * 20, "bb") for i in range(40)], "doc_id long, text string, lang string")
+    assert langid.train(docs).languages == ["aa"]
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 1)
+    with pytest.raises(ValueError, match="more than 1"):
+        monkeypatch.setattr(langid, "TEXT_BYTES", 1000)
+        langid.train(docs)
+
+
+def test_without_a_model_no_row_goes(spark, odd, odd_rows):
+    assert langid.keep_known(odd, None).count() == len(odd_rows)

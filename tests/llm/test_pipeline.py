@@ -1,12 +1,15 @@
 from __future__ import annotations
 
+import re
 from collections import Counter
+from types import SimpleNamespace
 
 import corpus_pipeline
 import duckdb
+import numpy as np
 import pytest
 
-from lexloom.llm import chat, packing, queries
+from lexloom.llm import chat, langid, packing, queries, toxicity
 from lexloom.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -38,9 +41,83 @@ def test_run_is_its_stages(spark):
     assert Counter((r["doc_id"], r["piece"]) for r in packing.pieces(docs).collect()) == pieces
 
 
-def test_stages_take_odd_rows(spark, odd):
-    for _, stage in corpus_pipeline.STAGES:
-        stage(spark, odd, SF).collect()
+WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def in_benchmark(text, items):
+    """Whether ten consecutive words, or all of an item with fewer, occur in the text."""
+    words = WORD.findall((text or "").encode().lower())
+    for item in items:
+        own = WORD.findall((item or "").encode().lower())
+        n = min(10, len(own))
+        windows = {tuple(own[i : i + n]) for i in range(len(own) - n + 1)} if n else set()
+        if any(tuple(words[i : i + n]) in windows for i in range(len(words) - n + 1)):
+            return True
+    return False
+
+
+@pytest.fixture(scope="module")
+def models(spark):
+    docs = table(spark, SF, "documents")
+    return toxicity.train(docs, table(spark, SF, "labels")), langid.train(docs)
+
+
+def bag(rows):
+    return Counter(map(str, rows))
+
+
+def test_each_stage_keeps_what_its_rule_says(spark, clashing, models):
+    """Odd rows, repeated rows, clashing columns, and a document with a passage of the benchmark and a toxic one."""
+    passage = table(spark, SF, "benchmark").orderBy("item_id").first()["text"]
+    marked = table(spark, SF, "documents").join(table(spark, SF, "labels").filter("toxic = 1"), "doc_id").orderBy("doc_id").collect()
+    toxic = next(r["text"] for r in marked if models[0].text_logits([r["text"].encode()])[0] > 1)
+    english = table(spark, SF, "documents").filter("lang = 'en'").orderBy("doc_id").first()["text"]
+    extra = [(40, f"{english} {passage}"), (41, toxic), (41, toxic), (42, english)]
+    made = spark.createDataFrame(extra, "doc_id long, text string")
+    rest = [c for c in clashing.columns if c not in ("doc_id", "text")]
+    types = {f.name: f.dataType for f in clashing.schema.fields}
+    docs = clashing.unionAll(made.selectExpr("doc_id", "text", *[f"cast(null as {types[c].simpleString()}) `{c}`" for c in rest])).checkpoint()
+    rows = docs.collect()
+    kept = {name: stage(spark, docs, SF) for name, stage in corpus_pipeline.STAGES[:-1]}
+    assert all(k.columns == docs.columns for k in kept.values())
+    texts = [r[1] for r in rows]
+    net, language = models
+    clean = [toxicity_of < 0.5 for toxicity_of in (1 / (1 + np.exp(-net.text_logits([(t or "").encode() for t in texts]))))]
+    assert bag(kept["toxicity"].collect()) == bag(r for r, ok in zip(rows, clean) if ok) and not {41} & {r[0] for r in kept["toxicity"].collect()}
+    label = {t: next(iter(zip(*[a.to_pylist() for a in langid._predict(SimpleNamespace(value=language))([t.encode() if t is not None else None])]))) for t in set(texts)}
+    assert bag(kept["language_id"].collect()) == bag(r for r in rows if label[r[1]][0] != "und" and label[r[1]][1] >= langid.LEAST_SCORE)
+    items = [r["text"] for r in table(spark, SF, "benchmark").collect()]
+    assert bag(kept["decontamination"].collect()) == bag(r for r in rows if not in_benchmark(r[1], items)) and 40 not in {r[0] for r in kept["decontamination"].collect()}
+    assert {-9, 1, 3, 6, 7, 8} <= {r[0] for r in kept["near_duplicates"].collect()} <= {-9, 1, 3, 6, 7, 8, 40, 41, 42} and max(Counter(r[0] for r in kept["near_duplicates"].collect()).values()) == 1
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert Counter((r["doc_id"], r["piece"]) for r in packed if r["piece"] == 0) == Counter((r[0], 0) for r in rows)
+    filled = Counter()
+    for r in packed:
+        filled[r["sequence_id"]] += r["length"]
+    assert max(filled.values()) <= 2048 and sorted(filled) == list(range(len(filled)))
+
+
+def test_stages_take_empty_tables(spark, none):
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, none, SF)
+        assert out.count() == 0 and (name == "packing" or out.columns == none.columns)
+
+
+def test_scratch_of_earlier_stages_goes_unless_it_is_read(spark, odd):
+    from lexloom.llm import common
+
+    kept = corpus_pipeline.drop_near_duplicates(spark, odd, SF)
+    left = corpus_pipeline._LEFT[-1][1]
+    assert left and common.folders_read(kept)
+    n = kept.count()
+    assert corpus_pipeline.drop_contaminated(spark, kept, SF).count() <= n and set(left) <= set(common.made_so_far())
+    again = spark.createDataFrame(kept.collect(), odd.schema)
+    corpus_pipeline.drop_contaminated(spark, again, SF)
+    assert set(left) <= set(common.made_so_far()) and kept.count() == n  # still held
+    derived = kept.select("doc_id")
+    del kept
+    corpus_pipeline.drop_contaminated(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+    assert not set(left) & set(common.made_so_far()) and derived is not None
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
