@@ -83,13 +83,17 @@ SELECT page_id, url, text, length(text) AS n_chars, coalesce(n_repeated, 0) AS n
     "op2_chat_formatting": r"""WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(length('### ' || role || ':') + 1 + length(text) + len(regexp_extract_all(text, '### [A-Za-z0-9_.~%-]*:|</turn>')) + length('</turn>') + 2)::BIGINT AS formatted_chars FROM c GROUP BY conv_id""",
-    "op4_suffix_array_decontamination": f"""WITH i AS (SELECT item_id, {_WORDS.format("text")} AS w FROM benchmark), v AS (SELECT DISTINCT item_id, w[p + 1 : p + 10] AS win FROM (SELECT item_id, w, {_GRID} AS p FROM i WHERE len(w) > 0)),
+    "op4_suffix_array_decontamination": f"""WITH i AS (SELECT item_id, {_WORDS.format("text")} AS w FROM benchmark), o AS (SELECT item_id, p AS q, w[p + 1 : p + 10] AS win FROM (SELECT item_id, w, {_GRID} AS p FROM i WHERE len(w) > 0)), v AS (SELECT DISTINCT item_id, win FROM o),
 lens AS (SELECT DISTINCT len(win) AS n FROM v), d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
 g AS (SELECT doc_id, n, p, w[p + 1 : p + n] AS win FROM (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS p FROM d, lens WHERE len(w) >= n)),
-h AS (SELECT DISTINCT doc_id, p, n, item_id FROM g JOIN v USING (win)),
+h AS (SELECT DISTINCT doc_id, p, n, item_id, win FROM g JOIN v USING (win)),
 hit AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(p, p + n)) AS k FROM h) GROUP BY 1),
-its AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM h) GROUP BY 1)
-SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)""",
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM h) GROUP BY 1),
+l0 AS (SELECT DISTINCT doc_id, p, n, x.item_id, q FROM h JOIN o AS x ON x.item_id IS NOT DISTINCT FROM h.item_id AND x.win = h.win),
+l1 AS (SELECT *, coalesce(p <= max(p + n) OVER (PARTITION BY doc_id, item_id, p - q ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS goes_on FROM l0),
+l2 AS (SELECT *, count(*) FILTER (NOT goes_on) OVER (PARTITION BY doc_id, item_id, p - q ORDER BY p) AS run FROM l1),
+longest AS (SELECT doc_id, max(words) AS longest_match FROM (SELECT doc_id, max(p + n) - min(p) AS words FROM l2 GROUP BY doc_id, item_id, p - q, run) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest_match, 0) AS longest_match FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN longest USING (doc_id)""",
     "op10_warc_chunk_table": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages), h AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS hex, max(page_id) OVER (PARTITION BY body) AS target FROM p)
 SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda k: substr('{_BASE32}', ((('0x' || substr(hex, (k // 4 * 5 + 1)::INT, 5))::INT >> (15 - 5 * (k % 4))::INT) & 31) + 1, 1)), '') AS payload_digest,
  CASE WHEN target = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN target <> page_id THEN target END AS refers_to FROM h""",

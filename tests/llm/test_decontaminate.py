@@ -29,10 +29,24 @@ def brute(docs, items, window=10):
                 if (key := tuple(w[p : p + n])) in wins:
                     found |= wins[key]
                     hit.update(range(p, p + n))
-        out.append((k, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+        out.append((k, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit), longest(w, items, window)))
     return sorted(out, key=str)
 
 
+def longest(w, items, window):
+    """The most words that follow each other in the text and in one item and are covered by common windows."""
+    best = 0
+    for _, t in items:
+        v = words(t)
+        n = min(window, len(v))
+        for shift in range(-len(w), len(v)) if n else ():
+            run = 0
+            for i, x in enumerate(v):
+                run = run + 1 if 0 <= i - shift < len(w) and w[i - shift] == x else 0
+                best = max(best, run if run >= n else 0)
+    return best
+
+
 @pytest.fixture
 def items():
     r = random.Random(5)
