@@ -23,6 +23,8 @@ from lexloom.llm.components import components
 SEED = 42
 #: Fingerprints of a file that are compared pair by pair; a larger file goes through its one-bit neighbours instead, with the same links.
 PAIRWISE = 96
+#: A file of more fingerprints is dealt into smaller ones before neighbours are made, which take many times its memory; it has at most 2^22.
+MOST_NEIGHBOURS = 20_000
 
 
 def _fingerprints(shingle: int, most_hashes: int = 200_000):
@@ -96,6 +98,17 @@ def forest(fps: np.ndarray, ids: np.ndarray, distance: int, free_bits: list[int]
             for j in (np.flatnonzero(_popcount(fps[i + 1 :] ^ fps[i]) <= distance) + i + 1).tolist():
                 join(i, j)
         return found
+    if len(fps) > MOST_NEIGHBOURS and len(free_bits) > 3:
+        # Of three parts of the free bits two fingerprints within two bits agree on one: smaller files, each with the other parts free.
+        for k in range(3):
+            fixed = free_bits[k::3]
+            part = fps & np.uint64(sum(1 << b for b in fixed))
+            order = np.argsort(part, kind="stable")
+            for rows in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+                if len(rows) > 1:
+                    for a, b in forest(fps[rows], rows, distance, [f for f in free_bits if f not in fixed]):
+                        join(a, b)
+        return found
     # Within two bits: equal to each other's one-bit neighbours. Sorting all neighbours finds those without comparing pairs.
     flips = np.array([0, *(1 << b for b in free_bits)], np.uint64)
     near = (fps[:, None] ^ flips[None, :]).ravel()

@@ -19,11 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexloom.llm.common import as_bytes, bounded_batches, new_folder, pick, slices, written
+from lexloom.llm.partrows import PartRows, by_part
 from lexloom.llm.storage import make_folder, opened
 
 ARCHIVE_BYTES = 64 << 20
 CHUNK_BYTES = 256 << 10
 READ_BYTES = 1 << 20
+#: Repeated payloads whose digests and keys go to every task, about 100 bytes each.
+BROADCAST_ROWS = 100_000
 _URN = "urn:x-page:"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Heads hold the page's address, which a row may have in any length that Arrow carries.
@@ -54,19 +57,38 @@ def record_head(key: int | None, url: str | None, digest: str, size: int, refers
     return ("\r\n".join(lines) + "\r\n\r\n").encode() + http
 
 
-def revisits(pages: DataFrame, key: str, payload: str, least_bytes: int = 0) -> DataFrame:
+def revisits(pages: DataFrame, key: str, payload: str, least_bytes: int = 0, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The pages with `_target`: the largest key of an equal payload of at least `least_bytes`, null where that is the row's own.
 
-    Equal means equal SHA-1 and size; null payloads are empty. The largest keys are found by partial aggregation and joined
-    back on the digest, a join that splits hot digests. Rows that repeat the largest key are all responses; null keys are
-    the smallest, and only revisit where some equal payload has a key.
+    Equal means equal SHA-1 and size; null payloads are empty. The largest keys are found by partial aggregation. Up to `broadcast_rows`
+    payloads that repeat go to every task; with more, the pages are written once with numbers for rows, and what revisits is laid by
+    file, so payloads are never shuffled. Rows that repeat the largest key are all responses; null keys are the smallest, and only
+    revisit where some equal payload has a key.
     """
     body = F.coalesce(F.col("payload"), F.lit(""))
-    known = pick(pages, key=key, url="url", payload=payload).withColumn("_digest", F.concat_ws(":", F.sha1(body.cast("binary")), F.octet_length(body)))
-    sizes = known.select("_digest", F.col("key"), F.octet_length(body).alias("n")).filter(F.col("n") >= least_bytes)
+    digest = F.concat_ws(":", F.sha1(body.cast("binary")), F.octet_length(body)).alias("_digest")
+    plain = pick(pages, key=key, url="url", payload=payload)
+    sizes = plain.filter(F.octet_length(body) >= least_bytes).select(digest, "key")
     targets, _ = written(sizes.groupBy("_digest").agg(F.max("key").alias("_target"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "targets")
-    joined = known.join(targets, "_digest", "left")
-    return joined.select("key", "url", "payload", F.when(~F.col("_target").eqNullSafe(F.col("key")), F.col("_target")).alias("_target"))
+    own = ~F.col("_target").eqNullSafe(F.col("key"))
+    if targets.count() <= broadcast_rows:
+        joined = plain.select("key", "url", "payload", digest).join(F.broadcast(targets), "_digest", "left")
+        return joined.select("key", "url", "payload", F.when(own, F.col("_target")).alias("_target"))
+    whole, _ = written(plain.withColumn("_row", F.monotonically_increasing_id()), "pages")
+    found = whole.select(F.col("_row").alias("row"), "key", digest).join(targets, "_digest").filter(own & F.col("_target").isNotNull())
+    folder = by_part(found.select("row", "_target"), "row", "revisits")
+
+    @F.arrow_udf("long")
+    def target(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = PartRows(folder)
+        for numbers in parts:
+            rows: list[int | None] = [None] * len(numbers)
+            for at, entries in known.entries(numbers.to_numpy()):
+                for k, t in zip(at.tolist(), entries.column("_target").to_pylist()):
+                    rows[k] = t
+            yield pa.array(rows, pa.int64())
+
+    return whole.select("key", "url", "payload", target("_row").alias("_target"))
 
 
 def write_warcs(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -228,14 +250,14 @@ def read_chunks(index: DataFrame, folder: str, chunk_bytes: int = CHUNK_BYTES, w
     return archives.repartition(max(1, min(archives.count(), 20_000))).mapInArrow(run, CHUNKS)
 
 
-def archived(pages: DataFrame, key: str = "page_id", payload: str = "html", least_bytes: int = 0) -> DataFrame:
+def archived(pages: DataFrame, key: str = "page_id", payload: str = "html", least_bytes: int = 0, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Write every page as a WARC record, read the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     Null payloads are empty. Repeated rows are records each. Null urls leave the target out. An empty table gives no rows.
     For a revisit the size and digest are its headers', for a response those of the payload that was read.
     """
     folder = new_folder(pages.sparkSession, "warc")
-    index = write_warcs(revisits(pages, key, payload, least_bytes), folder)
+    index = write_warcs(revisits(pages, key, payload, least_bytes, broadcast_rows), folder)
     whole = read_chunks(index, folder, with_data=False).filter("last")
     response = F.col("record_type") == "response"
     return whole.select("page_id", F.when(response, F.col("bytes_so_far")).otherwise(F.col("declared_bytes")).alias("payload_bytes"), F.when(response, F.col("sha1_so_far")).otherwise(F.col("declared_sha1")).alias("payload_digest"), "record_type", "refers_to")

@@ -54,6 +54,39 @@ def test_ranges_and_archives_split_without_loss(spark):
     assert Counter(r["key"] for r in read.collect()) == Counter(range(300))
 
 
+def test_missing_archives_are_an_error(spark, tmp_path):
+    from lexloom.llm.common import new_folder
+
+    docs = spark.range(40).selectExpr("id doc_id", "repeat(concat(id, ' text '), 50) text").repartition(2)
+    folder = new_folder(spark, "short")
+    archives, members, size = media.write_archives(docs, folder, archive_bytes=3000)
+    assert members == 40 and media.read_archives(spark, folder, archives=archives, bytes=size).count() == 40
+    for wrong in ({"archives": archives + 1, "bytes": size}, {"archives": archives, "bytes": size - 1}):
+        with pytest.raises(Exception, match="were written"):
+            media.read_archives(spark, folder, **wrong).count()
+
+
+def test_many_ranges_become_larger(spark, monkeypatch):
+    docs = spark.range(60).selectExpr("id doc_id", "repeat(concat(id, ' text '), 90) text").repartition(3)
+    folder = new_folder(spark, "steps")
+    media.write_archives(docs, folder, archive_bytes=2000)
+    monkeypatch.setattr(media, "RANGE_BYTES", 100)
+    monkeypatch.setattr(media, "MOST_RANGES", 10)
+    n = len(storage.files(folder, media.SUFFIX))
+    assert n <= len(media.ArchiveReader({"folder": folder}).partitions()) <= n + 10
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from lexloom.llm import common
+
+    session = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: default), sparkContext=SimpleNamespace(master=master))
+    for master in ("spark://host:7077", "yarn", "k8s://x", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            common.shared_root(session(master))
+
+
 def test_a_damaged_read_is_repeated_for_its_member_alone(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(5)], "doc_id long, text string").coalesce(1)
     folder = new_folder(spark, "retry")
@@ -112,9 +145,16 @@ def test_warc_like_brute_force(spark):
         own = target is None or target == k
         want[(k, len((t or "").encode()), sha(t), "response" if own else "revisit", None if own else target)] += 1
     assert Counter(tuple(r) for r in warc.archived(pages).collect()) == want
+    assert Counter(tuple(r) for r in warc.archived(pages, broadcast_rows=0).collect()) == want
     assert warc.archived(pages.filter("false")).count() == 0
 
 
+def test_a_page_with_a_huge_address_is_read_back(spark):
+    pages = spark.createDataFrame([(1, "http://a.example/" + "x" * 3_000_000, "body"), (2, "u", "body")], PAGES)
+    got = {r["page_id"]: (r["payload_bytes"], r["refers_to"]) for r in warc.archived(pages).collect()}
+    assert got == {1: (4, 2), 2: (4, None)}
+
+
 def test_smaller_payloads_do_not_revisit(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")], PAGES)
     got = {r["page_id"]: r["record_type"] for r in warc.archived(pages, least_bytes=3).collect()}

@@ -65,8 +65,11 @@ def test_links_of_crowded_files(spark):
     assert {i: found.get(i, i) for i in range(len(fps))} == want
 
 
-@pytest.mark.parametrize("n", [5, simhash.PAIRWISE + 50])
-def test_forest_ways_agree(n):
+@pytest.mark.parametrize("n,most", [(5, 20_000), (simhash.PAIRWISE + 50, 20_000), (simhash.PAIRWISE + 50, 30)])
+def test_forest_ways_agree(n, most, monkeypatch):
+    monkeypatch.setattr(simhash, "MOST_NEIGHBOURS", most)
+    if most == 30:
+        monkeypatch.setattr(simhash, "PAIRWISE", 4)
     r = random.Random(n)
     base = r.getrandbits(64)
     fps = np.array(sorted({base ^ sum(1 << b for b in r.sample(range(20), r.randint(0, 4))) for _ in range(n * 3)})[:n], np.uint64)
