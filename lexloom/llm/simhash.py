@@ -21,6 +21,7 @@ from lexloom.llm.common import bounded_batches, by_place, free_name, map_text, p
 from lexloom.llm.components import components
 
 SEED = 42
+_LANES = np.random.default_rng(SEED).integers(0, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Fingerprints of a file that are compared pair by pair; a larger file goes through its one-bit neighbours instead, with the same links.
 PAIRWISE = 96
 #: A file of more fingerprints is dealt into smaller ones before neighbours are made, which take many times its memory; it has at most 2^22.
@@ -62,6 +63,32 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
     return map_text(docs, key, text, [T.StructField("fp", T.LongType())], _fingerprints(shingle), carry, verdict)
 
 
+def wide_prints(hashes: np.ndarray, ptr: np.ndarray, lanes: int) -> np.ndarray:
+    """Fingerprints of 64 bits in each of `lanes` columns, of texts whose shingles' hashes lie between the places of `ptr`.
+
+    Each lane mixes the hashes anew; a bit is 1 if it is set in over half of them, as in the fingerprints of one lane. No hashes: 0.
+    """
+    out = np.zeros((len(ptr) - 1, lanes), np.uint64)
+    for t in np.flatnonzero(np.diff(ptr)).tolist():
+        ones = np.zeros(64 * lanes, np.int64)
+        for a in range(int(ptr[t]), int(ptr[t + 1]), 255):
+            h = hashes[a : min(a + 255, int(ptr[t + 1])), None] * _LANES[None, :lanes]
+            h ^= h >> np.uint64(32)
+            # At most 255 rows, so that counts fit a byte.
+            ones += np.add.reduce(np.unpackbits(h.astype("<u8").view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+        out[t] = np.packbits(ones * 2 > ptr[t + 1] - ptr[t], bitorder="little").view("<u8")
+    return out
+
+
+def have_close(prints: np.ndarray, distance: int, at_once: int = 256) -> np.ndarray:
+    """Which rows of fingerprints have another row within `distance` bits."""
+    out = np.zeros(len(prints), bool)
+    for a in range(0, len(prints), at_once):
+        apart = np.bitwise_count(prints[a : a + at_once, None] ^ prints[None]).sum(axis=2, dtype=np.int32)
+        out[a : a + at_once] = (apart <= distance).sum(axis=1) > 1  # itself is one
+    return out
+
+
 def block_masks(distance: int, blocks: int) -> list[int]:
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
     masks = [sum(1 << b for b in range(edges[i], edges[i + 1])) for i in range(blocks)]

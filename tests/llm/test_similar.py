@@ -100,7 +100,8 @@ def test_large_groups_in_blocks_give_the_same(spark, monkeypatch):
 def test_candidates_hold_all_pairs_that_share_a_key(spark):
     r = random.Random(2)
     bands = {n: sorted(r.sample(range(40), 3)) for n in range(60)}
-    classes = spark.createDataFrame([(n, n * 7, 900_000, b) for n, b in bands.items()], "node long, row long, size long, bands array<long>")
+    same = bytearray(8 * similar.LANES)
+    classes = spark.createDataFrame([(n, n * 7, 900_000, b, same) for n, b in bands.items()], "node long, row long, size long, bands array<long>, print binary")
     cells = {}
     for row in similar.candidates(classes).collect():
         assert row["row"] == 7 * row["node"]
@@ -108,3 +109,33 @@ def test_candidates_hold_all_pairs_that_share_a_key(spark):
     together = {(a, b) for c in cells.values() for a in c for b in c if a < b}
     assert together == {(a, b) for a in bands for b in bands if a < b and set(bands[a]) & set(bands[b])}
     assert max(j for *_, j in cells) > 0
+
+
+def test_prints_verify_what_shares_a_block(spark):
+    """Members far from all others by Hamming distance go; similar texts are never that far."""
+    rows = edited_rows()
+    texts = [(t or "").encode() for _, t in rows]
+    h, ptr = similar.shingles(texts)
+    prints = similar.wide_prints(h, ptr, similar.LANES)
+    apart = lambda i, j: int(np.bitwise_count(prints[i] ^ prints[j]).sum())
+    close = [apart(i, j) for i in range(len(rows)) for j in range(i) if 0.8 <= similarity(rows[i][1], rows[j][1]) < 1]
+    far = [apart(i, j) for i in range(len(rows)) for j in range(i) if similarity(rows[i][1], rows[j][1]) < 0.1 and len(texts[i]) > 200 < len(texts[j])]
+    assert max(close) <= similar.FAR < min(far)
+    want = [any(apart(i, j) <= similar.FAR for j in range(len(rows)) if j != i) for i in range(len(rows))]
+    assert similar.have_close(prints, similar.FAR, at_once=7).tolist() == want and not all(want)
+    classes = spark.createDataFrame([(i, i, 1, [5], bytearray(p.tobytes())) for i, p in enumerate(prints)], "node long, row long, size long, bands array<long>, print binary")
+    assert sorted(r["node"] for r in similar.candidates(classes).collect()) == [i for i, w in enumerate(want) if w]
+
+
+def test_a_lane_is_the_fingerprint_of_its_hashes():
+    r = np.random.default_rng(1)
+    h = r.integers(0, 1 << 63, 700, dtype=np.uint64)
+    ptr = np.array([0, 0, 1, 300, 700])
+    prints = similar.wide_prints(h, ptr, 2)
+    from lexloom.llm import simhash
+
+    for t in range(4):
+        for lane in range(2):
+            own = [x * int(simhash._LANES[lane]) % (1 << 64) for x in h[ptr[t] : ptr[t + 1]].tolist()]
+            own = [x ^ x >> 32 for x in own]
+            assert int(prints[t, lane]) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in own) > len(own))
