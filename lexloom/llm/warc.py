@@ -258,6 +258,6 @@ def archived(pages: DataFrame, key: str = "page_id", payload: str = "html", leas
     """
     folder = new_folder(pages.sparkSession, "warc")
     index = write_warcs(revisits(pages, key, payload, least_bytes, broadcast_rows), folder)
-    whole = read_chunks(index, folder, with_data=False).filter("last")
+    whole = read_chunks(index, folder).filter("last")
     response = F.col("record_type") == "response"
     return whole.select("page_id", F.when(response, F.col("bytes_so_far")).otherwise(F.col("declared_bytes")).alias("payload_bytes"), F.when(response, F.col("sha1_so_far")).otherwise(F.col("declared_sha1")).alias("payload_digest"), "record_type", "refers_to")
