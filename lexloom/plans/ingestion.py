@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lexloom.operators import registry
 from lexloom.plans.retrieval import read
 from lexloom.sources import pages as src
+from lexloom.sources import storage
 
 PORTAL = src.Portal("WEB", "PAGE", "/", ("/default.aspx",), number=r"([A-Z]\w{3})", unknown_number="PAGE-UNKNOWN", title_attribute=None, dated=False)
 STRICT = src.Portal("WEB", "PAGE", "/", ("/default.aspx",), number=r"([A-Z]\w{3})", unknown_number="PAGE-UNKNOWN", marks_before_title=True, least_title=4)
@@ -63,6 +64,8 @@ def _log(s, d):
     return read(s, d, "events").select((F.col("event_id") % 9 != 0).alias("parsed"), F.when(F.col("event_id") % 3 == 0, F.col("event_id") % 4).otherwise(0).alias("documents"), F.when(F.col("event_id") % 50 != 0, status).alias("status"), content.alias("content"), (F.col("user_id") % 3 == 0).alias("known"))
 
 
+_META = ("source", "regulation_type", "regulation_number", "title", "status", "detail_url", "summary")
+
 QUERIES = {
     "listing_refs": lambda s, d: src.listing(read(s, d, "pages"), PORTAL).select("page_id", "detail_url", "title", "regulation_number"),
     "first_seen_links": lambda s, d: src.listing(read(s, d, "pages"), STRICT).select("page_id", "position", "detail_url", "title"),
@@ -85,6 +88,7 @@ QUERIES = {
     "current_chunks": _current,
     "storage_paths": lambda s, d: read(s, d, "documents").withColumn("sha", F.sha2("text", 256)).select("doc_id", registry.storage_path("raw", "source", "lang", "doc_id", "sha").alias("path")),
     "metadata_json": lambda s, d: _regulations(s, d).select("regulation_number", F.to_json(F.struct("source", "regulation_type", "regulation_number", "title"), {"ignoreNullFields": "false"}).alias("metadata")),
+    "metadata_artifacts": lambda s, d: _regulations(s, d).select(storage.metadata_path("meta", "source", "regulation_type", "regulation_number").alias("path"), storage.metadata_json("regulation_number", _META).alias("artifact")),
     "ingestion_summary": lambda s, d: registry.ingestion_summary(_log(s, d)),
 }
 
@@ -122,5 +126,6 @@ SELECT row_number() OVER (ORDER BY CASE WHEN part = 1 THEN 1 ELSE 2 END, labels,
     "current_chunks": f"WITH {_VERSIONS}\nSELECT chunk_id, c.document_id, c.sha256, source FROM (SELECT doc_id AS chunk_id, doc_id % 150 AS document_id, ['click', 'error', 'purchase', 'signup', 'view'][doc_id % 5 + 1] AS sha256, source FROM documents) c JOIN versions v ON v.document_id = c.document_id AND v.sha256 = c.sha256 AND v.is_current",
     "storage_paths": "SELECT doc_id, 'raw/' || upper(source) || '/' || upper(lang) || '/' || doc_id || '/' || sha256(text) || '.pdf' AS path FROM documents",
     "metadata_json": f"WITH {_REGS}\nSELECT regulation_number, json_object('source', source, 'regulation_type', regulation_type, 'regulation_number', regulation_number, 'title', title)::VARCHAR AS metadata FROM regs",
+    "metadata_artifacts": f"WITH {_REGS}\nSELECT 'meta/' || upper(source) || '/' || upper(regulation_type) || '/' || regulation_number || '.json' AS path, json_object('regulation_id', regulation_number, 'metadata', json_object({', '.join(f"'{c}', {c}" for c in _META)}), 'extra_info', json_object())::VARCHAR AS artifact FROM regs",
     "ingestion_summary": f"SELECT count(*) AS discovered, count(*) FILTER (event_id % 9 <> 0) AS metadata_parsed, sum(CASE WHEN event_id % 3 = 0 THEN event_id % 4 ELSE 0 END)::BIGINT AS documents_found, count(*) FILTER (status BETWEEN 200 AND 299 AND NOT known) AS downloaded, count(*) FILTER (status BETWEEN 200 AND 299 AND NOT known) AS new_versions, count(*) FILTER (status BETWEEN 200 AND 299 AND known) AS skipped, count(*) FILTER (status IS NULL OR status IN {registry.RETRIED}) AS retryable, count(*) FILTER (status IS NOT NULL AND status NOT BETWEEN 200 AND 299 AND status NOT IN {registry.RETRIED}) AS failed, count(*) FILTER (status BETWEEN 200 AND 299 AND user_id % 4 = 0) AS not_pdf FROM (SELECT {_STATUS} AS status, user_id % 3 = 0 AS known, user_id, event_id FROM events)",
 }

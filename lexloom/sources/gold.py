@@ -46,13 +46,22 @@ def save(samples: DataFrame, path: str, version: str, scope: list[str]) -> None:
     Path(path).write_text(json.dumps({"dataset_version": version, "corpus_scope": scope, "samples": rows}, ensure_ascii=False, indent=2))
 
 
-def export(stages: DataFrame, generation: DataFrame, folder: str) -> None:
-    """report.json and report.md: a row for each retrieval stage and one of generation metrics."""
-    rows, spoken = [r.asDict() for r in stages.collect()], generation.first().asDict()
+#: Columns of a report's stage table, with their heads.
+STAGE_TABLE = (("rr_1", "MRR@1 (=HitRate@1)"), ("rr_5", "MRR@5"), ("rr_10", "MRR@10"), ("hit_5", "HitRate@5"), ("hit_10", "HitRate@10"), ("ndcg_5", "nDCG@5"), ("ndcg_10", "nDCG@10"), ("precision_5", "Precision@5"), ("recall_5", "Recall@5"))
+
+
+def export(stages: DataFrame, generation: DataFrame | None, folder: str, version: str = "", samples: int | None = None) -> None:
+    """report.json and report.md: a row for each retrieval stage, in the order they come, and the generation metrics as shares.
+
+    stages: as of evaluate.stage_summary; a handful of rows.
+    """
+    rows = [r.asDict() for r in stages.collect()]
+    spoken = generation.first().asDict() if generation is not None else None
+    total = samples if samples is not None else max((r["n_samples"] for r in rows), default=0)
     Path(folder).mkdir(parents=True, exist_ok=True)
-    Path(folder, "report.json").write_text(json.dumps({"retrieval": rows, "generation": spoken}, indent=2))
-    names = [n for n in rows[0] if n != "stage"] if rows else []
-    lines = ["# Evaluation", "", "| Metric | " + " | ".join(r["stage"] for r in rows) + " |", "|---" * (len(rows) + 1) + "|"]
-    lines += [f"| {n} | " + " | ".join(f"{r[n]:.4f}" if isinstance(r[n], float) else str(r[n]) for r in rows) + " |" for n in names]
-    lines += ["", "| Generation metric | Value |", "|---|---|", *[f"| {k} | {v} |" for k, v in spoken.items()]]
+    Path(folder, "report.json").write_text(json.dumps({"dataset_version": version, "total_samples": total, "retrieval": rows, "generation": spoken}, indent=2))
+    lines = ["# Evaluation", "", f"- Dataset version: `{version}`", f"- Samples: `{total}`", "", "## 1. Retrieval by stage", "", "| Stage | " + " | ".join(h for _, h in STAGE_TABLE) + " |", "|---" * (len(STAGE_TABLE) + 1) + "|"]
+    lines += [f"| {r['stage']} | " + " | ".join(f"{r[n]:.4f}" for n, _ in STAGE_TABLE) + " |" for r in rows]
+    lines += ["", "## 2. Generation", ""]
+    lines += [f"- {k.replace('_', ' ').capitalize()}: `{v * 100:.2f} %`" for k, v in spoken.items() if isinstance(v, float)] if spoken else ["None was measured."]
     Path(folder, "report.md").write_text("\n".join(lines) + "\n")

@@ -158,10 +158,30 @@ def test_gold_files(spark, tmp_path):
 
 
 def test_reports(spark, tmp_path):
-    stages = spark.createDataFrame([("dense", 2, 0.5), ("rrf", 2, 0.25)], "stage string, n_samples long, rr_5 double")
-    gold.export(stages, spark.createDataFrame([(3, 1.0)], "total_samples long, citation_validity double"), str(tmp_path / "out"))
-    assert json.loads((tmp_path / "out/report.json").read_text())["retrieval"][1]["rr_5"] == 0.25
-    assert "| rr_5 | 0.5000 | 0.2500 |" in (tmp_path / "out/report.md").read_text()
+    names = [n for n, _ in gold.STAGE_TABLE]
+    stages = spark.createDataFrame([("dense", 3, *[0.5] * len(names)), ("bm25", 3, *[0.25] * len(names))], "stage string, n_samples long, " + ", ".join(f"{n} double" for n in names))
+    gold.export(stages, spark.createDataFrame([(3, 1.0, 0.255)], "total_samples long, citation_validity double, abstention_accuracy double"), str(tmp_path / "out"), "v1")
+    report, text = json.loads((tmp_path / "out/report.json").read_text()), (tmp_path / "out/report.md").read_text()
+    assert report["retrieval"][1]["rr_5"] == 0.25 and report["total_samples"] == 3 and report["dataset_version"] == "v1"
+    assert "| bm25 |" + " 0.2500 |" * len(names) in text and "- Abstention accuracy: `25.50 %`" in text
+    gold.export(stages, None, str(tmp_path / "out"))
+    assert "None was measured" in (tmp_path / "out/report.md").read_text()
+
+
+def test_files_are_written_and_unregistered_ones_removed(spark, tmp_path):
+    from lexloom.sources import storage
+
+    root = f"file://{tmp_path}/raw"
+    rows = spark.createDataFrame([(f"{root}/BI/PBI/1/a.pdf", bytearray(b"%PDF-1")), (f"{root}/BI/PBI/2/b.pdf", None), (None, bytearray(b"x"))], "path string, content binary").repartition(2)
+    for _ in range(2):  # once more does no harm
+        assert sorted(r["bytes"] for r in storage.write_files(rows).collect()) == [0, 6]
+    assert (tmp_path / "raw/BI/PBI/1/a.pdf").read_bytes() == b"%PDF-1" and sorted(p.name for p in (tmp_path / "raw").rglob("*.*")) == ["a.pdf", "b.pdf"]
+    gone = storage.remove_unregistered(rows, rows.filter("path like '%a.pdf'")).collect()
+    assert [tuple(r) for r in gone] == [(f"{root}/BI/PBI/2/b.pdf", True)] and not (tmp_path / "raw/BI/PBI/2/b.pdf").exists()
+    about = spark.createDataFrame([(7, "bi", "PBI", None)], "id long, source string, kind string, title string")
+    made = about.select(storage.metadata_path(f"{root}/meta", "source", "kind", "id").alias("path"), storage.metadata_json("id", ("source", "title")).alias("content"))
+    storage.write_files(made).collect()
+    assert json.loads((tmp_path / "raw/meta/BI/PBI/7.json").read_text()) == {"regulation_id": "7", "metadata": {"source": "bi", "title": None}, "extra_info": {}}
 
 
 def test_stream_of_observations(spark, tmp_path):
