@@ -248,12 +248,14 @@ def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str =
     read, _ = written(found.withColumn("dir", parent(F.col("path"))), "licenses")
     of_dir = read.filter(F.col("own_license").isNotNull() & (F.col("opens") if license_file is None else license_file)).groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("own_license").alias("license"))).alias("l"))
     declared, _ = written(of_dir.select(F.col("dir").alias("from_dir"), "l.license", (-F.col("l.s")).alias("from_score")), "license-dirs")
-    # Directories, not files, look up their ancestors; the nearest is the longest that has a licence.
+    # Directories, not files, look up their ancestors; the nearest is the longest that has a licence. The root, above all of them, is one row and no key.
+    root = declared.filter("from_dir = ''").first()
+    above_all = F.struct(*[F.lit(root[n] if root else None).cast(t).alias(n) for n, t in (("from_dir", "string"), ("license", "string"), ("from_score", "double"))])
     parts = F.when(F.col("dir") == "", F.array().cast("array<string>")).otherwise(F.split("dir", "/"))
-    above = read.select("dir").distinct().withColumn("up", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.concat_ws("/", F.slice(parts, 1, n)))))
+    above = read.select("dir").distinct().withColumn("up", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat_ws("/", F.slice(parts, 1, n))))).filter("up <> ''")
     nearest = above.join(declared, F.col("up") == F.col("from_dir")).groupBy("dir").agg(F.max_by(F.struct("from_dir", "license", "from_score"), F.length("from_dir")).alias("near"))
     near, _ = written(nearest, "nearest")
-    out = read.join(near, "dir", "left")
+    out = read.join(near, "dir", "left").withColumn("near", F.coalesce("near", F.when(F.lit(root is not None), above_all)))
     own, inherited = F.col("own_license").isNotNull(), F.col("near").isNotNull()
     return out.select(
         F.col("key").alias(key), "path",

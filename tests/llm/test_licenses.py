@@ -73,6 +73,8 @@ def test_like_brute_force_and_inheritance(spark):
     assert inherited[(5, "a/b/c/d/z.py")] == ("GPL-3.0", "a/b/c") and inherited[(2, "a/b/x.py")] == (near, "a/b") and inherited[(8, "a/empty")] == ("MIT", "a")
     assert got[(6, "top.py")]["kind"] == got[(9, "ab/other.py")]["kind"] == got[(7, None)]["kind"] == "none"
     assert lic.scan(files.filter("false")).count() == 0
+    above = spark.createDataFrame([(1, "LICENSE", "Released under the MIT License."), (2, "a/b/c.py", "code"), (3, "/a/x.py", ""), (4, None, "")], "doc_id long, path string, text string")
+    assert {r["doc_id"]: (r["license"], r["from_dir"]) for r in lic.scan(above).collect()} == {1: ("MIT", None), 2: ("MIT", ""), 3: ("MIT", ""), 4: ("MIT", "")}
 
 
 def test_every_template_finds_itself(spark):
