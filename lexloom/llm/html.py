@@ -53,8 +53,8 @@ _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 _PARTS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 
-#: Where a block stands.
-BOILERPLATE, OUTSIDE, IN_ARTICLE, DOUBTFUL = range(4)
+#: Where a block stands; MAIN, in a main element but no article, becomes OUTSIDE or IN_ARTICLE at the end of the page.
+BOILERPLATE, OUTSIDE, IN_ARTICLE, DOUBTFUL, MAIN = range(5)
 #: What an element is.
 SHOWN, DOUBT, HIDES, COMMENTS = range(4)
 
@@ -64,9 +64,12 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
-def _kind(tag: str, attributes: str, in_article: bool) -> int:
-    """SHOWN, DOUBT, HIDES or COMMENTS, by the element's name, role, class, id, or because it is not displayed."""
-    if tag in _NEVER or tag == "header" and not in_article:
+def _kind(tag: str, attributes: str, in_article: bool, in_content: bool) -> int:
+    """SHOWN, DOUBT, HIDES or COMMENTS, by the element's name, role, class, id, or because it is not displayed.
+
+    in_content: inside an article or a main element, where headers belong to the text.
+    """
+    if tag in _NEVER or tag == "header" and not in_content:
         return HIDES
     if not attributes or tag in ("html", "body", "main"):
         return SHOWN
@@ -86,17 +89,20 @@ def _kind(tag: str, attributes: str, in_article: bool) -> int:
                     continue
                 if not _ADVERTS.isdisjoint(parts):
                     found = max(found, HIDES)
-                elif not _NAMES.isdisjoint(parts) and not (in_article and "header" in parts):
+                elif not _NAMES.isdisjoint(parts) and not (in_content and "header" in parts):
                     found = max(found, DOUBT if in_article else HIDES)
     return found
 
 
 def blocks_of(html: str) -> list[tuple[int, str]]:
-    """(place, text) of each visible block that is not empty, in page order; white space is single spaces."""
+    """(place, text) of each visible block that is not empty, in page order; white space is single spaces.
+
+    Articles inside a main element stand for it, unless more of its plain text is outside them; a main element without one is the article.
+    """
     out: list[tuple[int, str]] = []
     text: list[str] = []
     stack: list[tuple[str, int]] = []
-    hidden = doubts = articles = at = 0
+    hidden = doubts = articles = mains = at = 0
     tag_at = _TAG.match
 
     def close_block() -> None:
@@ -104,15 +110,17 @@ def blocks_of(html: str) -> list[tuple[int, str]]:
             joined = " ".join("".join(text).split())
             text.clear()
             if joined:
-                out.append((BOILERPLATE if hidden else OUTSIDE if not articles else DOUBTFUL if doubts else IN_ARTICLE, joined))
+                shown = (DOUBTFUL if doubts else IN_ARTICLE) if articles else MAIN if mains else OUTSIDE
+                out.append((BOILERPLATE if hidden else shown, joined))
 
     def pop_to(k: int) -> None:
-        nonlocal hidden, doubts, articles
+        nonlocal hidden, doubts, articles, mains
         while len(stack) > k:
             tag, kind = stack.pop()
             hidden -= kind >= HIDES
             doubts -= kind == DOUBT
-            articles -= tag in ("article", "main")
+            articles -= tag == "article"
+            mains -= tag == "main"
 
     while True:
         start = _OPEN.search(html, at)
@@ -164,10 +172,10 @@ def blocks_of(html: str) -> list[tuple[int, str]]:
             closes = _CLOSES.get(tag, _CLOSES["p"])
             while stack and stack[-1][0] in closes:
                 pop_to(len(stack) - 1)
-        kind = _kind(tag, m[5], articles > 0)
+        kind = _kind(tag, m[5], articles > 0, articles + mains > 0)
         if tag == "article" and any(t == "article" for t, _ in stack):
             kind = max(kind, HIDES)
-        if tag in ("article", "main") and kind < HIDES and hidden and all(t in _LEAVES and k < COMMENTS or k < HIDES for t, k in stack):
+        if tag in ("article", "main") and kind < HIDES and hidden and not mains and all(t in _LEAVES and k < COMMENTS or k < HIDES for t, k in stack):
             stack[:] = [(t, SHOWN) for t, _ in stack]
             hidden = doubts = 0
         if kind and not block:
@@ -176,9 +184,12 @@ def blocks_of(html: str) -> list[tuple[int, str]]:
             stack.append((tag, kind))
             hidden += kind >= HIDES
             doubts += kind == DOUBT
-            articles += tag in ("article", "main")
+            articles += tag == "article"
+            mains += tag == "main"
     close_block()
-    return out
+    size = [sum(len(t) for p, t in out if p == place) for place in (IN_ARTICLE, MAIN)]
+    main = OUTSIDE if size[0] and size[0] >= size[1] else IN_ARTICLE
+    return [(main if p == MAIN else p, t) for p, t in out]
 
 
 _SPACE = word_classes(lambda b: b <= 32)

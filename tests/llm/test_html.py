@@ -25,6 +25,10 @@ def main_text(page: str) -> str:
         ("<article><div class='share-buttons'>s</div><span class='advert'>x</span>t<b>bo</b>ld</article>", "s\ntbold"),
         ("<article><p class='notice'>a</p><div class='form-group'>b</div><section class='search-results'>c</section><p class='promotion'>d</p></article>", "a\nb\nc\nd"),
         ("<article><p>a</p><div class='user-feedback'>u</div><ul class='commentList'><li>c</ul><div data-id='comments'>b</div></article>", "a\nb"),
+        ("<main><p>crumbs</p><article><p>the article itself</p></article><div class='sidebar'>s</div><p>next</p></main>", "the article itself"),
+        ("<main><h1>H</h1><p>the text of the page</p><div class='related'><article><p>teaser</p></article></div></main>", "H\nthe text of the page"),
+        ("<main><header><h1>H</h1></header><p>the text of the page</p><div class='page-header'>d</div></main>", "H\nthe text of the page\nd"),
+        ("<main><h1>H</h1><p>the text of the page</p><article class='comment'><p>reader</p></article></main>", "H\nthe text of the page"),
         ("<article><p>a</p></article><section class='comments'><article class='comment'><p>reader</p></article></section>", "a"),
         ("<body class='no-sidebar'><header><h1>site</h1></header><p>a</p></body>", "a"),
         ("a < b and <p>c</p>", "a < b and\nc"),
