@@ -213,3 +213,77 @@ def test_odd_pages_are_read():
     for html in ("", "<", "<a", "<a href", "</p></a>", "<a href=x><a href=y>t", "<!-- <a href=z> -->", "<script><a href=q></script><a href='w'>&nbsp;ok</a>", "<p" * 1000, "&#x110000; &bogus;"):
         page = pages.Page(html)
         assert all(0 <= e.first <= e.end <= len(page.pieces) for e in page.elements)
+
+
+class _Site:
+    """A site of its own: /flaky fails twice, /gone is refused, /moved leads on."""
+
+    def __enter__(self):
+        import http.server
+        import threading
+
+        seen = {}
+
+        class Handler(http.server.BaseHTTPRequestHandler):
+            def do_GET(self):
+                seen[self.path] = seen.get(self.path, 0) + 1
+                if self.path == "/moved":
+                    self.send_response(302)
+                    self.send_header("Location", "/page")
+                    self.end_headers()
+                    return
+                status = 503 if self.path == "/down" or self.path == "/flaky" and seen[self.path] < 3 else 404 if self.path == "/gone" else 200
+                self.send_response(status)
+                self.send_header("Content-Type", "text/html")
+                self.end_headers()
+                self.wfile.write(b"<p>body</p>")
+
+            def log_message(self, *args):
+                pass
+
+        self.server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+        return f"http://127.0.0.1:{self.server.server_port}", seen
+
+    def __exit__(self, *args):
+        self.server.shutdown()
+        self.server.server_close()
+
+
+def test_fetching_tries_again_only_what_may_pass(spark):
+    import hashlib
+
+    from lexloom.sources import fetch
+
+    with _Site() as (site, seen):
+        asked = spark.createDataFrame([(f"{site}{p}",) for p in ("/page", "/page", "/flaky", "/gone", "/down", "/moved")] + [("http://127.0.0.1:9/none",), (None,)], "url string")
+        rows = {r["url"].split("/")[-1]: r for r in fetch.fetch(asked, pause=0.01, first_wait=0.01).collect()}
+    assert {k: (r["outcome"], r["status"], r["attempts"]) for k, r in rows.items()} == {"page": ("ok", 200, 1), "flaky": ("ok", 200, 3), "gone": ("refused", 404, 1), "down": ("exhausted", 503, 4), "moved": ("ok", 200, 1), "none": ("exhausted", None, 4)}
+    assert rows["page"]["sha256"] == hashlib.sha256(b"<p>body</p>").hexdigest() and rows["moved"]["final_url"].endswith("/page") and rows["gone"]["content"] is None
+    assert seen["/down"] == 4 and seen["/flaky"] == 3
+    waits = []
+    fetch.tried("x", lambda url: (_ for _ in ()).throw(TimeoutError()), sleep=waits.append)
+    assert waits == [1.0, 2.0, 4.0]
+
+
+def test_blocks_of_files_become_lines(spark):
+    from lexloom.operators import normalize
+    from lexloom.sources import blocks
+
+    def reader():
+        def read(content):
+            for page in content.decode().split("\f"):
+                yield [(0, 10 * i, 5, 10 * i + 9, part, i, int(part.startswith("<img"))) for i, part in enumerate(page.split("|"))]
+
+        return read
+
+    files = spark.createDataFrame([(1, bytearray(b"Pasal 1| one\n two \n\n|<img>|  \fnext")), (2, None)], "document_id long, content binary")
+    found = blocks.blocks(files, reader)
+    assert [(r["page_num"], r["block_num"], r["text"]) for r in found.orderBy("page_num", "block_num").collect()] == [(1, 0, "Pasal 1"), (1, 1, "one\n two"), (2, 0, "next")]
+    made = normalize.normalize(blocks.lines(found)).orderBy("line_num").collect()
+    assert [(r["page_num"], r["text"]) for r in made] == [(1, "Pasal 1"), (1, "one"), (1, "two"), (2, "next")]
+    try:
+        import fitz  # noqa: F401
+    except ImportError:
+        with pytest.raises(ImportError):
+            blocks.pdf()
