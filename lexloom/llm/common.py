@@ -11,11 +11,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexloom.llm.storage import opened
+
 #: Text bytes that a Python worker handles at once; one longer text is a slice of its own.
 SLICE_BYTES = 6_000_000
 
@@ -74,7 +75,7 @@ def _remove_made() -> None:
     """What a session put into the shared folder goes when its driver ends; no result outlives that."""
     for folder in _MADE:
         with contextlib.suppress(Exception):
-            system, path = fs.FileSystem.from_uri(folder)
+            system, path = opened(folder)
             system.delete_dir(path)
 
 

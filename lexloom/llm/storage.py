@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyarrow import fs
 
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri)
+    """The file system of an address and the path in it. Hadoop's names of S3 count as its own; a scheme without a file system here is ValueError."""
+    try:
+        return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+    except pa.ArrowInvalid as e:
+        raise ValueError(f"no file system for {uri}: {e}") from e
 
 
 def make_folder(uri: str) -> None:

@@ -66,6 +66,12 @@ def test_missing_archives_are_an_error(spark, tmp_path):
             media.read_archives(spark, folder, **wrong).count()
 
 
+def test_file_systems_go_by_scheme(tmp_path):
+    assert storage.opened(f"file://{tmp_path}/x")[1] == f"{tmp_path}/x"
+    with pytest.raises(ValueError, match="viewfs"):
+        storage.opened("viewfs://cluster/x")
+
+
 def test_many_ranges_become_larger(spark, monkeypatch):
     docs = spark.range(60).selectExpr("id doc_id", "repeat(concat(id, ' text '), 90) text").repartition(3)
     folder = new_folder(spark, "steps")
