@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -141,6 +142,13 @@ def slices(batches: Iterator[pa.RecordBatch], text_at: int, limit: int = SLICE_B
                 yield batch.slice(a, b - a)
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: the worker lives on for other tasks, whose executor's memory it counts in."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
@@ -167,6 +175,7 @@ def map_text(df: DataFrame, key: str, text: str, fields: list[T.StructField], wo
             made = [pa.array(a, f.type) if not isinstance(a, (pa.Array, pa.ChunkedArray)) else a.cast(f.type) for a, f in zip(work(as_bytes(batch.column(text_at))), inner)]
             columns = [*batch.columns, pa.StructArray.from_arrays(made, fields=list(inner))] if carry else [batch.column(0), *made]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(columns, outer)], schema=outer)
+        give_back()
 
     bounded_batches(df.sparkSession)
     out = source.mapInArrow(run, schema)

@@ -24,6 +24,9 @@ WINDOW = 10
 #: Test text that one pass holds in each worker; a larger test set takes several readings of the documents.
 BLOCK_BYTES = 16_000_000
 
+#: Text that one suffix array covers, about; its words and keys take many times its size.
+SHARD_BYTES = 3_000_000
+
 MATCH = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("item_word", T.IntegerType()), T.StructField("doc_word", T.IntegerType()), T.StructField("n_words", T.IntegerType())])
 FIELDS = [
     T.StructField("n_words", T.LongType()),
@@ -200,14 +203,14 @@ def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     """
     blocks = test_blocks(benchmark, item, item_text, block_bytes, window)
     first, second = next(blocks), next(blocks, None)
-    out = map_text(docs, key, text, FIELDS, _scan(first, with_matches), carry or second is not None, verdict)
+    out = map_text(docs, key, text, FIELDS, _scan(first, with_matches), carry or second is not None, verdict, SHARD_BYTES)
     if second is None:
         return out
     number, step = free_name(out, "_row"), free_name(out, "_step")
     whole, _ = written(out.withColumn(number, F.monotonically_increasing_id()), "scanned")
     hits = None
     for block in chain([second], blocks):
-        found = map_text(pick(whole, number, _text=text), number, "_text", FIELDS, _scan(block, with_matches)).filter(F.size("spans") > 0)
+        found = map_text(pick(whole, number, _text=text), number, "_text", FIELDS, _scan(block, with_matches), limit=SHARD_BYTES).filter(F.size("spans") > 0)
         hits = found if hits is None else hits.unionByName(found)
     flat = lambda name: F.flatten(F.collect_list(name)).alias(name)
     folder = by_part(hits.groupBy(F.col(number).alias("row")).agg(flat("spans"), flat("items"), flat("matches")), "row", "hits")
