@@ -50,9 +50,12 @@ def per_sample(samples: DataFrame, results: DataFrame, gold: DataFrame) -> DataF
 
 
 def stage_summary(metrics: DataFrame, stage: str) -> DataFrame:
-    """One row: how many samples count and the mean of each metric to 4 places; zeros if none count."""
+    """One row: how many samples count and the mean of each metric to 4 places; zeros if none count.
+
+    Means are rounded to 9 places first: their last bits hang on the order of the sum, and would decide where a mean lies half-way.
+    """
     names = [c for c in metrics.columns if c != "sample_id"]
-    return metrics.agg(F.count(F.lit(1)).alias("n_samples"), *[F.coalesce(F.round(F.avg(n), 4), F.lit(0.0)).alias(n) for n in names]).select(F.lit(stage).alias("stage"), "*")
+    return metrics.agg(F.count(F.lit(1)).alias("n_samples"), *[F.coalesce(F.round(F.round(F.avg(n), 9), 4), F.lit(0.0)).alias(n) for n in names]).select(F.lit(stage).alias("stage"), "*")
 
 
 def _cites(cited: DataFrame, evidence: DataFrame) -> Column:

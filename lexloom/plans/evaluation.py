@@ -106,7 +106,7 @@ found_{name} AS (SELECT sample_id, {", ".join(f"min(rank) FILTER (relevance > 0
 
 
 METRICS = ",\n".join([CHUNKS, dense_sql(10, asked=_ASKED), gold_sql(f"SELECT vec_id AS sample_id FROM embeddings WHERE vec_id % {EVERY} = 0"), metrics_sql("den")])
-_summary = lambda stage, name: f"SELECT '{stage}' AS stage, count(*) AS n_samples, " + ", ".join(f"coalesce(round(avg({n}), 4), 0) AS {n}" for n in [*_RR, *_NDCG, *_PR]) + f" FROM {name}"
+_summary = lambda stage, name: f"SELECT '{stage}' AS stage, count(*) AS n_samples, " + ", ".join(f"coalesce(round(round(avg({n}), 9), 4), 0) AS {n}" for n in [*_RR, *_NDCG, *_PR]) + f" FROM {name}"
 _STAGES = {"dense": "(SELECT * FROM den WHERE rank <= 10)", "bm25": "(SELECT * FROM lex WHERE rank <= 10)", "rrf": "ten", "rrf_rerank": "(SELECT query_id, chunk_id, rerank_rank AS rank FROM reranked)"}
 #: The chain with lists of ten from the fused and the re-ranked rows.
 _CHAIN_TEN = f"{CHAIN.replace(f'rerank_rank <= {FINAL}', 'rerank_rank <= 10')},\n{fuse_sql(60, 10, 'ten')}"
