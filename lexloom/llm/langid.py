@@ -163,7 +163,8 @@ def fit(texts: list[bytes], labels: list[str], steps: int = 900, batch: int = 64
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 4, held_fold: int = 2, texts_each: int = TEXTS_EACH) -> Network | None:
     """Train on labelled texts outside the held-out fold, about `texts_each` of each language, chosen by a hash of the key; None without any.
 
-    Texts of more than TEXT_BYTES are no part of the sample, so what comes to the driver is bounded in bytes.
+    Texts of more than TEXT_BYTES are no part of the sample, and a key that repeats, null too, gives its least text in each language, so what
+    comes to the driver is bounded in bytes.
     """
     rows = pick(docs, key=key, text=text, lang=lang).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~in_fold(F.col("key"), folds, held_fold))
     rows = rows.filter(F.octet_length("text") <= TEXT_BYTES)
@@ -174,7 +175,8 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         return None
     sizes = docs.sparkSession.createDataFrame(counts, "lang string, n long")
     place = F.pmod(F.xxhash64("key", F.lit("language")), F.lit(1 << 30)) / (1 << 30)
-    chosen = sorted(rows.join(F.broadcast(sizes), "lang").filter(place < texts_each / F.col("n")).select("key", "text", "lang").collect(), key=lambda r: (r[0] is None, r[0], r[1]))
+    near = rows.join(F.broadcast(sizes), "lang").filter(place < texts_each / F.col("n"))
+    chosen = sorted(near.groupBy("key", "lang").agg(F.min("text").alias("text")).select("key", "text", "lang").collect(), key=lambda r: (r[0] is None, r[0], r[1], r[2]))
     return fit([r[1].encode() for r in chosen], [r[2] for r in chosen])
 
 

@@ -352,15 +352,17 @@ def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, held_fold: int = 0, texts_each: int = TEXTS_EACH) -> Network:
     """Train on about `texts_each` texts of each label outside the held-out fold, chosen by a hash of the key.
 
-    Texts of more than TEXT_BYTES are no part of the sample, so what comes to the driver is bounded in bytes.
+    Texts of more than TEXT_BYTES are no part of the sample, and a key that repeats gives its least text, so what comes to the driver is bounded
+    in bytes. A key labelled both ways counts as toxic.
     """
-    known = pick(labels, _key=key, _label=label).filter(F.col("_label").isin(0, 1) & F.col("_key").isNotNull() & ~in_fold(F.col("_key"), folds, held_fold))
+    known = pick(labels, _key=key, _label=label).filter(F.col("_label").isin(0, 1) & F.col("_key").isNotNull() & ~in_fold(F.col("_key"), folds, held_fold)).groupBy("_key").agg(F.max("_label").alias("_label"))
     counts = {r[0]: r[1] for r in known.groupBy("_label").count().collect()}
     place = F.pmod(F.xxhash64("_key", F.lit("toxicity")), F.lit(1 << 30)) / (1 << 30)
     share = F.when(F.col("_label") == 1, F.lit(texts_each / max(1, counts.get(1, 0)))).otherwise(F.lit(texts_each / max(1, counts.get(0, 0))))
-    chosen = known.filter(place < share).dropDuplicates(["_key"])
+    chosen = known.filter(place < share)
     # The chosen keys are bounded by texts_each, so they go to every task and only their texts come back.
-    rows = pick(docs, _k=key, _t=text).filter(F.coalesce(F.octet_length("_t"), F.lit(0)) <= TEXT_BYTES).join(F.broadcast(chosen), F.col("_k") == F.col("_key")).select("_k", "_t", "_label").collect()
+    found = pick(docs, _k=key, _t=text).filter(F.coalesce(F.octet_length("_t"), F.lit(0)) <= TEXT_BYTES).join(F.broadcast(chosen), F.col("_k") == F.col("_key"))
+    rows = found.groupBy("_k", "_label").agg(F.min("_t").alias("_t")).select("_k", "_t", "_label").collect()
     rows.sort(key=lambda r: (r[0], r[1] or ""))
     return fit([(r[1] or "").encode() for r in rows], [int(r[2]) for r in rows])
 

@@ -263,3 +263,21 @@ def test_long_texts_are_no_training_rows(spark, monkeypatch):
 
 def test_without_a_model_no_row_goes(spark, odd, odd_rows):
     assert langid.keep_known(odd, None).count() == len(odd_rows)
+
+
+def test_repeated_keys_do_not_swell_the_samples(spark, monkeypatch):
+    """A key that holds most rows, null too, gives one training row in each language or label."""
+    seen = {}
+    monkeypatch.setattr(langid, "fit", lambda texts, labels: seen.update(lang=list(zip(texts, labels))))
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: seen.update(toxic=list(zip(texts, labels))))
+    rows = [(k, f"text {i:04}", "en") for i in range(300) for k in (None, 1)] + [(3, "other", "en"), (3, "autre", "fr"), (2, "held out", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    langid.train(docs, texts_each=10**6)
+    fold = {k: spark.range(1).select(langid.in_fold(langid.F.lit(k).cast("long"), 4, 2)).head()[0] for k in (None, 1, 2, 3)}
+    wanted = {None: [(b"text 0000", "en")], 1: [(b"text 0000", "en")], 2: [(b"held out", "en")], 3: [(b"other", "en"), (b"autre", "fr")]}
+    assert sorted(seen["lang"]) == sorted(x for k, found in wanted.items() if not fold[k] for x in found)
+    labels = spark.createDataFrame([(k, y) for k in (1, 2, 3, 4, None) for y in (0, 1) if k != 3 or y == 0] * 50, "doc_id long, toxic int")
+    toxicity.train(docs, labels, texts_each=10**6)
+    fold = {k: spark.range(1).select(langid.in_fold(langid.F.lit(k).cast("long"), 5, 0)).head()[0] for k in (1, 2, 3)}
+    wanted = {1: (b"text 0000", 1), 2: (b"held out", 1), 3: (b"autre", 0)}
+    assert sorted(seen["toxic"]) == sorted(x for k, x in wanted.items() if not fold[k])
