@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import chat, decontaminate, html, langid, licenses, media, packing, simhash, toxicity, warc
+from lexloom.llm import chat, decontaminate, html, langid, licenses, media, packing, repeats, simhash, spelling, toxicity, vectors, warc
 from lexloom.llm.common import in_fold, table
 
 
@@ -61,13 +61,67 @@ def op10_warc_chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_host_suffix_html, op2_chat_formatting, op3_media_columns, op4_suffix_array_decontamination, op5_bigru_toxicity, op6_best_fit_packing, op7_simhash_near_dedup, op8_license_scan, op9_byte_cnn_language_id, op10_warc_chunk_table)}
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variant_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_host_suffix_html, op2_chat_formatting, op3_media_columns, op4_suffix_array_decontamination, op5_bigru_toxicity, op6_best_fit_packing, op7_simhash_near_dedup, op8_license_scan, op9_byte_cnn_language_id, op10_warc_chunk_table, op11_suffix_array_dedup, op12_vector_code_compression, op13_spelling_variant_grouping)}
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _GRID = "unnest(range(0, greatest(1, len(w) - 9)))"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
+_REPEATS = """WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, strlen(coalesce(text, '')) AS n FROM documents), w AS (SELECT doc_id, p, md5(b[p + 1 : p + 100]) AS h FROM (SELECT doc_id, b, unnest(range(0, n - 99)) AS p FROM d)),
+r AS (SELECT doc_id, p FROM w QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, p) > 1),
+e AS (SELECT doc_id, p, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > 100, true) AS new FROM r), g AS (SELECT doc_id, p, count(*) FILTER (new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM e),
+s AS (SELECT doc_id, k, min(p) AS a, max(p) + 100 AS z FROM g GROUP BY ALL), sums AS (SELECT doc_id, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans FROM s GROUP BY 1),
+c AS (SELECT doc_id, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS x, a AS y FROM s UNION ALL SELECT doc_id, coalesce(z, 0), n FROM d LEFT JOIN (SELECT doc_id, max(z) AS z FROM s GROUP BY 1) USING (doc_id)),
+kept AS (SELECT doc_id, sha256(unhex(string_agg(hex(b[x + 1 : y]), '' ORDER BY x))) AS kept_sha256 FROM c JOIN d USING (doc_id) GROUP BY 1)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, kept_sha256 FROM d LEFT JOIN sums USING (doc_id) JOIN kept USING (doc_id)"""
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Codebooks and their rounds as one chain of tables; whole numbers stay exact in doubles here."""
+    near = "SELECT vec_id, j, q, min_by(e, ({n2} - 2 * list_dot_product(q, c) + list_dot_product(c, c), e)) AS e, min({n2} - 2 * list_dot_product(q, c) + list_dot_product(c, c)) AS far FROM p JOIN c{i} USING (j) GROUP BY vec_id, j, q"
+    chain = [
+        "k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        "p AS MATERIALIZED (SELECT vec_id, j, v[j * len(v) // 4 + 1 : (j + 1) * len(v) // 4] AS q FROM (SELECT vec_id, v, unnest(range(0, 4)) AS j FROM k))",
+        "c0 AS MATERIALIZED (SELECT j, row_number() OVER (PARTITION BY j ORDER BY vec_id) - 1 AS e, q AS c FROM p QUALIFY e < 256)",
+    ]
+    for i in range(rounds + 1):
+        chain.append(f"a{i} AS MATERIALIZED ({near.format(i=i, n2='list_dot_product(q, q)')})")
+        if i < rounds:
+            chain.append(f"m{i} AS (SELECT j, e, list(floor(s / n) ORDER BY d) AS c FROM (SELECT j, e, d, sum(x) AS s, count(*) AS n FROM (SELECT j, e, unnest(q) AS x, unnest(range(0, len(q))) AS d FROM a{i}) GROUP BY j, e, d) GROUP BY j, e)")
+            chain.append(f"c{i + 1} AS MATERIALIZED (SELECT j, e, coalesce(m.c, o.c) AS c FROM c{i} AS o LEFT JOIN m{i} AS m USING (j, e))")
+    chain.append(f"r AS (SELECT vec_id, string_agg(lower(lpad(to_hex(e), 2, '0')), '' ORDER BY j) AS code, sum(far)::BIGINT AS error FROM a{rounds} GROUP BY 1)")
+    chain.append(f"h AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: x::BIGINT::VARCHAR), ','), ',' ORDER BY j, e)) AS codebooks_sha256 FROM c{rounds})")
+    return f"WITH {', '.join(chain)} SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM r JOIN k USING (vec_id), h"
+
+
+#: The checksum is the usual one of reflected polynomial 0xEDB88320, by a table that a rule makes; near words are those that share what a deletion leaves.
+_SPELLINGS = r"""WITH t AS MATERIALIZED (SELECT list(c ORDER BY i) AS tbl FROM (SELECT i, list_reduce(list_prepend(i, range(0, 8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(0, 256) AS r(i))),
+u AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+b AS (SELECT run, count(*) AS times, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM u GROUP BY doc_id, run),
+h AS (SELECT run, times, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)), lambda c, v: xor(c >> 8, tbl[(xor(c, v) & 255) + 1])), 4294967295) AS h FROM b, t),
+r AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times FROM h),
+k AS MATERIALIZED (SELECT word, sum(times)::BIGINT AS n FROM r WHERE length(word) >= 5 GROUP BY 1 HAVING sum(times) >= 3),
+d AS MATERIALIZED (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS less FROM (SELECT word, unnest(range(0, length(word))) AS i FROM k)),
+p AS (SELECT x.word AS a, y.word AS b FROM d AS x JOIN d AS y USING (i, less) WHERE x.word <> y.word UNION SELECT d.word, k.word FROM d JOIN k ON less = k.word UNION SELECT k.word, d.word FROM d JOIN k ON less = k.word),
+f AS (SELECT a, count(*) AS n_near, arg_min(b, (-m, b)) AS b, max(m) AS m FROM (SELECT a, b, n AS m FROM p JOIN k ON b = word) GROUP BY 1),
+w AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN b END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n FROM k LEFT JOIN f ON a = word),
+up(word, root, onward) AS (WITH RECURSIVE g(word, root, onward) AS (SELECT word, word, form FROM w UNION ALL SELECT g.word, w.word, w.form FROM g JOIN w ON w.word = g.onward) SELECT * FROM g WHERE onward IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM w JOIN up USING (word)"""
+
+
 #: Where SQL can express an operator. That of op1 reads the markup of the tables at hand, not any page.
 ORACLES: dict[str, str] = {
     "op1_host_suffix_html": r"""WITH b AS (SELECT page_id, url, unnest(x) AS block, unnest(range(0, len(x))) AS i FROM (SELECT page_id, url, regexp_split_to_array(regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1), '</?(?:p|h1)>') AS x FROM pages)),
@@ -97,4 +151,7 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
     "op10_warc_chunk_table": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages), h AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS hex, max(page_id) OVER (PARTITION BY body) AS target FROM p)
 SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda k: substr('{_BASE32}', ((('0x' || substr(hex, (k // 4 * 5 + 1)::INT, 5))::INT >> (15 - 5 * (k % 4))::INT) & 31) + 1, 1)), '') AS payload_digest,
  CASE WHEN target = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN target <> page_id THEN target END AS refers_to FROM h""",
+    "op11_suffix_array_dedup": _REPEATS,
+    "op12_vector_code_compression": _codes_sql(),
+    "op13_spelling_variant_grouping": _SPELLINGS,
 }
