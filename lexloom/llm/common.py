@@ -94,32 +94,11 @@ def drop_folder(spark: SparkSession, folder: str) -> None:
         _MADE.remove(folder)
 
 
-def folders_read(df: DataFrame) -> set[str]:
-    """The folders and files that the plan scans, without their schemes."""
-    leaves, found = df._jdf.queryExecution().analyzed().collectLeaves(), set()
-    for i in range(leaves.size()):
-        leaf = leaves.apply(i)
-        if leaf.nodeName().startswith("LogicalRelation") and "HadoopFsRelation" in leaf.relation().getClass().getName():
-            paths = leaf.relation().location().rootPaths()
-            found |= {paths.apply(k).toUri().getPath() for k in range(paths.size())}
-    return found
-
-
 def made_so_far() -> list[str]:
     """The folders that this driver has made and not dropped, in their order."""
     return list(_MADE)
 
 
-def drop_unread(docs: DataFrame, folders: list[str]) -> list[str]:
-    """Drop the folders unless `docs` reads one of them; gives those that stay."""
-    there = [f for f in folders if f in _MADE]
-    if there and not {f.split("://", 1)[1] for f in there}.isdisjoint(folders_read(docs)):
-        return there
-    for folder in there:
-        drop_folder(docs.sparkSession, folder)
-    return []
-
-
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """The rows as a Parquet table in the shared folder, which outlives lost executors and cuts the lineage."""
     spark = df.sparkSession

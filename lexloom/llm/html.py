@@ -28,20 +28,26 @@ LEAST_RUN = 10
 COVERED = 0.8
 
 # Names of HTML elements and attributes.
-_RAW = frozenset("script style noscript template textarea title iframe object svg math canvas audio video xmp noembed noframes".split())
+_RAW = frozenset("script style noscript template textarea title iframe object svg canvas audio video xmp noembed noframes annotation annotation-xml".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody tfoot thead tr ul caption".split())
 _NEVER = frozenset("nav footer aside form dialog menu search button select label fieldset head".split())
 #: Boilerplate that an article inside ends: wrappers that are left open, or that hold the whole page.
 _LEAVES = frozenset("nav header form div section fieldset".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-#: Words of class names and ids: reader comments and adverts wherever they stand; the others only outside an article, where inside one they raise doubt.
-_COMMENTS = frozenset("comment comments commentlist disqus replies".split())
+#: Words of class names and ids. Comments of readers go wherever a block outside code has them; `discussion` is also a part of articles, so only outside one.
+_COMMENTS = frozenset("comment comments commentlist disqus replies reactions".split())
+_TALK = frozenset("discussion discussions".split())
 _READERS, _REMARKS = frozenset("reader readers user users visitor visitors".split()), frozenset("feedback opinions remarks replies responses reviews".split())
-_ADVERTS = frozenset("ad ads adv advert adverts advertisement advertisements advertising sponsored".split())
+#: Adverts; `ad` and `ads` only where they are the whole name, or all else in it says where an advert stands.
+_ADVERTS = frozenset("adv advert adverts advertisement advertisements advertising sponsored".split())
+_AD, _AD_PLACES = frozenset("ad ads".split()), frozenset("banner block bottom box container google inline label leaderboard native right left side skyscraper slot space sticky top unit wrapper zone".split())
+#: These raise doubt.
 _NAMES = frozenset(
     "sponsor sponsors promo promos promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead cookie cookies consent gdpr notice notices newsletter subscribe subscription signup popup modal overlay share sharing social related recommended recommendations widget pagination pager toolbar login search form".split()
 )
+#: A named container is text if it holds this share of the page's, or if it is prose: so many words and ends of sentences at least, and links of at most that share.
+MOST, PROSE_WORDS, PROSE_ENDS, PROSE_LINKS = 0.5, 60, 3, 0.2
 _NOT_NAMES = frozenset("no has with without is not".split())
 _CLOSES = {"p": frozenset(["p"]), "li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]), "tr": frozenset(["tr", "p"]), "option": frozenset(["option"])}
 
@@ -55,8 +61,8 @@ _PARTS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 
 #: Where a block stands; MAIN, in a main element but no article, becomes OUTSIDE or IN_ARTICLE at the end of the page.
 BOILERPLATE, OUTSIDE, IN_ARTICLE, DOUBTFUL, MAIN = range(5)
-#: What an element is.
-SHOWN, DOUBT, HIDES, COMMENTS = range(4)
+#: What an element is. NAMED outside articles is what DOUBT is inside one.
+SHOWN, DOUBT, NAMED, HIDES, COMMENTS = range(5)
 
 
 def host_of(url: str | None) -> str:
@@ -64,63 +70,91 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
-def _kind(tag: str, attributes: str, in_article: bool, in_content: bool) -> int:
-    """SHOWN, DOUBT, HIDES or COMMENTS, by the element's name, role, class, id, or because it is not displayed.
+def _kind(tag: str, attributes: str, in_article: bool, in_content: bool, in_code: bool) -> int:
+    """SHOWN, DOUBT, NAMED, HIDES or COMMENTS, by the element's name, role, class, id, or because it is not displayed.
 
-    in_content: inside an article or a main element, where headers belong to the text.
+    in_content: inside an article or a main element, where headers belong to the text. Code has class names of its own, and the names of
+    inline elements say nothing but that they are adverts.
     """
     if tag in _NEVER or tag == "header" and not in_content:
         return HIDES
     if not attributes or tag in ("html", "body", "main"):
         return SHOWN
-    found = SHOWN
+    found, block = SHOWN, tag in _BLOCK
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden", value) or name == "role" and value.lower() in _ROLES:
             found = max(found, HIDES)
-        if name in ("class", "id"):
+        if name in ("class", "id") and not in_code:
             for one in value.split():
                 parts = [p.lower() for p in _PARTS.findall(one)]
                 if not parts or parts[0] in _NOT_NAMES:
                     continue
-                if not _COMMENTS.isdisjoint(parts) or not (_READERS.isdisjoint(parts) or _REMARKS.isdisjoint(parts)):
+                if block and (not _COMMENTS.isdisjoint(parts) or not (_READERS.isdisjoint(parts) or _REMARKS.isdisjoint(parts)) or not (in_article or _TALK.isdisjoint(parts))):
                     return COMMENTS
                 if tag == "article":
                     continue
-                if not _ADVERTS.isdisjoint(parts):
+                if not _ADVERTS.isdisjoint(parts) or not _AD.isdisjoint(parts) and _AD_PLACES.issuperset(p for p in parts if p not in _AD) and not (one[-1:].isdigit()):
                     found = max(found, HIDES)
-                elif not _NAMES.isdisjoint(parts) and not (in_content and "header" in parts):
-                    found = max(found, DOUBT if in_article else HIDES)
+                elif block and not _NAMES.isdisjoint(parts) and not (in_content and "header" in parts):
+                    found = max(found, DOUBT if in_article else NAMED)
     return found
 
 
+def _lifted(blocks: list[tuple[int, str, int, int]], parents: list[int]) -> list[bool]:
+    """Which named containers hold most of the page's text, or prose, and stand in such ones only, so that their names do not count."""
+    total, sums = 0, [[0, 0, 0, 0] for _ in parents]
+    for place, text, within, linked in blocks:
+        if place != BOILERPLATE:
+            total += len(text)
+            if within >= 0:
+                sums[within] = [a + n for a, n in zip(sums[within], (len(text), len(text.split()), sum(map(text.count, ".!?。！？")), linked))]
+    for k in range(len(parents) - 1, -1, -1):
+        if parents[k] >= 0:
+            sums[parents[k]] = [a + n for a, n in zip(sums[parents[k]], sums[k])]
+    out: list[bool] = []
+    for (size, words, ends, linked), parent in zip(sums, parents):
+        own = size >= MOST * total or words >= PROSE_WORDS and ends >= PROSE_ENDS and linked <= PROSE_LINKS * size
+        out.append(own and (parent < 0 or out[parent]))
+    return out
+
+
 def blocks_of(html: str) -> list[tuple[int, str]]:
     """(place, text) of each visible block that is not empty, in page order; white space is single spaces.
 
     Articles inside a main element stand for it, unless more of its plain text is outside them; a main element without one is the article.
+    Containers that are named like boilerplate, outside articles, are boilerplate unless they hold most of the page's text, or prose.
     """
-    out: list[tuple[int, str]] = []
+    out: list[tuple[int, str, int, int]] = []
     text: list[str] = []
-    stack: list[tuple[str, int]] = []
-    hidden = doubts = articles = mains = at = 0
+    stack: list[tuple[str, int, int | None]] = []
+    parents: list[int] = []  # of the named containers, by number
+    hidden = doubts = articles = mains = at = code = linked = 0
+    named = -1  # the innermost one here
+    in_link = False
     tag_at = _TAG.match
 
     def close_block() -> None:
+        nonlocal linked
         if text:
             joined = " ".join("".join(text).split())
             text.clear()
             if joined:
                 shown = (DOUBTFUL if doubts else IN_ARTICLE) if articles else MAIN if mains else OUTSIDE
-                out.append((BOILERPLATE if hidden else shown, joined))
+                out.append((BOILERPLATE if hidden else shown, joined, named, min(linked, len(joined))))
+        linked = 0
 
     def pop_to(k: int) -> None:
-        nonlocal hidden, doubts, articles, mains
+        nonlocal hidden, doubts, articles, mains, code, named
         while len(stack) > k:
-            tag, kind = stack.pop()
+            tag, kind, outer = stack.pop()
             hidden -= kind >= HIDES
             doubts -= kind == DOUBT
             articles -= tag == "article"
             mains -= tag == "main"
+            code -= tag == "pre"
+            if outer is not None:
+                named = outer
 
     while True:
         start = _OPEN.search(html, at)
@@ -128,6 +162,7 @@ def blocks_of(html: str) -> list[tuple[int, str]]:
         if end > at:
             run = html[at:end]
             text.append(unescape(run) if "&" in run else run)
+            linked += len(run) if in_link else 0
         if not start:
             break
         m = tag_at(html, end)
@@ -147,6 +182,10 @@ def blocks_of(html: str) -> list[tuple[int, str]]:
                 close_block()
             continue
         block = tag in _BLOCK
+        if tag == "a":
+            in_link = not closing
+        elif tag == "code":
+            code = max(0, code + (-1 if closing else 1))
         if closing:
             if not block and not hidden and not doubts:
                 continue
@@ -172,24 +211,33 @@ def blocks_of(html: str) -> list[tuple[int, str]]:
             closes = _CLOSES.get(tag, _CLOSES["p"])
             while stack and stack[-1][0] in closes:
                 pop_to(len(stack) - 1)
-        kind = _kind(tag, m[5], articles > 0, articles + mains > 0)
-        if tag == "article" and any(t == "article" for t, _ in stack):
+            code = 0 if not any(t == "pre" for t, _, _ in stack[-8:]) and tag != "pre" else code  # code that is left open ends with its block
+        kind = _kind(tag, m[5], articles > 0, articles + mains > 0, code > 0 or tag == "pre")
+        if tag == "article" and any(t == "article" for t, _, _ in stack):
             kind = max(kind, HIDES)
-        if tag in ("article", "main") and kind < HIDES and hidden and not mains and all(t in _LEAVES and k < COMMENTS or k < HIDES for t, k in stack):
-            stack[:] = [(t, SHOWN) for t, _ in stack]
+        if tag in ("article", "main") and kind < HIDES and hidden and not mains and all(t in _LEAVES and k < COMMENTS or k < HIDES for t, k, _ in stack):
+            stack[:] = [(t, SHOWN, outer) for t, _, outer in stack]
             hidden = doubts = 0
         if kind and not block:
             close_block()
         if block or kind or hidden or doubts:
-            stack.append((tag, kind))
+            outer = None
+            if kind == NAMED or tag == "article" and not mains and not articles:
+                outer, named = named, len(parents) if kind == NAMED else -1  # an article stands for itself
+                if kind == NAMED:
+                    parents.append(outer)
+            stack.append((tag, kind, outer))
             hidden += kind >= HIDES
             doubts += kind == DOUBT
             articles += tag == "article"
             mains += tag == "main"
+            code += tag == "pre"
     close_block()
-    size = [sum(len(t) for p, t in out if p == place) for place in (IN_ARTICLE, MAIN)]
+    lifted = _lifted(out, parents)
+    shown = [(p if within < 0 or lifted[within] else BOILERPLATE, t) for p, t, within, _ in out]
+    size = [sum(len(t) for p, t in shown if p == place) for place in (IN_ARTICLE, MAIN)]
     main = OUTSIDE if size[0] and size[0] >= size[1] else IN_ARTICLE
-    return [(main if p == MAIN else p, t) for p, t in out]
+    return [(main if p == MAIN else p, t) for p, t in shown]
 
 
 _SPACE = word_classes(lambda b: b <= 32)

@@ -40,8 +40,71 @@ def test_main_text(page, want):
     assert main_text(page) == want
 
 
+PROSE = " ".join(f"Sentence {i} of the text says what word{i} means here." for i in range(12))
+
+#: Pages without an article element, each with the text that it is about.
+UNMARKED = [
+    (f'<body><div class="layout-sidebar-right"><h1>Head</h1><p>{PROSE}</p></div></body>', f"Head\n{PROSE}"),
+    (f'<body><div id="content-with-menu"><p>{PROSE}</p><ul class="menu"><li>one</li></ul></div></body>', PROSE),
+    (f'<div class="page-wrapper has-sidebar"><div class="sidebar"><p>links</p></div><p>{PROSE}</p></div>', PROSE),
+    (f'<div class="widget-area-off site"><div class="post"><p>{PROSE}</p></div></div>', PROSE),
+    (f'<p>{PROSE}</p><pre><code><span class="hljs-comment"># set x</span>\nx = 1</code></pre>', f"{PROSE}\n# set x x = 1"),
+    (f'<p>{PROSE}</p><div class="highlight"><pre><span class="token comment">// y</span> y();</pre></div>', f"{PROSE}\n// y y();"),
+    (f'<p>{PROSE}</p><p>Call <code class="comment">f</code> once.</p>', f"{PROSE}\nCall f once."),
+    (f'<p class="ad-hoc">An ad-hoc query.</p><p>{PROSE}</p>', f"An ad-hoc query.\n{PROSE}"),
+    (f'<p id="ad-1">Article one, 1 AD.</p><p>{PROSE}</p>', f"Article one, 1 AD.\n{PROSE}"),
+    (f'<div class="ad">buy</div><div class="ad-slot">buy</div><div class="top-ad">buy</div><div class="google-ads">buy</div><div class="sponsored-post">buy</div><p>{PROSE}</p>', PROSE),
+    (f"<p>{PROSE}</p><p>So <math><mi>a</mi><mo>=</mo><mi>b</mi></math> holds.</p>", f"{PROSE}\nSo a=b holds."),
+    (f'<p>{PROSE}</p><p>So <math><semantics><mi>a</mi><annotation encoding="application/x-tex">\\a</annotation></semantics></math> holds.</p>', f"{PROSE}\nSo a holds."),
+    (f'<p>{PROSE}</p><div class="post-reactions"><p>reader one</p></div>', PROSE),
+    (f'<p>{PROSE}</p><section class="discussion"><p>reader one</p><p>reader two</p></section>', PROSE),
+    (f'<p>{PROSE}</p><ol class="comment-list"><li>reader</li></ol><div id="disqus_thread">load</div>', PROSE),
+    (f'<p>{PROSE}</p><div class="user-reviews"><p>five stars</p></div>', PROSE),
+    (f'<div class="cookie-consent">We use cookies. Accept.</div><p>{PROSE}</p>', PROSE),
+    (f'<div class="newsletter-signup"><p>Join us!</p></div><p>{PROSE}</p>', PROSE),
+    (f'<div class="breadcrumbs"><a href="/">Home</a> / <a href="/x">X</a></div><p>{PROSE}</p>', PROSE),
+    (f'<p>{PROSE}</p><div class="related-posts"><a href="/1">Other one.</a> <a href="/2">Other two.</a></div>', PROSE),
+    (f'<p>{PROSE}</p><div class="pagination"><a>1</a><a>2</a></div>', PROSE),
+    (f'<p>{PROSE}</p><div class="social share"><a>Post</a></div>', PROSE),
+    (f'<p>{PROSE}</p><div class="notice"><p>{PROSE.replace("word", "term")}</p></div>', f"{PROSE}\n{PROSE.replace('word', 'term')}"),
+    (f'<p>{PROSE}</p><p>The <span class="menu">File</span> menu and the <b class="search">Find</b> box.</p>', f"{PROSE}\nThe File menu and the Find box."),
+    (f'<header><p>Site</p></header><nav><a>x</a></nav><div><p>{PROSE}</p></div><footer><p>(c)</p></footer>', PROSE),
+    (f'<div role="banner"><p>Site</p></div><div role="main"><p>{PROSE}</p></div><div role="contentinfo">(c)</div>', PROSE),
+    (f"<main><p>{PROSE}</p><div class='sidebar'><a>x</a> <a>y</a></div></main>", PROSE),
+    (f"<main><div class='search-results-page'><p>{PROSE}</p></div></main>", PROSE),
+    (f"<table><tr><td><div class='menu'><a>a</a></div></td><td><p>{PROSE}</p></td></tr></table>", PROSE),
+    (f"<dialog open>Sale</dialog><aside>aside</aside><form><p>field</p></form><noscript>on</noscript><p>{PROSE}</p>", PROSE),
+    (f"<div class='modal-open'><div class='overlay'>Wait</div><p>{PROSE}</p></div>", PROSE),
+    (f"<p>{PROSE}</p><p hidden>no</p><div style='display:none'>no</div><template><p>no</p></template>", PROSE),
+]
+
+
+@pytest.mark.parametrize("page,want", UNMARKED)
+def test_pages_without_an_article_element(page, want):
+    assert main_text(page) == want
+
+
+def test_they_come_through_the_operator(spark):
+    rows = [(i, f"http://host{i}.example/", page) for i, (page, _) in enumerate(UNMARKED)]
+    got = {r["page_id"]: r["text"] for r in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(UNMARKED)}
+
+
+def test_parts_of_articles_that_are_named_like_boilerplate_stay():
+    page = f"<div class='layout-sidebar-right'><article><p>{PROSE}</p><section class='discussion' id='discussion'><p>We discuss.</p></section><p>f<code class='comment'>x</code></p></article><div class='post-reactions'>r</div></div>"
+    assert main_text(page) == f"{PROSE}\nWe discuss.\nfx"
+
+
+def test_repeated_ids_and_clashing_columns_together(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "u", f"<p>{PROSE}</p>"), (1, "u", f"<p>{PROSE}</p>"), (1, "u", None), (None, None, "<p>x</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").select("*", F.lit(1).alias("HTML"), F.lit(2).alias("row"), F.lit(3).alias("Page_Id"), F.lit("t").alias("text"))
+    assert sorted((r["page_id"] or 0, r["text"]) for r in h.extract(pages).collect()) == [(0, "x"), (1, ""), (1, PROSE), (1, PROSE)]
+
+
 def test_long_and_hostile_pages_end():
-    for page in ("<" * 200_000, "<a " * 100_000, '<p class="' * 50_000, "<div>" * 20_000 + "x", "<!--" * 50_000, "&" * 100_000, "<p>" + "w " * 300_000):
+    for page in ("<div class=menu>" * 30_000 + "x", "<" * 200_000, "<a " * 100_000, '<p class="' * 50_000, "<div>" * 20_000 + "x", "<!--" * 50_000, "&" * 100_000, "<p>" + "w " * 300_000):
         h.blocks_of(page)
 
 

@@ -103,27 +103,31 @@ def test_stages_take_empty_tables(spark, none):
         assert out.count() == 0 and (name == "packing" or out.columns == none.columns)
 
 
-def test_scratch_of_earlier_stages_goes_unless_it_is_read(spark, odd):
-    from lexloom.llm import common
-
+def test_frames_made_of_a_stage_outlive_later_stages(spark, odd):
     kept = corpus_pipeline.drop_near_duplicates(spark, odd, SF)
-    left = corpus_pipeline._LEFT[-1][1]
-    assert left and common.folders_read(kept)
-    n = kept.count()
-    assert corpus_pipeline.drop_contaminated(spark, kept, SF).count() <= n and set(left) <= set(common.made_so_far())
-    again = spark.createDataFrame(kept.collect(), odd.schema)
-    corpus_pipeline.drop_contaminated(spark, again, SF)
-    assert set(left) <= set(common.made_so_far()) and kept.count() == n  # still held
-    derived = kept.select("doc_id")
+    ids, rows, derived, filtered = {r["doc_id"] for r in kept.collect()}, kept.count(), kept.select("doc_id"), kept.filter("doc_id > 0")
+    positive, clean = filtered.count(), corpus_pipeline.drop_contaminated(spark, kept, SF)
+    both = derived.join(clean.select("doc_id"), "doc_id")
     del kept
-    corpus_pipeline.drop_contaminated(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
-    assert not set(left) & set(common.made_so_far()) and derived is not None
+    for _ in range(2):
+        corpus_pipeline.drop_near_duplicates(spark, clean, SF)
+        corpus_pipeline.drop_contaminated(spark, odd, SF).count()
+        assert {r["doc_id"] for r in derived.collect()} == ids and derived.count() == rows and filtered.count() == positive and 0 < both.count() <= rows
+
+
+def test_run_drops_what_its_stages_leave(spark):
+    from lexloom.llm import common
+
+    before = set(common.made_so_far())
+    corpus_pipeline.run(spark, SF).count()
+    left = {f.rsplit("/", 1)[1].rsplit("-", 1)[0] for f in set(common.made_so_far()) - before}
+    assert {f"stage-{name}" for name, _ in corpus_pipeline.STAGES[:-1]} <= left and not {"filed", "asked", "classes", "links"} & left
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_match_their_sql(spark, name):
     con = duckdb.connect()
-    for t in "documents pages benchmark conversations".split():
+    for t in "documents pages benchmark conversations embeddings".split():
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got = queries.QUERIES[name](spark, SF)
     want = con.sql(queries.ORACLES[name])
