@@ -109,6 +109,44 @@ def test_wrapped_headers_and_whole_licence_files(spark):
     assert {got[i]["kind"] for i, *_ in many} == {"none"}
 
 
+def scanned(spark, rows):
+    return {r["path"]: r for r in lic.scan(spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(rows)], "doc_id long, path string, text string")).collect()}
+
+
+def test_headers_are_no_licence_files(spark):
+    rows = [
+        ("src/x.c", "// Released under the MIT License.\n" + CODE), ("src/y.c", CODE), ("src/sub/z.c", CODE),
+        ("named/LICENSE", "Some words of ours before it.\n" * 40 + "Released under the MIT License.\n" + CODE), ("named/a.c", CODE),
+        ("tagged/a.c", "// SPDX-License-Identifier: MIT\n" + CODE), ("tagged/b.c", CODE),
+        ("mostly/about.txt", "\n".join(t for n, t in lic.TEMPLATES if n == "MIT")), ("mostly/a.c", CODE),
+        ("titled/terms", "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991\n\n" + "Other words of a long licence text follow here.\n" * 100), ("titled/a.c", CODE),
+        ("deny/COPYING.txt", "This is not licensed under the GNU General Public License, version 3."), ("deny/a.c", CODE),
+    ]
+    got = scanned(spark, rows)
+    assert {p: (got[p]["kind"], got[p]["license"]) for p in ("src/x.c", "src/y.c", "src/sub/z.c")} == {"src/x.c": ("own", "MIT"), "src/y.c": ("none", None), "src/sub/z.c": ("none", None)}
+    assert [(got[p]["kind"], got[p]["license"]) for p in ("named/a.c", "tagged/a.c", "tagged/b.c", "mostly/a.c", "titled/a.c", "deny/a.c")] == [("inherited", "MIT"), ("own", "MIT"), ("none", None), ("inherited", "MIT"), ("inherited", "GPL-2.0"), ("none", None)]
+
+
+def test_spdx_tags(spark):
+    rows = [("a/x", "# SPDX-License-Identifier: MIT"), ("b/x", "/* SPDX-License-Identifier: Apache-2.0 */\n" + CODE), ("c/x", "// SPDX-License-Identifier: (GPL-2.0-or-later WITH Classpath-exception-2.0) OR MIT\nint x;"), ("d/x", "SPDX-License-Identifier: NOASSERTION"), ("e/x", "SPDX-License-Identifier:"), ("f/x", "SPDX-License-Identifier: Zlib AND LGPL-2.1-only")]
+    got = scanned(spark, rows)
+    assert {p[0]: r["licenses"] for p, r in got.items()} == {"a": ["MIT"], "b": ["Apache-2.0"], "c": ["GPL-2.0", "MIT"], "d": [], "e": [], "f": ["LGPL-2.1", "Zlib"]}
+    assert got["b/x"]["score"] == 1.0 and got["b/x"]["kind"] == "own"
+
+
+def test_denied_and_several_licences(spark):
+    rows = [
+        ("no1/x", "This program is not licensed under the GNU General Public License, version 3."),
+        ("no2/x", "It was never released under the MIT License."),
+        ("yes/x", "Licensed under the Apache License, Version 2.0;\nyou may not use this file except in compliance with it."),
+        ("two/x", "Released under the MIT License.\n" + CODE + "\nLicensed under the BSD 2-Clause License.\n" + CODE),
+        ("mixed/x", "This part is not released under the MIT License.\n" + CODE + "\nLicensed under the BSD 2-Clause License."),
+        ("bsd/x", max((t for n, t in lic.TEMPLATES if n == "BSD-3-Clause"), key=len)),
+    ]
+    got = scanned(spark, rows)
+    assert {p.split("/")[0]: r["licenses"] for p, r in got.items()} == {"no1": [], "no2": [], "yes": ["Apache-2.0"], "two": ["BSD-2-Clause", "MIT"], "mixed": ["BSD-2-Clause"], "bsd": ["BSD-3-Clause"]}
+
+
 def test_versions():
     assert [lic.version(n) for n in ("GPL-2.0", "LGPL-2.1", "BSD-3-Clause", "MIT", "CC0-1.0", "CC-BY-NC-4.0", "Artistic-1.0-Perl")] == [{"2"}, {"2", "1"}, set(), set(), {"1"}, {"4"}, {"1"}]
 
