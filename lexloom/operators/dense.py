@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -11,24 +10,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import _col
+from lexloom.operators import vector_index
 from lexloom.operators.ranking import top_k
+from lexloom.operators.vector_index import PLACES
+from lexloom.operators.vector_index import matrix as _matrix
+from lexloom.operators.vector_index import unit as _unit
 
-#: Query vectors that one pass holds; more queries take more passes over the vectors. Vectors that are compared with them at once.
+#: Query vectors that are broadcast; more of them search an index. Vectors that are compared with them at once.
 QUERIES_AT_ONCE, TILE = 4096, 512
-PLACES = 6
 FOUND = "query_id long, chunk_id long, cosine double"
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
-
-
-def _unit(x: np.ndarray) -> np.ndarray:
-    n = np.linalg.norm(x, axis=1, keepdims=True)
-    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
-
-
 def _first(query: np.ndarray, chunk: np.ndarray, cosine: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k rows of each query with the highest cosines, ties by chunk."""
     order = np.lexsort((chunk, -cosine, query))
@@ -71,25 +63,25 @@ def _searched(sent, k: int):
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, dimension: int | None = None) -> DataFrame:
     """(query_id, chunk_id, rank, score, distance): the k nearest vectors of each query, nearest first, ties by id.
 
-    Queries (query_id, vector) come to the driver one partition at a time and go to the tasks as matrices of at most QUERIES_AT_ONCE rows. A
-    task keeps k candidates of each query, so what is shuffled grows with partitions, not with pairs. Null vectors are left out; one of another
-    dimension is an error. Cosines count to 6 places; scores are rounded to 4 and not negative.
+    Up to QUERIES_AT_ONCE queries (query_id, vector) go to the tasks as one matrix, and vectors are read once; a task keeps k candidates of each query,
+    so what is shuffled grows with partitions, not with pairs. More queries search an index that is made of the vectors (`vector_index`), with the same
+    rows. Null vectors are left out; one of another dimension is an error. Cosines count to 6 places; scores are rounded to 4 and not negative.
     """
     spark = vectors.sparkSession
     none = spark.createDataFrame([], "query_id long, chunk_id long, rank int, score double, distance double")
     if k <= 0:
         return none
-    asked = queries.filter("vector is not null").select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>")).toLocalIterator()
+    asked = queries.filter("vector is not null").select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>").alias("vector"))
     kept = vectors.filter("embedding is not null").select(F.col("chunk_id").cast("long").alias("chunk_id"), "embedding")
-    found = None
-    while block := list(islice(asked, QUERIES_AT_ONCE)):
-        ids, matrix = np.array([r[0] for r in block]), _unit(np.array([r[1] for r in block], np.float64))
-        if dimension is not None and matrix.shape[1] != dimension:
-            raise ValueError(f"query vectors have {matrix.shape[1]} dimensions, not {dimension}")
-        part = kept.mapInArrow(_searched(spark.sparkContext.broadcast((ids, matrix)), k), FOUND)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
+    block = asked.limit(QUERIES_AT_ONCE + 1).collect()
+    if not block:
         return none
+    if dimension is not None and {len(r["vector"]) for r in block} != {dimension}:
+        raise ValueError(f"query vectors have not {dimension} dimensions")
+    if len(block) > QUERIES_AT_ONCE:
+        return vector_index.search(vector_index.build(kept), asked, k)[0]
+    sent = spark.sparkContext.broadcast((np.array([r[0] for r in block]), _unit(np.array([r[1] for r in block], np.float64))))
+    found = kept.mapInArrow(_searched(sent, k), FOUND)
     best = top_k(found, ["query_id"], [F.col("cosine").desc(), F.col("chunk_id")], k)
     return best.select("query_id", "chunk_id", "rank", F.greatest(F.lit(0.0), F.round("cosine", 4)).alias("score"), F.round(1 - F.col("cosine"), 4).alias("distance"))
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as t
-from lexloom.operators import answer, dense, fusion, lexical
+from lexloom.operators import answer, dense, fusion, lexical, vector_index
 from lexloom.operators.ranking import ranked
+from lexloom.sources.tables import kept
 
 DEPTH, POOL, FINAL = 20, 20, 5
 QUERY, QUERY_ID = "the of and that this with", 0
@@ -123,6 +124,24 @@ def _den(s, d, k=DEPTH):
     return dense.nearest(vectors(s, d), query_vectors(s, d), k)
 
 
+def _index(s, d):
+    """The index of all vectors, made once in a session."""
+    return kept(s, ("vector-index", d), lambda: vector_index.build(vectors(s, d)))
+
+
+def _every_fiftieth(s, d, k):
+    return vector_index.search(_index(s, d), query_vectors(s, d, False), k)
+
+
+def _index_report(s, d):
+    """How many vectors are filed, and whether queries compare each of them at most once; how many they do compare hangs on the data."""
+    index = _index(s, d)
+    _, compared = _every_fiftieth(s, d, 10)
+    filed = index.cells.agg(F.count(F.lit(1)).alias("vectors"), F.count_distinct("chunk_id").alias("ids"))
+    counts = compared.agg(F.count(F.lit(1)).alias("queries"), F.max("compared").alias("most"))
+    return filed.join(F.broadcast(counts)).select("vectors", "ids", "queries", (F.col("most") <= F.col("vectors")).alias("at_most_all"))  # one row each
+
+
 _PAYLOAD = ("contextual_text", "source", "regulation_type", "regulation_number", "document_id", "page_start", "page_end")
 
 
@@ -200,8 +219,8 @@ QUERIES = {
     "lexical_index_report": lambda s, d: lexical.report(chunks(s, d)),
     "term_idf": lambda s, d: lexical.document_frequencies(lexical.term_frequencies(lexical.index(chunks(s, d)))).join(F.broadcast(lexical.corpus_stats(lexical.index(chunks(s, d))))).select("term", "df", F.round(lexical.idf(F.col("n"), F.col("df")), 6).alias("idf")),
     "matched_terms": lambda s, d: lexical.scores(chunks(s, d), queries(s, d)).select("query_id", "chunk_id", "matched_terms"),
-    "dense_topk": lambda s, d: dense.nearest(vectors(s, d), query_vectors(s, d, False), 10).select("query_id", "chunk_id", "rank", "score", "distance"),
-    "dense_filtered_topk": lambda s, d: dense.nearest(vectors(s, d).join(chunks(s, d).filter("source = 'src1'"), "chunk_id", "left_semi"), query_vectors(s, d, False), 5).select("query_id", "chunk_id", "rank", "score", "distance"),
+    "dense_topk": lambda s, d: _every_fiftieth(s, d, 10)[0].select("query_id", "chunk_id", "rank", "score", "distance"),
+    "dense_filtered_topk": lambda s, d: vector_index.search(vector_index.build(vectors(s, d).join(chunks(s, d).filter("source = 'src1'"), "chunk_id", "left_semi")), query_vectors(s, d, False), 5)[0].select("query_id", "chunk_id", "rank", "score", "distance"),
     "mock_embedding_norms": lambda s, d: read(s, d, "documents").withColumn("v", dense.mock_embedding("text", 64)).select("doc_id", F.round(dense.norm("v"), 6).alias("norm"), F.round(F.element_at("v", 1), 6).alias("first"), F.round(F.element_at("v", 64), 6).alias("last")),
     "embedding_dim_report": lambda s, d: dense.dimension_report(read(s, d, "embeddings"), chunks(s, d), 64),
     "rrf_fuse": lambda s, d: _fused(s, d).select(*_FUSED_OUT),
@@ -220,7 +239,8 @@ QUERIES = {
     "citation_check": lambda s, d: _checked(s, d),
     "citation_invalid": lambda s, d: _tagged(s, d).select("key", F.explode(F.array_distinct(t.citation_tags("answer"))).alias("context_id")).join(F.broadcast(_known(s)), "context_id", "left_anti").select("key", "context_id"),
     "conflict_flag": lambda s, d: read(s, d, "conversations").select("conv_id", "turn", t.mentions_conflict(F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit(" CONFLICTING"))).otherwise(F.col("text"))).alias("has_conflict")),
-    "vector_payload": lambda s, d: dense.nearest(vectors(s, d), query_vectors(s, d, False), 5).join(chunks(s, d), "chunk_id").select("query_id", "rank", "chunk_id", "source", "title", "structural_path", F.length("chunk_text").alias("n_chars"), t.display_citation("source", "regulation_type", "regulation_number", "structural_path", "page_start").alias("citation")),
+    "vector_index_report": _index_report,
+    "vector_payload": lambda s, d: _every_fiftieth(s, d, 5)[0].join(chunks(s, d), "chunk_id").select("query_id", "rank", "chunk_id", "source", "title", "structural_path", F.length("chunk_text").alias("n_chars"), t.display_citation("source", "regulation_type", "regulation_number", "structural_path", "page_start").alias("citation")),
     "display_citation": lambda s, d: chunks(s, d).select("chunk_id", t.display_citation("source", "regulation_type", "regulation_number", "structural_path", "page_start").alias("citation")),
     "canonical_path": lambda s, d: _split_paths(s, d),
 }
@@ -259,6 +279,7 @@ ORACLES = {
     "matched_terms": _with(f"{_BASE},\n{bm25_sql()}", "SELECT query_id, chunk_id, matched_terms FROM bm"),
     "dense_topk": _with(dense_sql(10, asked=_FIFTIETH), _DEN_SQL),
     "dense_filtered_topk": _with(f"{CHUNKS},\n{dense_sql(5, where='vec_id IN (SELECT chunk_id FROM chunks WHERE source = ' + chr(39) + 'src1' + chr(39) + ')', asked=_FIFTIETH)}", _DEN_SQL),
+    "vector_index_report": f"SELECT count(*) AS vectors, count(DISTINCT vec_id) AS ids, count(*) FILTER (vec_id % {EVERY} = 0) AS queries, true AS at_most_all FROM embeddings",
     "mock_embedding_norms": f"SELECT doc_id, round(sqrt(list_sum(list_transform(u, lambda x: x * x))), 6) AS norm, round(u[1], 6) AS first, round(u[64], 6) AS last FROM (SELECT doc_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS u FROM (SELECT doc_id, {_MOCK} AS v FROM (SELECT doc_id, list_transform(range(0, 32), lambda i: ('0x' || substr(sha256(text), (2 * i + 1)::INT, 2))::INT::DOUBLE) AS b FROM documents)))",
     "embedding_dim_report": "SELECT total_chunks, embedded, wrong_dimension, wrong_dimension = 0 AND (total_chunks = 0 OR embedded > 0) AS is_valid FROM (SELECT count(*) AS total_chunks FROM documents), (SELECT count(*) AS embedded, count(*) FILTER (len(embedding) <> 64) AS wrong_dimension FROM embeddings)",
     "rrf_fuse": _with(CHAIN, f"SELECT {', '.join(_FUSED_OUT)} FROM fused"),
