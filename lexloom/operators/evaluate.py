@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,51 +13,62 @@ KEY = ["sample_id", "document_id", "base_path", "page_start", "page_end"]
 CUTOFFS = (1, 5, 10)
 
 
-def graded(results: DataFrame, gold: DataFrame) -> DataFrame:
-    """(sample_id, rank, relevance) of each result: the highest grade of gold evidence with its document, path without part suffix and pages; 0 without."""
+def graded(results: DataFrame, gold: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """(sample_id, rank, relevance), and the columns `carry`, of each result: the highest grade of gold evidence with its document, path without part suffix and pages; 0 without."""
     keyed = lambda rows: rows.withColumn("base_path", base_path("structural_path"))
     best = keyed(gold).groupBy(*KEY).agg(F.max("relevance").alias("relevance"))
-    return keyed(results).join(best, KEY, "left").select("sample_id", "rank", F.coalesce("relevance", F.lit(0)).alias("relevance"))
+    return keyed(results).join(best, KEY, "left").select("sample_id", *carry, "rank", F.coalesce("relevance", F.lit(0)).alias("relevance"))
 
 
 def _gain(relevance: Column) -> Column:
     return F.pow(F.lit(2.0), relevance) - 1
 
 
-def in_domain(samples: DataFrame, gold: DataFrame) -> DataFrame:
-    """Samples that count: in-domain with some gold evidence."""
-    return samples.filter("query_type = 'in_domain'").join(gold.select("sample_id").distinct(), "sample_id", "left_semi").select("sample_id")
-
-
-def per_sample(samples: DataFrame, results: DataFrame, gold: DataFrame) -> DataFrame:
+def per_sample(samples: DataFrame, results: DataFrame, gold: DataFrame, stages: Sequence[str] = ()) -> DataFrame:
     """Reciprocal rank, hit rate and nDCG at the cutoffs, precision and recall at 5, of each sample that counts; 0 without results.
 
-    Precision divides by 5 however few results there are; recall can exceed 1 where parts of one gold item are all found.
+    Precision divides by 5 however few results there are; recall can exceed 1 where parts of one gold item are all found. With `stages` the results
+    have a column `stage`, and each sample has a row for each of them; results and gold are still read once.
     """
     rank, rel = F.col("rank"), F.col("relevance")
-    found = graded(results, gold).groupBy("sample_id").agg(
+    by = ["stage", "sample_id"] if stages else ["sample_id"]
+    found = graded(results, gold, by[:-1]).groupBy(*by).agg(
         *[F.min(F.when((rel > 0) & (rank <= k), rank)).alias(f"_first_{k}") for k in CUTOFFS],
         *[F.sum(F.when(rank <= k, _gain(rel) / F.log2(rank + 1))).alias(f"_dcg_{k}") for k in CUTOFFS],
         F.sum(F.when((rel > 0) & (rank <= 5), 1).otherwise(0)).alias("_matched"),
     )
     ordered = gold.withColumn("_place", F.row_number().over(Window.partitionBy("sample_id").orderBy(F.col("relevance").desc())))
     ideal = ordered.groupBy("sample_id").agg(F.count(F.lit(1)).alias("_gold"), *[F.sum(F.when(F.col("_place") <= k, _gain(rel) / F.log2(F.col("_place") + 1))).alias(f"_ideal_{k}") for k in CUTOFFS])
-    rows = in_domain(samples, gold).join(ideal, "sample_id").join(found, "sample_id", "left")
+    # A sample without gold has no ideal, and does not count.
+    counting = samples.filter("query_type = 'in_domain'").select("sample_id").join(ideal, "sample_id")
+    if stages:
+        counting = counting.withColumn("stage", F.explode(F.array(*map(F.lit, stages))))
+    rows = counting.join(found, by, "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     ndcg = lambda k: F.when(F.col(f"_ideal_{k}") > 0, F.least(F.lit(1.0), zero(F.col(f"_dcg_{k}")) / F.col(f"_ideal_{k}"))).otherwise(0.0)
     return rows.select(
-        "sample_id", *[zero(1.0 / F.col(f"_first_{k}")).alias(f"rr_{k}") for k in CUTOFFS], *[F.col(f"_first_{k}").isNotNull().cast("double").alias(f"hit_{k}") for k in CUTOFFS],
+        *by, *[zero(1.0 / F.col(f"_first_{k}")).alias(f"rr_{k}") for k in CUTOFFS], *[F.col(f"_first_{k}").isNotNull().cast("double").alias(f"hit_{k}") for k in CUTOFFS],
         *[ndcg(k).alias(f"ndcg_{k}") for k in CUTOFFS], (zero(F.col("_matched").cast("double")) / 5.0).alias("precision_5"), (zero(F.col("_matched").cast("double")) / F.col("_gold")).alias("recall_5"),
     )
 
 
-def stage_summary(metrics: DataFrame, stage: str) -> DataFrame:
-    """One row: how many samples count and the mean of each metric to 4 places; zeros if none count.
+def _means(names: Sequence[str]) -> list[Column]:
+    """Means to 4 places. They are rounded to 9 first: their last bits hang on the order of the sum, and would decide where a mean lies half-way."""
+    return [F.count(F.lit(1)).alias("n_samples"), *[F.coalesce(F.round(F.round(F.avg(n), 9), 4), F.lit(0.0)).alias(n) for n in names]]
 
-    Means are rounded to 9 places first: their last bits hang on the order of the sum, and would decide where a mean lies half-way.
-    """
+
+def stage_summaries(metrics: DataFrame, stages: Sequence[str]) -> DataFrame:
+    """One row for each stage of metrics that have a column `stage`: how many samples count and the mean of each metric; zeros if none count."""
+    names = [c for c in metrics.columns if c not in ("stage", "sample_id")]
+    all_stages = metrics.sparkSession.createDataFrame([(s,) for s in stages], "stage string")
+    found = all_stages.join(metrics.groupBy("stage").agg(*_means(names)), "stage", "left")
+    return found.select("stage", F.coalesce("n_samples", F.lit(0).cast("long")).alias("n_samples"), *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names])
+
+
+def stage_summary(metrics: DataFrame, stage: str) -> DataFrame:
+    """One row: how many samples count and the mean of each metric to 4 places; zeros if none count."""
     names = [c for c in metrics.columns if c != "sample_id"]
-    return metrics.agg(F.count(F.lit(1)).alias("n_samples"), *[F.coalesce(F.round(F.round(F.avg(n), 9), 4), F.lit(0.0)).alias(n) for n in names]).select(F.lit(stage).alias("stage"), "*")
+    return metrics.agg(*_means(names)).select(F.lit(stage).alias("stage"), "*")
 
 
 def _cites(cited: DataFrame, evidence: DataFrame) -> Column:

@@ -9,8 +9,6 @@ from lexloom.functions.text import tokens
 from lexloom.operators.ranking import top_k
 
 K1, B = 1.5, 0.75
-#: Stands for a term that each chunk has once; no token is empty.
-EVERY = ""
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -48,17 +46,13 @@ def document_frequencies(frequencies: DataFrame) -> DataFrame:
 def scores(chunks: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, chunk_id, raw, matched_terms) of all pairs that share a term.
 
-    Statistics are of the given chunks, so filter before to change them and after to keep them. Texts are read once: each chunk also counts
-    as a row of the term EVERY, which no text has, so the table of terms tells how many chunks there are and how long.
+    Statistics are of the given chunks, so filter before to change them and after to keep them. All pairs are scored, which is for few queries or
+    chunks; `postings` searches many.
     """
     asked = query_terms(queries)
-    marked = index(chunks).withColumn("terms", F.concat("terms", F.array(F.lit(EVERY))))
-    found = term_frequencies(marked, asked.select("term").unionByName(asked.sparkSession.range(1).select(F.lit(EVERY).alias("term"))))
-    terms = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("length").alias("total"))
-    # An aggregate over all terms and not a filter, which would be pushed down to a reading of its own.
-    of_all = lambda name: F.max(F.when(F.col("term") == EVERY, F.col(name)))
-    stats = terms.agg(of_all("df").alias("n"), (of_all("total") / of_all("df")).alias("avgdl"))
-    weighed = found.join(terms, "term").join(F.broadcast(stats))  # one row
+    indexed = index(chunks)
+    found = term_frequencies(indexed, asked)
+    weighed = found.join(document_frequencies(found), "term").join(F.broadcast(corpus_stats(indexed)))  # one row
     norm = F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avgdl"))
     part = idf(F.col("n"), F.col("df")) * F.col("tf") * (k1 + 1) / norm
     return asked.join(weighed.select("term", "chunk_id", part.alias("part")), "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("qtf") * F.col("part")).alias("raw"), F.count(F.lit(1)).cast("int").alias("matched_terms"))

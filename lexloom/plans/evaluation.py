@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as t
-from lexloom.operators import dense, evaluate
-from lexloom.plans.retrieval import CHAIN, CHUNKS, EVERY, FINAL, TAGGED, _den, _fused, _lex, _reranked, _tagged, chunks, dense_sql, fuse_sql, queries, query_vectors, vectors
+from lexloom.operators import evaluate, fusion
+from lexloom.operators.ranking import top_k
+from lexloom.plans.retrieval import CHAIN, CHUNKS, DEPTH, EVERY, FINAL, POOL, TAGGED, _every_fiftieth, _fused, _tagged, chunks, dense_sql, fuse_sql, queries, vectors
+from lexloom.sources.tables import written
 
 _PLACE = ["document_id", "structural_path", "page_start", "page_end"]
 
@@ -19,22 +21,26 @@ def _samples(s, d):
     return _typed(vectors(s, d).filter(F.col("chunk_id") % EVERY == 0).select(F.col("chunk_id").alias("sample_id")))
 
 
-def _evidence(found):
+def _evidence(found, *carry):
     """Ranked chunks as evidence; each second path has a part suffix."""
     path = F.when(F.col("chunk_id") % 2 == 0, F.concat("structural_path", F.lit(" [Part 1/2]"))).otherwise(F.col("structural_path"))
-    return found.select(F.col("query_id").alias("sample_id"), "rank", "document_id", path.alias("structural_path"), "page_start", "page_end")
+    return found.select(F.col("query_id").alias("sample_id"), *carry, "rank", "document_id", path.alias("structural_path"), "page_start", "page_end")
 
 
 def _results(s, d):
-    return _evidence(dense.nearest(vectors(s, d), query_vectors(s, d, False), 10).join(chunks(s, d).select("chunk_id", *_PLACE), "chunk_id"))
+    return _evidence(_every_fiftieth(s, d, 10)[0].join(chunks(s, d).select("chunk_id", *_PLACE), "chunk_id"))
+
+
+#: Gold of a label: so many of its vectors, those of the least ids.
+GOLD_EACH = 100
 
 
 def _gold(s, d, samples):
-    """All vectors of the sample's label, graded 1 to 3."""
+    """Vectors of the sample's label, at most GOLD_EACH, graded 1 to 3."""
     v = vectors(s, d).select("chunk_id", "label")
     asked = v.join(samples.select(F.col("sample_id").alias("chunk_id")), "chunk_id", "left_semi").select(F.col("chunk_id").alias("sample_id"), "label")
-    pairs = asked.join(v, "label").join(chunks(s, d).select("chunk_id", *_PLACE), "chunk_id")
-    return pairs.select("sample_id", *_PLACE, (F.col("chunk_id") % 3 + 1).cast("int").alias("relevance"))
+    some = top_k(v, ["label"], [F.col("chunk_id")], GOLD_EACH).drop("rank").join(chunks(s, d).select("chunk_id", *_PLACE), "chunk_id")
+    return asked.join(some, "label").select("sample_id", *_PLACE, (F.col("chunk_id") % 3 + 1).cast("int").alias("relevance"))
 
 
 def _metrics(s, d):
@@ -43,18 +49,16 @@ def _metrics(s, d):
 
 
 def _benchmark(s, d):
-    """The four stages on the benchmark's items: dense, lexical, fused and re-ranked lists of ten."""
+    """The four stages on the benchmark's items: dense, lexical, fused and re-ranked lists of ten, all from one table of candidates with their four ranks."""
     samples = _typed(queries(s, d).select(F.col("query_id").alias("sample_id")))
-    gold = _gold(s, d, samples)
-    at = chunks(s, d).select("chunk_id", *_PLACE)
-    stages = {
-        "dense": _den(s, d, 10).join(at, "chunk_id"),
-        "bm25": _lex(s, d, 10).drop("structural_path").join(at, "chunk_id"),
-        "rrf": _fused(s, d, k=10),
-        "rrf_rerank": _reranked(s, d, 10).withColumnRenamed("rerank_rank", "rank"),
-    }
-    rows = [evaluate.stage_summary(evaluate.per_sample(samples, _evidence(found), gold), name) for name, found in stages.items()]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+    found = written(_fused(s, d, k=2 * DEPTH), "candidates")
+    again = fusion.rerank(found.filter(F.col("rank") <= POOL), queries(s, d), None, 10).select("query_id", "chunk_id", "rerank_rank")
+    all_ranks = found.join(again, ["query_id", "chunk_id"], "left")
+    stages = {"dense": "dense_rank", "bm25": "lexical_rank", "rrf": "rank", "rrf_rerank": "rerank_rank"}
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("stage"), F.col(rank).cast("int").alias("rank")) for name, rank in stages.items()]))
+    lists = all_ranks.withColumn("_s", each).filter("_s.rank <= 10").drop("rank").select("*", "_s.stage", "_s.rank")
+    metrics = evaluate.per_sample(samples, _evidence(lists, "stage"), written(_gold(s, d, samples), "gold"), list(stages))
+    return evaluate.stage_summaries(metrics, list(stages))
 
 
 def _rounded(rows, names):
@@ -92,7 +96,7 @@ _GAIN = lambda rel, place: f"(pow(2, {rel}) - 1) / log2({place} + 1)"  # noqa: E
 
 def gold_sql(samples: str) -> str:
     return f"""samples AS (SELECT sample_id, CASE WHEN sample_id % 5 = 4 THEN 'out_of_domain' ELSE 'in_domain' END AS query_type FROM ({samples})),
-gold AS (SELECT q.vec_id AS sample_id, c.document_id, c.structural_path AS base_path, c.page_start, c.page_end, (v.vec_id % 3 + 1)::INT AS relevance FROM embeddings q JOIN embeddings v USING (label) JOIN chunks c ON c.chunk_id = v.vec_id WHERE q.vec_id IN (SELECT sample_id FROM samples)),
+gold AS (SELECT q.vec_id AS sample_id, c.document_id, c.structural_path AS base_path, c.page_start, c.page_end, (v.vec_id % 3 + 1)::INT AS relevance FROM embeddings q JOIN (SELECT * FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= {GOLD_EACH}) v USING (label) JOIN chunks c ON c.chunk_id = v.vec_id WHERE q.vec_id IN (SELECT sample_id FROM samples)),
 best AS (SELECT sample_id, document_id, base_path, page_start, page_end, max(relevance) AS relevance FROM gold GROUP BY ALL),
 placed AS (SELECT sample_id, relevance, row_number() OVER (PARTITION BY sample_id ORDER BY relevance DESC) AS place FROM gold),
 ideal AS (SELECT sample_id, count(*) AS n_gold, {", ".join(f"sum({_GAIN('relevance', 'place')}) FILTER (place <= {k}) AS ideal_{k}" for k in evaluate.CUTOFFS)} FROM placed GROUP BY 1)"""

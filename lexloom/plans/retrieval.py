@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as t
-from lexloom.operators import answer, dense, fusion, lexical, vector_index
+from lexloom.operators import answer, dense, fusion, lexical, postings, vector_index
 from lexloom.operators.ranking import ranked
 from lexloom.sources.tables import kept
 
@@ -116,8 +116,22 @@ GATE_SQL = f"gated AS (SELECT query_id, top_score, coalesce(top_score >= {GATE},
 # ------------------------------------------------------------------------------------------------------- queries
 
 
-def _lex(s, d, k=DEPTH, **o):
-    return lexical.search(chunks(s, d), queries(s, d), k, **o)
+def _postings(s, d):
+    """The postings of all chunks, made once in a session."""
+    return kept(s, ("postings", d), lambda: postings.build(chunks(s, d)))
+
+
+def _lex(s, d, k=DEPTH, asked=None, **o):
+    return postings.search(_postings(s, d), chunks(s, d), queries(s, d) if asked is None else asked, k, **o)
+
+
+def _postings_report(s, d):
+    """What is kept, and whether the pairs that a search of all items scores in full stay below a tenth of all pairs."""
+    index = _postings(s, d)
+    _, pairs = postings.candidates(index, queries(s, d), 5)
+    counts = index.terms.agg(F.count(F.lit(1)).alias("terms"), F.sum("df").alias("postings")).join(F.broadcast(index.stats.select(F.col("n").alias("chunks"))))
+    all_pairs = counts.join(F.broadcast(queries(s, d).agg(F.count(F.lit(1)).alias("queries")))).join(F.broadcast(pairs.agg(F.count(F.lit(1)).alias("_pairs"))))  # one row each
+    return all_pairs.select("chunks", "terms", "postings", "queries", (10 * F.col("_pairs") <= F.col("chunks") * F.col("queries")).alias("below_a_tenth"))
 
 
 def _den(s, d, k=DEPTH):
@@ -147,7 +161,7 @@ _PAYLOAD = ("contextual_text", "source", "regulation_type", "regulation_number",
 
 def _fused(s, d, rrf_k=60, k=POOL):
     """Candidates of both lists with their payload; texts are read where a query uses them."""
-    return fusion.hybrid(_den(s, d), lexical.scores(chunks(s, d), queries(s, d)), chunks(s, d), DEPTH, k, rrf_k, _PAYLOAD)
+    return fusion.hybrid(_den(s, d), postings.scores(_postings(s, d), queries(s, d), DEPTH), chunks(s, d), DEPTH, k, rrf_k, _PAYLOAD)
 
 
 def _reranked(s, d, n=FINAL):
@@ -212,13 +226,14 @@ def _checked(s, d):
 _CHECKED = r"checked AS (SELECT key, len(regexp_extract_all(answer, '\[(C\d+)\]', 1)) AS n_tags, list_distinct(regexp_extract_all(answer, '\[(C\d+)\]', 1)) AS tags FROM tagged)"
 
 QUERIES = {
-    "bm25_topk": lambda s, d: lexical.search(chunks(s, d), literal_query(s), 5).select(*_LEX_OUT),
+    "bm25_topk": lambda s, d: _lex(s, d, 5, literal_query(s)).select(*_LEX_OUT),
     "bm25_batch_topk": lambda s, d: _lex(s, d, 5).select(*_LEX_OUT),
     "bm25_filtered_post": lambda s, d: _lex(s, d, 5, keep=lexical.matches(source="SRC1")).select(*_LEX_OUT),
-    "bm25_filtered_pre": lambda s, d: lexical.search(chunks(s, d).filter("is_current and source = 'src1'"), queries(s, d), 5).select(*_LEX_OUT),
-    "lexical_index_report": lambda s, d: lexical.report(chunks(s, d)),
-    "term_idf": lambda s, d: lexical.document_frequencies(lexical.term_frequencies(lexical.index(chunks(s, d)))).join(F.broadcast(lexical.corpus_stats(lexical.index(chunks(s, d))))).select("term", "df", F.round(lexical.idf(F.col("n"), F.col("df")), 6).alias("idf")),
-    "matched_terms": lambda s, d: lexical.scores(chunks(s, d), queries(s, d)).select("query_id", "chunk_id", "matched_terms"),
+    "bm25_filtered_pre": lambda s, d: _pre(s, d, chunks(s, d).filter("is_current and source = 'src1'")).select(*_LEX_OUT),
+    "lexical_index_report": lambda s, d: postings.report(_postings(s, d)),
+    "postings_report": _postings_report,
+    "term_idf": lambda s, d: _postings(s, d).terms.join(F.broadcast(_postings(s, d).stats)).select("term", "df", F.round(lexical.idf(F.col("n"), F.col("df")), 6).alias("idf")),  # one row of statistics
+    "matched_terms": lambda s, d: _lex(s, d).select("query_id", "chunk_id", "matched_terms"),
     "dense_topk": lambda s, d: _every_fiftieth(s, d, 10)[0].select("query_id", "chunk_id", "rank", "score", "distance"),
     "dense_filtered_topk": lambda s, d: vector_index.search(vector_index.build(vectors(s, d).join(chunks(s, d).filter("source = 'src1'"), "chunk_id", "left_semi")), query_vectors(s, d, False), 5)[0].select("query_id", "chunk_id", "rank", "score", "distance"),
     "mock_embedding_norms": lambda s, d: read(s, d, "documents").withColumn("v", dense.mock_embedding("text", 64)).select("doc_id", F.round(dense.norm("v"), 6).alias("norm"), F.round(F.element_at("v", 1), 6).alias("first"), F.round(F.element_at("v", 64), 6).alias("last")),
@@ -246,6 +261,10 @@ QUERIES = {
 }
 
 
+def _pre(s, d, some):
+    return postings.search(postings.build(some), some, queries(s, d), 5)
+
+
 def _sweep(s, d):
     den, lex, known = _den(s, d), _lex(s, d), chunks(s, d)
     parts = [fusion.fuse(den, lex, known, 3, k).select(F.lit(k).alias("rrf_k"), *_FUSED_OUT[:4]) for k in (10, 60)]
@@ -275,8 +294,9 @@ ORACLES = {
     "bm25_filtered_post": _with(f"{_BASE},\n{bm25_sql(keep='lower(source) = lower(' + chr(39) + 'SRC1' + chr(39) + ')', k=5)}", _LEX_SQL),
     "bm25_filtered_pre": _with(f"{_BASE},\n{bm25_sql(corpus='is_current AND source = ' + chr(39) + 'src1' + chr(39), k=5)}", _LEX_SQL),
     "lexical_index_report": _with(f"{_BASE},\n{bm25_sql()}", "SELECT n AS total_chunks, (SELECT count(*) FROM df) AS vocabulary_size, round(avgdl, 2) AS avg_chunk_length FROM stats"),
+    "postings_report": _with(f"{_BASE},\n{bm25_sql()}", "SELECT (SELECT n FROM stats) AS chunks, count(*) AS terms, sum(df)::BIGINT AS postings, (SELECT count(*) FROM queries) AS queries, true AS below_a_tenth FROM df"),
     "term_idf": _with(f"{_BASE},\n{bm25_sql()}", "SELECT term, df, round(greatest(0, ln((n - df + 0.5) / (df + 0.5) + 1)), 6) AS idf FROM df CROSS JOIN stats"),
-    "matched_terms": _with(f"{_BASE},\n{bm25_sql()}", "SELECT query_id, chunk_id, matched_terms FROM bm"),
+    "matched_terms": _with(f"{_BASE},\n{bm25_sql()}", "SELECT query_id, chunk_id, matched_terms FROM lex"),
     "dense_topk": _with(dense_sql(10, asked=_FIFTIETH), _DEN_SQL),
     "dense_filtered_topk": _with(f"{CHUNKS},\n{dense_sql(5, where='vec_id IN (SELECT chunk_id FROM chunks WHERE source = ' + chr(39) + 'src1' + chr(39) + ')', asked=_FIFTIETH)}", _DEN_SQL),
     "vector_index_report": f"SELECT count(*) AS vectors, count(DISTINCT vec_id) AS ids, count(*) FILTER (vec_id % {EVERY} = 0) AS queries, true AS at_most_all FROM embeddings",
