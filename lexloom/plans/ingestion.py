@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexloom.operators import registry
+from lexloom.operators import propagate, registry
 from lexloom.plans.retrieval import read
 from lexloom.sources import pages as src
-from lexloom.sources import storage
+from lexloom.sources import snapshots, storage
+from lexloom.sources.snapshots import Change
+from lexloom.sources.tables import folder
+from lexloom.streaming import versions
 
 PORTAL = src.Portal("WEB", "PAGE", "/", ("/default.aspx",), number=r"([A-Z]\w{3})", unknown_number="PAGE-UNKNOWN", title_attribute=None, dated=False)
 STRICT = src.Portal("WEB", "PAGE", "/", ("/default.aspx",), number=r"([A-Z]\w{3})", unknown_number="PAGE-UNKNOWN", marks_before_title=True, least_title=4)
@@ -64,6 +67,63 @@ def _log(s, d):
     return read(s, d, "events").select((F.col("event_id") % 9 != 0).alias("parsed"), F.when(F.col("event_id") % 3 == 0, F.col("event_id") % 4).otherwise(0).alias("documents"), F.when(F.col("event_id") % 50 != 0, status).alias("status"), content.alias("content"), (F.col("user_id") % 3 == 0).alias("known"))
 
 
+def _replaced(s, d):
+    """Nodes of half the documents, then of others anew, through two commits, read back."""
+    root = folder(s, "snapshots")
+    snapshots.commit(s, root, {"document_nodes": Change(_keyed(s, d, "doc_id % 2 = 0", "old"))})
+    snapshots.commit(s, root, {"document_nodes": Change(_keyed(s, d, "doc_id % 6 = 0 or doc_id % 5 = 0", "new"))})
+    return snapshots.read(s, root, "document_nodes")
+
+
+def _models(s, d, test, label):
+    """Vectors of two models for each document."""
+    rows = read(s, d, "embeddings").filter(test).select(F.col("vec_id").alias("document_id"), F.explode(F.array(F.lit("one"), F.lit("two"))).alias("embedding_model"), F.round(F.col("embedding")[0].cast("double"), 4).alias("first"))
+    return rows.withColumn("label", F.lit(label))
+
+
+def _replaced_models(s, d):
+    """New vectors of one model leave those of the other; documents divisible by 7 lose those of model two."""
+    root = folder(s, "snapshots")
+    keys = ("document_id", "embedding_model")
+    snapshots.commit(s, root, {"chunk_embeddings": Change(_models(s, d, "true", "old"), keys)})
+    gone = _models(s, d, "vec_id % 7 = 0", "").filter("embedding_model = 'two'")
+    snapshots.commit(s, root, {"chunk_embeddings": Change(_models(s, d, "vec_id % 3 = 0", "new").filter("embedding_model = 'one'"), keys, gone)})
+    return snapshots.read(s, root, "chunk_embeddings")
+
+
+def _streamed(s, d):
+    """The events as files of a stream, in no order, so that each batch brings late ones."""
+    root = folder(s, "stream")
+    events = _events(s, d)
+    events.repartition(3, F.xxhash64("observed_at")).write.parquet(f"{root}/in")
+    arriving = s.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
+    versions.follow(arriving, f"{root}/out", f"{root}/state").awaitTermination()
+    return versions.registry(s, f"{root}/out")
+
+
+def _document_rows(s, d, text, version, test="true"):
+    """Chunks of the documents id mod 150, with nodes and embeddings, at a version."""
+    chunks = read(s, d, "documents").filter(test).select((F.col("doc_id") % 150).alias("document_id"), F.lit(version).alias("version_id"), F.col("doc_id").alias("chunk_id"), F.expr(text).alias("chunk_text"))
+    return {"retrieval_chunks": chunks, "document_nodes": chunks.select("document_id", "version_id", F.col("chunk_id").alias("node_id")), "chunk_embeddings": chunks.select("document_id", "version_id", "chunk_id", F.length("chunk_text").alias("size"))}
+
+
+def _after_delta(s, d):
+    """An index of all documents; then every fifth has a new version with other texts and fewer chunks, and every seventh has none."""
+    root = folder(s, "snapshots")
+    first = _document_rows(s, d, "text", 1)
+    propagate.replace_documents(s, root, first["retrieval_chunks"], first)
+    changed = first["retrieval_chunks"].filter("document_id % 5 = 0 or document_id % 7 = 0")
+    propagate.replace_documents(s, root, changed, _document_rows(s, d, "concat('baru versi', chr(10), substring(text, 1, 200))", 2, "doc_id % 150 % 5 = 0 and doc_id % 150 % 7 <> 0 and doc_id % 2 = 0"))
+    return root
+
+
+def _delta_counts(s, d):
+    root = _after_delta(s, d)
+    left = {t: snapshots.read(s, root, t).groupBy("version_id").agg(F.count(F.lit(1)).alias(t)) for t in propagate.CHILDREN}
+    rows = left["document_nodes"].join(left["retrieval_chunks"], "version_id").join(left["chunk_embeddings"], "version_id")
+    return rows.join(F.broadcast(propagate.report(s, root)))  # one row
+
+
 _META = ("source", "regulation_type", "regulation_number", "title", "status", "detail_url", "summary")
 
 QUERIES = {
@@ -83,6 +143,11 @@ QUERIES = {
     "version_pointers": lambda s, d: registry.pointers(_events(s, d)).join(_versions(s, d).filter("is_current").select("document_id", F.col("sha256").alias("current")), "document_id").select("document_id", "sha256", (F.col("sha256") != F.col("current")).alias("differs")),
     "single_current_check": lambda s, d: registry.current_check(_versions(s, d)),
     "replace_partition": lambda s, d: registry.replace(_keyed(s, d, "doc_id % 2 = 0", "old"), _keyed(s, d, "doc_id % 6 = 0 or doc_id % 5 = 0", "new"), ["document_id"]),
+    "snapshot_replace": _replaced,
+    "snapshot_models": _replaced_models,
+    "version_stream": _streamed,
+    "index_after_delta": _delta_counts,
+    "terms_after_delta": lambda s, d: snapshots.read(s, _after_delta(s, d), propagate.TERMS),
     "cascade_orphans": lambda s, d: registry.cascade(_keyed(s, d, "true", "child"), _keyed(s, d, "doc_id % 4 <> 1", "parent"), ["document_id"]),
     "request_metrics": lambda s, d: registry.exposition(read(s, d, "events").withColumn("bucket", F.col("user_id") % 3), ["event_type", "bucket"], "value", "http_requests_total", "http_request_duration_seconds"),
     "current_chunks": _current,
@@ -101,7 +166,15 @@ _REGS = "regs AS (SELECT source, lang AS regulation_type, doc_id::VARCHAR AS reg
 _key = lambda test, label: f"SELECT doc_id AS document_id, doc_id % 7 AS sequence, '{label}' AS label FROM documents WHERE {test}"
 _STATUS = "CASE WHEN event_id % 50 <> 0 THEN [200, 200, 200, 404, 503, 429, 500, 201, 403, 418][event_id % 10 + 1] END"
 
+_DELTA = r"""now AS (SELECT doc_id % 150 AS document_id, doc_id, CASE WHEN doc_id % 150 % 5 = 0 THEN 2 ELSE 1 END AS version_id, CASE WHEN doc_id % 150 % 5 = 0 THEN 'baru versi' || chr(10) || substr(text, 1, 200) ELSE text END AS chunk_text FROM documents WHERE doc_id % 150 % 7 <> 0 AND (doc_id % 150 % 5 <> 0 OR doc_id % 2 = 0)),
+toks AS (SELECT version_id, doc_id, coalesce(regexp_extract_all(lower(chunk_text), '[\p{L}\p{N}_]+'), []) AS terms FROM now),
+counts AS (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(terms) AS term FROM toks) GROUP BY 1)"""
+
 ORACLES = {
+    "snapshot_models": """WITH m AS (SELECT vec_id AS document_id, unnest(['one', 'two']) AS embedding_model, round(embedding[1]::DOUBLE, 4) AS first FROM embeddings)
+SELECT *, CASE WHEN embedding_model = 'one' AND document_id % 3 = 0 THEN 'new' ELSE 'old' END AS label FROM m WHERE embedding_model = 'one' OR document_id % 7 <> 0""",
+    "index_after_delta": f"WITH {_DELTA}\nSELECT version_id, count(*) AS document_nodes, count(*) AS retrieval_chunks, count(*) AS chunk_embeddings, (SELECT count(*) FROM toks) AS total_chunks, (SELECT count(*) FROM counts) AS vocabulary_size, (SELECT round(avg(len(terms)), 2) FROM toks) AS avg_chunk_length FROM toks GROUP BY 1",
+    "terms_after_delta": f"WITH {_DELTA}\nSELECT * FROM counts",
     "listing_refs": f"WITH src AS (SELECT * FROM pages),\n{_LINKS}\nSELECT page_id, target AS detail_url, link_text AS title, CASE WHEN regexp_extract(link_text, '(?i)([A-Z]\\w{{3}})', 1) = '' THEN 'PAGE-UNKNOWN' ELSE regexp_extract(link_text, '(?i)([A-Z]\\w{{3}})', 1) END AS regulation_number FROM (SELECT *, row_number() OVER (PARTITION BY page_id, target ORDER BY position) AS n FROM targets WHERE contains(href, '/') AND NOT suffix(href, '.pdf') AND NOT suffix(lower(href), '/default.aspx') AND length(link_text) >= 5) WHERE n = 1",
     "first_seen_links": f"WITH src AS (SELECT * FROM pages),\n{_LINKS}\nSELECT page_id, position, target AS detail_url, link_text AS title FROM (SELECT *, row_number() OVER (PARTITION BY page_id, target ORDER BY position) AS n FROM targets WHERE contains(href, '/') AND NOT suffix(href, '.pdf') AND NOT suffix(lower(href), '/default.aspx')) WHERE n = 1 AND length(link_text) >= 4",
     "listing_limited": f"WITH src AS (SELECT * FROM pages),\n{_LINKS},\nonce AS (SELECT page_id, position, target FROM (SELECT *, row_number() OVER (PARTITION BY page_id, target ORDER BY position) AS n FROM targets WHERE contains(href, '/') AND NOT suffix(href, '.pdf') AND NOT suffix(lower(href), '/default.aspx') AND length(link_text) >= 5) WHERE n = 1)\nSELECT page_id, position, target AS detail_url FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY position) AS n FROM once) WHERE n <= 2",
@@ -129,3 +202,5 @@ SELECT row_number() OVER (ORDER BY CASE WHEN part = 1 THEN 1 ELSE 2 END, labels,
     "metadata_artifacts": f"WITH {_REGS}\nSELECT 'meta/' || upper(source) || '/' || upper(regulation_type) || '/' || regulation_number || '.json' AS path, json_object('regulation_id', regulation_number, 'metadata', json_object({', '.join(f"'{c}', {c}" for c in _META)}), 'extra_info', json_object())::VARCHAR AS artifact FROM regs",
     "ingestion_summary": f"SELECT count(*) AS discovered, count(*) FILTER (event_id % 9 <> 0) AS metadata_parsed, sum(CASE WHEN event_id % 3 = 0 THEN event_id % 4 ELSE 0 END)::BIGINT AS documents_found, count(*) FILTER (status BETWEEN 200 AND 299 AND NOT known) AS downloaded, count(*) FILTER (status BETWEEN 200 AND 299 AND NOT known) AS new_versions, count(*) FILTER (status BETWEEN 200 AND 299 AND known) AS skipped, count(*) FILTER (status IS NULL OR status IN {registry.RETRIED}) AS retryable, count(*) FILTER (status IS NOT NULL AND status NOT BETWEEN 200 AND 299 AND status NOT IN {registry.RETRIED}) AS failed, count(*) FILTER (status BETWEEN 200 AND 299 AND user_id % 4 = 0) AS not_pdf FROM (SELECT {_STATUS} AS status, user_id % 3 = 0 AS known, user_id, event_id FROM events)",
 }
+ORACLES["snapshot_replace"] = ORACLES["replace_partition"]
+ORACLES["version_stream"] = ORACLES["version_registry"]

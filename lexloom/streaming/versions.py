@@ -1,44 +1,78 @@
-"""A stream of observations kept as a version registry; an addition beyond batch ingestion."""
+"""A stream of observations kept as a version registry: keyed state for each document, published as snapshots."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from lexloom.sources import snapshots
+from lexloom.sources.tables import written
 
-def merged(old: DataFrame | None, seen: DataFrame) -> DataFrame:
-    """First and last sight of each (document_id, sha256), from sights so far and new observations."""
-    new = seen.groupBy("document_id", "sha256").agg(F.min("observed_at").alias("first_seen_at"), F.max("observed_at").alias("last_seen_at"))
-    if old is None:
-        return new
-    return old.unionByName(new).groupBy("document_id", "sha256").agg(F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"))
+TABLE = "document_versions"
+#: The state store that keyed state of several values needs.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def follow(observations: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Keep the sights of a stream (document_id, sha256, observed_at) as snapshots folder/batch=N.
+def _row_type(document: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField("document_id", document), T.StructField("sha256", T.StringType()), T.StructField("first_seen_at", T.TimestampNTZType()), T.StructField("last_seen_at", T.TimestampNTZType()), T.StructField("is_current", T.BooleanType())])
 
-    A batch that is repeated after a failure writes its own snapshot again from the one before it, so each observation counts once.
-    """
 
-    def step(batch: DataFrame, number: int) -> None:
-        before = snapshot(batch.sparkSession, folder, number - 1)
-        merged(before, batch).write.mode("overwrite").parquet(f"{folder}/batch={number:012d}")
+class Sights(StatefulProcessor):
+    """For each document what it has shown, with the first and last time of each; late observations move either."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", "sha256 string", "first bigint, last bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known = {k[0]: (v[0], v[1]) for k, v in self.seen.iterator()}
+        changed = set()
+        for part in rows:
+            at = part["observed_at"].astype("datetime64[us]").astype("int64")
+            for sha, first, last in at.groupby(part["sha256"].to_numpy()).agg(["min", "max"]).itertuples():
+                old = known.get(sha)
+                known[sha] = (min(first, old[0]), max(last, old[1])) if old else (first, last)
+                changed.add(sha)
+        for sha in changed:
+            self.seen.updateValue((sha,), known[sha])
+        if known:
+            current = max((first, sha) for sha, (first, _) in known.items())[1]
+            made = sorted(known.items())
+            yield pd.DataFrame({"document_id": [key[0]] * len(made), "sha256": [s for s, _ in made], "first_seen_at": pd.to_datetime([v[0] for _, v in made], unit="us"), "last_seen_at": pd.to_datetime([v[1] for _, v in made], unit="us"), "is_current": [s == current for s, _ in made]})
 
-    return observations.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def close(self) -> None:
+        pass
+
+
+def follow(observations: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+    """Keep the versions of a stream (document_id, sha256, observed_at) as the table TABLE of snapshots at `root`, one snapshot for each batch.
+
+    State grows with documents and what they showed, not with batches; a batch rewrites the buckets of the documents that it has. One that is repeated after
+    a failure finds its number in the manifest and changes nothing. Observations without a digest or time are left out.
+    """
+    spark = observations.sparkSession
+    sound = observations.filter("sha256 is not null and observed_at is not null").select("document_id", "sha256", observations["observed_at"].cast("timestamp_ntz").alias("observed_at"))
+    before = spark.conf.get(STORE[0], None)
+    spark.conf.set(*STORE)
+    try:
+        rows = sound.groupBy("document_id").transformWithStateInPandas(statefulProcessor=Sights(), outputStructType=_row_type(sound.schema["document_id"].dataType), outputMode="Update", timeMode="None")
 
+        def publish(batch: DataFrame, number: int) -> None:
+            own = batch.sparkSession
+            last = snapshots.manifest(own, root)
+            if int(last.notes.get("batch", -1)) < number:
+                # Written first, as a commit reads its rows more than once, and state is worked out once for a batch.
+                snapshots.commit(own, root, {TABLE: snapshots.Change(written(batch, "batch"))}, notes={"batch": str(number)}, base=last)
 
-def _numbers(spark: SparkSession, folder: str) -> list[int]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.exists(path):
-        return []
-    names = [f.getPath().getName() for f in system.listStatus(path)]
-    done = [n for n in names if n.startswith("batch=") and system.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))]
-    return sorted(int(n.removeprefix("batch=")) for n in done)
+        return rows.writeStream.outputMode("update").foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        # The query has taken the setting over.
+        spark.conf.unset(STORE[0]) if before is None else spark.conf.set(STORE[0], before)
 
 
-def snapshot(spark: SparkSession, folder: str, upto: int | None = None) -> DataFrame | None:
-    """The last whole snapshot, or the last up to a batch; None if there is none."""
-    numbers = [n for n in _numbers(spark, folder) if upto is None or n <= upto]
-    return spark.read.parquet(f"{folder}/batch={numbers[-1]:012d}") if numbers else None
+def registry(spark: SparkSession, root: str) -> DataFrame | None:
+    """The registry as of the last batch; None before the first."""
+    return snapshots.read(spark, root, TABLE)

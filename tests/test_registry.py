@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from lexloom.operators import evaluate, registry
 from lexloom.sources import gold, pages
-from lexloom.streaming import versions
 
 LOG = "document_id long, sha256 string, observed_at timestamp_ntz"
 
@@ -184,18 +183,6 @@ def test_files_are_written_and_unregistered_ones_removed(spark, tmp_path):
     assert json.loads((tmp_path / "raw/meta/BI/PBI/7.json").read_text()) == {"regulation_id": "7", "metadata": {"source": "bi", "title": None}, "extra_info": {}}
 
 
-def test_stream_of_observations(spark, tmp_path):
-    source, folder, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
-    first = [(1, "a", at(0)), (1, "b", at(1))]
-    second = [(1, "a", at(2)), (2, "c", at(3))]
-    for part in (first, second):
-        spark.createDataFrame(part, LOG).coalesce(1).write.mode("append").parquet(source)
-        versions.follow(spark.readStream.schema(LOG).parquet(source), folder, checkpoint).awaitTermination()
-    got = {(r["document_id"], r["sha256"]): (r["first_seen_at"], r["last_seen_at"]) for r in versions.snapshot(spark, folder).collect()}
-    whole = registry.versions(spark.createDataFrame(first + second, LOG)).collect()
-    assert got == {(r["document_id"], r["sha256"]): (r["first_seen_at"], r["last_seen_at"]) for r in whole}
-
-
 def test_portal_pages_like_a_browser_reads_them(spark):
     bank = """<div class="bi-row-item"><a href=/id/peraturan/Pages/A.aspx>Peraturan &quot;A&quot;</a></div><a href="../peraturan/B.aspx">Peraturan B</a><a href="?q=/peraturan/c">Peraturan C</a><a href="//cdn.example/peraturan/d">Peraturan D</a>"""
     rows = spark.createDataFrame([(1, "https://p.example/a/b/c.aspx", bank)], "page_id long, url string, html string")
