@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,9 +22,9 @@ FILTERS, EMBED = 8, 8
 #: Labelled texts of each language that training sees, about, and windows of each.
 TEXTS_EACH, WINDOWS_EACH = 400, 12
 #: More labels than these are no languages.
-MOST_LANGUAGES = 1000
-#: Longer texts are not in the training sample.
-TEXT_BYTES = 1 << 20
+MOST_LANGUAGES = 128
+#: Longer texts are not in the training sample, and all texts of a language there have this many bytes at most, so that the sample has 1 GB at most.
+TEXT_BYTES, LANGUAGE_BYTES = 1 << 20, 8 << 20
 #: A row of text that is rejected as unsure in filtering; half of all mass would be a plain majority.
 LEAST_SCORE = 0.4
 UNKNOWN = "und"
@@ -163,8 +163,8 @@ def fit(texts: list[bytes], labels: list[str], steps: int = 900, batch: int = 64
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 4, held_fold: int = 2, texts_each: int = TEXTS_EACH) -> Network | None:
     """Train on labelled texts outside the held-out fold, about `texts_each` of each language, chosen by a hash of the key; None without any.
 
-    Texts of more than TEXT_BYTES are no part of the sample, and a key that repeats, null too, gives its least text in each language, so what
-    comes to the driver is bounded in bytes.
+    Texts of more than TEXT_BYTES are no part of the sample, and a key that repeats, null too, gives its least text in each language; of a
+    language whose sample has more than LANGUAGE_BYTES the first by a hash stay. So what comes to the driver is bounded in bytes.
     """
     rows = pick(docs, key=key, text=text, lang=lang).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~in_fold(F.col("key"), folds, held_fold))
     rows = rows.filter(F.octet_length("text") <= TEXT_BYTES)
@@ -176,7 +176,9 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     sizes = docs.sparkSession.createDataFrame(counts, "lang string, n long")
     place = F.pmod(F.xxhash64("key", F.lit("language")), F.lit(1 << 30)) / (1 << 30)
     near = rows.join(F.broadcast(sizes), "lang").filter(place < texts_each / F.col("n"))
-    chosen = sorted(near.groupBy("key", "lang").agg(F.min("text").alias("text")).select("key", "text", "lang").collect(), key=lambda r: (r[0] is None, r[0], r[1], r[2]))
+    once = near.groupBy("key", "lang").agg(F.min("text").alias("text"))
+    upto = F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy(F.xxhash64("key", F.lit("bytes")), "key").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    chosen = sorted(once.withColumn("_upto", upto).filter(F.col("_upto") <= LANGUAGE_BYTES).select("key", "text", "lang").collect(), key=lambda r: (r[0] is None, r[0], r[1], r[2]))
     return fit([r[1].encode() for r in chosen], [r[2] for r in chosen])
 
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,8 +29,8 @@ WORDS_AT_ONCE, TEXTS_AT_ONCE = 50_000, 100
 TEXTS_EACH = 1500
 #: Text that a worker scores at once; words, n-grams and windows take many times its size.
 SCORED_BYTES = 2_000_000
-#: Longer texts are not in the training sample.
-TEXT_BYTES = 1 << 20
+#: Longer texts are not in the training sample, and all texts of a label there have this many bytes at most.
+TEXT_BYTES, LABEL_BYTES = 1 << 20, 256 << 20
 #: Places of a score: what the batch that a text is in changes lies beyond them.
 PLACES = 5
 #: Words and n-grams get an embedding if so many training texts have them; all others have none.
@@ -352,8 +352,8 @@ def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, held_fold: int = 0, texts_each: int = TEXTS_EACH) -> Network:
     """Train on about `texts_each` texts of each label outside the held-out fold, chosen by a hash of the key.
 
-    Texts of more than TEXT_BYTES are no part of the sample, and a key that repeats gives its least text, so what comes to the driver is bounded
-    in bytes. A key labelled both ways counts as toxic.
+    Texts of more than TEXT_BYTES are no part of the sample, and a key that repeats gives its least text; of a label whose sample has more
+    than LABEL_BYTES the first by a hash stay. So what comes to the driver is bounded in bytes. A key labelled both ways counts as toxic.
     """
     known = pick(labels, _key=key, _label=label).filter(F.col("_label").isin(0, 1) & F.col("_key").isNotNull() & ~in_fold(F.col("_key"), folds, held_fold)).groupBy("_key").agg(F.max("_label").alias("_label"))
     counts = {r[0]: r[1] for r in known.groupBy("_label").count().collect()}
@@ -362,7 +362,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     chosen = known.filter(place < share)
     # The chosen keys are bounded by texts_each, so they go to every task and only their texts come back.
     found = pick(docs, _k=key, _t=text).filter(F.coalesce(F.octet_length("_t"), F.lit(0)) <= TEXT_BYTES).join(F.broadcast(chosen), F.col("_k") == F.col("_key"))
-    rows = found.groupBy("_k", "_label").agg(F.min("_t").alias("_t")).select("_k", "_t", "_label").collect()
+    once = found.groupBy("_k", "_label").agg(F.min("_t").alias("_t"))
+    upto = F.sum(F.coalesce(F.octet_length("_t"), F.lit(0))).over(Window.partitionBy("_label").orderBy(F.xxhash64("_k", F.lit("bytes")), "_k").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = once.withColumn("_upto", upto).filter(F.col("_upto") <= LABEL_BYTES).select("_k", "_t", "_label").collect()
     rows.sort(key=lambda r: (r[0], r[1] or ""))
     return fit([(r[1] or "").encode() for r in rows], [int(r[2]) for r in rows])
 
