@@ -18,7 +18,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table; texts that lie in fewer partitions than half the cores are dealt out, so a single small file keeps all busy."""
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if name == "documents" and 2 * rows.rdd.getNumPartitions() <= cores:
+    if name in ("documents", "pages") and 2 * rows.rdd.getNumPartitions() <= cores:
         rows = rows.repartition(cores)
     return rows
 

@@ -8,6 +8,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.sources.storage import write_files
+
 _EVIDENCE = "struct<document_id: string, structural_path: string, page_start: int, page_end: int, relevance: int>"
 SCHEMA = f"dataset_version string, corpus_scope array<string>, samples array<struct<sample_id: string, query: string, query_type: string, canonical_ground_truth: array<{_EVIDENCE}>, gold_generation: struct<expected_abstain: boolean, expected_claims: array<struct<claim_id: string, claim_description: string, supporting_evidence: array<{_EVIDENCE}>>>>>>"
 
@@ -40,10 +42,16 @@ def gold_claims(samples: DataFrame) -> DataFrame:
     return each.select("sample_id", "c.claim_id", F.explode("c.supporting_evidence").alias("e")).select("sample_id", "claim_id", "e.document_id", "e.structural_path", "e.page_start", "e.page_end")
 
 
+def _write(spark: SparkSession, files: dict[str, str]) -> None:
+    """Whole files at their addresses, on any file system that tasks can open; a plain path is one of this machine."""
+    address = lambda path: path if "://" in path else Path(path).absolute().as_uri()
+    write_files(spark.createDataFrame([(address(p), text) for p, text in files.items()], "path string, content string")).collect()
+
+
 def save(samples: DataFrame, path: str, version: str, scope: list[str]) -> None:
-    """One JSON file on the driver; a gold dataset is small by nature."""
+    """One JSON file; a gold dataset is small by nature."""
     rows = [r.asDict(recursive=True) for r in samples.drop("dataset_version").collect()]
-    Path(path).write_text(json.dumps({"dataset_version": version, "corpus_scope": scope, "samples": rows}, ensure_ascii=False, indent=2))
+    _write(samples.sparkSession, {path: json.dumps({"dataset_version": version, "corpus_scope": scope, "samples": rows}, ensure_ascii=False, indent=2)})
 
 
 #: Columns of a report's stage table, with their heads.
@@ -58,10 +66,9 @@ def export(stages: DataFrame, generation: DataFrame | None, folder: str, version
     rows = [r.asDict() for r in stages.collect()]
     spoken = generation.first().asDict() if generation is not None else None
     total = samples if samples is not None else max((r["n_samples"] for r in rows), default=0)
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    Path(folder, "report.json").write_text(json.dumps({"dataset_version": version, "total_samples": total, "retrieval": rows, "generation": spoken}, indent=2))
+    whole = json.dumps({"dataset_version": version, "total_samples": total, "retrieval": rows, "generation": spoken}, indent=2)
     lines = ["# Evaluation", "", f"- Dataset version: `{version}`", f"- Samples: `{total}`", "", "## 1. Retrieval by stage", "", "| Stage | " + " | ".join(h for _, h in STAGE_TABLE) + " |", "|---" * (len(STAGE_TABLE) + 1) + "|"]
     lines += [f"| {r['stage']} | " + " | ".join(f"{r[n]:.4f}" for n, _ in STAGE_TABLE) + " |" for r in rows]
     lines += ["", "## 2. Generation", ""]
     lines += [f"- {k.replace('_', ' ').capitalize()}: `{v * 100:.2f} %`" for k, v in spoken.items() if isinstance(v, float)] if spoken else ["None was measured."]
-    Path(folder, "report.md").write_text("\n".join(lines) + "\n")
+    _write(stages.sparkSession, {f"{folder}/report.json": whole, f"{folder}/report.md": "\n".join(lines) + "\n"})

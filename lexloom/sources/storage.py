@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -14,6 +15,14 @@ from pyspark.sql import functions as F
 METADATA = ("source", "regulation_type", "regulation_number", "title", "sector", "subsector", "status", "published_date", "effective_date", "detail_url", "summary", "abstract")
 
 
+def opened(address: str) -> tuple[fs.FileSystem, str]:
+    """The file system of an address and the path in it; Hadoop's names of S3 are its own. A scheme without a file system here is ValueError."""
+    try:
+        return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", address))
+    except pa.ArrowInvalid as e:
+        raise ValueError(f"no file system for {address}: {e}") from e
+
+
 def metadata_path(root: str, source: str, kind: str, regulation: str) -> Column:
     return F.concat(F.concat_ws("/", F.lit(root), F.upper(source), F.upper(kind), F.col(regulation).cast("string")), F.lit(".json"))
 
@@ -35,7 +44,7 @@ def write_files(rows: DataFrame, path: str = "path", content: str = "content") -
         for batch in batches:
             sizes = []
             for address, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                system, place = fs.FileSystem.from_uri(address)
+                system, place = opened(address)
                 folder, _, name = place.rpartition("/")
                 system.create_dir(folder, recursive=True)
                 hidden = f"{folder}/_{uuid.uuid4().hex}.{name}"
@@ -57,7 +66,7 @@ def remove_unregistered(files: DataFrame, registered: DataFrame, path: str = "pa
         for batch in batches:
             gone = []
             for address in batch.column(0).to_pylist():
-                system, place = fs.FileSystem.from_uri(address)
+                system, place = opened(address)
                 there = system.get_file_info(place).type == fs.FileType.File
                 if there:
                     system.delete_file(place)
