@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as t
-from lexloom.operators import answer, dense, fusion, lexical, postings, vector_index
+from lexloom.operators import answer, dense, fusion, lexical, postings, text_embedding, vector_index
 from lexloom.operators.ranking import ranked
-from lexloom.sources.tables import kept
+from lexloom.sources.tables import kept, written
 
 DEPTH, POOL, FINAL = 20, 20, 5
 QUERY, QUERY_ID = "the of and that this with", 0
@@ -125,6 +125,23 @@ def _lex(s, d, k=DEPTH, asked=None, **o):
     return postings.search(_postings(s, d), chunks(s, d), queries(s, d) if asked is None else asked, k, **o)
 
 
+def _text_vectors(s, d):
+    """Vectors of all chunks, made of their texts, and their index, made once in a session."""
+
+    def made():
+        vectors = written(text_embedding.embed_chunks(_postings(s, d), text_embedding.fit(_postings(s, d))), "text-vectors")
+        return vectors, vector_index.build(vectors)
+
+    return kept(s, ("text-vectors", d), made)
+
+
+def _nearest_texts(s, d):
+    """Every fiftieth document, searched by its text's vector: the score of the nearest text, which is as near as its own."""
+    vectors, index = _text_vectors(s, d)
+    asked = vectors.filter(F.col("chunk_id") % EVERY == 0).select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return vector_index.search(index, asked, 10)[0].groupBy("query_id").agg(F.max("score").alias("best"), F.min("rank").cast("int").alias("first_rank"))
+
+
 def _postings_report(s, d):
     """What is kept, and whether the pairs that a search of all items scores in full stay below a tenth of all pairs."""
     index = _postings(s, d)
@@ -255,6 +272,8 @@ QUERIES = {
     "citation_invalid": lambda s, d: _tagged(s, d).select("key", F.explode(F.array_distinct(t.citation_tags("answer"))).alias("context_id")).join(F.broadcast(_known(s)), "context_id", "left_anti").select("key", "context_id"),
     "conflict_flag": lambda s, d: read(s, d, "conversations").select("conv_id", "turn", t.mentions_conflict(F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit(" CONFLICTING"))).otherwise(F.col("text"))).alias("has_conflict")),
     "vector_index_report": _index_report,
+    "text_embedding_norms": lambda s, d: _text_vectors(s, d)[0].select("chunk_id", F.size("embedding").alias("dimension"), F.round(dense.norm("embedding"), 6).alias("norm")),
+    "text_embedding_topk": _nearest_texts,
     "vector_payload": lambda s, d: _every_fiftieth(s, d, 5)[0].join(chunks(s, d), "chunk_id").select("query_id", "rank", "chunk_id", "source", "title", "structural_path", F.length("chunk_text").alias("n_chars"), t.display_citation("source", "regulation_type", "regulation_number", "structural_path", "page_start").alias("citation")),
     "display_citation": lambda s, d: chunks(s, d).select("chunk_id", t.display_citation("source", "regulation_type", "regulation_number", "structural_path", "page_start").alias("citation")),
     "canonical_path": lambda s, d: _split_paths(s, d),
@@ -299,6 +318,8 @@ ORACLES = {
     "matched_terms": _with(f"{_BASE},\n{bm25_sql()}", "SELECT query_id, chunk_id, matched_terms FROM lex"),
     "dense_topk": _with(dense_sql(10, asked=_FIFTIETH), _DEN_SQL),
     "dense_filtered_topk": _with(f"{CHUNKS},\n{dense_sql(5, where='vec_id IN (SELECT chunk_id FROM chunks WHERE source = ' + chr(39) + 'src1' + chr(39) + ')', asked=_FIFTIETH)}", _DEN_SQL),
+    "text_embedding_norms": rf"SELECT doc_id AS chunk_id, {text_embedding.DIMENSION} AS dimension, 1.0::DOUBLE AS norm FROM documents WHERE regexp_matches(lower(text), '[\p{{L}}\p{{N}}_]')",
+    "text_embedding_topk": rf"SELECT doc_id AS query_id, 1.0::DOUBLE AS best, 1 AS first_rank FROM documents WHERE doc_id % {EVERY} = 0 AND regexp_matches(lower(text), '[\p{{L}}\p{{N}}_]')",
     "vector_index_report": f"SELECT count(*) AS vectors, count(DISTINCT vec_id) AS ids, count(*) FILTER (vec_id % {EVERY} = 0) AS queries, true AS at_most_all FROM embeddings",
     "mock_embedding_norms": f"SELECT doc_id, round(sqrt(list_sum(list_transform(u, lambda x: x * x))), 6) AS norm, round(u[1], 6) AS first, round(u[64], 6) AS last FROM (SELECT doc_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS u FROM (SELECT doc_id, {_MOCK} AS v FROM (SELECT doc_id, list_transform(range(0, 32), lambda i: ('0x' || substr(sha256(text), (2 * i + 1)::INT, 2))::INT::DOUBLE) AS b FROM documents)))",
     "embedding_dim_report": "SELECT total_chunks, embedded, wrong_dimension, wrong_dimension = 0 AND (total_chunks = 0 OR embedded > 0) AS is_valid FROM (SELECT count(*) AS total_chunks FROM documents), (SELECT count(*) AS embedded, count(*) FILTER (len(embedding) <> 64) AS wrong_dimension FROM embeddings)",
