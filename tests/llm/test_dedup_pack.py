@@ -134,7 +134,6 @@ def test_pack_equals_the_plain_tokenizer(spark, clashing, odd_rows, none):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    plain.encode_special_tokens = True
     rows = packing.pack(clashing, keep_ids=True).collect()
     want = Counter()
     for k, t, *_ in odd_rows:
@@ -151,14 +150,6 @@ def test_pack_equals_the_plain_tokenizer(spark, clashing, odd_rows, none):
     assert packing.pack(none).count() == 0
 
 
-def test_special_token_text_is_plain(spark):
-    docs = spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string")
-    fast = packing.pack(docs, keep_ids=True).first()["ids"]
-    import public_tokenizers
-
-    assert bytes(fast) == bytes(packing.pack(docs, vocabulary=public_tokenizers.path("byte_bpe_50k.json"), keep_ids=True).first()["ids"])
-
-
 def test_ids_of_the_end_token_are_those_of_the_plain_tokenizer(spark):
     """The contract's tokenizer as it is loaded, without settings of its own."""
     import public_tokenizers
