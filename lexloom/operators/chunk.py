@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,29 +11,28 @@ from lexloom.operators.structure import LEAVES
 LARGEST = 1500
 # Fixed value: where a text may be cut, by preference.
 CUTS = (r"\.\s+", r";\s+", r"\.\n", r"\n\n", r"\n", r",\s+", r"\s+")
-_CUTS = tuple(re.compile(p) for p in CUTS)
+#: White space by Unicode, separators of records included.
+_SPACE = r"[\s\x1c-\x1f]"
+
 
+def _part(largest: int) -> str:
+    """A pattern whose next match is the next part: what is left if it is short enough, else up to the end of the last match of the first cut that matches within `largest` characters, else all of those.
 
-def cut_text(text: str, largest: int = LARGEST) -> list[str]:
-    """Parts of at most `largest` characters that put together are the text; cut after the last match of the first pattern that matches."""
-    parts, at = [], 0
-    while len(text) - at > largest:
-        window = text[at : at + largest]
-        place = next((max(m.end() for m in found) for found in ([*p.finditer(window)] for p in _CUTS) if found), largest)
-        parts.append(window[:place])
-        at += place
-    return [*parts, text[at:]] if text[at:] else parts
+    A cut's white space must end within them, which the look-back tells from the end of the part before. The look-back reaches as far as its
+    longest branch in UTF-16 units, of which a character has up to two; its second branch never matches and makes it reach that far.
+    """
+    within = rf"(?<=\G.{{1,{largest}}}|\A\z.{{{2 * largest}}})"
+    # Blank lines are counted off in twos from the first line break.
+    blank, ends = r"\n\n", r"(?:\G|(?<!\n))(?:\n\n)+"
+    cuts = [rf".{{0,{largest}}}{ends if p == blank else p.replace(chr(92) + 's', _SPACE)}{within}" for p in CUTS]
+    return rf"(?sU)\G(?:{'|'.join([rf'.{{1,{largest}}}\z', *cuts, rf'.{{{largest}}}'])})"
 
 
 def split(text: Column | str, largest: int = LARGEST) -> Column:
-    """Parts of a text; only texts that are too long go through Python, the rest stay as they are. Empty and null texts have none."""
+    """Parts of a text, each of at most `largest` characters, that put together are the text. Empty and null texts have none."""
     c = F.col(text) if isinstance(text, str) else text
-
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [] if t is None else cut_text(t, largest))
-
-    return F.when(F.coalesce(c, F.lit("")) == "", F.array().cast("array<string>")).when(F.length(c) <= largest, F.array(c)).otherwise(cut(F.when(F.length(c) > largest, c)))
+    parts = F.when(F.length(c) <= largest, F.array(c)).otherwise(F.regexp_extract_all(c, F.lit(_part(largest)), F.lit(0)))
+    return F.when(F.coalesce(c, F.lit("")) == "", F.array().cast("array<string>")).otherwise(parts)
 
 
 def with_context(tree: DataFrame) -> DataFrame:

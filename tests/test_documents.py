@@ -126,14 +126,32 @@ def test_hyphens(spark, lines, want):
     assert [r["text"] for r in got] == want
 
 
-def test_cut_is_lossless():
-    r = random.Random(3)
-    for _ in range(300):
-        text = "".join(r.choices(["word", " ", ". ", "; ", ", ", "\n", ".\n", "\n\n", "é"], k=r.randint(0, 900)))
-        parts = chunk.cut_text(text, 200)
-        assert "".join(parts) == text and all(0 < len(p) <= 200 for p in parts)
-    assert chunk.cut_text("a. " * 10, 10) == ["a. a. a. "] * 3 + ["a. "]
-    assert chunk.cut_text("x" * 25, 10) == ["x" * 10, "x" * 10, "x" * 5]
+def cut_in_order(text, largest):
+    """One part after the other: up to the end of the last match, in the next `largest` characters, of the first pattern that has any."""
+    parts = []
+    while len(text) > largest:
+        ends = ([m.end() for m in re.finditer(p, text[:largest])] for p in chunk.CUTS)
+        place = next((found[-1] for found in ends if found), largest)
+        parts.append(text[:place])
+        text = text[place:]
+    return [*parts, text] if text else parts
+
+
+@pytest.mark.parametrize("largest", [1, 2, 7, 20, 200])
+def test_cut(spark, largest):
+    r = random.Random(largest)
+    pieces = ["word", "a", " ", "  ", ". ", "; ", ", ", ".", ";", "\n", ".\n", "\n\n\n", "\r\n", "\u00e9", "\u00a0", "\u2003", "\x1d", "\U0001f600", "\U0010ffff"]
+    texts = ["".join(r.choices(r.sample(pieces, r.randint(1, len(pieces))), k=r.randint(0, 300))) for _ in range(600)] + ["a. " * 10, "x" * 25, "\U0001f600" * 401, " " * 401]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t string").select("i", chunk.split("t", largest).alias("parts")).collect()
+    for i, parts in got:
+        assert parts == (cut_in_order(texts[i], largest) if i < len(texts) else [])
+        assert "".join(parts) == (texts[i] if i < len(texts) else "") and all(0 < len(p) <= largest for p in parts)
+
+
+def test_cut_of_a_very_long_text(spark):
+    whole = ("Kalimat panjang sekali. " * 60 + "\n") * 2000
+    got = spark.createDataFrame([(whole,), ("y" * 1_000_000,)], "t string").select(chunk.split("t").alias("parts")).collect()
+    assert [r["parts"] for r in got] == [cut_in_order(t, chunk.LARGEST) for t in (whole, "y" * 1_000_000)]
 
 
 def about(tree, spark):
