@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,6 +65,22 @@ def stage_summaries(metrics: DataFrame, stages: Sequence[str]) -> DataFrame:
     return found.select("stage", F.coalesce("n_samples", F.lit(0).cast("long")).alias("n_samples"), *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names])
 
 
+def order_means(rows: DataFrame, wanted: DataFrame, stages: Mapping[str, str], k: int = 10) -> DataFrame:
+    """One row for each stage, by the column that holds its rank: how many queries there are, and their mean reciprocal rank and nDCG at k.
+
+    rows (query_id, right, a rank of each stage); wanted (query_id, wanted): the queries that count and how many right rows there are in all. Queries
+    without any found count as 0, and no queries at all give zeros.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("stage"), F.col(rank).cast("int").alias("place")) for name, rank in stages.items()]))
+    lists = rows.filter("right").select("query_id", each.alias("_s")).select("query_id", "_s.stage", "_s.place").filter(F.col("place") <= k)
+    found = lists.groupBy("stage", "query_id").agg(F.min("place").alias("_first"), F.sum(1 / F.log2(F.col("place") + 1)).alias("_dcg"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("wanted"), F.lit(k)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
+    counting = wanted.select("query_id", ideal.alias("_ideal")).withColumn("stage", F.explode(F.array(*map(F.lit, stages))))
+    each_query = counting.join(found, ["stage", "query_id"], "left")
+    metrics = each_query.select("stage", F.col("query_id").alias("sample_id"), F.coalesce(1 / F.col("_first"), F.lit(0.0)).alias(f"rr_{k}"), F.coalesce(F.col("_dcg") / F.col("_ideal"), F.lit(0.0)).alias(f"ndcg_{k}"))
+    return stage_summaries(metrics, list(stages))
+
+
 def stage_summary(metrics: DataFrame, stage: str) -> DataFrame:
     """One row: how many samples count and the mean of each metric to 4 places; zeros if none count."""
     names = [c for c in metrics.columns if c != "sample_id"]

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as t
-from lexloom.operators import evaluate, fusion
-from lexloom.operators.ranking import top_k
-from lexloom.plans.retrieval import CHAIN, CHUNKS, DEPTH, EVERY, FINAL, POOL, TAGGED, _every_fiftieth, _fused, _tagged, chunks, dense_sql, fuse_sql, queries, vectors
-from lexloom.sources.tables import written
+from lexloom.operators import evaluate, fusion, learned_rank, postings
+from lexloom.operators.ranking import ranked, top_k
+from lexloom.plans.retrieval import CHAIN, CHUNKS, DEPTH, EVERY, FINAL, POOL, TAGGED, _every_fiftieth, _fused, _postings, _tagged, bm25_sql, chunks, dense_sql, fuse_sql, queries, vectors, word_set_sql
+from lexloom.sources.tables import kept, written
 
 _PLACE = ["document_id", "structural_path", "page_start", "page_end"]
 
@@ -61,6 +61,39 @@ def _benchmark(s, d):
     return evaluate.stage_summaries(metrics, list(stages))
 
 
+#: Passages that the re-ranker learns from, at most; none of them is of a chunk that is asked for.
+TAUGHT = 200
+
+
+def _featured(s, d, asked):
+    """The lexical candidates of passages with their features, whether they are what the passage is of, and the words they share."""
+    found = written(postings.search(_postings(s, d), chunks(s, d), asked.select("query_id", "query"), POOL), "passage-candidates")
+    more = {"right": F.sha2("chunk_text", 256) == F.col("digest"), "overlap": fusion.overlap_score("query", "chunk_text", F.lit(0.0))}
+    return learned_rank.features(_postings(s, d), found, asked, chunks(s, d), more)
+
+
+def _asked_passages(s, d):
+    return learned_rank.passages(chunks(s, d).filter(F.col("chunk_id") % EVERY == 0))
+
+
+def _ranker(s, d):
+    """The re-ranker, trained once in a session."""
+    return kept(s, ("ranker", d), lambda: learned_rank.train(_featured(s, d, learned_rank.passages(learned_rank.some(chunks(s, d).filter(F.col("chunk_id") % EVERY != 0), TAUGHT)))))
+
+
+def _rerankers(s, d):
+    """Passages of every fiftieth chunk: how well candidates are ordered by BM25, by shared words, and whether the learned order is as good or better."""
+    asked = _asked_passages(s, d)
+    rows = written(learned_rank.rerank(_featured(s, d, asked), _ranker(s, d), POOL), "reranked-passages")
+    rows = ranked(rows, ["query_id"], [F.col("overlap").desc(), F.col("rank"), F.col("chunk_id")], "overlap_rank")
+    copies = chunks(s, d).select(F.sha2("chunk_text", 256).alias("digest")).join(asked.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.count(F.lit(1)).alias("wanted"))
+    wanted = asked.join(copies, "digest").select("query_id", "wanted")
+    stages = {"bm25": "rank", "overlap": "overlap_rank", "learned": "rerank_rank"}
+    means = evaluate.order_means(rows, wanted, stages)
+    learned = F.broadcast(means.filter("stage = 'learned'").select(F.col("ndcg_10").alias("_learned")))  # one row
+    return means.filter("stage <> 'learned'").join(learned).select("stage", "n_samples", "rr_10", "ndcg_10", (F.col("_learned") >= F.col("ndcg_10")).alias("learned_at_least"))
+
+
 def _rounded(rows, names):
     return rows.select("sample_id", *[F.round(n, 6).alias(n) for n in names])
 
@@ -87,6 +120,8 @@ QUERIES = {
     "eval_precision_recall": lambda s, d: _rounded(_metrics(s, d), _PR),
     "eval_stage_summary": lambda s, d: evaluate.stage_summary(_metrics(s, d), "dense"),
     "eval_benchmark": _benchmark,
+    "eval_rerankers": _rerankers,
+    "rerank_features": lambda s, d: _featured(s, d, _asked_passages(s, d)).select("query_id", "chunk_id", "rank", "right", *[F.round(n, 6).alias(n) for n in learned_rank.FEATURES]),
     "eval_generation": _generation,
 }
 
@@ -118,7 +153,29 @@ _pick = lambda names: f"WITH {METRICS}\nSELECT sample_id, " + ", ".join(f"round(
 _MARK = r"regexp_replace(trim(answer), '([.!?\n;])\s+', '\1' || chr(1), 'g')"
 _share = lambda a, b: f"CASE WHEN n = 0 THEN 0.0::DOUBLE WHEN {b} > 0 THEN round({a}::DOUBLE / {b}, 4) ELSE 1.0::DOUBLE END"
 
+_words_of = lambda text: rf"regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}_]+')"
+_pairs_of = lambda words, gap: f"list_distinct(list_transform(range(1, greatest(len({words}) - {gap}, 0) + 1), lambda i: {words}[i] || ' ' || {words}[i + {gap}]))"
+_of = lambda part, whole: f"CASE WHEN {whole} > 0 THEN ({part})::DOUBLE / {whole} ELSE 0 END"
+_SPAN = learned_rank.SPAN
+PASSAGES = f"""{CHUNKS},
+spans AS (SELECT chunk_id, chunk_text, t, least(len(t) // 3, len(t) - {_SPAN}) AS start FROM (SELECT chunk_id, chunk_text, {_words_of("chunk_text")} AS t FROM chunks WHERE chunk_id % {EVERY} = 0) WHERE len(t) >= {_SPAN}),
+queries AS (SELECT chunk_id AS query_id, sha256(chunk_text) AS digest, array_to_string(list_filter(list_slice(t, start + 1, start + {_SPAN}), lambda x, i: (i - 1) % 4 <> {learned_rank.LEFT_OUT}), ' ') AS query FROM spans),
+{bm25_sql(k=POOL)},
+asking AS (SELECT query_id, query, digest, q, list_distinct(q) AS qset, {_pairs_of("q", 1)} AS qpairs FROM (SELECT *, {_words_of("query")} AS q FROM queries)),
+weights AS (SELECT query_id, term, greatest(0, ln((n - df + 0.5) / (df + 0.5) + 1)) AS w FROM qt JOIN df USING (term) CROSS JOIN stats),
+rare AS (SELECT l.query_id, l.chunk_id, sum(w) AS w FROM lex l JOIN weights x ON x.query_id = l.query_id JOIN tf ON tf.chunk_id = l.chunk_id AND tf.term = x.term GROUP BY ALL),
+featured AS (SELECT l.query_id, l.chunk_id, l.rank, sha256(chunk_text) = digest AS "right", {_of("l.score", "max(l.score) OVER (PARTITION BY l.query_id)")} AS lexical, {_of("len(list_intersect(qset, c))", "len(qset)")} AS coverage, {_of("rare.w", "(SELECT sum(w) FROM weights x WHERE x.query_id = l.query_id)")} AS rarity,
+  {_of(f"len(list_intersect(qpairs, {_pairs_of('c', 1)}))", "len(qpairs)")} AS adjacent, {_of(f"len(list_intersect(qpairs, {_pairs_of('c', 2)}))", "len(qpairs)")} AS near, ln(1 + len(c)) AS length, len(list_intersect({word_set_sql("query")}, {word_set_sql("chunk_text")})) AS overlap
+  FROM lex l JOIN asking a ON a.query_id = l.query_id JOIN (SELECT chunk_id, chunk_text, {_words_of("chunk_text")} AS c FROM chunks) t ON t.chunk_id = l.chunk_id JOIN rare ON rare.query_id = l.query_id AND rare.chunk_id = l.chunk_id)"""
+_ORDERS = {"bm25": "rank", "overlap": "row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, rank, chunk_id)"}
+_order_means = lambda stage, place: f"""SELECT '{stage}' AS stage, count(*) AS n_samples, round(round(avg(coalesce(1.0::DOUBLE / first, 0)), 9), 4) AS rr_10, round(round(avg(coalesce(dcg, 0) / ideal), 9), 4) AS ndcg_10, true AS learned_at_least
+FROM wanted LEFT JOIN (SELECT query_id, min(place) AS first, sum(1 / log2(place + 1)) AS dcg FROM (SELECT query_id, "right", {place} AS place FROM featured) WHERE "right" AND place <= 10 GROUP BY query_id) USING (query_id)"""
+
 ORACLES = {
+    "rerank_features": f"WITH {PASSAGES}\nSELECT query_id, chunk_id, rank, \"right\", " + ", ".join(f"round({n}, 6) AS {n}" for n in learned_rank.FEATURES) + " FROM featured",
+    "eval_rerankers": f"""WITH {PASSAGES},
+wanted AS (SELECT query_id, list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))) AS ideal FROM queries JOIN (SELECT sha256(chunk_text) AS digest, count(*) AS n FROM chunks GROUP BY 1) USING (digest))
+""" + " UNION ALL ".join(_order_means(*o) for o in _ORDERS.items()),
     "eval_rr_hit": _pick(_RR),
     "eval_ndcg": _pick(_NDCG),
     "eval_precision_recall": _pick(_PR),
