@@ -1,8 +1,8 @@
 """Near duplicates by similarity: SimHash with blocks that find all pairs of a Jaccard similarity of 0.8 over five-word shingles.
 
-Rows of equal words are one class with a SimHash fingerprint of PRINT_BITS. At a similarity of 0.8 some 15 % of such bits differ, more than
-pigeonhole blocks of a fingerprint can bridge: so the blocks that close pairs share are made of least hashes, BANDS keys of ROWS each, of which two
-classes of similarity 0.8 share none with a probability of 1.5e-5, and more similar ones still less. What shares a block is verified by
+Rows of equal words are one class with a SimHash fingerprint of LANES x 64 bits. Classes are filed under the pigeonhole blocks of its first lane's bits, as
+operator 7 does. At a similarity of 0.8 some 15 % of such bits differ, more than these blocks can bridge: so classes are filed
+under least hashes as well, BANDS keys of ROWS each, of which two classes of similarity 0.8 share none with a probability of 1.5e-5, and more similar ones still less. What shares a block is verified by
 Hamming distance, on fingerprints alone; what is left, on whole shingle sets, by the exact similarity. A group that is too large for a task is
 compared in blocks of its members, so all links are true ones, none is lost after the blocks, and no group is cut.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from lexloom.llm.common import Words, as_bytes, bounded_batches, by_place, free_name, give_back, map_text, slices, word_classes, written
 from lexloom.llm.components import components
 from lexloom.llm.partrows import PartRows, by_part, in_part_rows
-from lexloom.llm.simhash import have_close, wide_prints
+from lexloom.llm.simhash import block_masks, have_close, wide_prints
 
 SHINGLE = 5
 #: The least similarity as a fraction of whole numbers, so that comparing is exact.
@@ -37,6 +37,8 @@ CELL_SHINGLES, CELL_ROWS = 2_000_000, 256
 CELL_MEMBERS = 20_000
 #: Lanes of 64 bits of a fingerprint, and the most bits in which two of a similarity of 0.8 differ: 39 are expected, with a deviation of 5.7; 76 leaves out fewer than one in 10^8, and fewer than one in 10^5 of texts of nine words against eight, of whose bits 48 are expected to differ.
 LANES, FAR = 4, 76
+#: Bits in which fingerprints of one lane differ that blocks of their bits find, and those blocks.
+BITS, BLOCKS = 2, 4
 
 _SPACE = word_classes(lambda b: b in b"\0\t\n\x0b\x0c\r ")
 _FACTORS = np.random.default_rng(42).integers(0, 1 << 63, ROWS * BANDS + SHINGLE + ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -80,11 +82,19 @@ def _bands(h: np.ndarray, ptr: np.ndarray) -> list:
     return [lists[t] if t in some else [] for t in range(n)]
 
 
+def block_keys(prints: np.ndarray, some: np.ndarray) -> list:
+    """The keys of each text's SimHash bits, as operator 7 files them: every choice of bit blocks that two fingerprints of one lane within BITS agree on. None for texts not in `some`."""
+    masks = np.array(block_masks(BITS, BLOCKS), np.uint64)
+    keys = _mixed(_mixed(prints[:, :1] & masks) + np.arange(BANDS, BANDS + len(masks), dtype=np.uint64)).astype(np.int64).tolist()
+    return [k if there else [] for k, there in zip(keys, some.tolist())]
+
+
 def _filed(texts: list[bytes | None]) -> list:
     nodes = [xxhash.xxh3_64_intdigest(b" ".join((t or b"").lower().split())) for t in texts]
     h, ptr = shingles(texts)
     prints = wide_prints(h, ptr, LANES)
-    return [pa.array(np.array(nodes, np.uint64).astype(np.int64), pa.int64()), pa.array(_bands(h, ptr), pa.list_(pa.int64())), pa.array(np.diff(ptr), pa.int64()), pa.array([p.tobytes() for p in prints], pa.binary())]
+    keys = [own + more for own, more in zip(block_keys(prints, np.diff(ptr) > 0), _bands(h, ptr))]
+    return [pa.array(np.array(nodes, np.uint64).astype(np.int64), pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(np.diff(ptr), pa.int64()), pa.array([p.tobytes() for p in prints], pa.binary())]
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
