@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexloom.functions.text import strip, word_set
 from lexloom.operators.lexical import best, order
 from lexloom.operators.ranking import top_k
+from lexloom.sources.tables import written
 
 RRF_K = 60
 
@@ -46,6 +47,8 @@ def hybrid(dense: DataFrame, scored: DataFrame, chunks: DataFrame, lexical_k: in
     carry: columns of `chunks` that come along.
     """
     candidates = best(scored, lexical_k).select("query_id", "chunk_id", "raw").join(_side(dense, "dense"), ["query_id", "chunk_id"], "full")
+    # Few rows, written first, so that the planner knows it and sends them along instead of shuffling the texts of all chunks.
+    candidates = written(candidates, "candidates-of-both")
     found = candidates.join(chunks.select("chunk_id", "structural_path", "sequence", *carry), "chunk_id")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.asc("_other"), *order()))
     placed = found.withColumn("_other", F.col("raw").isNull()).withColumn("_place", place).withColumn("lexical_rank", F.when(F.col("raw").isNotNull() & (F.col("_place") <= lexical_k), F.col("_place")))
