@@ -59,13 +59,16 @@ def chunks(tree: DataFrame, version: Column | None = None, largest: int = LARGES
 def parts_of_leaves(tree: DataFrame, version: Column | None = None, largest: int = LARGEST, source: str = "source", kind: str = "regulation_type", number: str = "regulation_number", title: str = "regulation_title") -> DataFrame:
     """The chunks, and a row without a chunk for each leaf without text; leaf_chars: the leaf's characters, in its first row. One pass for chunks and what they are checked against."""
     leaves = with_context(tree).filter(F.col("node_type").isin(*LEAVES)).withColumn("_parts", split(strip("text"), largest))
+    # Parts of the leaves before are counted while leaves are still sorted for their context, and not sorted again with all parts.
+    ahead = Window.partitionBy("document_id").orderBy("ancestors").rowsBetween(Window.unboundedPreceding, -1)
+    leaves = leaves.withColumn("_ahead", F.coalesce(F.sum(F.size("_parts")).over(ahead), F.lit(0)))
     each = leaves.select("*", F.posexplode_outer("_parts").alias("_part", "chunk_text")).withColumn("part_index", F.col("_part") + 1).withColumn("total_parts", F.size("_parts"))
     path = F.when(F.col("total_parts") > 1, F.concat("path", F.lit(" [Part "), F.col("part_index").cast("string"), F.lit("/"), F.col("total_parts").cast("string"), F.lit("]"))).otherwise(F.col("path"))
-    order = F.count("chunk_text").over(Window.partitionBy("document_id").orderBy("ancestors", "part_index").rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int")
+    order = (F.col("_ahead") + F.coalesce("part_index", F.lit(0))).cast("int")
     made = each.withColumn("structural_path", path).withColumn("chunk_sequence", order).withColumn("character_count", F.length("chunk_text")).withColumn("word_count", word_count("chunk_text"))
     digest = F.sha2(F.concat_ws(":", (version if version is not None else F.col("document_id")).cast("string"), F.col("sequence").cast("string"), "structural_path", F.col("part_index").cast("string"), "chunk_text"), 256)
     made = made.withColumn("chunk_hash", F.when(F.col("chunk_text").isNotNull(), digest)).withColumn("contextual_text", contextual(source, kind, number, title, "structural_path", "page_start", "page_end", "chunk_text"))
-    return made.withColumn("leaf_chars", F.when(F.coalesce("_part", F.lit(0)) == 0, F.coalesce(F.length(strip("text")), F.lit(0)))).drop("_parts", "_part")
+    return made.withColumn("leaf_chars", F.when(F.coalesce("_part", F.lit(0)) == 0, F.coalesce(F.length(strip("text")), F.lit(0)))).drop("_parts", "_part", "_ahead")
 
 
 def validate(tree: DataFrame, made: DataFrame) -> DataFrame:

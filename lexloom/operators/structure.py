@@ -63,14 +63,13 @@ def states(lines: DataFrame) -> DataFrame:
     below = kind.isin("paragraph", "letter", "numbered_item") & F.col("article").isNull()
     rows = rows.withColumn("kind", F.when(below, "default").otherwise(kind))
     rows = rows.withColumn("kind", F.when(F.col("_first") & (kind == "default"), "preamble").otherwise(kind))
-    # From here on inside an article; lines that are swallowed have no part in it.
-    scope = Window.partitionBy("document_id", "article").orderBy("line_num").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # From here on inside an article, which is what lies at or after its line: so these windows share the document's sort. Lines that are swallowed have no part in it.
+    inside = lambda at, value: F.when(at >= F.col("article"), value)
     live = ~F.col("swallowed") & F.col("article").isNotNull()
     turn = live & kind.isin("paragraph", "letter", "default")
-    rows = rows.withColumn("implicit", turn & (kind == "default") & (F.sum(turn.cast("int")).over(scope) == 1))
-    inside = lambda test, value: F.last(F.when(live & test, value), ignorenulls=True).over(scope)
-    rows = rows.withColumn("paragraph", F.when(F.col("article").isNotNull(), inside((kind == "paragraph") | F.col("implicit"), line)))
-    rows = rows.withColumn("_low", inside(kind.isin("paragraph", "letter"), opened)).withColumn("letter", F.when(F.col("article").isNotNull() & (F.col("_low.kind") == "letter"), F.col("_low.line")))
+    rows = rows.withColumn("_turn", last(turn, line, before)).withColumn("implicit", turn & (kind == "default") & inside(F.col("_turn"), F.col("_turn")).isNull())
+    rows = rows.withColumn("_open", last(live & ((kind == "paragraph") | F.col("implicit")), line)).withColumn("paragraph", inside(F.col("_open"), F.col("_open")))
+    rows = rows.withColumn("_low", last(live & kind.isin("paragraph", "letter"), opened)).withColumn("letter", inside(F.col("_low.line"), F.when(F.col("_low.kind") == "letter", F.col("_low.line"))))
     root = ~F.col("swallowed") & (
         kind.isin("chapter", "consideration", "legal_basis", "decision", "closing", "preamble")
         | (kind == "part") & F.col("chapter").isNull()
@@ -80,7 +79,7 @@ def states(lines: DataFrame) -> DataFrame:
     rows = rows.withColumn("is_root", root).withColumn("_root", last(F.col("is_root"), line))
     makes = ~F.col("swallowed") & ((kind != "default") | F.col("implicit"))
     target = F.when(F.col("swallowed"), F.col("title_line")).when(makes, line).otherwise(F.coalesce("letter", "paragraph", "_root"))
-    return rows.withColumn("makes", makes).withColumn("target", target).drop("_marker", "_first", "_top", "_low", "_root")
+    return rows.withColumn("makes", makes).withColumn("target", target).drop("_marker", "_first", "_top", "_turn", "_open", "_low", "_root")
 
 
 def nodes(lines: DataFrame) -> DataFrame:
@@ -134,7 +133,9 @@ def nodes(lines: DataFrame) -> DataFrame:
     follows = F.lead("parent_sequence").over(Window.partitionBy("document_id").orderBy("ancestors"))
     leaf = made.withColumn("_leaf", F.coalesce(follows != c("sequence"), F.lit(True)))
     each = leaf.select("document_id", F.explode("ancestors").alias("_at"), F.when(c("_leaf"), c("_start")).alias("_start"), F.when(c("_leaf"), c("_end")).alias("_end"), "sequence", F.struct("parent_sequence", "ancestors", "node_type", "node_number", "title", "text", "path").alias("n"))
-    found = each.groupBy("document_id", "_at").agg(F.min("_start").alias("page_start"), F.max("_end").alias("page_end"), F.first(F.when(c("_at") == c("sequence"), c("n")), ignorenulls=True).alias("n"))
+    # A node's text comes along once, not with each node above it.
+    each = each.select("document_id", "_at", "_start", "_end", F.when(c("_at") == c("sequence"), c("n")).alias("n"))
+    found = each.groupBy("document_id", "_at").agg(F.min("_start").alias("page_start"), F.max("_end").alias("page_end"), F.first("n", ignorenulls=True).alias("n"))
     return found.select("document_id", c("_at").alias("sequence"), "n.parent_sequence", "n.ancestors", "n.node_type", "n.node_number", "n.title", "n.text", "page_start", "page_end", "n.path")
 
 
