@@ -9,14 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.operators.lexical import index, term_frequencies
+from lexloom.operators.lexical import index
+from lexloom.operators.postings import counted_terms
 from lexloom.sources import snapshots
 from lexloom.sources.snapshots import Change, Manifest
 from lexloom.sources.tables import written
 
 #: Tables of a document's version, from the one that others are made of to the last.
 CHILDREN = ("document_nodes", "retrieval_chunks", "chunk_embeddings")
-POSTINGS, LENGTHS, TERMS, STATS = "chunk_terms", "chunk_lengths", "term_counts", "corpus_totals"
+#: A row of POSTINGS is a chunk with its length and its distinct terms with their frequencies.
+POSTINGS, TERMS, STATS = "chunk_terms", "term_counts", "corpus_totals"
 
 
 def _of(spark: SparkSession, root: str, table: str, documents: DataFrame, base: Manifest) -> DataFrame | None:
@@ -34,17 +36,16 @@ def replace_documents(spark: SparkSession, root: str, documents: DataFrame, tabl
     base = snapshots.manifest(spark, root)
     gone = written(documents.select("document_id").distinct(), "changed-documents")
     chunks = tables["retrieval_chunks"]
-    tokens = written(index(chunks).join(chunks.select("chunk_id", "document_id", "version_id"), "chunk_id"), "changed-tokens")
-    frequencies = term_frequencies(tokens).join(tokens.select("chunk_id", "document_id", "version_id"), "chunk_id")
-    added = written(frequencies.select("document_id", "version_id", "chunk_id", "term", "tf"), "changed-terms")
-    lengths = tokens.select("document_id", "version_id", "chunk_id", "length")
-    df = lambda rows, sign: rows.groupBy("term").agg((sign * F.count(F.lit(1))).alias("d"))
+    # A chunk's terms are counted where its text is read and stay one row; of them only counts of terms are shuffled.
+    keyed = chunks.select(F.struct("document_id", "version_id", "chunk_id").alias("chunk_id"), "chunk_text")
+    added = written(counted_terms(index(keyed)).select("chunk_id.*", "length", "counts"), "changed-terms")
+    df = lambda rows, sign: rows.select(F.explode("counts.term").alias("term")).groupBy("term").agg((sign * F.count(F.lit(1))).alias("d"))
     total = lambda rows, sign: rows.agg((sign * F.count(F.lit(1))).alias("n"), (sign * F.coalesce(F.sum("length"), F.lit(0))).alias("total_length"))
-    changes, totals = df(added, 1), total(lengths, 1)
-    old_terms, old_lengths = (_of(spark, root, t, gone, base) for t in (POSTINGS, LENGTHS))
+    changes, totals = df(added, 1), total(added, 1)
+    old = _of(spark, root, POSTINGS, gone, base)
     known, sums = (snapshots.read(spark, root, t, found=base) for t in (TERMS, STATS))
-    if old_terms is not None:
-        changes, totals = changes.unionByName(df(old_terms, -1)), totals.unionByName(total(old_lengths, -1))
+    if old is not None:
+        changes, totals = changes.unionByName(df(old, -1)), totals.unionByName(total(old, -1))
     delta = changes.groupBy("term").agg(F.sum("d").alias("d")).filter("d <> 0")
     if known is not None:
         delta = delta.join(known, "term", "left").select("term", (F.coalesce("df", F.lit(0)) + F.col("d")).alias("df"))
@@ -55,8 +56,7 @@ def replace_documents(spark: SparkSession, root: str, documents: DataFrame, tabl
         totals = totals.unionByName(sums.select("n", "total_length"))
     stats = totals.agg(F.sum("n").cast("long").alias("n"), F.sum("total_length").cast("long").alias("total_length")).select(F.lit("corpus").alias("of"), "n", "total_length")
     made = {name: Change(tables[name], removed=gone) for name in CHILDREN if name in tables}
-    made |= {POSTINGS: Change(added, removed=gone), LENGTHS: Change(lengths, removed=gone)}
-    made |= {TERMS: Change(delta.filter("df > 0"), ("term",), delta.select("term")), STATS: Change(stats, ("of",))}
+    made |= {POSTINGS: Change(added, removed=gone), TERMS: Change(delta.filter("df > 0"), ("term",), delta.select("term")), STATS: Change(stats, ("of",))}
     if versions is not None:
         made["document_versions"] = Change(versions, removed=gone)
         known_versions = versions.select("document_id", "version_id")

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexloom.sources.tables import pieces, written
+
 #: Buckets of a table, fixed by the first commit; large corpora take thousands.
 BUCKETS = 16
 
@@ -117,7 +119,8 @@ def commit(spark: SparkSession, root: str, changes: dict[str, Change], versions:
         gone = new.select(*change.keys, "_bucket")
         if change.removed is not None:
             gone = gone.unionByName(change.removed.select(*change.keys).withColumn("_bucket", _bucket(document, last.buckets)))
-        gone = gone.distinct()
+        # Written first: rows are not made again for their keys, and the planner sends few keys along instead of shuffling the rows of the table.
+        gone = written(gone.distinct(), "changed-keys")
         touched = [r[0] for r in gone.select("_bucket").distinct().collect()]  # at most the number of buckets
         old = read(spark, root, name, found=Manifest(last.number, {name: {b: f for b, f in last.tables.get(name, {}).items() if int(b) in touched}}, last.schemas, last.buckets))
         rows = new
@@ -127,7 +130,8 @@ def commit(spark: SparkSession, root: str, changes: dict[str, Change], versions:
             same = [F.col(f"o.{k}").eqNullSafe(F.col(f"g.{k}")) for k in change.keys]
             kept = old.withColumn("_bucket", _bucket(document, last.buckets)).alias("o").join(gone.alias("g"), same, "left_anti")
             rows = kept.unionByName(new)
-        rows.repartition("_bucket").write.partitionBy("_bucket").parquet(f"{root}/data/{name}-{token}")
+        # What is made of much input is written by the tasks that have it, each its part of a bucket; little goes to one file a bucket.
+        (rows if pieces(rows) else rows.repartition("_bucket")).write.partitionBy("_bucket").parquet(f"{root}/data/{name}-{token}")
         system, where = _system(spark, f"{root}/data/{name}-{token}")
         made = {f.getPath().getName().removeprefix("_bucket=") for f in system.listStatus(where) if f.isDirectory() and f.getPath().getName().startswith("_bucket=")}
         own = {b: f for b, f in tables.get(name, {}).items() if int(b) not in touched} | {b: f"{name}-{token}" for b in made}
