@@ -52,7 +52,11 @@ def versions(observations: DataFrame, tie: str = "sha256") -> DataFrame:
 
     Current is the version first seen last: content that comes back does not become current again.
     """
-    seen = observations.groupBy("document_id", "sha256").agg(F.min("observed_at").alias("first_seen_at"), F.max("observed_at").alias("last_seen_at"))
+    return mark_current(observations.groupBy("document_id", "sha256").agg(F.min("observed_at").alias("first_seen_at"), F.max("observed_at").alias("last_seen_at")), tie)
+
+
+def mark_current(seen: DataFrame, tie: str = "sha256") -> DataFrame:
+    """Versions (document_id, sha256, first_seen_at, last_seen_at), all that a document has, with is_current."""
     newest = F.row_number().over(Window.partitionBy("document_id").orderBy(F.col("first_seen_at").desc(), F.col(tie).desc())) == 1
     return seen.withColumn("is_current", newest)
 

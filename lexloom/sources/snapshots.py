@@ -103,6 +103,20 @@ def _bucket(key: str, buckets: int):
     return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
 
 
+def _touched(spark: SparkSession, root: str, name: str, last: Manifest, buckets: Sequence[int]) -> DataFrame | None:
+    """The rows of a table in some of its buckets."""
+    return read(spark, root, name, found=replace(last, tables={name: {b: f for b, f in last.tables.get(name, {}).items() if int(b) in buckets}}))
+
+
+def of(spark: SparkSession, root: str, table: str, documents: DataFrame, key: str = "document_id", found: Manifest | None = None) -> DataFrame | None:
+    """The rows of a table whose document is one of the column `key` of `documents`; no other bucket is read. None where the table is not there."""
+    at = found or manifest(spark, root)
+    if table not in at.schemas:
+        return None
+    buckets = [r[0] for r in documents.select(_bucket(key, at.buckets)).distinct().collect()]  # at most the number of buckets
+    return _touched(spark, root, table, at, buckets).alias("o").join(documents.alias("d"), F.col(f"o.{key}").eqNullSafe(F.col(f"d.{key}")), "left_semi")
+
+
 def commit(spark: SparkSession, root: str, changes: dict[str, Change], versions: str | None = None, notes: dict[str, str] | None = None, base: Manifest | None = None, buckets: int = BUCKETS) -> Manifest:
     """Publish the next snapshot with all changes, or raise and leave the last one.
 
@@ -122,7 +136,7 @@ def commit(spark: SparkSession, root: str, changes: dict[str, Change], versions:
         # Written first: rows are not made again for their keys, and the planner sends few keys along instead of shuffling the rows of the table.
         gone = written(gone.distinct(), "changed-keys")
         touched = [r[0] for r in gone.select("_bucket").distinct().collect()]  # at most the number of buckets
-        old = read(spark, root, name, found=Manifest(last.number, {name: {b: f for b, f in last.tables.get(name, {}).items() if int(b) in touched}}, last.schemas, last.buckets))
+        old = _touched(spark, root, name, last, touched)
         rows = new
         if old is not None:
             if [(f.name, f.dataType) for f in old.schema] != [(f.name, f.dataType) for f in change.rows.schema]:
