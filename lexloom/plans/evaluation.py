@@ -67,6 +67,7 @@ TAUGHT = 200
 
 def _featured(s, d, asked):
     """The lexical candidates of passages with their features, whether they are what the passage is of, and the words they share."""
+    asked = written(asked, "passages")
     found = written(postings.search(_postings(s, d), chunks(s, d), asked.select("query_id", "query"), POOL), "passage-candidates")
     more = {"right": F.sha2("chunk_text", 256) == F.col("digest"), "overlap": fusion.overlap_score("query", "chunk_text", F.lit(0.0))}
     return learned_rank.features(_postings(s, d), found, asked, chunks(s, d), more)
